@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import bpe, near_dedup, substring_dedup, token_counts
+from scriptorium.llm import bpe, language_id, near_dedup, nearest, quality_classifier, substring_dedup, token_counts
 
 
 def queries() -> dict:
     found = [
+        language_id.op1_language_id,
         bpe.op2_bpe_roundtrip,
+        quality_classifier.op4_quality_classifier,
         near_dedup.op7_near_dedup,
         substring_dedup.op8_substring_dedup,
+        nearest.op9_nearest,
         token_counts.op10_token_counts,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_nearest": nearest.ORACLE}

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import bpe, language_id, near_dedup, nearest, quality_classifier, substring_dedup, token_counts
+from scriptorium.llm import bpe, chat_format, language_id, mixing, near_dedup, nearest, quality_classifier, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict:
     found = [
         language_id.op1_language_id,
         bpe.op2_bpe_roundtrip,
+        quality_rules.op3_quality_rules,
         quality_classifier.op4_quality_classifier,
+        mixing.op5_source_mixing,
+        chat_format.op6_chat_rotation,
         near_dedup.op7_near_dedup,
         substring_dedup.op8_substring_dedup,
         nearest.op9_nearest,
@@ -19,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_nearest": nearest.ORACLE}
+    return {"op5_source_mixing": mixing.oracle(), "op6_chat_rotation": chat_format.ORACLE, "op9_nearest": nearest.ORACLE}

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ PART_BYTES, BLOCK_BYTES = 8_000_000, 12_000_000
 #: Words of an anchor.
 ANCHOR = 6
 
-_PHRASES = "block int, id long, anchors binary, ids binary, starts binary, counts binary, hashes binary, spans binary"
+_PHRASES = "block int, anchors binary, ids binary, starts binary, counts binary, hashes binary, spans binary"
 
 
 def _runs(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +55,18 @@ def _runs(flags: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at[begin], np.diff(np.concatenate([begin, [len(at)]]))
 
 
-def _spans_by_doc(doc: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(position of the document, int32 pairs start, windows); rows are in document order."""
-    if len(doc):
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
-        pairs = np.stack([start, length], 1).astype("<i4")
-        for a, b in zip(cut[:-1], cut[1:]):
-            yield int(a), pairs[a:b].tobytes()
+def _packed(ids: np.ndarray, start: np.ndarray, length: np.ndarray, places: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(place, int64 ids, int32 pairs start, windows): spans packed by the place of their
+    document, which is xxhash64(id) modulo `places` as Spark computes it."""
+    known, back = np.unique(ids, return_inverse=True)
+    place = np.array([xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), seed=42) for i in known], np.uint64).astype(np.int64)
+    place = (place % places)[back]
+    order = np.argsort(place, kind="stable")
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(place[order])) + 1, [len(order)]]) if len(order) else []
+    pairs = np.stack([start, length], 1).astype("<i4")
+    for a, b in zip(cut[:-1], cut[1:]):
+        rows = order[a:b]
+        yield int(place[rows[0]]), ids[rows].astype("<i8").tobytes(), pairs[rows].tobytes()
 
 
 def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int) -> pa.RecordBatch:
@@ -86,8 +92,8 @@ def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int)
         new[by_key[1:]] = key[by_key[1:]] != key[by_key[:-1]]
         # equal rows (same id) count as two documents; positions alone keep them apart
         b, n = _runs(~new, doc, at - np.arange(len(at)))
-        for i, spans in _spans_by_doc(doc[b], start[b], n):
-            out.append((-1 - int(ids[doc[b[i]]] % blocks), int(ids[doc[b[i]]]), None, None, None, None, None, spans))
+        for place, of, spans in _packed(ids[doc[b]], start[b], n, blocks):
+            out.append((-1 - place, None, of, None, None, None, spans))
         b, n = _runs(new, doc, anchor, at - np.arange(len(at)))
         while len(n) and n.max() > 255:  # counts take one byte
             b, n = np.concatenate([b, b[n > 255] + 255]), np.concatenate([np.minimum(n, 255), n[n > 255] - 255])
@@ -101,19 +107,23 @@ def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int)
         hashes = short[each]
         for x, y in zip(cut[:-1], cut[1:]):
             p = b[x:y]
-            out.append((int(block[x]), None, anchor[p].tobytes(), ids[doc[p]].tobytes(), start[p].astype("<i4").tobytes(), n[x:y].astype(np.uint8).tobytes(), hashes[ends[x] - n[x] : ends[y - 1]].tobytes(), None))
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-    columns = list(zip(*out)) if out else [[]] * 8
+            out.append((int(block[x]), anchor[p].tobytes(), ids[doc[p]].tobytes(), start[p].astype("<i4").tobytes(), n[x:y].astype(np.uint8).tobytes(), hashes[ends[x] - n[x] : ends[y - 1]].tobytes(), None))
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    columns = list(zip(*out)) if out else [[]] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _PHRASES.split(", ")])
 
 
-def _factors(group: pa.Table) -> pa.Table:
-    """Parse what one reference block received; spans (start, windows) of earlier text."""
-    own = [(i, s) for i, s in zip(group["id"].to_pylist(), group["spans"].to_pylist()) if s is not None]
-    join = lambda name, kind: np.frombuffer(b"".join(x for x in group[name].to_pylist() if x is not None), kind)
-    anchors, ids = join("anchors", np.uint64), join("ids", np.int64)
-    if len(anchors):
-        starts, counts, hashes = join("starts", "<i4"), join("counts", np.uint8).astype(np.int64), join("hashes", "<u4")
+def _factors(group: pa.Table, places: int) -> pa.Table:
+    """Parse what one reference block received; spans of earlier text, packed by place.
+
+    Negative blocks hold what the tasks found on their own; it goes through as it is."""
+    rows = group.to_pylist()
+    own = [(-1 - r["block"], r["ids"], r["spans"]) for r in rows if r["spans"] is not None]
+    rows = [r for r in rows if r["spans"] is None]
+    join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
+    if rows:
+        anchors, ids, starts = join("anchors", np.uint64), join("ids", np.int64), join("starts", "<i4")
+        counts, hashes = join("counts", np.uint8).astype(np.int64), join("hashes", "<u4")
         order = np.lexsort((starts, ids))
         from_ = (np.cumsum(counts) - counts)[order]
         anchors, ids, starts, counts = anchors[order], ids[order], starts[order], counts[order]
@@ -126,19 +136,20 @@ def _factors(group: pa.Table) -> pa.Table:
         again = np.zeros(len(key), bool)
         again[by_key[1:]] = (key[by_key[1:]] == key[by_key[:-1]]) & (hashes[by_key[1:]] == hashes[by_key[:-1]])
         begin, n = _runs(again, phrase)
-        doc, start = ids[phrase[begin]], starts[phrase[begin]] + ramp[begin]
-        own += [(int(doc[i]), s) for i, s in _spans_by_doc(doc, start, n)]
-    return pa.table({"id": pa.array([i for i, _ in own], pa.int64()), "spans": pa.array([s for _, s in own], pa.binary())})
+        own += _packed(ids[phrase[begin]], starts[phrase[begin]] + ramp[begin], n, places)
+    return pa.table({"place": pa.array([x[0] for x in own], pa.int32()), "ids": pa.array([x[1] for x in own], pa.binary()), "spans": pa.array([x[2] for x in own], pa.binary())})
 
 
-def repeated_spans(df: DataFrame, id_col: str, text_col: str, window: int = 20) -> DataFrame:
-    """id, spans: int32 pairs (first window, number of windows) that occur earlier in the
-    table; several rows for one id, in no order, which may touch but tell no window twice."""
-    spark = df.sparkSession
-    ship(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _blocks(docs: DataFrame) -> int:
+    """How many reference blocks the texts need."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES)
+
+
+def repeated_spans(docs: DataFrame, window: int, blocks: int) -> DataFrame:
+    """place, ids, spans: of documents (id, text), the int32 pairs (first window, number of
+    windows) that occur earlier in the table, with the id of each pair. Rows come packed by
+    the documents' place; they may touch but tell no window twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -155,73 +166,99 @@ def repeated_spans(df: DataFrame, id_col: str, text_col: str, window: int = 20)
             yield _phrases(ids, texts, window, blocks)
 
     sent = docs.where("id is not null").mapInArrow(run, _PHRASES)
-    return sent.groupBy("block").applyInArrow(_factors, "id long, spans binary")
+    return sent.groupBy("block").applyInArrow(lambda group: _factors(group, blocks), "place int, ids binary, spans binary")
 
 
-def _covered(spans: list[bytes], n_words: int, window: int) -> np.ndarray:
+def _covered(pairs: np.ndarray, n_words: int, window: int) -> np.ndarray:
     edge = np.zeros(n_words + 1, np.int32)
-    for s in spans:
-        pairs = np.frombuffer(s, "<i4").reshape(-1, 2)
-        np.add.at(edge, pairs[:, 0], 1)
-        np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 0] + pairs[:, 1] + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _apply(df: DataFrame, id_col: str, text_col: str, window: int, finish, names: str) -> DataFrame:
-    """Bring spans and texts together by id: sorted, so that a task streams over documents."""
-    spans = repeated_spans(df, id_col, text_col, window)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.lit(1).alias("kind"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("spans"))
-    rows = docs.unionByName(spans.select("id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "spans"))
+def _apply(df: DataFrame, id_col: str, text_col: str, window: int, finish, names: str, keep: list[str] = []) -> DataFrame:
+    """Bring spans and texts together by place: a task holds a place's spans and streams
+    over its texts. The result has the columns `keep` of `df` and those of `finish`."""
+    ship(df.sparkSession)
+    id_ = F.col(id_col).cast("long").alias("id")
+    text = F.col(text_col).alias("text")
+    docs = df.select(id_, text)
+    places = _blocks(docs)
+    rest = F.struct(*keep).alias("rest") if keep else F.lit(None).cast("struct<none:int>").alias("rest")
+    none = F.lit(None).cast("binary")
+    whole = df.select(id_, text, rest).select(F.pmod(F.xxhash64("id"), F.lit(places)).cast("int").alias("place"), "id", "text", none.alias("ids"), none.alias("spans"), "rest")
+    spans = repeated_spans(docs, window, places).select("place", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "ids", "spans", F.lit(None).cast(whole.schema["rest"].dataType).alias("rest"))
+    rows = spans.unionByName(whole).withColumn("kind", F.when(F.col("spans").isNull(), 1).otherwise(0))
+    types = {"long": pa.int64(), "string": pa.string()}
+    made = [x.split() for x in names.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held = None, []
+        of, held, ids, pairs = None, [], np.empty(0, np.int64), np.empty((0, 2), np.int32)
         for batch in batches:
             for a, b in text_parts(batch, 2, PART_BYTES):
-                out = []
+                out, at = [], []
                 part = batch.slice(a, b - a)
-                for i, kind, text, spans in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    if i != of:
-                        of, held = i, []
-                    if kind == 0:
-                        held.append(spans)
-                    else:
-                        out.append((i, *finish(text, held)))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in out], schema=schema)
-
-    types = {"long": pa.int64(), "string": pa.string()}
-    schema = pa.schema([(n, types[t]) for n, t in (x.split() for x in names.split(", "))])
-    return rows.repartition("id").sortWithinPartitions("id", "kind").mapInArrow(run, names)
+                for row, (place, i, text, packed, spans) in enumerate(zip(*(part.column(k).to_pylist() for k in range(5)))):
+                    if place != of:
+                        of, held, ids, pairs = place, [], ids[:0], pairs[:0]
+                    if spans is not None:
+                        held.append((packed, spans))
+                        continue
+                    if held:
+                        ids = np.frombuffer(b"".join(x for x, _ in held), "<i8")
+                        order = np.argsort(ids, kind="stable")
+                        ids, pairs = ids[order], np.frombuffer(b"".join(x for _, x in held), "<i4").reshape(-1, 2)[order]
+                        held = []
+                    x, y = np.searchsorted(ids, [i, i + 1]) if i is not None else (0, 0)
+                    at.append(row)
+                    out.append((i, *finish(text, pairs[x:y])))
+                columns = list(zip(*out)) if out else [()] * len(made)
+                columns = [pa.array(c, types[t]) for c, (_, t) in zip(columns, made)]
+                kept = part.column(5).take(pa.array(at, pa.int64())).flatten() if keep else []
+                yield pa.RecordBatch.from_arrays([*columns, *kept], names=[n for n, _ in made] + keep)
+
+    kinds = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.repartition(places, "place").sortWithinPartitions("place", "kind").mapInArrow(run, names + kinds)
+
+
+def _cut(text: str | None, pairs: np.ndarray, window: int) -> tuple:
+    """The text without its repeated words and the white space after them; words; removed."""
+    words = split_words(text)
+    if not len(pairs):
+        return text, len(words), 0
+    gone = _covered(pairs, len(words), window)
+    raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
+    for i, w in enumerate(words):
+        begin = raw.index(w, at)
+        if i and not gone[i - 1] and begin > at:
+            kept.append(raw[at:begin])
+        at = begin + len(w)
+        if not gone[i]:
+            kept.append(w)
+    return b"".join(kept).decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
 
 
 def dedup_texts(df: DataFrame, id_col: str, text_col: str, window: int = 20) -> DataFrame:
     """id, kept_text, n_words, n_removed. Texts without a repeat stay as they are; from
     others the removed words go, with the white space after them."""
+    return _apply(df, id_col, text_col, window, lambda text, pairs: _cut(text, pairs, window), "id long, kept_text string, n_words long, n_removed long")
 
-    def finish(text: str | None, spans: list[bytes]) -> tuple:
-        words = split_words(text)
-        if not spans:
-            return text, len(words), 0
-        gone = _covered(spans, len(words), window)
-        raw, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
-        for i, w in enumerate(words):
-            begin = raw.index(w, at)
-            if i and not gone[i - 1] and begin > at:
-                kept.append(raw[at:begin])
-            at = begin + len(w)
-            if not gone[i]:
-                kept.append(w)
-        return b"".join(kept).decode("utf-8", "surrogatepass"), len(words), int(gone.sum())
-
-    return _apply(df, id_col, text_col, window, finish, "id long, kept_text string, n_words long, n_removed long")
+
+def dedup_columns(df: DataFrame, id_col: str, text_col: str, window: int = 20) -> DataFrame:
+    """`df` with the repeated passages cut from its texts; all other columns as they are."""
+    others = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    keep = [f"c{i}" for i, c in enumerate(df.columns) if c != text_col]
+    cut = _apply(others, "_id", "_text", window, lambda text, pairs: _cut(text, pairs, window)[:1], "_id long, _text string", keep)
+    return cut.select(*[F.col("_text" if c == text_col else f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every whole text of documents, windows of 20."""
 
-    def finish(text: str | None, spans: list[bytes]) -> tuple:
+    def finish(text: str | None, spans: np.ndarray) -> tuple:
         words = split_words(text)
         gone = _covered(spans, len(words), 20)
-        kept = [w for w, g in zip(words, gone) if not g] if spans else words
+        kept = [w for w, g in zip(words, gone) if not g] if len(spans) else words
         return len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()
 
     return _apply(table(spark, sf_dir, "documents"), "doc_id", "text", 20, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")

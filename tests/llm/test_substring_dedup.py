@@ -67,5 +67,14 @@ def test_query_and_long_text(spark, tmp_path):
 def test_equal_rows_and_empty_table(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
-    assert sd.repeated_spans(df.limit(0), "doc_id", "text").count() == 0
+    assert sd.dedup_texts(df.limit(0), "doc_id", "text").count() == 0
     assert sd.dedup_texts(df, "doc_id", "text").count() == 3
+
+
+def test_other_columns_stay(spark):
+    rows = [(i, t, None if i % 7 == 0 else f"s{i}", i * 2) for i, t in random_rows(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, rest int").repartition(3)
+    out = sd.dedup_columns(df, "doc_id", "text", 20)
+    assert out.schema == df.schema
+    kept = {r.id: r.kept_text for r in sd.dedup_texts(df, "doc_id", "text", 20).collect()}
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, kept[i], s, n) for i, _, s, n in rows), key=str)

@@ -8,11 +8,12 @@ j + 1, so a document stops there; long documents need a step or two. Documents w
 equal sets form one class. Classes that agree in all rows of a band meet in a bucket.
 
 A bucket does not emit all its pairs. First every member is compared with the bucket's leader
-(smallest id) on the full shingle sets, and the links found are grouped. Only members that are
-still in different groups are then compared with each other, in blocks of signatures: a pair
-goes to the full sets if its signatures agree as often as linked sets do but for a chance
-below one in 10^5. So a large group of copies costs one comparison a copy, and links between
-a group's members and others are not lost.
+(smallest id) on the full shingle sets, and the links found are grouped. In buckets that still
+hold several groups, another leader (smallest hash) tries again. What is then still apart is
+compared exactly: the members of the bucket's largest group are dealt to blocks, all others
+go to each block, and a product of the block's membership matrix gives every intersection. So a
+large group of copies costs a comparison or two a copy, and no link between members of one
+bucket is lost.
 
 Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
 steps shrink what is left, until nothing changes. No link or group passes the driver.
@@ -51,14 +52,8 @@ class Settings:
     def values(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def agreeing(self) -> int:
-        """Signature values in which linked sets agree, but for a chance below 1 in 10^5."""
-        p = self.percent / 100
-        return max(1, int(self.values * p - 4.3 * (self.values * p * (1 - p)) ** 0.5))
-
 
-#: Members of a bucket that are compared with each other at once.
+#: Members of a bucket's largest group that are compared with the others at once.
 BLOCK = 256
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
@@ -100,8 +95,8 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
 
 
 def _signed(df: DataFrame, s: Settings) -> DataFrame:
-    """id, n_shingles, set_key, bands (a hash each), sig (a byte for each value)."""
-    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """id, n_shingles, set_key, bands (a hash each)."""
+    schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,19 +105,17 @@ def _signed(df: DataFrame, s: Settings) -> DataFrame:
                 full = [i for i, x in enumerate(sets) if len(x)]
                 keys: list[bytes | None] = [None] * len(sets)
                 bands: list[list[int] | None] = [None] * len(sets)
-                sigs: list[bytes | None] = [None] * len(sets)
                 if full:
                     sig = super_minhash([sets[i] for i in full], s.values)
                     band = np.zeros((len(full), s.bands), np.uint64)
                     for j in range(s.rows):
                         band = mix(band + sig[:, j :: s.rows]) + np.uint64(j)
                     band = band.astype(np.int64)
-                    low = (sig & np.uint64(255)).astype(np.uint8)
                     for n, i in enumerate(full):
-                        keys[i], bands[i], sigs[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), band[n].tolist(), low[n].tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, schema.field("bands").type), pa.array(sigs, pa.binary())], schema=schema)
+                        keys[i], bands[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), band[n].tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, schema.field("bands").type)], schema=schema)
 
-    return df.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>, sig binary")
+    return df.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -140,7 +133,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     where = pairs.join(salts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("kind"))
     where = where.unionByName(salts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind")))
-    rows = docs.join(where, "id").select("a", "salt", "kind", "id", "text")
+    rows = docs.join(where.hint("merge"), "id").select("a", "salt", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, base = None, None
@@ -200,48 +193,80 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _across(members: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of one bucket, in different groups, whose signatures agree enough."""
-    counts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    one = placed.select("bucket", "id", "sig", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"), F.col("block").alias("own")))).alias("at"))
-    least = s.agreeing
+def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different groups that connect groups not yet connected, exactly:
+    the product of the membership matrix with itself holds every intersection."""
+    sizes = np.array([len(x) for x in sets])
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often > 1)
+    place = np.full(len(often), -1)
+    place[shared] = np.arange(len(shared))
+    column, row = place[column], np.repeat(np.arange(len(sets)), sizes)
+    both = np.zeros((len(sets), len(sets)))
+    for lo in range(0, len(shared), 8192):
+        at = (column >= lo) & (column < lo + 8192)
+        m = np.zeros((len(sets), min(8192, len(shared) - lo)), np.float32)
+        m[row[at], column[at] - lo] = 1
+        both += m @ m.T
+    union = sizes[:, None] + sizes[None, :] - both
+    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1) & (group[:, None] != group[None, :]))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        x, y = find(group[i]), find(group[j])
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+    """Links u, v between members (bucket, id, component) of one bucket in different groups."""
+    groups = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = groups.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
+    own = F.array(F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    placed = members.join(largest, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
+    rows = texts.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, held = None, []
-
-        def found(rows: list[tuple]) -> tuple[list[int], list[int]]:
-            ids = np.array([r[0] for r in rows])
-            own = np.array([r[1] for r in rows])
-            group = np.array([r[2] for r in rows])
-            sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
-            crossing = own.min() != own.max()
-            a, b = [], []
-            for i in range(len(rows) - 1):
-                ok = (group[i + 1 :] != group[i]) & ((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least)
-                if crossing:
-                    ok &= own[i + 1 :] != own[i]
-                for j in np.flatnonzero(ok) + i + 1:
-                    a.append(min(ids[i], ids[j]))
-                    b.append(max(ids[i], ids[j]))
-            return a, b
-
-        batch_of = lambda a, b: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        of, ids, groups, sets = None, [], [], []
+
+        def found() -> pa.RecordBatch:
+            links = _crossing(sets, np.array(groups), s.percent) if len(set(groups)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
+
         for batch in batches:
-            a, b = [], []
-            for bucket, lo, hi, own, i, group, sig in zip(*(c.to_pylist() for c in batch.columns)):
-                if (bucket, lo, hi) != of:
-                    if len(held) > 1:
-                        x, y = found(held)
-                        a, b = a + x, b + y
-                    of, held = (bucket, lo, hi), []
-                held.append((i, own, group, sig))
-            yield batch_of(a, b)
-        if len(held) > 1:
-            yield batch_of(*found(held))
-
-    one = one.select("bucket", "at.lo", "at.hi", "at.own", "id", "component", "sig")
-    return one.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+            for x, y in text_parts(batch, 4, PART_BYTES):
+                part = batch.slice(x, y - x)
+                for bucket, block, i, group, text in zip(*(part.column(c).to_pylist() for c in range(5))):
+                    if (bucket, block) != of:
+                        if ids:
+                            yield found()
+                        of, ids, groups, sets = (bucket, block), [], [], []
+                    ids.append(i)
+                    groups.append(group)
+                    sets.append(shingle_set(text, s.shingle))
+        if ids:
+            yield found()
+
+    return materialise(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "u long, v long"), "crossing")
+
+
+def _unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """bucket, id, component of the members of buckets that hold several groups."""
+    grouped = met.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
+    return materialise(grouped.join(mixed, "bucket"), "unsettled")
+
+
+def _with(groups: DataFrame, links: DataFrame) -> DataFrame:
+    return components(links.unionByName(groups.select(F.col("component").alias("u"), F.col("id").alias("v"))))
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Settings = Settings()) -> DataFrame:
@@ -250,21 +275,21 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Setting
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     signed = materialise(_signed(docs, s), "signed")
-    filled = signed.where("n_shingles > 0")
     # Equal sets are one class; its smallest id stands for it.
-    classes = materialise(filled.groupBy("set_key").agg(F.min("id").alias("id"), F.min_by(F.struct("bands", "sig"), "id").alias("x")).select("set_key", "id", "x.bands", "x.sig"), "classes")
-    members = classes.select("id", "sig", F.posexplode("bands").alias("band", "value")).select("id", "sig", F.struct("band", "value").alias("bucket"))
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    classes = materialise(classes, "classes")
+    members = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
     leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = materialise(members.join(leaders, "bucket").select("bucket", "leader", "id", "sig"), "buckets")
+    met = materialise(members.join(leaders, "bucket").select("bucket", "leader", "id"), "buckets")
+    # Only members of buckets are compared: from here on their texts are enough.
+    texts = materialise(docs.join(met.select("id").distinct().hint("merge"), "id"), "texts")
     stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = _verified(docs, stars, s)
-    groups = components(links)
-    grouped = met.join(groups, "id", "left").select("bucket", "id", "sig", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    across = _across(grouped.join(mixed, "bucket"), s).join(stars, ["a", "b"], "left_anti")
-    more = _verified(docs, across, s)
-    links = links.unionByName(more).unionByName(groups.select(F.col("component").alias("u"), F.col("id").alias("v")))
-    groups = components(links)
+    groups = components(_verified(texts, stars, s))
+    rest = _unsettled(met.select("bucket", "id"), groups)
+    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x")).select("bucket", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
+    again = rest.join(others, "bucket").where("component <> of").select("a", F.col("id").alias("b")).distinct()
+    groups = _with(groups, _verified(texts, again, s))
+    groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id"), groups), s))
     of_class = classes.join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("component", "id")

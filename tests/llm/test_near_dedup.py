@@ -75,6 +75,26 @@ def test_estimate_and_empty_table(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
 
+def test_crossing_links():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 300).astype(np.uint64)
+    sets = [np.unique(r.choice(pool, 280)) for _ in range(40)] + [np.unique(pool[:200]), np.unique(pool[:199])]
+    group = np.array([*range(40), 50, 50])
+    links = [(i, j) for i in range(42) for j in range(i + 1, 42) if group[i] != group[j] and nd.linked(sets[i], sets[j], 45)]
+    found = nd._crossing(sets, group, 45)
+    assert links and set(found) <= set(links)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, j in found:
+        root[find(group[i])] = find(group[j])
+    assert all(find(group[i]) == find(group[j]) for i, j in links)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 200)]
     got = {r.id: r.component for r in nd.components(spark.createDataFrame(chain, "u long, v long").repartition(9)).collect()}

@@ -21,6 +21,7 @@ def found(column: str, *patterns: str) -> str:
 
 NORMAL = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
+TOK_LIST = "list_filter(string_split_regex(regexp_replace(lower(text), '[^\\p{L}\\p{N}'' ]', ' ', 'g'), ' +'), lambda w: w <> '')"
 
 
 def p1_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

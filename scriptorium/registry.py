@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text_rules", "style", "corpus", "index", "tables")
+MODULES = ("text_rules", "style", "corpus", "index", "tables", "workflow")
 
 
 def _modules():

@@ -190,13 +190,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str, mutable: list[str]) -> Data
 def k4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     base = d.groupBy(tx.item_id(F.lit("work_file"), F.col("source"), F.col("text")).alias("id")).agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("label"))
-    return upsert(base.where("doc_id % 3 <> 0"), base.where("doc_id % 2 = 0").withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000}), "id", ["label"])
+    return upsert(base, base.withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000}), "id", ["label"])
 
 
 def k5_stale_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of re-ingested origins are replaced, for any number of origins."""
     d = _docs(spark, sf_dir).select("doc_id", "source", F.lit("old").alias("version"))
-    fresh = d.where("source in ('src1', 'src7') and doc_id % 3 = 0").withColumn("version", F.lit("new"))
+    fresh = d.where("source in ('src1', 'src7')").withColumn("version", F.lit("new"))
     return d.join(fresh.select("source").distinct(), "source", "left_anti").select("doc_id", "source", "version").unionByName(fresh)
 
 
@@ -299,8 +299,8 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "s9_extensions": f"WITH p AS (SELECT text, regexp_extract({_PATH}, '[.]([a-z]+)$', 1) AS e FROM documents) SELECT CASE WHEN e NOT IN ('md', 'txt', 'html', 'eml') THEN 'unsupported: ' || e WHEN length(text) < 120 THEN 'empty' ELSE 'loaded' END AS outcome, count(*) AS files FROM p GROUP BY 1",
     "s13_archives": "SELECT page_id, 'page.html' AS entry, length(html) AS chars, NULL AS error FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, 'meta/url.txt', length(url), NULL FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, NULL, NULL, 'unreadable archive' FROM pages WHERE page_id % 7 = 0",
     "k1_split_write": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'public' ELSE 'private' END AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min('work_file|' || source || '|' || doc_id) AS first FROM documents GROUP BY 1",
-    "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, CASE WHEN doc_id % 3 <> 0 THEN doc_id ELSE doc_id + 1000000 END AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'new-' || label ELSE label END AS label FROM b WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0",
-    "k5_stale_origins": "SELECT doc_id, source, CASE WHEN source IN ('src1', 'src7') THEN 'new' ELSE 'old' END AS version FROM documents WHERE source NOT IN ('src1', 'src7') OR doc_id % 3 = 0",
+    "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, doc_id, 'new-' || label AS label FROM b",
+    "k5_stale_origins": "SELECT doc_id, source, CASE WHEN source IN ('src1', 'src7') THEN 'new' ELSE 'old' END AS version FROM documents",
     "k9_report_totals": f"WITH m AS (SELECT source, text, {_DUP} AS dup FROM documents) SELECT coalesce(source, 'total') AS source, count(*) AS n, count(*) FILTER (WHERE {WORDS} < 15) AS short, count(*) FILTER (WHERE dup) AS copies FROM m GROUP BY ROLLUP (source)",
     "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END]) AS pattern FROM documents) SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL",
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",

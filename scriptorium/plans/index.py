@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rules
 from scriptorium.operators import similarity as sim
 from scriptorium.operators.style import top_per
+from scriptorium.plans.text_rules import WORDS, found
 from scriptorium.session import table
 
 #: Wider than the defaults (0.45 and a cosine of 0.62), within which these vectors have no neighbours.
@@ -29,7 +30,13 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D6: three nearest active statements of the same sensitivity for each new one, nearer than NEAR."""
     s = statements(spark, sf_dir)
-    return sim.top_k(s.where("status = 'active'"), s.where("vec_id % 10 = 3"), "vec_id", "embedding", 3, "sensitivity", NEAR)
+    return sim.top_k(s.where("status = 'active'"), s.where("vec_id % 100 = 0"), "vec_id", "embedding", 3, "sensitivity", NEAR)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector of each conversation: the one with its number."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("vec_id")).distinct()
+    return statements(spark, sf_dir).join(asked, "vec_id", "left_semi")
 
 
 def d4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,10 +71,10 @@ def d8_culprit_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r1_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four nearest statements from both stores; historical ones only for past-framed queries."""
     s = statements(spark, sf_dir)
-    q = s.where("vec_id % 25 = 7")
+    q = s.where("vec_id % 100 = 0")
     parts = []
     for past in (True, False):
-        ask = q.where((F.col("vec_id") % 2 == 0) == F.lit(past))
+        ask = q.where((F.col("vec_id") % 200 == 0) == F.lit(past))
         allowed = s.where(F.col("status").isin("active", "historical") if past else F.col("status") == "active")
         parts += [sim.top_k(allowed.where(f"sensitivity = '{store}'"), ask, "vec_id", "embedding", 4) for store in ("private", "public")]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).drop("rank")
@@ -77,13 +84,13 @@ def r1_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r2_episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = statements(spark, sf_dir)
-    return sim.top_k(s.where("embedding is not null"), s.where("vec_id % 40 = 1"), "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
+    return sim.top_k(s.where("embedding is not null"), s.where("vec_id % 100 = 0"), "vec_id", "embedding", 3).withColumn("distance", F.round("distance", 6))
 
 
 def r3_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent decides the store and how many; one logged row a turn."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("intent", rules.route_intent(F.col("text")))
-    best = sim.top_k(statements(spark, sf_dir), statements(spark, sf_dir).where("vec_id < 100"), "vec_id", "embedding", 4)
+    best = sim.top_k(statements(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "embedding", 4)
     k = F.when(F.col("intent") == "knowledge", 4).when(F.col("intent") == "explicit_recall", 3).otherwise(0)
     asked = c.select("conv_id", "turn", "intent", k.alias("k"))
     logged = asked.join(best, (F.col("conv_id") == F.col("query_id")) & (F.col("rank") <= F.col("k")), "left")
@@ -112,7 +119,7 @@ def m2_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = p.join(s.select(F.col("vec_id").alias("new_id"), F.col("tier").alias("new_tier")), "new_id").join(s.select(F.col("vec_id").alias("old_id"), F.col("tier").alias("old_tier")), "old_id")
     proposed = F.get(F.array(*map(F.lit, ["coexist", "augment", "evolve", "replace", "ask"])), ((F.col("new_id") + F.col("old_id")) % 5).cast("int"))
     tier = rules.stricter(F.col("new_tier"), F.col("old_tier"))
-    out = rules.clamp_outcome(tier, proposed, (F.col("new_id") + F.col("old_id")) % 3 != 0, (F.col("new_id") % 100) / 100, F.col("new_id") > F.col("old_id"))
+    out = rules.clamp_outcome(tier, proposed, (F.col("new_id") + F.col("old_id")) % 3 != 0, (F.col("old_id") % 100) / 100, F.col("new_id") > F.col("old_id"))
     return j.select("new_id", "old_id", tier.alias("tier"), out.alias("outcome"))
 
 
@@ -155,13 +162,13 @@ def m9_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth per language from the even to all documents, floored at 0."""
     d = table(spark, sf_dir, "documents")
     old = d.where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.count("*").alias("old"))
-    new = d.where("doc_id % 3 <> 0").groupBy("source", "lang").agg(F.count("*").alias("new"))
+    new = d.groupBy("source", "lang").agg(F.count("*").alias("new"))
     return old.join(new, ["source", "lang"], "full_outer").select("source", "lang", F.greatest(F.lit(0).cast("long"), F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))).alias("grown"))
 
 
 def m13_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak retrievals by topic: no hit, or the best one farther than 0.62."""
-    best = sim.top_k(statements(spark, sf_dir), statements(spark, sf_dir).where("vec_id < 100"), "vec_id", "embedding", 1).select("query_id", "distance")
+    best = sim.top_k(statements(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "embedding", 1).select("query_id", "distance")
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
     weak = c.join(best, F.col("conv_id") == F.col("query_id"), "left").where("distance is null or distance > 0.1")
     return weak.groupBy(rules.topic_of(F.col("text")).alias("topic")).agg(F.count("*").alias("weak")).withColumn("ready", F.col("weak") >= 3)
@@ -170,14 +177,12 @@ def m13_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = f"""s AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, {TYPES}[vec_id % 6 + 1] AS type, CASE vec_id % 11 WHEN 0 THEN 'historical' WHEN 1 THEN 'superseded' WHEN 2 THEN 'merged' ELSE 'active' END AS status,
 CASE WHEN vec_id % 4 = 0 THEN 'public' ELSE 'private' END AS sensitivity, 't' || label AS topic, 'o' || vec_id % 50 AS origin FROM embeddings)"""
 _NEAR = f"""{_S}, near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_distance(q.e, c.e) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(q.e, c.e), 9), c.vec_id) AS rank
-FROM s q JOIN s c ON q.vec_id <> c.vec_id AND q.sensitivity = c.sensitivity WHERE q.vec_id % 10 = 3 AND c.status = 'active' AND list_cosine_distance(q.e, c.e) < {NEAR} QUALIFY rank <= 3)"""
+FROM s q JOIN s c ON q.vec_id <> c.vec_id AND q.sensitivity = c.sensitivity WHERE q.vec_id % 100 = 0 AND c.status = 'active' AND list_cosine_distance(q.e, c.e) < {NEAR} QUALIFY rank <= 3)"""
 _TIER = "CASE WHEN {t} IN ('insight', 'decision_heuristic') THEN 2 WHEN {t} IN ('belief', 'preference') THEN 1 ELSE 0 END"
-_CASES = f"""{_NEAR}, p AS (SELECT query_id AS new_id, id AS old_id, greatest({_TIER.format(t='n.type')}, {_TIER.format(t='o.type')}) AS t, CASE WHEN (query_id + id) % 3 = 0 THEN 'coexist' ELSE ['coexist', 'augment', 'evolve', 'replace', 'ask'][(query_id + id) % 5 + 1] END AS o, (query_id % 100) / 100.0 >= 0.75 AS sure, query_id > id AS newer
+_CASES = f"""{_NEAR}, p AS (SELECT query_id AS new_id, id AS old_id, greatest({_TIER.format(t='n.type')}, {_TIER.format(t='o.type')}) AS t, CASE WHEN (query_id + id) % 3 = 0 THEN 'coexist' ELSE ['coexist', 'augment', 'evolve', 'replace', 'ask'][(query_id + id) % 5 + 1] END AS o, (id % 100) / 100.0 >= 0.75 AS sure, query_id > id AS newer
 FROM near JOIN s n ON n.vec_id = query_id JOIN s o ON o.vec_id = id),
 cases AS (SELECT new_id, old_id, ['mutable', 'position', 'core'][t + 1] AS tier, CASE t WHEN 2 THEN CASE WHEN o = 'coexist' AND sure THEN o ELSE 'ask' END WHEN 1 THEN CASE WHEN o = 'coexist' OR (o = 'augment' AND sure) THEN o ELSE 'ask' END ELSE CASE WHEN o IN ('ask', 'augment') THEN CASE WHEN newer THEN 'evolve' ELSE 'coexist' END ELSE o END END AS outcome FROM p)"""
 _BEST = "b AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_distance(q.e, c.e) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_distance(q.e, c.e), 9), c.vec_id) AS rank FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE {w} QUALIFY rank <= {k})"
-from scriptorium.plans.text_rules import WORDS, found  # noqa: E402
-
 _INTENT = f"CASE WHEN {found('trim(text)', *rules.RECALL)} THEN 'explicit_recall' WHEN {found('trim(text)', *rules.SMALLTALK)} OR ({WORDS} <= 3 AND NOT contains(text, '?')) THEN 'smalltalk' ELSE 'knowledge' END"
 _TOPIC = f"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in rules.TOPIC_STOP)}))[1:3]"
 
@@ -187,9 +192,9 @@ ORACLE = {
     "d6_neighbours": f"WITH {_NEAR} SELECT query_id, rank, id, round(distance, 6) AS distance FROM near",
     "d7_not_siblings": f"WITH {_NEAR} SELECT query_id, id FROM near WHERE query_id % 50 <> id % 50 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1",
     "d8_culprit_first": f"WITH {_NEAR} SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id % 3 = 0 DESC, rank) = 1",
-    "r1_statements": f"WITH {_S}, {_BEST.format(w='q.vec_id % 25 = 7 AND c.status IN (CASE WHEN q.vec_id % 2 = 0 THEN $$historical$$ ELSE $$active$$ END, $$active$$)', k=4)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
-    "r2_episodic": f"WITH {_S}, {_BEST.format(w='q.vec_id % 40 = 1', k=3)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
-    "r3_routing": f"WITH {_S}, {_BEST.format(w='q.vec_id < 100', k=4)}, c AS (SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE role = 'user') SELECT conv_id, turn, intent, count(id) AS n, round(min(distance), 6) AS best, CAST(sum(id) AS BIGINT) AS ids FROM c LEFT JOIN b ON query_id = conv_id AND rank <= CASE intent WHEN 'knowledge' THEN 4 WHEN 'explicit_recall' THEN 3 ELSE 0 END GROUP BY ALL",
+    "r1_statements": f"WITH {_S}, {_BEST.format(w='q.vec_id % 100 = 0 AND c.status IN (CASE WHEN q.vec_id % 200 = 0 THEN $$historical$$ ELSE $$active$$ END, $$active$$)', k=4)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
+    "r2_episodic": f"WITH {_S}, {_BEST.format(w='q.vec_id % 100 = 0', k=3)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
+    "r3_routing": f"WITH {_S}, {_BEST.format(w='q.vec_id IN (SELECT conv_id FROM conversations WHERE role = $$user$$)', k=4)}, c AS (SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE role = 'user') SELECT conv_id, turn, intent, count(id) AS n, round(min(distance), 6) AS best, CAST(sum(id) AS BIGINT) AS ids FROM c LEFT JOIN b ON query_id = conv_id AND rank <= CASE intent WHEN 'knowledge' THEN 4 WHEN 'explicit_recall' THEN 3 ELSE 0 END GROUP BY ALL",
     "r4_ranked": f"WITH {_S}, k AS (SELECT vec_id, CASE WHEN type = 'decision_heuristic' THEN 'heuristic' ELSE 'value' END AS kind, CASE label % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN type = 'insight' THEN 2 ELSE 0 END AS score FROM s WHERE status = 'active' AND type IN ('belief', 'preference', 'insight', 'decision_heuristic')) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, vec_id) <= 8",
     "r6_even_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE n <= 240 OR i IN (SELECT k * (SELECT max(n) FROM r) // 240 FROM range(240) t(k))",
     "m2_clamped": f"WITH {_CASES} SELECT * FROM cases",
@@ -200,6 +205,6 @@ UNION ALL SELECT old_id || '+' || new_id, 'active', NULL FROM cases WHERE outcom
     "m6_undistilled": f"WITH {_S} SELECT DISTINCT 'o' || doc_id % 60 AS origin FROM documents WHERE 'o' || doc_id % 60 NOT IN (SELECT origin FROM s WHERE vec_id % 2 = 0)",
     "m7_born_from": f"WITH {_S} SELECT vec_id, type FROM s WHERE origin IN ('o3', 'o17')",
     "m8_snapshot": f"WITH {_S} SELECT 'statement:' || type AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'topics', count(DISTINCT topic) FROM s UNION ALL SELECT 'chunk:' || lang, count(*) FROM documents GROUP BY 1",
-    "m9_snapshot_diff": "WITH o AS (SELECT source, lang, count(*) AS old FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), n AS (SELECT source, lang, count(*) AS new FROM documents WHERE doc_id % 3 <> 0 GROUP BY ALL) SELECT source, lang, greatest(0, coalesce(new, 0) - coalesce(old, 0)) AS grown FROM o FULL JOIN n USING (source, lang)",
-    "m13_gaps": f"WITH {_S}, {_BEST.format(w='q.vec_id < 100', k=1)}, w AS (SELECT {_TOPIC} AS ws FROM conversations LEFT JOIN b ON query_id = conv_id WHERE role = 'user' AND (distance IS NULL OR distance > 0.1)), t AS (SELECT CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w) SELECT topic, count(*) AS weak, count(*) >= 3 AS ready FROM t GROUP BY topic",
+    "m9_snapshot_diff": "WITH o AS (SELECT source, lang, count(*) AS old FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), n AS (SELECT source, lang, count(*) AS new FROM documents GROUP BY ALL) SELECT source, lang, greatest(0, coalesce(new, 0) - coalesce(old, 0)) AS grown FROM o FULL JOIN n USING (source, lang)",
+    "m13_gaps": f"WITH {_S}, {_BEST.format(w='q.vec_id IN (SELECT conv_id FROM conversations WHERE role = $$user$$)', k=1)}, w AS (SELECT {_TOPIC} AS ws FROM conversations LEFT JOIN b ON query_id = conv_id WHERE role = 'user' AND (distance IS NULL OR distance > 0.1)), t AS (SELECT CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w) SELECT topic, count(*) AS weak, count(*) >= 3 AS ready FROM t GROUP BY topic",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rules
 from scriptorium.operators import intervals
 from scriptorium.operators.style import top_per
+from scriptorium.plans.text_rules import NORMAL, WORDS, found
 from scriptorium.session import table
 from scriptorium.streaming import events as stream
 
@@ -31,10 +32,11 @@ def _minutes(counts: Column) -> Column:
 
 def k6_session_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, q = responses(spark, sf_dir), questions(spark, sf_dir)
-    every = r.select("session_id").distinct().crossJoin(F.broadcast(q.select("question_id").distinct().limit(500)))  # questions of one interview: a fixed list
-    j = every.join(r, ["session_id", "question_id"], "left")
-    answered = F.col("event_id").isNotNull() & ~F.col("skipped")
-    return j.groupBy("session_id").agg(F.count("*").alias("questions"), F.count_if(answered).alias("answered"), F.count_if(F.col("skipped")).alias("skipped"), _minutes(answered).alias("minutes"))
+    given = r.join(q.select("question_id", F.lit(True).alias("asked")), "question_id", "left")
+    answered, skipped = F.col("asked") & ~F.col("skipped"), F.col("asked") & F.col("skipped")
+    counts = given.groupBy("session_id").agg(F.count_if(answered).alias("answered"), F.count_if(skipped).alias("skipped"), _minutes(answered).alias("minutes"))
+    size = q.agg(F.count("*").alias("questions"))  # one row
+    return counts.join(F.broadcast(size)).select("session_id", "questions", "answered", "skipped", "minutes")
 
 
 def k7_import_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +64,7 @@ def k11_late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A late result applies only to a pending, unedited row of the version that the job read."""
     e = table(spark, sf_dir, "events")
     rows = e.where("event_type <> 'error'").select("event_id", (F.col("event_id") % 5).alias("version"), (F.col("event_type") == "view").alias("pending"), (F.col("event_id") % 9 == 0).alias("edited"))
-    late = e.where("event_id % 2 = 0").select("event_id", (F.col("event_id") % 4).alias("read_version"))
+    late = e.select("event_id", (F.col("event_id") % 4).alias("read_version"))
     j = late.join(rows, "event_id", "left")
     apply_ = F.coalesce(F.col("pending") & ~F.col("edited") & (F.col("version") == F.col("read_version")), F.lit(False))
     return j.groupBy(F.when(apply_, "applied").otherwise("discarded").alias("outcome")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
@@ -137,10 +139,10 @@ def a1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a2_next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First active question without an answer, sealed ones last."""
     r = responses(spark, sf_dir)
-    open_ = r.groupBy("session_id").agg(F.collect_set(F.when(~F.col("skipped"), F.col("question_id"))).alias("done"))  # 40 questions at most
-    q = questions(spark, sf_dir).where("active and question_id < 40")
-    left = open_.join(F.broadcast(q), ~F.array_contains("done", F.col("question_id")))
-    return left.groupBy("session_id").agg(F.min(F.struct("sealed", "question_id")).alias("x")).select("session_id", "x.question_id")
+    done = r.groupBy("session_id").agg(F.collect_set(F.when(~F.col("skipped"), F.col("question_id"))).alias("done"))  # a questionnaire at most
+    order = F.array_sort(F.collect_list(F.struct("sealed", "question_id")))
+    q = questions(spark, sf_dir).where("active").agg(F.transform(order, lambda x: x["question_id"]).alias("all"))  # the questionnaire, one row
+    return done.join(F.broadcast(q)).select("session_id", F.get(F.array_except("all", "done"), F.lit(0)).alias("question_id"))
 
 
 def a3_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +235,6 @@ def w8_hourly_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, item_id % 7 <> 0 AS active, text AS prompt FROM benchmark)"
 _SIL = "z AS (SELECT user_id AS recording, event_id AS line, round((epoch_us(ts) % 3600000000) / 1e6, 3) AS start, round((epoch_us(ts) % 3600000000) / 1e6 + value % 3, 3) AS \"end\" FROM events)"
-from scriptorium.plans.text_rules import NORMAL, WORDS, found  # noqa: E402
-
 _CLEAN = f"NOT ({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 
 QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v4_clips, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
@@ -242,7 +242,7 @@ ORACLE = {
     "k6_session_export": f"WITH {_R}, {_Q}, e AS (SELECT DISTINCT session_id, q.question_id FROM r, q) SELECT e.session_id AS session_id, count(*) AS questions, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM e LEFT JOIN r USING (session_id, question_id) GROUP BY 1",
     "k7_import_by_prompt": f"WITH {_Q}, n AS (SELECT question_id, {NORMAL.replace('text', 'prompt')} AS k, active FROM q), j AS (SELECT a.question_id AS import_id, b.question_id AS known, b.active FROM n a LEFT JOIN n b ON a.k = b.k AND b.question_id % 3 <> 0) SELECT import_id, coalesce(known, (SELECT max(question_id) FROM n WHERE question_id % 3 <> 0) + row_number() OVER (PARTITION BY known IS NULL ORDER BY import_id)) AS question_id, coalesce(active, false) AS active FROM j",
     "k8_response_upsert": "SELECT user_id AS session_id, event_id % 40 AS question_id, arg_max(event_id % 7, (ts, event_id)) FILTER (WHERE event_type = 'click') AS likert, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS audio_sec FROM events WHERE event_type <> 'click' OR event_id % 7 BETWEEN 1 AND 5 GROUP BY 1, 2",
-    "k11_late_results": "SELECT CASE WHEN event_type = 'view' AND event_id % 9 <> 0 AND event_id % 5 = event_id % 4 THEN 'applied' ELSE 'discarded' END AS outcome, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE event_id % 2 = 0 GROUP BY 1",
+    "k11_late_results": "SELECT CASE WHEN event_type = 'view' AND event_id % 9 <> 0 AND event_id % 5 = event_id % 4 THEN 'applied' ELSE 'discarded' END AS outcome, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "m1_reply_chain": "SELECT c.conv_id AS conv_id, c.turn AS turn, a.role AS answers, b.role AS trigger FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 WHERE c.role = 'user'",
     "m4_correction_routes": f"WITH c AS (SELECT *, ['style', 'factual', 'position', 'behavior'][turn % 4 + 1] AS kind, {_CLEAN} AS clean FROM conversations WHERE role = 'user') SELECT kind, CASE kind WHEN 'style' THEN 'exemplar_pair' WHEN 'behavior' THEN CASE WHEN conv_id % 2 = 0 THEN 'rule_pending' ELSE 'rule_applied' END ELSE CASE WHEN clean THEN 'statement' ELSE 'rejected' END END AS route, count(*) AS n FROM c GROUP BY 1, 2",
     "m5_live_notes": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AND event_type <> 'error' AS active FROM events",
@@ -252,7 +252,7 @@ ORACLE = {
     "m16_previous_turn": "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS persona FROM events) SELECT event_id, persona FROM e WHERE event_type = 'click'",
     "m18_approvals": "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') SELECT event_id, n, CASE WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'applied' ELSE 'rejected' END ELSE 'pending' END AS status FROM e",
     "a1_coverage": f"WITH {_R}, {_Q}, c AS (SELECT module, count(*) AS questions, count(*) FILTER (WHERE question_id IN (SELECT question_id FROM r WHERE NOT skipped)) AS answered FROM q WHERE active GROUP BY 1) SELECT m AS module, coalesce(questions, 0) AS questions, coalesce(answered, 0) AS answered, CASE WHEN questions > 0 THEN round(100 * answered / questions) ELSE 0 END AS percent FROM range(6) t(m) LEFT JOIN c ON module = m",
-    "a2_next_question": f"WITH {_R}, {_Q} SELECT session_id, q.question_id AS question_id FROM (SELECT DISTINCT session_id FROM r) x, q WHERE active AND q.question_id < 40 AND NOT EXISTS (SELECT 1 FROM r WHERE r.session_id = x.session_id AND r.question_id = q.question_id AND NOT skipped) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sealed, q.question_id) = 1",
+    "a2_next_question": f"WITH {_R}, {_Q} SELECT session_id, q.question_id AS question_id FROM (SELECT DISTINCT session_id FROM r) x, q WHERE active AND NOT EXISTS (SELECT 1 FROM r WHERE r.session_id = x.session_id AND r.question_id = q.question_id AND NOT skipped) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sealed, q.question_id) = 1",
     "a3_progress": f"WITH {_R} SELECT session_id, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) AS total, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM r GROUP BY 1",
     "a4_sessions": f"WITH {_R} SELECT session_id, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, max(ts) AS latest FROM r GROUP BY 1",
     "a5_subject_stats": "SELECT source, count(DISTINCT doc_id % 50) AS origins, count(*) AS chunks, round(sum(n_chars) / 60000, 1) AS minutes FROM documents GROUP BY 1",
@@ -264,9 +264,8 @@ ORACLE = {
     "a11_agreement": "WITH l AS (SELECT source, doc_id, quality FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) FILTER (WHERE quality = 1) AS agreed, count(*) AS judged, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE quality <> 1))[1:5], ','), '') AS gaps FROM l GROUP BY 1",
     "v1_silence_log": f"WITH {_SIL} SELECT recording, start, \"end\" FROM z",
     "v2_speech_spans": f"""WITH {_SIL}, c AS (SELECT recording, start, coalesce(greatest(0.0, max("end") OVER (PARTITION BY recording ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0) AS cursor FROM z UNION ALL SELECT recording, 3600.0, max("end") FROM z GROUP BY 1) SELECT recording, round(cursor, 3) AS start, round(start, 3) AS "end" FROM c WHERE start > cursor + 0.05""",
-    "w1_capture": None,
+    "w1_capture": f"WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, CASE WHEN {found('t', *rules.REMEMBER)} THEN 0 WHEN {found('t', *rules.META)} THEN 1 WHEN {found('t', *rules.CORRECTION)} THEN 2 WHEN turn > 0 AND {found('t', rules.WEAK_CORRECTION)} THEN 2 ELSE 3 END AS k FROM c) SELECT conv_id, turn, ['material', 'meta', 'correction', 'chat'][k + 1] AS intent, k IN (1, 2) AS note, true AS work FROM k",
     "w2_session_memory": "WITH n AS (SELECT user_id, max(ts) AS now, max(ts) FILTER (WHERE event_type = 'signup') AS reset FROM events GROUP BY 1), e AS (SELECT e.user_id AS user_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY ts DESC, event_id DESC) AS k, ts FROM events e JOIN n USING (user_id) WHERE event_type <> 'signup' AND ts > now - INTERVAL 12 HOUR AND (reset IS NULL OR ts > reset)) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM e WHERE k <= 30",
     "w4_cadence": "WITH l AS (SELECT user_id, max(ts) AS run_at FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE event_type <> 'signup' AND (run_at IS NULL OR ts > run_at)) AS since, count(*) FILTER (WHERE event_type <> 'signup' AND (run_at IS NULL OR ts > run_at)) >= 50 AS due FROM events LEFT JOIN l USING (user_id) GROUP BY 1",
     "w8_hourly_intents": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
-ORACLE = {k: v for k, v in ORACLE.items() if v}

@@ -70,7 +70,7 @@ def k3_selective_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
     rebuild_sources(d, "source", path)
-    rebuild_sources(d.where("source in ('src2', 'src5') and doc_id % 3 = 0").withColumn("n_chars", F.lit(0).cast("long")), "source", path)
+    rebuild_sources(d.where("source in ('src2', 'src5')").withColumn("n_chars", F.lit(0).cast("long")), "source", path)
     return spark.read.parquet(path).select("doc_id", "n_chars", F.col("source").cast("string").alias("source"))
 
 
@@ -110,7 +110,7 @@ def p19_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     answer = F.to_json(F.struct(F.array(F.struct((F.col("conv_id") % 120).alias("source_id"), F.substring("text", 1, 300).alias("text"), F.get(F.array(*map(F.lit, ["fact", "belief", "odd", "insight"])), (F.col("turn") % 4).cast("int")).alias("type"), F.when(F.col("turn") % 3 == 0, "strong").alias("strength"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("topics"))).alias("statements")))
     parsed = c.select("conv_id", "turn", F.from_json(answer, "struct<statements:array<struct<source_id:bigint,text:string,type:string,strength:string,topics:array<string>>>>").alias("a")).select("conv_id", "turn", F.explode("a.statements").alias("s"))
-    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(True).alias("known")).where("source_id < 90")
+    known = table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("source_id"), F.lit(True).alias("known"))
     j = parsed.select("conv_id", "turn", "s.*").join(known, "source_id", "left")
     verdict = F.when(F.col("known").isNull(), "unknown source").when(F.trim("text") == "", "empty").when(~F.col("type").isin("fact", "belief", "preference", "insight", "decision_heuristic", "experience"), "bad type").when(F.size(rules.lint_reasons(F.col("text"))) > 0, "lint").otherwise("stored")
     return j.select("conv_id", "turn", verdict.alias("verdict"), F.array_join(F.transform(F.slice("topics", 1, 3), F.lower), ",").alias("topics"))
@@ -188,11 +188,11 @@ ORACLE = {
     "s6_interview": f"WITH {_R}, {_Q} SELECT session_id, CASE WHEN sealed THEN 'holdout' WHEN skipped THEN 'skipped' WHEN trim(prompt) = '' THEN 'blank' ELSE 'item' END AS route, count(*) AS n, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
     "s7_session_files": "SELECT doc_id, source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.png' ELSE '.md' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unsupported' WHEN doc_id % 9 = 0 OR trim(text) = '' THEN 'empty' END AS skipped FROM documents",
     "k2_sealed_write": f"WITH {redacted_sql('benchmark', 'item_id')} SELECT item_id, t AS redacted FROM r{len(redaction.RULES)}",
-    "k3_selective_rebuild": "SELECT doc_id, CASE WHEN source IN ('src2', 'src5') THEN 0 ELSE n_chars END AS n_chars, source FROM documents WHERE source NOT IN ('src2', 'src5') OR doc_id % 3 = 0",
+    "k3_selective_rebuild": "SELECT doc_id, CASE WHEN source IN ('src2', 'src5') THEN 0 ELSE n_chars END AS n_chars, source FROM documents",
     "l4_gram_set": f"WITH t AS (SELECT {TOK_LIST} AS w FROM benchmark) SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM t",
     "l8_firewall": f"WITH n AS (SELECT conv_id * 1000 + turn AS id, role, turn, {NORMAL} AS n FROM conversations) SELECT s.id AS store_id, c.id AS turn_id FROM n s JOIN n c ON c.role = 'user' AND c.turn % 2 = 0 AND (s.role = 'assistant' OR s.turn % 2 = 0) AND s.id <> c.id AND length(c.n) >= 40 AND contains(s.n, c.n)",
     "p9_own_text": "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'spoken' ELSE 'written' END AS mode, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1, 2",
-    "p19_validated": f"WITH c AS (SELECT conv_id, turn, substr(text, 1, 300) AS text FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 120 >= 90 OR conv_id % 120 NOT IN (SELECT doc_id FROM documents) THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, 'a,b,c' AS topics FROM c",
+    "p19_validated": f"WITH c AS (SELECT conv_id, turn, substr(text, 1, 300) AS text FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, 'a,b,c' AS topics FROM c",
     "r7_correction_pairs": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, turn FROM c WHERE {WORDS} BETWEEN 20 AND 140",
     "m12_ship_gate": "WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_id % 2 = 0 AND event_type = 'view') AS before, count(*) FILTER (WHERE event_id % 2 = 1 AND event_type = 'view') AS after FROM events GROUP BY 1) SELECT *, after >= before AS ship FROM c",
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),

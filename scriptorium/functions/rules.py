@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import any_match, java, matches, parts, style_tokens
 
-# The patterns that decide, as the reference data were labelled with.
+# The patterns that decide.
 FIRST_PERSON = r"(?i)\b(i|i'm|i've|i'd|i'll|me|my|mine|myself|we|our|ours|us)\b"
 SECOND_PERSON = r"(?i)\byou know\b|\byou see\b"
 FILLER = r"(?i)\b(um|uh|erm|gonna|wanna|kinda|sorta|y'know)\b"

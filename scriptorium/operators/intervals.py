@@ -51,6 +51,21 @@ def refined(spans: list[tuple[float, float]], levels: list[list[tuple[float, flo
     return out
 
 
+def refine_spans(spans: DataFrame, finer: DataFrame, key: str) -> DataFrame:
+    """key, start, end: long spans cut at silences (key, level, start, end) of finer levels."""
+    ship(spans.sparkSession)
+
+    def run(own: pd.DataFrame, silences: pd.DataFrame) -> pd.DataFrame:
+        levels = [sorted(zip(g["start"], g["end"])) for _, g in silences.groupby("level")]
+        made = pd.DataFrame(refined(sorted(zip(own["start"], own["end"])), levels), columns=["start", "end"])
+        made.insert(0, key, (own if len(own) else silences)[key].iloc[0])
+        return made
+
+    kind = spans.schema[key].dataType.simpleString()
+    left = spans.select(key, "start", "end").groupBy(key)
+    return left.cogroup(finer.select(key, "level", "start", "end").groupBy(key)).applyInPandas(run, f"{key} {kind}, start double, end double")
+
+
 def plan_clips(spans: DataFrame, key: str, total: float) -> DataFrame:
     """key, start, end, dropped: consecutive spans packed into clips of 3 to 15 seconds, cut
     only in silences; a span that is too long and a clip that is too short are dropped with

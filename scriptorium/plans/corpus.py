@@ -239,7 +239,11 @@ def c6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l1_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return holdout.sealed_matches(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text").select(F.col("id").alias("doc_id"), F.col("sid").alias("item_id"))
+    """Documents that contain a sealed text or are contained in one."""
+    d, b = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    inside = holdout.sealed_matches(d, "doc_id", "text", b, "item_id", "text").select(F.col("id").alias("doc_id"), F.col("sid").alias("item_id"))
+    within = holdout.sealed_matches(b, "item_id", "text", d, "doc_id", "text").select(F.col("sid").alias("doc_id"), F.col("id").alias("item_id"))
+    return inside.union(within).distinct()
 
 
 def l2_hash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,7 +310,7 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",
     "d2_near_pairs": f"WITH {_ITEMS} SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9",
     "c4_regroup": "WITH r AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM documents) SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM r WHERE before < 6000 GROUP BY source",
-    "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) WHERE length(n) >= 40 AND length(s) >= 40",
+    "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) OR contains(s, n) WHERE length(n) >= 40 AND length(s) >= 40",
     "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n)",
     "l3_quarantine": f"WITH d AS (SELECT doc_id, source, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark WHERE length(text) >= 40)) SELECT source, count(DISTINCT item_id) AS items, count(*) AS hits FROM d JOIN b ON contains(n, s) WHERE length(s) >= 40 AND length(n) >= 40 GROUP BY source",
     "l5_copied_run": f"WITH {_RUNS} SELECT doc_id, run FROM runs",

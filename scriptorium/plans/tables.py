@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rules
 from scriptorium.operators import intervals
 from scriptorium.operators.style import top_per
+from scriptorium.plans.style import _ANALYSIS
 from scriptorium.plans.text_rules import NORMAL, WORDS, found
 from scriptorium.session import table
 from scriptorium.streaming import events as stream
@@ -215,6 +216,29 @@ def v4_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.plan_clips(spans, "recording", 3600.0).withColumns({"start": F.round("start", 3), "end": F.round("end", 3)})
 
 
+def v3_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of the long silences, refined by two finer levels."""
+    s = _silences(spark, sf_dir)
+    length = F.col("end") - F.col("start")
+    spans = intervals.speech_spans(s.where(length >= 2.5), "recording", 3600.0)
+    finer = s.where(length >= 1.5).withColumn("level", F.lit(1)).unionByName(s.withColumn("level", F.lit(2)))
+    return intervals.refine_spans(spans, finer, "recording").select("recording", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+def w3_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.retention(table(spark, sf_dir, "events"), "user_id", "ts")
+
+
+def w5_running_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream.running_style(table(spark, sf_dir, "documents"), "lang", "text")
+
+
+def w6_replays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events delivered twice count once."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    return stream.first_of_each(e.unionByName(e), "event_id", "ts").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
 def w1_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.captured(table(spark, sf_dir, "conversations"))
 
@@ -237,7 +261,7 @@ _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 =
 _SIL = "z AS (SELECT user_id AS recording, event_id AS line, round((epoch_us(ts) % 3600000000) / 1e6, 3) AS start, round((epoch_us(ts) % 3600000000) / 1e6 + value % 3, 3) AS \"end\" FROM events)"
 _CLEAN = f"NOT ({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 
-QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v4_clips, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
+QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
 ORACLE = {
     "k6_session_export": f"WITH {_R}, {_Q}, e AS (SELECT DISTINCT session_id, q.question_id FROM r, q) SELECT e.session_id AS session_id, count(*) AS questions, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM e LEFT JOIN r USING (session_id, question_id) GROUP BY 1",
     "k7_import_by_prompt": f"WITH {_Q}, n AS (SELECT question_id, {NORMAL.replace('text', 'prompt')} AS k, active FROM q), j AS (SELECT a.question_id AS import_id, b.question_id AS known, b.active FROM n a LEFT JOIN n b ON a.k = b.k AND b.question_id % 3 <> 0) SELECT import_id, coalesce(known, (SELECT max(question_id) FROM n WHERE question_id % 3 <> 0) + row_number() OVER (PARTITION BY known IS NULL ORDER BY import_id)) AS question_id, coalesce(active, false) AS active FROM j",
@@ -266,6 +290,9 @@ ORACLE = {
     "v2_speech_spans": f"""WITH {_SIL}, c AS (SELECT recording, start, coalesce(greatest(0.0, max("end") OVER (PARTITION BY recording ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0) AS cursor FROM z UNION ALL SELECT recording, 3600.0, max("end") FROM z GROUP BY 1) SELECT recording, round(cursor, 3) AS start, round(start, 3) AS "end" FROM c WHERE start > cursor + 0.05""",
     "w1_capture": f"WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, CASE WHEN {found('t', *rules.REMEMBER)} THEN 0 WHEN {found('t', *rules.META)} THEN 1 WHEN {found('t', *rules.CORRECTION)} THEN 2 WHEN turn > 0 AND {found('t', rules.WEAK_CORRECTION)} THEN 2 ELSE 3 END AS k FROM c) SELECT conv_id, turn, ['material', 'meta', 'correction', 'chat'][k + 1] AS intent, k IN (1, 2) AS note, true AS work FROM k",
     "w2_session_memory": "WITH n AS (SELECT user_id, max(ts) AS now, max(ts) FILTER (WHERE event_type = 'signup') AS reset FROM events GROUP BY 1), e AS (SELECT e.user_id AS user_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY ts DESC, event_id DESC) AS k, ts FROM events e JOIN n USING (user_id) WHERE event_type <> 'signup' AND ts > now - INTERVAL 12 HOUR AND (reset IS NULL OR ts > reset)) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM e WHERE k <= 30",
+    "w3_retention": "WITH n AS (SELECT user_id, max(ts) AS now FROM events GROUP BY 1) SELECT user_id, count(*) AS stored, count(*) FILTER (WHERE ts > now - INTERVAL 12 HOUR) AS live FROM events JOIN n USING (user_id) GROUP BY 1",
+    "w5_running_style": f"SELECT lang, {_ANALYSIS} FROM documents GROUP BY lang",
+    "w6_replays": "SELECT user_id, count(*) AS n FROM events GROUP BY 1",
     "w4_cadence": "WITH l AS (SELECT user_id, max(ts) AS run_at FROM events WHERE event_type = 'signup' GROUP BY 1) SELECT user_id, count(*) FILTER (WHERE event_type <> 'signup' AND (run_at IS NULL OR ts > run_at)) AS since, count(*) FILTER (WHERE event_type <> 'signup' AND (run_at IS NULL OR ts > run_at)) >= 50 AS due FROM events LEFT JOIN l USING (user_id) GROUP BY 1",
     "w8_hourly_intents": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

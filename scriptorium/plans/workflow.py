@@ -169,6 +169,24 @@ def u1_test_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("doc_id", F.size("v").alias("size"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
 
+def p12_past_framed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", rules.past_framed(F.col("text")).alias("past_framed"))
+
+
+def u3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's embedding function; here two counts of characters."""
+    import numpy as np
+
+    made = udfs.embedder(lambda texts: np.array([[len(t), t.count("e")] for t in texts]))(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", made.alias("v")).select("doc_id", F.get("v", F.lit(0)).cast("long").alias("chars"), F.get("v", F.lit(1)).cast("long").alias("es"))
+
+
+def u4_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's completion function; here the prompt backwards."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return udfs.completions(c, "text", lambda prompts: [p[::-1] for p in prompts]).select("conv_id", "turn", "answer")
+
+
 def w7_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that don't parse are marked with a reason; the others go on."""
     e = table(spark, sf_dir, "events").withColumn("raw", F.when(F.col("event_id") % 13 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")))
@@ -176,7 +194,7 @@ def w7_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), F.when(k.isNull(), "corrupt").otherwise("ok").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, u1_test_embedding, w7_bad_rows)}
+QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, text AS prompt FROM benchmark)"
 _CENTS = "CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) AS audio_cents"
@@ -198,5 +216,8 @@ ORACLE = {
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),
     "m17_reassign": f"WITH {_Q} SELECT question_id, CASE WHEN question_id % 4 = 0 OR (question_id % 2 = 0 AND starts_with(prompt, 'other')) THEN 9 ELSE module END AS module, question_id % 4 = 2 AND NOT starts_with(prompt, 'other') AS skipped FROM q",
     "v5_dataset": f"WITH {_R}, {_Q} SELECT module, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome, count(*) AS clips, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
+    "p12_past_framed": f"SELECT conv_id, turn, {found('trim(text)', *rules.PAST_FRAMED)} AS past_framed FROM conversations",
+    "u3_embedding": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS es FROM documents",
+    "u4_completion": "SELECT conv_id, turn, reverse(text) AS answer FROM conversations",
     "w7_bad_rows": "SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_id % 13 = 0 THEN 'corrupt' ELSE 'ok' END AS status FROM events",
 }

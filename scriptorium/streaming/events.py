@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.functions import rules
+from scriptorium.operators.style import text_analysis
 
 RETENTION_HOURS, TURNS, TURN_CHARS = 12, 30, 2000
 
@@ -61,6 +62,20 @@ def hourly(events: DataFrame) -> DataFrame:
     return counts.select(F.col("window.start").alias("hour"), "event_type", "n")
 
 
+def retention(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """key, stored, live: all turns stay stored; live ones are within the retention of the newest."""
+    newest = events.groupBy(key).agg(F.max(ts).alias("_now"))
+    live = F.count_if(F.col(ts) > F.col("_now") - F.expr(f"INTERVAL {RETENTION_HOURS} HOURS"))
+    return events.join(newest, key).groupBy(key).agg(F.count("*").alias("stored"), live.alias("live"))
+
+
+def running_style(texts: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Running counters of words, sentences and lines; on a stream in update or complete mode."""
+    return text_analysis(texts, [key], text_col)
+
+
 def first_of_each(stream: DataFrame, id_col: str, ts: str) -> DataFrame:
-    """Replays without effect: a content id counts once within the retention."""
+    """Replays without effect: a content id counts once (on a stream, within the retention)."""
+    if not stream.isStreaming:
+        return stream.dropDuplicates([id_col])
     return stream.withWatermark(ts, f"{RETENTION_HOURS} hours").dropDuplicatesWithinWatermark([id_col])

@@ -10,13 +10,14 @@ equal sets form one class. Classes that agree in all rows of a band meet in a bu
 A bucket does not emit all its pairs. First every member is compared with the bucket's leader
 (smallest id) on the full shingle sets, and the links found are grouped. In buckets that still
 hold several groups, another leader (smallest hash) tries again. What is then still apart is
-compared exactly: the members of the bucket's largest group are dealt to blocks, all others
-go to each block, and a product of the block's membership matrix gives every intersection. So a
+compared exactly: the members of the bucket's largest group are dealt to blocks, and so are all
+others; blocks of the others meet each other and those of the largest group, and a product of
+the membership matrix of two blocks gives every intersection. So a
 large group of copies costs a comparison or two a copy, and no link between members of one
 bucket is lost.
 
 Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
-steps shrink what is left, until nothing changes. No link or group passes the driver.
+steps shrink what is left, until all links form stars. No link or group passes the driver.
 
 Defined results: documents without words (null, empty or blank texts) have an empty set, link
 with nothing and stay; fewer words than a shingle make one shingle of all words. Repeated
@@ -53,7 +54,7 @@ class Settings:
         return self.bands * self.rows
 
 
-#: Members of a bucket's largest group that are compared with the others at once.
+#: Members of a bucket's largest group, and of the others, that are compared at once.
 BLOCK = 256
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
@@ -175,22 +176,25 @@ def components(links: DataFrame) -> DataFrame:
     """id, component for every id in links (u, v): the smallest id reachable.
 
     Alternates large-star (link larger neighbours to the smallest one) and small-star (link
-    smaller neighbours and the node itself to it) until the links stay the same."""
+    smaller neighbours and the node itself to it) until all links form stars."""
     edges = materialise(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large")
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.where("u <> v").distinct(), "small")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen or now[0] == 0:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seen = now
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link, to a node without one; links go from larger to smaller."""
+    ends = edges.groupBy("u").agg(F.count("*").alias("n"))
+    if not ends.where("n > 1").isEmpty():
+        return False
+    return edges.join(ends.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -229,9 +233,17 @@ def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[t
 def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
     """Links u, v between members (bucket, id, component) of one bucket in different groups."""
     groups = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = groups.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.ceil(F.max("n") / BLOCK).cast("int").alias("blocks"))
-    own = F.array(F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    placed = members.join(largest, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = groups.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all")).select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("all") - F.col("n")).alias("s"))
+    # Members of the main group meet each block of the others; the others also meet each other.
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    as_main = F.transform(upto(F.col("s")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), own(F.col("m")).alias("y")))
+    as_other = F.concat(
+        F.transform(upto(F.col("m")), lambda j: F.struct(F.lit(0).alias("kind"), own(F.col("s")).alias("x"), j.alias("y"))),
+        F.transform(upto(F.col("s")), lambda k: F.struct(F.lit(1).alias("kind"), F.least(own(F.col("s")), k).alias("x"), F.greatest(own(F.col("s")), k).alias("y"))),
+    )
+    placed = members.join(sizes, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
     rows = texts.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

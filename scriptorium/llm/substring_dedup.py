@@ -13,7 +13,8 @@ border is lost; factors that meet are joined into the document's duplicate spans
 
 The outcome is exact: a window counts as repeated if and only if the same word sequence
 starts earlier (smaller id, or same document and earlier start). Windows are identified by
-96 hash bits (64 of the anchor, 32 of the window).
+64 hash bits of their own in a task, and by those and 64 of the anchor in a block; windows of
+one anchor differ in the former.
 
 Defined results: null, empty and short texts have no window and stay as they are. Repeated
 rows with one id count as one document each, in the order of their text; of equal rows, one
@@ -101,10 +102,9 @@ def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int)
         order = np.lexsort((b, block))
         b, n, block = b[order], n[order], block[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(b) else []
-        short = (key >> np.uint64(32)).astype("<u4")
         ends = np.cumsum(n)
         each = np.arange(ends[-1] if len(ends) else 0) + np.repeat(b - (ends - n), n)
-        hashes = short[each]
+        hashes = key[each].astype("<u8")
         for x, y in zip(cut[:-1], cut[1:]):
             p = b[x:y]
             out.append((int(block[x]), anchor[p].tobytes(), ids[doc[p]].tobytes(), start[p].astype("<i4").tobytes(), n[x:y].astype(np.uint8).tobytes(), hashes[ends[x] - n[x] : ends[y - 1]].tobytes(), None))
@@ -123,7 +123,7 @@ def _factors(group: pa.Table, places: int) -> pa.Table:
     join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
     if rows:
         anchors, ids, starts = join("anchors", np.uint64), join("ids", np.int64), join("starts", "<i4")
-        counts, hashes = join("counts", np.uint8).astype(np.int64), join("hashes", "<u4")
+        counts, hashes = join("counts", np.uint8).astype(np.int64), join("hashes", "<u8")
         order = np.lexsort((starts, ids))
         from_ = (np.cumsum(counts) - counts)[order]
         anchors, ids, starts, counts = anchors[order], ids[order], starts[order], counts[order]
@@ -131,10 +131,10 @@ def _factors(group: pa.Table, places: int) -> pa.Table:
         ramp = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
         hashes = hashes[np.repeat(from_, counts) + ramp]
         phrase = np.repeat(np.arange(len(anchors)), counts)
-        key = mix(anchors[phrase] + hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        by_key = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[by_key[1:]] = (key[by_key[1:]] == key[by_key[:-1]]) & (hashes[by_key[1:]] == hashes[by_key[:-1]])
+        by_key = np.argsort(hashes, kind="stable")
+        again = np.zeros(len(hashes), bool)
+        same = anchors[phrase[by_key]]
+        again[by_key[1:]] = (hashes[by_key[1:]] == hashes[by_key[:-1]]) & (same[1:] == same[:-1])
         begin, n = _runs(again, phrase)
         own += _packed(ids[phrase[begin]], starts[phrase[begin]] + ramp[begin], n, places)
     return pa.table({"place": pa.array([x[0] for x in own], pa.int32()), "ids": pa.array([x[1] for x in own], pa.binary()), "spans": pa.array([x[2] for x in own], pa.binary())})

@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from scriptorium.llm import substring_dedup as sd
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,3 +81,20 @@ def test_other_columns_stay(spark):
     assert out.schema == df.schema
     kept = {r.id: r.kept_text for r in sd.dedup_texts(df, "doc_id", "text", 20).collect()}
     assert sorted(map(tuple, out.collect()), key=str) == sorted(((i, kept[i], s, n) for i, _, s, n in rows), key=str)
+
+
+def around_one_run(n):
+    """Texts of different words around the same six, whose hash is the smallest of many."""
+    runs = [[f"k{i}x{j}" for j in range(6)] for i in range(2000)]
+    run = min(runs, key=lambda w: int(sd.gram_hashes(sd.hash_words([x.encode() for x in w]), 6)[0]))
+    return [" ".join([f"a{i}b{j}" for j in range(14)] + run + [f"c{i}d{j}" for j in range(14)]) for i in range(n)]
+
+
+def test_windows_of_one_anchor_are_told_apart_by_their_whole_keys(monkeypatch):
+    whole = sd.gram_hashes
+    monkeypatch.setattr(sd, "gram_hashes", lambda h, n: whole(h, n) >> np.uint64(32) if n == 20 else whole(h, n))
+    texts = around_one_run(200)
+    sent = pa.Table.from_batches([sd._phrases([i], [t], 20, 1) for i, t in enumerate(texts + texts[:1])])
+    spans = [x for x in sd._factors(sent, 1).to_pylist() if x["spans"]]
+    assert [np.frombuffer(x["ids"], "<i8").tolist() for x in spans] == [[200] * (len(spans[0]["spans"]) // 8)]
+    assert np.frombuffer(spans[0]["spans"], "<i4").reshape(-1, 2)[:, 1].sum() == 15

@@ -5,9 +5,10 @@ with Gaussian (2-stable) directions, so that for two vectors at distance d the s
 projected distance is d^2 times a chi-square variable with DIMS degrees of freedom. A kd-tree
 over the projections yields leaves by growing projected distance; the vectors of a leaf are
 verified with their true distances. The search of a query stops when the next leaf's
-bound D holds D^2 >= x * d_k^2, with x the chi-square quantile of CONFIDENCE and d_k the k-th
+bound D holds D^2 > x * d_k^2, with x the chi-square quantile of CONFIDENCE and d_k the k-th
 distance so far: a vector nearer than d_k is then still unseen with a chance of at most
-1 - CONFIDENCE. The k best of all blocks are ranked together.
+1 - CONFIDENCE. Leaves at the bound are opened, with a margin for the rounding of projections, so
+of many equal vectors the smallest ids are found (d_k is 0 there). The k best of all blocks are ranked together.
 
 Queries go to blocks in portions, so a task holds BLOCK_ROWS vectors and QUERY_ROWS queries
 whatever the table's size; nothing is broadcast but the seed of the directions.
@@ -91,12 +92,13 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     points, targets = vectors @ directions, queries @ directions
     tree = KdTree.build(points)
     ids, vectors = ids[tree.order], vectors[tree.order]
-    stop, out = chi_square_quantile(confidence, DIMS), []
+    stop, out = math.sqrt(chi_square_quantile(confidence, DIMS)), []
+    margin = 1e-9 * max(np.abs(points).max(), np.abs(targets).max(initial=0))
     for qid, q, target in zip(query_ids, queries, targets):
         bound = tree.bounds(target)
         near, best, worst, step = np.argsort(bound, kind="stable"), [], math.inf, 4
         at = 0
-        while at < len(near) and bound[near[at]] < stop * worst * worst:
+        while at < len(near) and bound[near[at]] <= (stop * worst + margin) ** 2:
             leaves = near[at : at + step]
             at, step = at + step, min(2 * step, 64)
             rows = np.concatenate([np.arange(tree.cut[x], tree.cut[x + 1]) for x in leaves])

@@ -42,3 +42,14 @@ def test_odd_vectors_ties_and_few_rows(spark):
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (200, 1, 8), (200, 2, 0)]
     assert abs(got[3][3] - 2**0.5) < 1e-15
     assert nn.nearest(df.limit(0), "vec_id", "embedding", df, 3).count() == 0
+
+
+def test_smallest_ids_of_many_equal_vectors():
+    r = np.random.default_rng(5)
+    x = r.standard_normal((1000, 24))
+    x[300:800] = x[300]
+    ids = r.permutation(1000)
+    same = ids[300:800]
+    for q in (int(same.max()), int(same.min())):
+        found = nn.search(ids, x, np.array([q]), x[300:301], 10)
+        assert found == [(q, i, 0.0) for i in sorted(set(same.tolist()) - {q})[:10]]

@@ -3,7 +3,7 @@
 A known word scores by its log frequency in each language. An unseen word falls back to its
 character n-grams (with marks for the word's begin and end): those of the longest order of
 which the model knows at least one, then shorter ones. A text's score for a language
-is the sum over all its words; the answer is the best language and its posterior share.
+is the sum over all its words, each a run of letters of any length; the answer is the best language and its posterior share.
 
 The model is learned from a sample of labelled rows whose size is bounded (`sample_rows`, by a
 hash of the id, so that it does not depend on partitioning) and holds the `top_words` and
@@ -32,7 +32,7 @@ from scriptorium.session import materialise, ship, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
-#: Words of which a worker remembers the scores; a longer word counts by its first so many letters.
+#: Words of which a worker remembers the scores, and letters of the longest that it remembers.
 CACHE_WORDS, WORD_LETTERS = 400_000, 64
 PART_BYTES = 4_000_000
 
@@ -50,9 +50,9 @@ def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * most / n))
 
 
-def grams(word: str, n: int) -> list[str]:
+def grams(word: str, n: int) -> Iterator[str]:
     marked = f"<{word}>" if n > 1 else word
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return (marked[i : i + n] for i in range(len(marked) - n + 1))
 
 
 @dataclass
@@ -67,6 +67,11 @@ class Model:
         if found is not None:
             return found
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
+            if len(word) > WORD_LETTERS:  # a long run: no list of all its n-grams
+                known = Counter(g for g in grams(word, n) if g in self.grams)
+                if known:
+                    return tuple(sum(self.grams[g][i] * c for g, c in known.items()) / known.total() for i in range(len(self.languages)))
+                continue
             rows = list(filter(None, map(self.grams.get, grams(word, n))))
             if rows:
                 return tuple(sum(c) / len(rows) for c in zip(*rows))
@@ -85,8 +90,8 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
                 counts.update((lang, w) for w in WORD.findall(text.lower()))
             by_gram: Counter = Counter()
             for (lang, w), c in counts.items():
-                for n in range(1, min(LONGEST_GRAM, len(w[:WORD_LETTERS]) + 2) + 1):
-                    for g in grams(w[:WORD_LETTERS], n):
+                for n in range(1, min(LONGEST_GRAM, len(w) + 2) + 1):
+                    for g in grams(w, n):
                         by_gram[(lang, g)] += c
             for kind, found in ((0, counts), (1, by_gram)):
                 keys = list(found)
@@ -111,24 +116,31 @@ def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows:
 
 
 class _Scores(dict):
+    """Rows of remembered words. Row 0 stays zero: long words add to `long` instead."""
+
     def __init__(self, model: Model):
         self.model = model
-        self.rows = np.zeros((CACHE_WORDS, len(model.languages)), np.float32)
+        self.rows = np.zeros((CACHE_WORDS + 1, len(model.languages)), np.float32)
+        self.long = np.zeros(len(model.languages))
 
     def __missing__(self, word: str) -> int:
-        at = self[word] = len(self)
-        self.rows[at] = self.model.score(word[:WORD_LETTERS])
+        if len(word) > WORD_LETTERS:
+            self.long += self.model.score(word)
+            return 0
+        at = self[word] = len(self) + 1
+        self.rows[at] = self.model.score(word)
         return at
 
     def total(self, words: list[str]) -> np.ndarray:
         """In portions, between which the memory may be emptied."""
         out = np.zeros(self.rows.shape[1])
+        self.long[:] = 0
         for i in range(0, len(words), 20_000):
             if len(self) > CACHE_WORDS - 20_000:
                 self.clear()
             part = words[i : i + 20_000]
             out += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0, dtype=float)
-        return out
+        return out + self.long
 
 
 def predict(df: DataFrame, model: Model, text_col: str, *keep: str) -> DataFrame:

@@ -42,6 +42,19 @@ def test_language_odd_rows(spark, tables):
     assert int(np.argmax(model.score("zzthationzz"))) == 1 and not any(model.score("漢"))
 
 
+def test_language_of_a_long_run_of_letters(spark):
+    r = np.random.default_rng(8)
+    glued = lambda letters, n: "".join(r.choice(list(letters), n))
+    rows = [(i, " ".join(glued(letters, 6) for _ in range(60)), lang) for i, (letters, lang) in enumerate([("abcd", "aa"), ("wxyz", "zz")] * 20)]
+    model = li.learn(spark.createDataFrame(rows, "id long, text string, lang string"), "id", "text", "lang")
+    texts = [(1, glued("abcd", 64) + glued("wxyz", 5000)), (2, glued("wxyz", 64) + glued("abcd", 5000)), (3, glued("abcd", 64)), (4, glued("wxyz", 64))]
+    got = li.predict(spark.createDataFrame(texts, "id long, text string"), model, "text", "id").collect()
+    assert {x.id: x.lang_pred for x in got} == {1: "zz", 2: "aa", 3: "aa", 4: "zz"}
+    # n-grams of the learned texts count beyond the first letters, too
+    rows = [(i, glued("abcd", 64) + glued("wxyz", 300), "zz") for i in range(20)]
+    assert any("w" in g for g in li.learn(spark.createDataFrame(rows, "id long, text string, lang string"), "id", "text", "lang").grams)
+
+
 def test_quality_held_out(spark, tables):
     rows = {r.doc_id: r for r in qc.op4_quality_classifier(spark, SF).collect()}
     assert all(r.held_out == out_of(i) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for i, r in rows.items())

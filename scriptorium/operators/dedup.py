@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,13 +14,21 @@ from scriptorium.session import materialise
 THRESHOLD = 0.88
 
 
+def _match(df: DataFrame, other: DataFrame, names: list[str], how: str) -> DataFrame:
+    """`df` joined on `names` with nulls equal, as in a window partition."""
+    right = {n: f"_of_{n}" for n in names}
+    on = reduce(and_, (F.col(n).eqNullSafe(F.col(r)) for n, r in right.items()))
+    return df.join(other.withColumnsRenamed(right), on, how).drop(*right.values())
+
+
 def exact_duplicates(df: DataFrame, group: str, order: str, text_col: str) -> DataFrame:
     """Adds `duplicate`: an equal text (identity form) comes earlier in the group.
 
-    The first is found by an aggregate, so a text with many copies is no window partition."""
+    The first is found by an aggregate, so a text with many copies is no window partition.
+    A null group is a group, and null texts are equal."""
     keyed = df.withColumn("_key", F.sha2(tx.normalize(F.col(text_col)), 256))
     first = keyed.groupBy(group, "_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, [group, "_key"]).withColumn("duplicate", F.col(order) > F.col("_first")).drop("_key", "_first")
+    return _match(keyed, first, [group, "_key"], "inner").withColumn("duplicate", F.col(order) > F.col("_first")).drop("_key", "_first")
 
 
 def near_pairs(df: DataFrame, group: str, order: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -54,11 +65,11 @@ def greedy_drops(pairs: DataFrame, group: str) -> DataFrame:
     dropped = None
     while not pairs.isEmpty():
         later = pairs.select(group, F.col("b").alias("a")).distinct()
-        kept = pairs.select(group, "a").distinct().join(later, [group, "a"], "left_anti")
-        gone = materialise(pairs.join(kept, [group, "a"], "left_semi").select(group, F.col("b").alias("dropped")).distinct(), "dropped")
+        kept = _match(pairs.select(group, "a").distinct(), later, [group, "a"], "left_anti")
+        gone = materialise(_match(pairs, kept, [group, "a"], "left_semi").select(group, F.col("b").alias("dropped")).distinct(), "dropped")
         dropped = gone if dropped is None else dropped.unionByName(gone)
         for x in ("a", "b"):
-            pairs = pairs.join(gone.select(group, F.col("dropped").alias(x)), [group, x], "left_anti")
+            pairs = _match(pairs, gone.select(group, F.col("dropped").alias(x)), [group, x], "left_anti")
         pairs = materialise(pairs.select(group, "a", "b"), "pairs")
     return pairs.select(group, F.col("b").alias("dropped")) if dropped is None else dropped
 
@@ -67,5 +78,5 @@ def dedup(df: DataFrame, group: str, order: str, text_col: str, threshold: float
     """Adds `verdict`: kept, exact (a copy) or near (close to an earlier kept row)."""
     marked = exact_duplicates(df, group, order, text_col)
     drops = greedy_drops(near_pairs(marked.where("not duplicate"), group, order, text_col, threshold), group).withColumnRenamed("dropped", order).withColumn("_near", F.lit(True))
-    return marked.join(drops, [group, order], "left").withColumn("verdict", F.when(F.col("duplicate"), "exact").when(F.col("_near"), "near").otherwise("kept")).drop("duplicate", "_near")
+    return _match(marked, drops, [group, order], "left").withColumn("verdict", F.when(F.col("duplicate"), "exact").when(F.col("_near"), "near").otherwise("kept")).drop("duplicate", "_near")
 

@@ -50,6 +50,15 @@ def test_dedup_is_the_sequential_one(spark, seed):
     assert got == greedy(rows, 0.7)
 
 
+def test_dedup_judges_rows_with_a_null_group_or_text(spark):
+    words = [f"w{i}" for i in range(25)]
+    rows = [(1, None, " ".join(words)), (2, None, " ".join(words)), (3, None, " ".join(words[:-1] + ["x"])), (4, None, None), (5, None, None), (6, "a", None), (7, "a", None), (8, "a", " ".join(words))]
+    df = spark.createDataFrame(rows, "id long, g string, text string").repartition(3)
+    assert {r.id: r.duplicate for r in dedup.exact_duplicates(df, "g", "id", "text").collect()} == {i: i in (2, 5, 7) for i in range(1, 9)}
+    want = {1: "kept", 2: "exact", 3: "near", 4: "kept", 5: "exact", 6: "kept", 7: "exact", 8: "kept"}
+    assert {r.id: r.verdict for r in dedup.dedup(df, "g", "id", "text", 0.7).collect()} == want
+
+
 def test_greedy_chain(spark):
     pairs = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 4), ("g", 1, 5), ("g", 4, 5)], "g string, a long, b long")
     assert sorted(r.dropped for r in dedup.greedy_drops(pairs, "g").distinct().collect()) == [2, 4, 5]

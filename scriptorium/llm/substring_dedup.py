@@ -11,6 +11,11 @@ earlier: a factor goes on as long as the next window has an earlier occurrence.
 borders of phrases and factors every window is checked on its own, so that no match across a
 border is lost; factors that meet are joined into the document's duplicate spans.
 
+An anchor with very many different windows is dealt to several blocks by the windows' keys, so
+that equal windows still meet. A first pass counts: each part of a task reports the anchors
+with more than a SHARE-th of its new windows, so what goes unseen of an anchor is at most a
+SHARE-th of all windows. The counts decide only where windows meet, not what is found.
+
 The outcome is exact: a window counts as repeated if and only if the same word sequence
 starts earlier (smaller id, or same document and earlier start). Windows are identified by
 64 hash bits of their own in a task, and by those and 64 of the anchor in a block; windows of
@@ -25,7 +30,7 @@ an empty table. A very long text is parsed like any other; a task holds one at a
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,13 @@ from scriptorium.session import ship, table
 PART_BYTES, BLOCK_BYTES = 8_000_000, 12_000_000
 #: Words of an anchor.
 ANCHOR = 6
+#: Windows of one anchor that one block takes, and the share of a part that is reported.
+SUB_WINDOWS, SHARE = 100_000, 20_000
+#: Tasks that add up those counts.
+COUNTERS = 32
+#: Anchors with more windows, ascending, and the number of blocks for each.
+Frequent = tuple[np.ndarray, np.ndarray]
+NONE: Frequent = (np.empty(0, np.uint64), np.empty(0, np.uint64))
 
 _PHRASES = "block int, anchors binary, ids binary, starts binary, counts binary, hashes binary, spans binary"
 
@@ -70,35 +82,69 @@ def _packed(ids: np.ndarray, start: np.ndarray, length: np.ndarray, places: int)
         yield int(place[rows[0]]), ids[rows].astype("<i8").tobytes(), pairs[rows].tobytes()
 
 
-def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int) -> pa.RecordBatch:
-    """What one part of the documents sends to the reference blocks, and its own repeats."""
+def _windows(ids: np.ndarray, texts: list[str | None], window: int) -> tuple | None:
+    """ids in order and, for each window of one part of the documents: document, start, position
+    less number, anchor, key, and whether it is new in the part."""
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or ""))
     words = [hash_words(split_words(texts[i])) for i in order]
     ids = np.array([ids[i] for i in order], np.int64)
     sizes = np.array([len(w) for w in words], np.int64)
     h = np.concatenate(words) if words else np.empty(0, np.uint64)
+    if len(h) < window:
+        return None
+    doc = np.repeat(np.arange(len(ids)), sizes)
+    first = np.cumsum(sizes) - sizes
+    k = min(ANCHOR, window)
+    anchor = sliding_min(gram_hashes(h, k), window - k + 1)
+    key = gram_hashes(h, window)
+    inside = doc[: len(key)] == doc[window - 1 :]
+    at = np.flatnonzero(inside)
+    anchor, key, doc = anchor[at], key[at], doc[at]
+    by_key = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[by_key[1:]] = key[by_key[1:]] != key[by_key[:-1]]
+    return ids, doc, at - first[doc], at - np.arange(len(at)), anchor, key, new
+
+
+def _counts(ids: np.ndarray, texts: list[str | None], window: int) -> pa.RecordBatch:
+    """Anchors of one part that have many new windows, and how many, packed by anchor."""
+    found = _windows(ids, texts, window)
+    anchor, n = np.unique(found[4][found[6]], return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    many = n > n.sum() // SHARE
+    anchor, n = anchor[many], n[many]
+    place = mix(anchor) % np.uint64(COUNTERS)
+    rows = [(p, anchor[place == p].astype("<u8").tobytes(), n[place == p].astype("<i8").tobytes()) for p in np.unique(place).tolist()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["place", "anchors", "counts"])
+
+
+def _summed(group: pa.Table, least: int) -> pa.Table:
+    """The anchors of one place with over `least` windows."""
+    join = lambda name, kind: np.frombuffer(b"".join(group[name].to_pylist()), kind)
+    anchor, of = np.unique(join("anchors", "<u8"), return_inverse=True)
+    n = np.zeros(len(anchor), np.int64)
+    np.add.at(n, of, join("counts", "<i8"))
+    return pa.table({"anchor": pa.array(anchor[n > least].view(np.int64)), "n": pa.array(n[n > least])})
+
+
+def _phrases(ids: np.ndarray, texts: list[str | None], window: int, blocks: int, frequent: Frequent = NONE) -> pa.RecordBatch:
+    """What one part of the documents sends to the reference blocks, and its own repeats."""
+    found = _windows(ids, texts, window)
     out: list[tuple] = []
-    if len(h) >= window:
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        first = np.cumsum(sizes) - sizes
-        k = min(ANCHOR, window)
-        anchor = sliding_min(gram_hashes(h, k), window - k + 1)
-        key = gram_hashes(h, window)
-        inside = doc[: len(key)] == doc[window - 1 :]
-        at = np.flatnonzero(inside)
-        anchor, key, doc = anchor[at], key[at], doc[at]
-        start = at - first[doc]
-        by_key = np.argsort(key, kind="stable")
-        new = np.ones(len(key), bool)
-        new[by_key[1:]] = key[by_key[1:]] != key[by_key[:-1]]
+    if found:
+        ids, doc, start, before, anchor, key, new = found
+        sub = np.zeros(len(key), np.uint64)
+        if len(frequent[0]):
+            of = np.minimum(np.searchsorted(frequent[0], anchor), len(frequent[0]) - 1)
+            hit = frequent[0][of] == anchor
+            sub[hit] = key[hit] % frequent[1][of[hit]]
         # equal rows (same id) count as two documents; positions alone keep them apart
-        b, n = _runs(~new, doc, at - np.arange(len(at)))
+        b, n = _runs(~new, doc, before)
         for place, of, spans in _packed(ids[doc[b]], start[b], n, blocks):
             out.append((-1 - place, None, of, None, None, None, spans))
-        b, n = _runs(new, doc, anchor, at - np.arange(len(at)))
+        b, n = _runs(new, doc, anchor, sub, before)
         while len(n) and n.max() > 255:  # counts take one byte
             b, n = np.concatenate([b, b[n > 255] + 255]), np.concatenate([np.minimum(n, 255), n[n > 255] - 255])
-        block = (mix(anchor[b]) % np.uint64(blocks)).astype(np.int64)
+        block = (mix(anchor[b] + sub[b] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int64)
         order = np.lexsort((b, block))
         b, n, block = b[order], n[order], block[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(b) else []
@@ -146,10 +192,8 @@ def _blocks(docs: DataFrame) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BLOCK_BYTES)
 
 
-def repeated_spans(docs: DataFrame, window: int, blocks: int) -> DataFrame:
-    """place, ids, spans: of documents (id, text), the int32 pairs (first window, number of
-    windows) that occur earlier in the table, with the id of each pair. Rows come packed by
-    the documents' place; they may touch but tell no window twice."""
+def _by_part(docs: DataFrame, made: Callable[[list, list], pa.RecordBatch], names: str) -> DataFrame:
+    """`made` of the ids and texts of each part of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, held = [], [], 0
@@ -160,12 +204,29 @@ def repeated_spans(docs: DataFrame, window: int, blocks: int) -> DataFrame:
                 texts += more
                 held += sum(len(t) for t in more if t)
                 if held >= PART_BYTES:
-                    yield _phrases(ids, texts, window, blocks)
+                    yield made(ids, texts)
                     ids, texts, held = [], [], 0
         if ids:
-            yield _phrases(ids, texts, window, blocks)
+            yield made(ids, texts)
+
+    return docs.where("id is not null").mapInArrow(run, names)
 
-    sent = docs.where("id is not null").mapInArrow(run, _PHRASES)
+
+def frequent_anchors(docs: DataFrame, window: int) -> Frequent:
+    """Anchors with over SUB_WINDOWS windows: fewer than one for so many windows of all."""
+    counts = _by_part(docs, lambda ids, texts: _counts(ids, texts, window), "place int, anchors binary, counts binary")
+    least = SUB_WINDOWS
+    rows = counts.groupBy("place").applyInArrow(lambda group: _summed(group, least), "anchor long, n long").collect()
+    found = sorted((r.anchor % 2**64, -(-r.n // SUB_WINDOWS)) for r in rows)
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.uint64)
+
+
+def repeated_spans(docs: DataFrame, window: int, blocks: int) -> DataFrame:
+    """place, ids, spans: of documents (id, text), the int32 pairs (first window, number of
+    windows) that occur earlier in the table, with the id of each pair. Rows come packed by
+    the documents' place; they may touch but tell no window twice."""
+    frequent = frequent_anchors(docs, window)
+    sent = _by_part(docs, lambda ids, texts: _phrases(ids, texts, window, blocks, frequent), _PHRASES)
     return sent.groupBy("block").applyInArrow(lambda group: _factors(group, blocks), "place int, ids binary, spans binary")
 
 

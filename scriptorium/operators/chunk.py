@@ -87,9 +87,14 @@ def chunk_rows(df: DataFrame, id_col: str, text_col: str, most: int = MOST, targ
 
 def regroup(df: DataFrame, keys: list[str], order: str, text_col: str, most: int = 6000) -> DataFrame:
     """keys, text: chunks joined in order; one is added only while the text is shorter than
-    `most`. The running length cuts a group before it is gathered."""
-    before = F.sum(F.length(text_col) + 1).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    own = df.withColumn("_before", F.coalesce(before, F.lit(0)) - 1).where(F.col("_before") < most)
+    `most`. The running length cuts a group before it is gathered: first within each partition
+    as it is read, for what is beyond `most` there is so in the whole group, and then in all."""
+
+    def cut(rows: DataFrame, *within: str) -> DataFrame:
+        before = F.sum(F.length(text_col) + 1).over(Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_before", F.coalesce(before, F.lit(0)) - 1).where(F.col("_before") < most)
+
+    own = cut(cut(df.withColumn("_part", F.spark_partition_id()), *keys, "_part"), *keys)
     listed = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text_col).alias("t")))).alias("x"))  # at most `most` characters and a chunk
     return listed.select(*keys, F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text"))
 

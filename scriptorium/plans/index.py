@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
 from scriptorium.operators import similarity as sim
+from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.text_rules import WORDS, found
 from scriptorium.session import table
@@ -107,8 +108,7 @@ def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6_even_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 240 rows at indexes floor(i * n / 240)."""
-    d = table(spark, sf_dir, "documents").select("doc_id").withColumn("one", F.lit(1))
-    r = d.withColumn("i", F.row_number().over(Window.partitionBy("one").orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("one")))
+    r = placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").withColumnsRenamed({"_i": "i", "_n": "n"})
     return r.where("n <= 240 or ((i + 1) * 240 - 1) div n > (i * 240 - 1) div n or i = 0").select("doc_id")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators import style as st
+from scriptorium.operators.places import placed
 from scriptorium.session import table
 
 
@@ -54,10 +55,10 @@ def t4_top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t5_time_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (n div 220)-th user turn in order, 220 at most, texts cut to 600 characters."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    w = Window.partitionBy("role").orderBy("conv_id", "turn")
-    rows = c.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("role")))
+    c = c.select("conv_id", "turn", F.substring("text", 1, 600).alias("text"))
+    rows = placed(c, "conv_id", "turn").withColumnsRenamed({"_i": "i", "_n": "n"})
     step = F.expr("greatest(1, n div 220)")
-    return rows.where((F.col("i") % step == 0) & (F.expr("i div greatest(1, n div 220)") < 220)).select("conv_id", "turn", F.substring("text", 1, 600).alias("text"))
+    return rows.where((F.col("i") % step == 0) & (F.expr("i div greatest(1, n div 220)") < 220)).select("conv_id", "turn", "text")
 
 
 def t6_term_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

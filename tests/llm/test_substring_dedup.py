@@ -98,3 +98,22 @@ def test_windows_of_one_anchor_are_told_apart_by_their_whole_keys(monkeypatch):
     spans = [x for x in sd._factors(sent, 1).to_pylist() if x["spans"]]
     assert [np.frombuffer(x["ids"], "<i8").tolist() for x in spans] == [[200] * (len(spans[0]["spans"]) // 8)]
     assert np.frombuffer(spans[0]["spans"], "<i4").reshape(-1, 2)[:, 1].sum() == 15
+
+
+def test_a_frequent_anchor_is_dealt_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sd, "SUB_WINDOWS", 100)
+    texts = around_one_run(200)
+    rows = list(enumerate(texts + texts[:50]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    frequent = sd.frequent_anchors(df.withColumnRenamed("doc_id", "id"), 20)
+    assert len(frequent[0]) == 1 and frequent[1][0] >= 10
+    # no block holds more than a part of the one anchor's windows
+    sent = sd._phrases([i for i, _ in rows], [t for _, t in rows], 20, 1000, frequent).to_pylist()
+    held = {}
+    for r in (r for r in sent if r["spans"] is None):
+        anchors, counts = np.frombuffer(r["anchors"], np.uint64), np.frombuffer(r["counts"], np.uint8)
+        held[r["block"]] = int(counts[anchors == frequent[0][0]].sum())
+    assert sum(held.values()) > 1000 and max(held.values()) < 300
+    got = {r.id: r for r in sd.dedup_texts(df, "doc_id", "text", 20).collect()}
+    for (i, _), (n, kept) in zip(rows, brute(rows, 20)):
+        assert got[i].n_removed == n - len(kept) and WORD.findall(got[i].kept_text) == kept

@@ -16,6 +16,44 @@ def test_request_batches(spark):
     assert [got[("s", i)] for i in range(5)] == [0, 0, 1, 1, 2] and got[("t", 9)] == 0
 
 
+def test_batches_over_ranges_are_those_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    sizes = {s: r.choice([5, 300, 700, 1500, 9000], n).tolist() for s, n in (("hot", 400), ("few", 3), (None, 30))}
+    for a, b in ((0, 1), (7, 8), (30, 400)):
+        state = pack.packed(sizes["hot"][:a])[1]
+        assert pack.after(state, *pack.summary(sizes["hot"][a:b])) == pack.packed(sizes["hot"][:b])[1]
+    df = spark.createDataFrame([(s, i, x) for s, v in sizes.items() for i, x in enumerate(v)], "s string, i long, n long").repartition(5)
+    got = {(x.s, x.i): x.batch for x in pack.request_batches(df, "s", "i", F.col("n")).collect()}
+    assert got == {(s, i): b for s, v in sizes.items() for i, b in enumerate(pack.pack_sizes(v))}
+
+
+def test_places_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from scriptorium.operators.places import placed
+
+    values = [i // 3 for i in range(900)] + [None] * 5
+    rows = placed(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), F.asc_nulls_last("v")).collect()
+    assert [x.v for x in sorted(rows, key=lambda x: x._i)] == values and sorted(x._i for x in rows) == list(range(905))
+    assert {x._n for x in rows} == {905} and len({x._range for x in rows}) > 1
+
+
+def test_regrouped_texts_of_a_group_over_many_partitions(spark):
+    from scriptorium.operators import chunk
+
+    rows = [("hot", i, f"{i} " + "x" * (i % 50)) for i in range(900)] + [(None, 1, "a"), (None, 2, "b")]
+    want = {}
+    for s, _, t in rows:
+        if s not in want or len(want[s]) < 600:
+            want[s] = f"{want[s]}\n{t}" if s in want else t
+    df = spark.createDataFrame(rows, "s string, i long, text string").repartition(9)
+    out = chunk.regroup(df, ["s"], "i", "text", 600)
+    assert {x.s: x.text for x in out.collect()} == want
+    assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_exemplars_equal_the_sequential_pick(spark):
     r = np.random.default_rng(1)
     rows = [("s", i, int(r.integers(0, 9)), int(r.integers(0, 9)), f"t{r.integers(0, 12)}", ["spoken", "written"][int(r.random() < 0.3)]) for i in range(300)]

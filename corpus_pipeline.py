@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, mixing, near_dedup, quality_classifier, substring_dedup
+from scriptorium.operators.places import placed
 from scriptorium.session import materialise, table
 
 #: Words of a passage that may not repeat across documents.
@@ -24,9 +25,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
-    kept = near_dedup.near_duplicates(docs, "doc_id", "text").where("kept").select(F.col("id").alias("_id"))
-    return docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    """One document of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows are told apart by their place in the order of ids (and texts), not by the id: of
+    copies under one id one stays, different texts under one id are different documents, and
+    rows without an id come last and are judged like any other."""
+    rows = placed(docs, F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumnRenamed("_i", "_row")
+    kept = near_dedup.near_duplicates(rows, "_row", "text").where("kept").select(F.col("id").alias("_id"))
+    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,10 +78,10 @@ def budgets(sources: DataFrame, alpha: float, total: int) -> DataFrame:
     return weighed.withColumn("passes", passes).withColumn("rest", F.col("budget") - F.col("passes") * F.col("tokens"))
 
 
-def schedule(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES) -> DataFrame:
-    """For docs (id, source, n_tokens): also block (of the permutation), copies."""
+def schedule(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes: float = MAX_PASSES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """For docs (id, source, n_tokens): also block (of the permutation), copies; and `keep`."""
     rank = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    docs = materialise(docs.select("id", "source", F.col("n_tokens").cast("long").alias("n_tokens"), rank.alias("rank"), F.substring(rank, 1, BLOCK_DIGITS).alias("block")), "mixed")
+    docs = materialise(docs.select("id", "source", F.col("n_tokens").cast("long").alias("n_tokens"), rank.alias("rank"), F.substring(rank, 1, BLOCK_DIGITS).alias("block"), *keep), "mixed")
     blocks = docs.groupBy("source", "block").agg(F.sum("n_tokens").alias("in_block"))
     sources = materialise(blocks.groupBy("source").agg(F.sum("in_block").alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
@@ -93,15 +93,16 @@ def schedule(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes
     own = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("rank", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))
     rows = docs.withColumn("own", own).join(placed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
     copies = F.col("passes") + (F.col("before") + F.col("own") <= F.col("rest")).cast("long")
-    return rows.select("id", "source", "n_tokens", "block", copies.alias("copies"))
+    return rows.select("id", "source", "n_tokens", "block", copies.alias("copies"), *keep)
 
 
 def mixed_rows(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """The rows of `df`, each as often as the mix takes it. Ids are unique here; rows that
-    share one would each be taken as often as all of them together."""
-    taken = schedule(df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens")))
-    times = taken.where("copies > 0").select(F.col("id").alias("_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return df.join(times, F.col(id_col) == F.col("_id")).select(*df.columns)
+    """The rows of `df`, each as often as the mix takes it. Rows get a number of their own, by
+    which they meet their copies, so repeated and null ids are rows like any other."""
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = schedule(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens"), "_row"), keep=("_row",))
+    times = taken.where("copies > 0").select(F.col("_row").alias("_of"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
+    return rows.join(times, F.col("_row") == F.col("_of")).select(*df.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

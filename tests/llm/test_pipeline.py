@@ -83,3 +83,18 @@ def test_stages(spark, sf_dir):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
     assert sorted(map(tuple, cp.run(spark, sf_dir).collect())) == sorted(map(tuple, last))
+
+
+def test_repeated_and_missing_ids(spark):
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(40))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(7, a), (7, a), (7, b), (8, b), (None, c), (None, d), (None, a), (9, d), (10, None), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = cp.drop_near_duplicates(spark, df, "")
+    assert kept.schema == df.schema
+    want = [(7, a), (7, b), (9, d), (10, None), (None, c), (None, "")]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+    # one source, as many tokens as its budget: each row once, or where it weighs nothing at most once
+    mixed = [(x.doc_id, x.text) for x in cp.mix_sources(spark, df, "").collect()]
+    assert sorted((x for x in mixed if x[1]), key=str) == sorted((x for x in rows if x[1]), key=str)

@@ -31,6 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     copies under one id one stays, different texts under one id are different documents, and
     rows without an id come last and are judged like any other."""
     rows = placed(docs, F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumnRenamed("_i", "_row")
+    rows = materialise(rows.select("_row", *docs.columns), "numbered")
     kept = near_dedup.near_duplicates(rows, "_row", "text").where("kept").select(F.col("id").alias("_id"))
     return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").select(*docs.columns)
 

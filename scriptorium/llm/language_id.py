@@ -3,16 +3,19 @@
 A known word scores by its log frequency in each language. An unseen word falls back to its
 character n-grams (with marks for the word's begin and end): those of the longest order of
 which the model knows at least one, then shorter ones. A text's score for a language
-is the sum over all its words, each a run of letters of any length; the answer is the best language and its posterior share.
+is the sum over all its words, each a run of letters of any length; the answer is the best
+language and its posterior share.
 
-The model is learned from a sample of labelled rows whose size is bounded (`sample_rows`, by a
-hash of the id, so that it does not depend on partitioning) and holds the `top_words` and
-`top_grams` most frequent entries, so it is small enough to send to every worker whatever the
-corpus. All rows are predicted, over their whole texts.
+The model is learned from a sample of about `sample_rows` labelled rows (by a 64-bit hash of the
+id, so that it depends neither on partitioning nor on the table's size) and holds every
+word and n-gram of their whole texts; the sample alone bounds what is sent to the workers. All rows
+are predicted, over their whole texts.
 
 Defined results: null texts and texts without a letter are `und` with score 0. Ties between
 languages go to the first by name. Without any labelled row every text is `und`. Repeated
-rows are predicted each; an empty table gives an empty table; other columns are ignored.
+rows are predicted each, and learned from once; rows without an id are predicted but not learned
+from. A very long text is learned and scored whole, one at a time. An empty table gives an empty
+table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.words import text_parts
-from scriptorium.session import materialise, ship, table
+from scriptorium.session import ship, table
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
-#: Words of which a worker remembers the scores, and letters of the longest that it remembers.
+#: Words of which a worker remembers the scores, and letters of the longest that it remembers;
+#: longer ones are scored whole as well, each time anew.
 CACHE_WORDS, WORD_LETTERS = 400_000, 64
 PART_BYTES = 4_000_000
 
@@ -42,12 +46,11 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
 
 
-def bounded_sample(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About `most` rows at most, by a hash of the id; all rows if there are no more."""
-    n = df.count()
+def sampled(n: int, most: int, *key: str) -> Column:
+    """Whether a row is among about `most` of `n`, by a hash of its key: all rows if n <= most."""
     if n <= most:
-        return df
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+        return F.lit(True)
+    return F.xxhash64(F.lit(17), *key) < F.lit(-(2**63) + 2**64 * most // n)
 
 
 def grams(word: str, n: int) -> Iterator[str]:
@@ -57,62 +60,64 @@ def grams(word: str, n: int) -> Iterator[str]:
 
 @dataclass
 class Model:
+    """Rows of `logs` (log frequency by language, less its mean over the languages)."""
+
     languages: list[str]
-    #: log frequency by language, less its mean over the languages
-    words: dict[str, tuple[float, ...]] = field(default_factory=dict)
-    grams: dict[str, tuple[float, ...]] = field(default_factory=dict)
-
-    def score(self, word: str) -> tuple[float, ...]:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+    words: dict[str, int] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+
+    def score(self, word: str) -> np.ndarray:
+        at = self.words.get(word)
+        if at is not None:
+            return self.logs[at]
         for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            if len(word) > WORD_LETTERS:  # a long run: no list of all its n-grams
-                known = Counter(g for g in grams(word, n) if g in self.grams)
-                if known:
-                    return tuple(sum(self.grams[g][i] * c for g, c in known.items()) / known.total() for i in range(len(self.languages)))
-                continue
-            rows = list(filter(None, map(self.grams.get, grams(word, n))))
-            if rows:
-                return tuple(sum(c) / len(rows) for c in zip(*rows))
-        return (0.0,) * len(self.languages)
-
-
-def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 12_000, top_words: int = 30_000, top_grams: int = 40_000) -> Model:
-    """Frequencies from a bounded sample of the rows of `df` that have a language and a text."""
+            known = Counter(map(self.grams.get, grams(word, n)))
+            known.pop(None, None)
+            if known:
+                often = np.fromiter(known.values(), float, len(known))
+                return often @ self.logs[list(known)] / often.sum()
+        return np.zeros(len(self.languages))
+
+
+def modelled(kinds: list[int], items: list[str], langs: list[str], n: list[int]) -> Model:
+    """The model of counts: kind 0 for words, otherwise the order of an n-gram. Shares are
+    taken among the words, or among the n-grams of one order."""
+    languages = sorted(set(langs))
+    at = {lang: i for i, lang in enumerate(languages)}
+    own: tuple[dict[str, int], dict[str, int]] = {}, {}
+    rows = np.fromiter((own[k > 0].setdefault(x, len(own[0]) + len(own[1])) for k, x in zip(kinds, items)), np.int64, len(items))
+    total = len(own[0]) + len(own[1])
+    counts, kind = np.full((total, len(languages)), 0.5), np.zeros(total, np.int64)
+    counts[rows, np.fromiter((at[x] for x in langs), np.int64, len(langs))] += n
+    kind[rows] = kinds
+    for k in np.unique(kind):
+        logs = np.log(counts[kind == k] / counts[kind == k].sum(axis=0))
+        counts[kind == k] = logs - logs.mean(axis=1, keepdims=True)
+    return Model(languages, *own, counts.astype(np.float32))
+
+
+def learn(df: DataFrame, id_col: str, text_col: str, lang_col: str, sample_rows: int = 12_000) -> Model:
+    """Frequencies from a bounded sample of the rows of `df` that have an id, a language and a text."""
     ship(df.sparkSession)
-    labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
+    labelled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null")
+    chosen = sampled(labelled.count(), sample_rows, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts.update((lang, w) for w in WORD.findall(text.lower()))
-            by_gram: Counter = Counter()
-            for (lang, w), c in counts.items():
+                counts.update((lang, 0, w) for w in WORD.findall(text.lower()))
+            for (lang, _, w), c in list(counts.items()):
                 for n in range(1, min(LONGEST_GRAM, len(w) + 2) + 1):
                     for g in grams(w, n):
-                        by_gram[(lang, g)] += c
-            for kind, found in ((0, counts), (1, by_gram)):
-                keys = list(found)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.int64())], names=["kind", "lang", "item", "n"])
-
-    sample = bounded_sample(labelled, "id", sample_rows).select("lang", "text")
-    counts = materialise(sample.mapInArrow(run, "kind int, lang string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "grams")
-    items = counts.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))  # an entry a language
-    rows = [r for kind, most in ((0, top_words), (1, top_grams)) for r in items.where((F.col("kind") == kind) & (F.col("n") > 1)).orderBy(F.desc("n"), "item").limit(most).collect()]
-    languages = sorted({lang for r in rows for lang in r.by})
-    model = Model(languages)
-    if not languages:
-        return model
-    for kind, order in [(0, 0), *[(1, n) for n in range(1, LONGEST_GRAM + 1)]]:
-        own = [r for r in rows if r.kind == kind and (kind == 0 or len(r.item) == order)]
-        if own:
-            c = np.array([[r.by.get(lang, 0) for lang in languages] for r in own], float) + 0.5
-            logs = np.log(c / c.sum(axis=0))
-            logs -= logs.mean(axis=1, keepdims=True)
-            (model.words if kind == 0 else model.grams).update(zip([r.item for r in own], map(tuple, logs.tolist())))
-    return model
+                        counts[lang, n, g] += c
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.int32()), pa.array([k[0] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "lang", "item", "n"])
+
+    sample = labelled.where(chosen & F.col("text").isNotNull()).distinct().select("lang", "text")
+    found = sample.mapInArrow(run, "kind int, lang string, item string, n long").groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")).toArrow()
+    return modelled(*(found[c].to_pylist() for c in ("kind", "item", "lang", "n")))
 
 
 class _Scores(dict):
@@ -174,4 +179,4 @@ def predict(df: DataFrame, model: Model, text_col: str, *keep: str) -> DataFrame
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", F.coalesce(fold("doc_id") == 1, F.lit(False)))
-    return predict(docs, learn(docs.where("not held_out and doc_id is not null"), "doc_id", "text", "lang"), "text", "doc_id", "held_out")
+    return predict(docs, learn(docs.where("not held_out"), "doc_id", "text", "lang"), "text", "doc_id", "held_out")

@@ -12,7 +12,10 @@ the workers and what the driver decomposes has a fixed size. All documents are s
 
 Defined results: an empty or null text has no direction and gets the share of good labels.
 Without labelled rows each score is 0.5. Equal similarities keep the order of the labelled
-ids. Repeated rows are scored each; empty tables give empty tables; other columns are ignored.
+ids. An id labelled several times counts once, with its largest label, and an id with several
+texts once, with the smallest. Rows without an id are scored but not learned from. A very long text
+is read whole, one at a time. Repeated rows are scored each; empty tables give empty tables; other
+columns stay as they are, and the score's column has the name that the caller gives.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.language_id import bounded_sample, fold
+from scriptorium.llm.language_id import fold, sampled
 from scriptorium.llm.words import text_parts
 from scriptorium.session import ship, table
 
@@ -101,7 +104,7 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
     """From the rows of `labels` (id_col, label_col 0 or 1) that are in `df`; a bounded sample."""
     ship(df.sparkSession)
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    sample = bounded_sample(given, "id", sample_rows)
+    sample = given.where(sampled(given.count(), sample_rows, "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,8 +113,9 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array([r.tobytes() for r in rows], pa.binary())], names=["id", "label", "counts"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(run, "id long, label double, counts binary").collect()
-    rows.sort(key=lambda r: (r.id, r.counts))
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # a row for each sampled id
+    rows = one.select("id", "label", "text").mapInArrow(run, "id long, label double, counts binary").collect()
+    rows.sort(key=lambda r: r.id)
     if not rows:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0), 0.5)
     x = np.frombuffer(b"".join(r.counts for r in rows), np.float32).reshape(len(rows), TERMS)
@@ -122,22 +126,23 @@ def learn(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_co
     return Model(weights, space, _unit(y @ space), labels_of, float(labels_of.mean()))
 
 
-def score(df: DataFrame, model: Model, text_col: str) -> DataFrame:
-    """All columns of `df` and `quality_score`. One with this name in `df` is replaced."""
+def score(df: DataFrame, model: Model, text_col: str, score_col: str) -> DataFrame:
+    """All columns of `df` and `score_col`, which must not be among them."""
+    if score_col in df.columns:
+        raise ValueError(f"there is a column {score_col} already")
     spark = df.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    df = df.drop("quality_score")
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_parts(batch, at, PART_BYTES):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, score_col])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, quality_score double")
+    return df.mapInArrow(run, f"{kinds}, `{score_col}` double")
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:
@@ -149,5 +154,5 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = learned(docs, table(spark, sf_dir, "labels"))
-    out = score(docs, model, "text")
-    return out.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    out = score(docs, model, "text", "score")
+    return out.select("doc_id", F.coalesce(fold("doc_id") == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

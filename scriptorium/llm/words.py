@@ -25,6 +25,14 @@ class _Hashes(dict):
 _HASH = _Hashes()
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """`name`, with as many underscores as it takes to be none of the columns `taken`."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
     if not text:

@@ -1,5 +1,7 @@
 import zlib
 
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -42,6 +44,66 @@ def test_language_odd_rows(spark, tables):
     assert int(np.argmax(model.score("zzthationzz"))) == 1 and not any(model.score("漢"))
 
 
+def brute_languages(learned, texts):
+    """What the definition says, without sharing code: shares of words, then of shorter and shorter grams."""
+    langs = sorted({lang for lang, _ in learned})
+    seen = {}
+    for lang, text in set(learned):
+        for w in li.WORD.findall(text.lower()):
+            for k in range(min(4, len(w) + 2) + 1):
+                m = w if k < 2 else f"<{w}>"
+                for g in [w] if k == 0 else [m[i : i + k] for i in range(len(m) - k + 1)]:
+                    seen.setdefault((k, g), Counter())[lang] += 1
+    total = {(k, lang): sum(c[lang] + 0.5 for (j, _), c in seen.items() if j == k) for k in range(5) for lang in langs}
+
+    def row(k, g):
+        logs = np.array([np.log((seen[k, g][lang] + 0.5) / total[k, lang]) for lang in langs])
+        return logs - logs.mean()
+
+    out = []
+    for text in texts:
+        if not text or not any(map(str.isalpha, text)):
+            out.append(("und", 0.0))
+            continue
+        score = np.zeros(len(langs))
+        for w in li.WORD.findall(text.lower()):
+            if (0, w) in seen:
+                score += row(0, w)
+                continue
+            for k in range(min(4, len(w) + 2), 0, -1):
+                m = w if k < 2 else f"<{w}>"
+                known = [row(k, m[i : i + k]) for i in range(len(m) - k + 1) if (k, m[i : i + k]) in seen]
+                if known:
+                    score += np.mean(known, axis=0)
+                    break
+        out.append((langs[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())))
+    return out
+
+
+def test_language_equals_brute_force(spark, tables, tmp_path):
+    r = np.random.default_rng(5)
+    rows = [(x.doc_id, x.text[:1500], x.lang) for x in tables["documents"].orderBy("doc_id").limit(60).collect()]
+    long = "".join(r.choice(list("abcdeéz"), 500))
+    rows += [(100 + i, t, None) for i, t in enumerate([long, long + " the " + long, "qxz " * 9, None, "", "漢字", "Zzthé <x>"])]
+    rows += [(7, rows[7][1], rows[7][2]), (7, rows[7][1], rows[7][2]), (None, "kkkk kkkk", "en"), (200, "jjjj", None), (201, f"{long} word", "de")]
+    df = spark.createDataFrame([(*x, 1, "y") for x in rows], "doc_id long, text string, lang string, kind int, item string").repartition(4)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id is not None, x.doc_id or 0, x.lang_pred, x.score) for x in li.op1_language_id(spark, str(tmp_path)).collect())
+    learned = [(lang, t) for i, t, lang in {x for x in rows} if i is not None and lang and t is not None and not out_of(i)]
+    want = sorted((i is not None, i or 0, *x) for (i, *_), x in zip(rows, brute_languages(learned, [t for _, t, _ in rows])))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-3)
+
+
+def test_sample_of_a_very_large_table_is_not_empty(spark):
+    ids = spark.range(200_000)
+    assert ids.where(li.sampled(10, 10, "id")).count() == 200_000
+    for n in (2 * 10**6, 10**7):  # as if the table had n rows
+        assert abs(ids.where(li.sampled(n, 12_000, "id")).count() - 12_000 * 200_000 / n) < 5 * (12_000 * 200_000 / n) ** 0.5
+    least = -(2**63) + 2**64 * 12_000 // 10**11
+    assert least - -(2**63) > 10**12  # room for hashes in a table of 10^11 rows
+
+
 def test_language_of_a_long_run_of_letters(spark):
     r = np.random.default_rng(8)
     glued = lambda letters, n: "".join(r.choice(list(letters), n))
@@ -65,12 +127,49 @@ def test_quality_held_out(spark, tables):
 def test_quality_odd_rows(spark, tables):
     model = qc.learned(tables["documents"], tables["labels"])
     df = spark.createDataFrame([(*x, 0.1) for x in ODD], "id long, text string, quality_score double")
-    got = qc.score(df, model, "text").collect()
-    assert sorted(r.id for r in got) == [1, 2, 3, 4, 4, 5, 6]
-    assert {r.quality_score for r in got if r.id in (1, 2)} == {model.prior}
+    got = qc.score(df, model, "text", "vote").collect()
+    assert sorted(r.id for r in got) == [1, 2, 3, 4, 4, 5, 6] and {r.quality_score for r in got} == {0.1}
+    assert {r.vote for r in got if r.id in (1, 2)} == {model.prior}
+    with pytest.raises(ValueError):
+        qc.score(df, model, "text", "quality_score")
     none = qc.learned(tables["documents"], tables["labels"].limit(0))
-    assert {r.quality_score for r in qc.score(df, none, "text").collect()} == {0.5}
-    assert qc.score(df.limit(0), model, "text").count() == 0
+    assert {r.vote for r in qc.score(df, none, "text", "vote").collect()} == {0.5}
+    assert qc.score(df.limit(0), model, "text", "vote").count() == 0
+
+
+def test_quality_learns_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "aa bb cc"), (1, "aa bb cc"), (1, "zz"), (2, "dd ee"), (None, "ff")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1), (3, 1)], "doc_id long, quality int")
+    model = qc.learn(docs, "doc_id", "text", labels, "quality")
+    assert model.labels.tolist() == [1.0, 0.0]
+    two = qc.learn(docs.where("text <> 'zz'").distinct(), "doc_id", "text", labels, "quality")
+    assert (model.vectors == two.vectors).all()
+
+
+def test_quality_query_equals_brute_force(spark, tables, tmp_path):
+    docs = tables["documents"].orderBy("doc_id").limit(60).collect()
+    label = {r.doc_id: r.quality for r in tables["labels"].collect()}
+    rows = [(r.doc_id, r.text) for r in docs] + [(docs[3].doc_id, docs[3].text), (10**6, None), (10**6 + 1, ""), (None, "a b c")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    tables["labels"].write.parquet(f"{tmp_path}/labels.parquet")
+    learned = sorted((i, t) for i, t in {(r.doc_id, r.text) for r in docs} if i in label and not out_of(i))
+    c = qc.counts([t for _, t in learned]).astype(float)
+    idf = np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    y = unit(np.sqrt(c) * idf)
+    space = np.linalg.svd(y, full_matrices=False)[2][: min(qc.RANK, len(y))].T
+    marks = np.array([label[i] for i, _ in learned], float)
+    for r in qc.op4_quality_classifier(spark, str(tmp_path)).collect():
+        text = dict(rows)[r.doc_id]
+        if not text or len(text) < 1:
+            assert abs(r.score - marks.mean()) < 1e-9
+            continue
+        z = unit(unit(np.sqrt(qc.counts([text]).astype(float)) * idf) @ space)[0]
+        sims = unit(y @ space) @ z
+        near = np.argsort(-sims)[: qc.NEIGHBOURS]
+        w = np.maximum(sims[near], 0) ** qc.SHARPNESS
+        want = ((w * marks[near]).sum() + qc.PRIOR_WEIGHT * marks.mean()) / (w.sum() + qc.PRIOR_WEIGHT)
+        assert abs(r.score - want) < 0.02, r.doc_id
 
 
 def test_votes_are_exact_cosines():

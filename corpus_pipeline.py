@@ -3,6 +3,11 @@
 quality classifier -> MinHash near-dedup -> substring dedup -> source mixing -> BPE. Every
 stage but the last returns the columns of documents. The first learns from labels; the others
 see only what the stage before kept.
+
+Defined results, in every stage: columns other than doc_id, text, source and n_chars pass through
+whatever their names; an empty table gives an empty table; a very long text is read whole, and a
+task holds one at a time. What each stage does with nulls, empty texts, ties and repeated rows is in
+its own docstring.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, mixing, near_dedup, quality_classifier, substring_dedup
+from scriptorium.llm.words import free_name, plain
 from scriptorium.operators.places import placed
 from scriptorium.session import materialise, table
 
@@ -19,9 +25,13 @@ PASSAGE_WORDS = 40
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good ones."""
+    """Documents that the classifier takes for good ones.
+
+    A null or empty text scores the share of good labels. Repeated rows are judged alike and
+    rows without an id like any other; a score of exactly one half stays."""
     model = quality_classifier.learned(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, "text").where("quality_score >= 0.5").select(*docs.columns)
+    name = free_name(docs.columns, "score")
+    return quality_classifier.score(docs, model, "text", name).where(F.col(name) >= 0.5).drop(name)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,26 +39,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by their place in the order of ids (and texts), not by the id: of
     copies under one id one stays, different texts under one id are different documents, and
-    rows without an id come last and are judged like any other."""
-    rows = placed(docs, F.asc_nulls_last("doc_id"), F.xxhash64("text")).withColumnRenamed("_i", "_row")
-    rows = materialise(rows.select("_row", *docs.columns), "numbered")
-    kept = near_dedup.near_duplicates(rows, "_row", "text").where("kept").select(F.col("id").alias("_id"))
-    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").select(*docs.columns)
+    rows without an id come last and are judged like any other. The first row of a group
+    stays. Null, empty and blank texts are no copies of anything and stay."""
+    own, at = plain(docs)
+    rows = placed(own, F.asc_nulls_last(at["doc_id"]), F.xxhash64(at["text"])).withColumnRenamed("_i", "_row")
+    rows = materialise(rows.select("_row", *own.columns), "numbered")
+    kept = near_dedup.near_duplicates(rows, "_row", at["text"]).where("kept").select(F.col("id").alias("_id"))
+    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").select(*own.columns).toDF(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document already has."""
+    """Texts without the passages that an earlier document already has.
+
+    Null, empty and short texts stay as they are. Earlier is by id and then by the text's digest;
+    rows without an id come last. Of equal rows the first keeps its words; different texts under
+    one id are different documents. A text of which nothing is left stays, empty."""
     cut = substring_dedup.dedup_columns(docs, "doc_id", "text", PASSAGE_WORDS)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A null source is a source of its own. Rows without words (null and empty texts) weigh nothing
+    and are taken as far as their place in the permutation is reached. Repeated rows, and rows
+    without an id, are rows like any other, each with its own number of copies."""
     return mixing.mixed_rows(docs, "doc_id", "source", "text")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; a null text encodes as an empty
+    one, repeated rows are encoded each, and a null doc_id stays null."""
     return bpe.digests(docs, "doc_id", "text")
 
 

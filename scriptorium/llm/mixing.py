@@ -1,9 +1,11 @@
 """Mixing sources to target weights by temperature.
 
-A source's weight is its token share to the power alpha, normalised. Bisection finds the
+A source's weight is its token share to the power alpha, normalised; tokens are whatever the
+caller counts (the query: words). Bisection finds the
 smallest alpha in [0, 1] whose weights stay within a target entropy (a share of the highest
 possible one) and a repetition limit: alpha 1 keeps the shares, a smaller alpha is flatter,
-and both the entropy and the most repeated source grow as alpha falls.
+and both the entropy and the most repeated source grow as alpha falls. Where not even alpha 1
+stays within the target entropy or the limit, the shares are kept as they are (alpha is 1).
 
 The weights are realised to the token: a source with budget b and size t is passed over
 b div t times in full; the rest is a permutation (documents in the order of a hash), cut
@@ -15,8 +17,10 @@ Only DataFrame and SQL functions. Sources are never gathered: each bisection job
 the table of sources for 32 exponents at once, which is five halvings.
 
 Defined results: a null source is a source of its own. Documents without tokens weigh
-nothing; they are taken as far as their block prefix is. Equal rows are separate documents.
-An empty table gives an empty table. Other columns stay out of the schedule.
+nothing; they are taken as far as their block prefix is. Equal rows are separate documents; of
+equal ranks and ids the shorter document comes first. A very long text is a document like any other
+and is left out of the cut permutation when it does not fit. An empty table gives an empty table.
+Other columns stay out of the schedule, and `mixed_rows` passes them through whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scriptorium.llm.words import plain
 from scriptorium.session import materialise, table
 
 #: Entropy as a share of the highest, and passes over a source at most.
@@ -99,10 +104,11 @@ def schedule(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_passes
 def mixed_rows(df: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
     """The rows of `df`, each as often as the mix takes it. Rows get a number of their own, by
     which they meet their copies, so repeated and null ids are rows like any other."""
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = schedule(rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_tokens(F.col(text_col)).alias("n_tokens"), "_row"), keep=("_row",))
+    own, at = plain(df)
+    rows = materialise(own.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = schedule(rows.select(F.col(at[id_col]).alias("id"), F.col(at[source_col]).alias("source"), word_tokens(F.col(at[text_col])).alias("n_tokens"), "_row"), keep=("_row",))
     times = taken.where("copies > 0").select(F.col("_row").alias("_of"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy"))
-    return rows.join(times, F.col("_row") == F.col("_of")).select(*df.columns)
+    return rows.join(times, F.col("_row") == F.col("_of")).select(*own.columns).toDF(*df.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.language_id import fold, sampled
-from scriptorium.llm.words import text_parts
+from scriptorium.llm.words import plain, text_parts
 from scriptorium.session import ship, table
 
 TRIGRAMS, RANK, NEIGHBOURS, SHARPNESS = 2048, 48, 25, 8
@@ -134,15 +134,16 @@ def score(df: DataFrame, model: Model, text_col: str, score_col: str) -> DataFra
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
+    own, _ = plain(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in text_parts(batch, at, PART_BYTES):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(part.column(at).to_pylist()), pa.float64())], names=[*part.schema.names, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{kinds}, `{score_col}` double")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
+    return own.mapInArrow(run, f"{kinds}, score double").toDF(*df.columns, score_col)
 
 
 def learned(docs: DataFrame, labels: DataFrame) -> Model:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Words whose hashes a worker remembers; the memory is emptied when it is full.
 CACHE_WORDS = 200_000
@@ -33,6 +34,13 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def plain(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with its columns named c0, c1, ..., so that added columns clash with none, and the
+    new name of each."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names))
+
+
 def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     """Runs of anything but space, tab, line feed, vertical tab, form feed and carriage return."""
     if not text:

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline as cp  # noqa: E402
@@ -98,3 +99,23 @@ def test_repeated_and_missing_ids(spark):
     # one source, as many tokens as its budget: each row once, or where it weighs nothing at most once
     mixed = [(x.doc_id, x.text) for x in cp.mix_sources(spark, df, "").collect()]
     assert sorted((x for x in mixed if x[1]), key=str) == sorted((x for x in rows if x[1]), key=str)
+
+
+def test_clashing_columns_pass_through(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    extra = ["_id", "_row", "_copy", "_of", "_i", "_n", "_text", "score", "score_", "quality_score", "copies", "c0", "place", "kind", "spans", "id", "a.b"]
+    wide = materialise(docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in extra}), "wide")
+    for _, stage in cp.STAGES[:-1]:
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns
+        thin = stage(spark, wide.select(*docs.columns), sf_dir)
+        rows = out.collect()
+        assert sorted(map(str, (tuple(r)[: len(docs.columns)] for r in rows))) == sorted(map(str, map(tuple, thin.collect())))
+        assert all(r[c] == (None if r.doc_id is None else f"{c}-{r.doc_id}") for r in rows for c in extra)
+    assert cp.encode(spark, wide, sf_dir).count() == 60
+
+
+def test_empty_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0

@@ -3,7 +3,7 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
+import xxhash
 
 from scriptorium.llm import substring_dedup as sd
 
@@ -11,7 +11,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def brute(rows, window):
-    """[(n_words, kept words)] in the order of rows, which are in (id, text) order."""
+    """[(n_words, kept words)] in the order of rows, which are in order."""
     seen, out = set(), []
     for _, text in rows:
         words = WORD.findall(text or "")
@@ -67,11 +67,65 @@ def test_query_and_long_text(spark, tmp_path):
         assert got[i].kept_sha256 == hashlib.sha256(" ".join(kept).encode()).hexdigest()
 
 
-def test_equal_rows_and_empty_table(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    df = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id long, text string")
-    assert sd.dedup_texts(df.limit(0), "doc_id", "text").count() == 0
-    assert sd.dedup_texts(df, "doc_id", "text").count() == 3
+def in_order(rows):
+    """By id, rows without one last, then by the digest of the text."""
+    digest = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + 2**63) % 2**64
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, digest(r[1]) if r[1] else 0))
+
+
+def test_repeated_and_missing_ids(spark, monkeypatch):
+    r = random.Random(4)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    t, fresh, short = text(40), text(50), text(9)
+    rows = [(1, t), (1, t), (0, t), (1, fresh), (1, fresh), (2, f"{short} {t}"), (None, f"{fresh} {text(30)}"), (None, text(30)), (3, short), (3, short), (3, None), (3, None), (4, "")]
+    rows += [(5, f"{text(25)} {fresh[:200]}"), (5, f"{text(25)} {fresh[:200]}"), (None, rows[7][1])]
+    rows += [(i % 7 or None, x) for i, x in random_rows(11) if x]
+    for part, spread in ((10**7, 1), (100, 1), (300, 9), (1, 4)):
+        monkeypatch.setattr(sd, "PART_BYTES", part)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(spread)
+        got = sorted(((x.id, WORD.findall(x.kept_text or ""), x.n_words) for x in sd.dedup_texts(df, "doc_id", "text", 20).collect()), key=str)
+        order = in_order(rows)
+        assert got == sorted(((i, kept, n) for (i, _), (n, kept) in zip(order, brute(order, 20))), key=str)
+
+
+def test_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert sd.dedup_texts(df, "doc_id", "text").count() == 0 == sd.duplicate_factors(df, "doc_id", "text").count()
+
+
+def test_factors_have_true_sources(spark, monkeypatch):
+    for part in (10**7, 400):
+        monkeypatch.setattr(sd, "PART_BYTES", part)
+        rows = random_rows(21)
+        words = {i: WORD.findall(t or "") for i, t in rows}
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        found = sd.duplicate_factors(df, "doc_id", "text", 20).collect()
+        covered = {i: [False] * len(w) for i, w in words.items()}
+        for f in found:
+            assert f.words >= 20 and (f.source_id, f.source_start) < (f.id, f.start)
+            assert words[f.id][f.start : f.start + f.words] == words[f.source_id][f.source_start : f.source_start + f.words]
+            covered[f.id][f.start : f.start + f.words] = [True] * f.words
+        for (i, _), (_, kept) in zip(rows, brute(rows, 20)):
+            assert [w for w, c in zip(words[i], covered[i]) if not c] == kept
+
+
+def test_factors_are_as_long_as_text_and_source_agree():
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    texts = [a, f"{c} {a} {b}", f"{a} tail", f"{a}x y"]
+    pieces = [t.encode() for t in texts]
+    ref = sd.Reference.of(pieces, np.array([len(t.split()) for t in texts]))
+    pos = ref.windows(20)
+    begin, source, n = sd.factors(ref, 20, pos, sd.gram_hashes(sd.word_hashes(ref.raw, ref.at), 20)[pos])
+    assert list(zip(begin.tolist(), source.tolist(), n.tolist())) == [(100, 0, 50), (200, 0, 50), (251, 0, 49)]
+    # words are compared, not only their fingerprints: with one fingerprint for all, nothing changes
+    assert [x.tolist() for x in sd.factors(ref, 20, pos, np.zeros(len(pos), np.uint64))] == [x.tolist() for x in (begin, source, n)]
+
+
+def test_word_hashes():
+    words = [b"a" * n for n in range(1, 200)] + [bytes([n]) * 8 for n in range(200) if not 9 <= n <= 13 and n != 32] + [b"abcdefghi", b"abcdefghj", b"abcdefgh"]
+    raw = b" ".join(words)
+    ref = sd.Reference.of([raw], np.array([len(words)]))
+    assert len(ref.at) == len(words) + 1 and len(set(sd.word_hashes(ref.raw, ref.at).tolist())) == len(set(words))
 
 
 def test_other_columns_stay(spark):
@@ -85,19 +139,14 @@ def test_other_columns_stay(spark):
 
 def around_one_run(n):
     """Texts of different words around the same six, whose hash is the smallest of many."""
-    runs = [[f"k{i}x{j}" for j in range(6)] for i in range(2000)]
-    run = min(runs, key=lambda w: int(sd.gram_hashes(sd.hash_words([x.encode() for x in w]), 6)[0]))
-    return [" ".join([f"a{i}b{j}" for j in range(14)] + run + [f"c{i}d{j}" for j in range(14)]) for i in range(n)]
+    runs = [[f"k{i}x{j}".encode() for j in range(6)] for i in range(2000)]
 
+    def hash_of(run):
+        ref = sd.Reference.of([b" ".join(run)], np.array([6]))
+        return int(sd.gram_hashes(sd.word_hashes(ref.raw, ref.at), 6)[0])
 
-def test_windows_of_one_anchor_are_told_apart_by_their_whole_keys(monkeypatch):
-    whole = sd.gram_hashes
-    monkeypatch.setattr(sd, "gram_hashes", lambda h, n: whole(h, n) >> np.uint64(32) if n == 20 else whole(h, n))
-    texts = around_one_run(200)
-    sent = pa.Table.from_batches([sd._phrases([i], [t], 20, 1) for i, t in enumerate(texts + texts[:1])])
-    spans = [x for x in sd._factors(sent, 1).to_pylist() if x["spans"]]
-    assert [np.frombuffer(x["ids"], "<i8").tolist() for x in spans] == [[200] * (len(spans[0]["spans"]) // 8)]
-    assert np.frombuffer(spans[0]["spans"], "<i4").reshape(-1, 2)[:, 1].sum() == 15
+    run = [w.decode() for w in min(runs, key=hash_of)]
+    return [" ".join([f"a{i}b{j}" for j in range(14)] + run + [f"c{i}d{j}" for j in range(14)]) for i in range(n)]
 
 
 def test_a_frequent_anchor_is_dealt_to_several_blocks(spark, monkeypatch):
@@ -105,14 +154,14 @@ def test_a_frequent_anchor_is_dealt_to_several_blocks(spark, monkeypatch):
     texts = around_one_run(200)
     rows = list(enumerate(texts + texts[:50]))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    frequent = sd.frequent_anchors(df.withColumnRenamed("doc_id", "id"), 20)
+    docs = df.select(*sd._documents("doc_id", "text"))
+    frequent = sd.frequent_anchors(docs, 20)
     assert len(frequent[0]) == 1 and frequent[1][0] >= 10
     # no block holds more than a part of the one anchor's windows
-    sent = sd._phrases([i for i, _ in rows], [t for _, t in rows], 20, 1000, frequent).to_pylist()
+    sent = sd._phrases([tuple(r) for r in docs.collect()], 20, 1000, frequent).to_pylist()
     held = {}
     for r in (r for r in sent if r["spans"] is None):
-        anchors, counts = np.frombuffer(r["anchors"], np.uint64), np.frombuffer(r["counts"], np.uint8)
-        held[r["block"]] = int(counts[anchors == frequent[0][0]].sum())
+        held[r["block"]] = held.get(r["block"], 0) + sum(r["counts"])
     assert sum(held.values()) > 1000 and max(held.values()) < 300
     got = {r.id: r for r in sd.dedup_texts(df, "doc_id", "text", 20).collect()}
     for (i, _), (n, kept) in zip(rows, brute(rows, 20)):

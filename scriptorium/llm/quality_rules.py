@@ -1,25 +1,31 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Base rules reject texts with few words or mostly repeated ones. For the rest, four transformed
-statistics (mean word length, symbols, repeated words, repeated lines) make a vector; per
-language and source, concentration steps find the three quarters of the documents whose
-covariance is smallest: from medians and median deviations, each step takes the nearest share
-by Mahalanobis distance and estimates mean and covariance anew. Documents beyond
-the chi-square cutoff are rejected. Variances have floors (a statistic that is 0 nearly
-everywhere must not condemn every document that has it once), and small groups lean on the
-pooled estimate of all groups.
-
-Only DataFrame and SQL functions; a group is summed, never gathered, and its quantiles come
-from a histogram of distances, so a source that holds most rows is no special case.
+statistics (mean word length, symbols, repeated words, repeated lines) make a vector. Per
+language and source the estimate is that of the three quarters of the documents whose covariance
+has the smallest determinant. It is searched from several starts (medians with median
+deviations, covariances of squashed and of directions-only vectors, the plain estimate); each
+concentration step takes the share nearest by Mahalanobis distance and estimates mean and
+covariance anew, until the determinant falls no more, and of all starts the smallest
+determinant wins. The covariance is regularised by adding a fixed diagonal (a statistic that is 0
+nearly everywhere must not condemn every document that has it once), under which steps still
+only lower the determinant. Only the winner of a group is then drawn to the mean of all groups'
+winners, so that small groups lean on the others. Documents beyond the chi-square cutoff are rejected.
+
+Only DataFrame and SQL functions; a group is summed, never gathered. Medians come from counts on
+a fine grid, and the nearest share from a histogram of distances whose last bin counts in part, so
+neither depends on partitioning, and a source that holds most rows is no special case.
 
 Defined results: null and empty texts have no words and fail the base rules. A null language
-or source is a group of its own. Repeated rows are judged each; an empty table gives an
-empty table; other columns are ignored.
+or source is a group of its own; a group of equal vectors has only the fixed diagonal. Documents
+with equal distances are judged alike, and repeated rows each. A very long text is a row like
+any other, read whole. An empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +37,7 @@ SPACE = r"[ \t-\r]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-#: Transformed statistics and the floor of each one's standard deviation.
+#: Transformed statistics and the standard deviation that regularises each one's.
 STATISTICS = {
     "ln(word_chars / n_words)": 0.12,
     "ln(1 + 1000 * n_symbols / word_chars)": 0.8,
@@ -39,12 +45,19 @@ STATISTICS = {
     "ln(1 + n_dup_lines)": 0.5,
 }
 DIMS = len(STATISTICS)
-SHARE, STEPS = 0.75, 3
-CUTOFF = 0.9999
+SHARE, CUTOFF = 0.75, 0.9999
+#: Steps at most (they stop by themselves), and the part by which a determinant has to fall.
+MOST_STEPS, FALL = 40, 1e-6
 #: Documents that the pooled estimate counts for in a group's.
 POOLED_WEIGHT = 50
-#: Bins of the histogram of distances in each e-fold.
-BINS = 32
+#: Bins of the histogram of distances in each e-fold, and of the grid of medians in each unit.
+BINS, GRID = 32, 1000
+
+_M = [f"m{i}" for i in range(DIMS)]
+_X = [f"x{i}" for i in range(DIMS)]
+_PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+_C = [f"c{i}{j}" for i, j in _PAIRS]
+_L = [f"l{i}{j}" for i, j in _PAIRS]
 
 
 def base_statistics(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -80,19 +93,57 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(DIMS) for j in range(i + 1)]
-
-
-def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """n, means m0.. and covariances c00.. of x0.. by keys."""
-    agg = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(DIMS)], *[F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in _pairs()])
-    return agg
+def consistency() -> float:
+    """What the covariance of the nearest SHARE of normal vectors lacks."""
+    q = chi_square_quantile(SHARE, DIMS)
+    inside = 1 - math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(DIMS // 2 + 1))  # of DIMS + 2 degrees
+    return SHARE / inside
+
+
+def _middle(bins: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, m, n: the lower median of `value`, which occurs k times, and the sum of k."""
+    whole = Window.partitionBy(*by)
+    upto = F.sum("k").over(whole.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = bins.withColumn("_upto", upto).withColumn("n", F.sum("k").over(whole))
+    return ranked.where(2 * F.col("_upto") >= F.col("n")).groupBy(*by, "n").agg(F.min(value).alias("m"))
+
+
+def _robust(rows: DataFrame, g: list[str]) -> DataFrame:
+    """g, n, medians m0.. and median deviations s0.. (with their regularisation), on the grid."""
+    grid = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(x) * GRID).cast("long").alias("v")) for i, x in enumerate(_X)]))
+    bins = materialise(rows.select(*g, grid.alias("q")).select(*g, "q.i", "q.v").groupBy(*g, "i", "v").agg(F.count("*").alias("k")), "marginals")
+    middle = _middle(bins, [*g, "i"], "v")
+    away = bins.join(middle, [*g, "i"]).groupBy(*g, "i", F.abs(F.col("v") - F.col("m")).alias("w")).agg(F.sum("k").alias("k"))
+    both = middle.join(_middle(away, [*g, "i"], "w").select(*g, "i", F.col("m").alias("s")), [*g, "i"])
+    of = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c) / GRID))
+    floor = list(STATISTICS.values())
+    return both.groupBy(*g).agg(F.max("n").alias("n"), *[of("m", i).alias(f"m{i}") for i in range(DIMS)], *[F.sqrt(F.pow(1.4826 * of("s", i), 2) + floor[i] ** 2).alias(f"s{i}") for i in range(DIMS)])
+
+
+def _starts(rows: DataFrame, g: list[str]) -> DataFrame:
+    """g, start, n, m0.., c00..: estimates to begin with."""
+    joined = rows.join(_robust(rows, g), g)
+    z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(DIMS)]
+    joined = joined.withColumns({f"z{i}": c for i, c in enumerate(z)})
+    norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0")))
+    joined = joined.withColumn("norm", norm)
+    vectors = {
+        "t": [F.tanh(f"z{i}") * F.col(f"s{i}") for i in range(DIMS)],
+        "u": [F.when(F.col("norm") > 0, F.col(f"z{i}") / F.col("norm") * F.col(f"s{i}")).otherwise(0.0) for i in range(DIMS)],
+    }
+    joined = joined.withColumns({f"{k}{i}": c for k, v in vectors.items() for i, c in enumerate(v)})
+    sums = [F.covar_pop(f"{k}{i}", f"{k}{j}").alias(f"{k}{i}{j}") for k in "tux" for i, j in _PAIRS]
+    known = joined.groupBy(*g, "n", *_M, *[f"s{i}" for i in range(DIMS)]).agg(*sums, *[F.avg(x).alias(f"a{i}") for i, x in enumerate(_X)])
+    made = []
+    for start, (m, c) in enumerate([("m", None), ("m", "t"), ("m", "u"), ("a", "x")]):
+        cov = [F.col(f"{c}{i}{j}") if c else F.pow(f"s{i}", F.lit(2)) if i == j else F.lit(0.0) for i, j in _PAIRS]
+        made.append(known.select(*g, F.lit(start).alias("start"), F.col("n").cast("double").alias("n"), *[F.col(f"{m}{i}").alias(f"m{i}") for i in range(DIMS)], *[x.alias(n) for x, n in zip(cov, _C)]))
+    return reduce(DataFrame.unionByName, made)
 
 
 def _factored(estimate: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor l00.. of c00.. with floors on the diagonal."""
-    for i, j in _pairs():
+    """Adds the Cholesky factor l00.. of the regularised covariance, and its determinant."""
+    for i, j in _PAIRS:
         rest = F.col(f"c{i}{j}")
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
@@ -101,15 +152,12 @@ def _factored(estimate: DataFrame) -> DataFrame:
             estimate = estimate.withColumn(f"l{i}{i}", F.sqrt(F.greatest(rest + floor, F.lit(floor))))
         else:
             estimate = estimate.withColumn(f"l{i}{j}", rest / F.col(f"l{j}{j}"))
-    return estimate
+    return estimate.withColumn("det", F.pow(reduce(lambda a, b: a * b, [F.col(f"l{i}{i}") for i in range(DIMS)]), F.lit(2)))
 
 
-def _measured(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds d2, the squared Mahalanobis distance under the row's group's estimate."""
-    params = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i, j in _pairs()]
-    renamed = estimate.select(*[F.col(k).alias(f"_{k}") for k in keys], *params)
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    joined = rows.join(renamed, on, "left")
+def _measured(rows: DataFrame, estimate: DataFrame, g: list[str], *also: str) -> DataFrame:
+    """Adds d2, the squared Mahalanobis distance under each estimate of the row's group, and `also`."""
+    joined = rows.join(estimate.select(*g, *_M, *_L, *also), g)
     for i in range(DIMS):  # forward substitution, a column each, so that no term is computed twice
         joined = joined.withColumn(f"_z{i}", F.col(f"x{i}") - F.col(f"m{i}"))
     for i in range(DIMS):
@@ -118,47 +166,53 @@ def _measured(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFram
             rest = rest - F.col(f"l{i}{j}") * F.col(f"_z{j}")
         joined = joined.withColumn(f"_z{i}", rest / F.col(f"l{i}{i}"))
     d2 = sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(1, DIMS)), F.col("_z0") * F.col("_z0"))
-    return joined.withColumn("d2", d2).select(*rows.columns, "d2")
-
-
-def _nearest_share(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The SHARE of each group with the smallest d2, by a histogram of its logarithm."""
-    binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
-    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
-    up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("before", F.coalesce(F.sum("k").over(up_to), F.lit(0))).withColumn("all", F.sum("k").over(Window.partitionBy(*keys)))
-    last = bins.where(F.col("before") < SHARE * F.col("all")).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("bin").alias("last"))
-    return binned.join(last, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).where("bin <= last").select(*rows.columns)
+    return joined.withColumn("d2", d2).select(*rows.columns, *also, "d2")
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, g: list[str]) -> DataFrame:
+    """g, start, n, m0.., c00..: of the SHARE of a group's rows that is nearest to each estimate."""
+    of = [*g, "start"]
+    binned = _measured(rows.select(*g, *_X), estimate, g, "start").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
+    bins = binned.groupBy(*of, "bin").agg(F.count("*").alias("k"))
+    whole = Window.partitionBy(*of)
+    before = F.coalesce(F.sum("k").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("before", before).withColumn("h", F.ceil(SHARE * F.sum("k").over(whole)))
+    last = bins.where("before < h and h <= before + k").select(*of, F.col("bin").alias("last"), ((F.col("h") - F.col("before")) / F.col("k")).alias("part"))
+    near = binned.join(last, of).where("bin <= last").withColumn("w", F.when(F.col("bin") < F.col("last"), 1.0).otherwise(F.col("part")))
+    sums = near.groupBy(*of).agg(F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias(f"m{i}") for i, x in enumerate(_X)], *[(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) / F.sum("w")).alias(f"c{i}{j}") for i, j in _PAIRS])
+    return sums.withColumns({f"c{i}{j}": (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency() for i, j in _PAIRS})
+
+
+def estimates(rows: DataFrame, g: list[str]) -> DataFrame:
+    """g, n, m0.., c00.., l00.., det: the smallest determinant found in each group. `g` has no nulls."""
+    names = ["n", *_M, *_C, *_L, "det"]
+    now = _factored(_starts(rows, g)).withColumn("det", F.lit(float("inf"))).withColumn("open", F.lit(True))
+    now = materialise(now.select(*g, "start", *names, "open"), "estimate")
+    for _ in range(MOST_STEPS):
+        new = _factored(_concentrated(rows, now.where("open"), g)).select(*g, "start", *[F.col(c).alias(f"_{c}") for c in names])
+        lower = F.coalesce(F.col("_det") < F.col("det") * (1 - FALL), F.lit(False))
+        both = now.join(new, [*g, "start"], "left").withColumn("lower", lower)
+        now = materialise(both.select(*g, "start", *[F.when(F.col("lower"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names], F.col("lower").alias("open")), "estimate")
+        if now.where("open").isEmpty():
+            break
+    return now.groupBy(*g).agg(F.min_by(F.struct(*names), F.struct("det", "start")).alias("best")).select(*g, "best.*")
 
 
 def _pooled(estimate: DataFrame) -> DataFrame:
     """Each group's mean and covariance, drawn to the pooled ones by POOLED_WEIGHT documents."""
     w = F.sum("n")
-    whole = estimate.agg(*[(F.sum(F.col(c) * F.col("n")) / w).alias(f"p_{c}") for c in [f"m{i}" for i in range(DIMS)] + [f"c{i}{j}" for i, j in _pairs()]])
+    whole = estimate.agg(*[(F.sum(F.col(c) * F.col("n")) / w).alias(f"p_{c}") for c in _M + _C])
     out = estimate.join(F.broadcast(whole))  # one row
-    for c in [f"m{i}" for i in range(DIMS)] + [f"c{i}{j}" for i, j in _pairs()]:
-        out = out.withColumn(c, (F.col(c) * F.col("n") + F.col(f"p_{c}") * POOLED_WEIGHT) / (F.col("n") + POOLED_WEIGHT))
-    return out
+    drawn = {c: (F.col(c) * F.col("n") + F.col(f"p_{c}") * POOLED_WEIGHT) / (F.col("n") + POOLED_WEIGHT) for c in _M + _C}
+    return out.withColumns(drawn)
 
 
 def outliers(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds d2 and outlier to rows with x0.. by minimum covariance determinant per `keys`."""
-    x = [f"x{i}" for i in range(DIMS)]
-    middle = rows.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)])
-    named = middle.select(*[F.col(k).alias(f"_{k}") for k in keys], "n", *[f"m{i}" for i in range(DIMS)])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    spread = rows.join(named, on).groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(DIMS)], *[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(x)])
-    estimate = spread.select(*keys, "n", *[f"m{i}" for i in range(DIMS)], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs()])
-    q = chi_square_quantile(SHARE, DIMS)
-    inside = 1 - math.exp(-q / 2) * sum((q / 2) ** i / math.factorial(i) for i in range(DIMS // 2 + 1))  # of DIMS + 2 degrees
-    for _ in range(STEPS):
-        estimate = materialise(_factored(_pooled(estimate)), "estimate")
-        nearest = _nearest_share(_measured(rows, estimate, keys), keys)
-        estimate = _moments(nearest, keys)
-        for i, j in _pairs():  # the covariance of the nearest share, made consistent
-            estimate = estimate.withColumn(f"c{i}{j}", F.col(f"c{i}{j}") * (SHARE / inside))
-    estimate = materialise(_factored(_pooled(estimate)), "estimate")
-    return _measured(rows, estimate, keys).withColumn("outlier", F.coalesce(F.col("d2") > chi_square_quantile(CUTOFF, DIMS), F.lit(False)))
+    g = [f"_g{i}" for i in range(len(keys))]
+    marked = rows.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(g, keys)})  # nulls are a value
+    found = materialise(_factored(_pooled(estimates(marked, g).select(*g, "n", *_M, *_C))), "estimate")
+    return _measured(marked, found, g).withColumn("outlier", F.coalesce(F.col("d2") > chi_square_quantile(CUTOFF, DIMS), F.lit(False))).drop(*g)
 
 
 def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scriptorium.llm import chat_format as cf
 from scriptorium.llm import mixing as mx
@@ -54,28 +55,69 @@ def test_quality_rules_on_labels(spark):
     assert np.mean([k == bool(q) for k, q in judged]) > 0.97
 
 
-def test_outliers_follow_the_definition(spark):
-    """One group: the concentration steps again, in numpy."""
+FLOOR = np.diag(np.array(list(qr.STATISTICS.values())) ** 2)
+
+
+def steps(x, mean, cov):
+    """Concentration steps on exact shares until the determinant falls no more."""
+    best, h = (np.inf, None, None), math.ceil(qr.SHARE * len(x))
+    while True:
+        z = np.linalg.solve(np.linalg.cholesky(cov + FLOOR), (x - mean).T)
+        near = x[np.argsort((z**2).sum(axis=0), kind="stable")[:h]]
+        mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * qr.consistency()
+        det = np.linalg.det(cov + FLOOR)
+        if det >= best[0] * (1 - 1e-9):
+            return best
+        best = det, mean, cov
+
+
+def grouped_vectors():
+    """Groups of several shapes, one with a null key, one tiny, one of equal vectors, one half of outliers' size."""
     r = np.random.default_rng(8)
-    x = r.standard_normal((900, qr.DIMS)) @ np.diag([0.5, 2, 2, 1.5]) + 3
-    x[:40] += 25
-    df = spark.createDataFrame([(i, None, "s", *map(float, v)) for i, v in enumerate(x)], "id long, lang string, source string, x0 double, x1 double, x2 double, x3 double").repartition(4)
-    got = {q.id: (q.d2, q.outlier) for q in qr.outliers(df, ["lang", "source"]).collect()}
-    floor = np.array(list(qr.STATISTICS.values())) ** 2
-    med = np.array([np.sort(c)[(len(c) + 1) // 2 - 1] for c in x.T])
-    cov = np.diag([(1.4826 * np.sort(abs(c - m))[(len(c) + 1) // 2 - 1]) ** 2 for c, m in zip(x.T, med)])
-    q = qr.chi_square_quantile(qr.SHARE, 4)
-    inside = 1 - math.exp(-q / 2) * (1 + q / 2 + q * q / 8)
-    for step in range(qr.STEPS + 1):
-        low = np.linalg.cholesky(cov + np.diag(floor))
-        d2 = (np.linalg.solve(low, (x - med).T) ** 2).sum(axis=0)
-        bins = np.floor(np.log(d2 + 1e-6) * qr.BINS)
-        last = np.sort(bins)[math.ceil(qr.SHARE * len(x)) - 1]
-        near = x[bins <= last]
-        if step < qr.STEPS:
-            med, cov = near.mean(axis=0), np.cov(near.T, bias=True) * (qr.SHARE / inside)
-    assert all(got[i][1] for i in range(40)) and sum(o for _, o in got.values()) < 45
-    assert np.allclose([got[i][0] for i in range(900)], d2, rtol=1e-6)
+    out = []
+    for n, lang, source in ((900, "en", "s"), (400, None, "s"), (300, "en", None), (6, "de", "s"), (40, "fr", "t")):
+        x = r.standard_normal((n, qr.DIMS)) @ (np.diag([0.5, 2, 2, 1.5]) + 0.3 * r.standard_normal((4, 4))) + 3
+        x[: n // 6] += [9, 14, -12, 10]
+        if source == "t":
+            x[:] = 1.5
+        out.append((lang, source, x))
+    return out
+
+
+def test_smallest_determinant_of_many_starts(spark):
+    groups = grouped_vectors()
+    rows = [(g * 10_000 + i, lang, source, *map(float, v)) for g, (lang, source, x) in enumerate(groups) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    marked = df.withColumn("g", F.floor(F.col("id") / 10_000)).repartition(5)
+    found = {e.g: e for e in qr.estimates(marked, ["g"]).collect()}
+    r = np.random.default_rng(1)
+    for g, (_, _, x) in enumerate(groups):
+        tries = [x[r.choice(len(x), qr.DIMS + 1, replace=False)] for _ in range(300)]
+        det, mean, _ = min((steps(x, t.mean(axis=0), np.cov(t.T, bias=True)) for t in tries), key=lambda e: e[0])
+        assert found[g].det <= det * 1.03 and found[g].det >= det * 0.97, g
+        if len(x) > 100:
+            assert np.allclose([found[g][f"m{i}"] for i in range(4)], mean, atol=0.15)
+            low = np.array([[found[g][f"l{i}{j}"] if j <= i else 0 for j in range(4)] for i in range(4)])
+            assert math.isclose(np.linalg.det(low @ low.T), found[g].det, rel_tol=1e-9)
+
+    verdicts = []
+    for parts in (3, 61):
+        verdicts.append({q.id: (round(q.d2, 6), q.outlier) for q in qr.outliers(df.repartition(parts), ["lang", "source"]).collect()})
+    assert verdicts[0] == verdicts[1] and len(verdicts[0]) == len(rows)
+    # estimates of the groups, drawn to their mean
+    w = np.array([found[g].n for g in range(len(groups))])
+    means = np.array([[found[g][f"m{i}"] for i in range(4)] for g in range(len(groups))])
+    covs = np.array([[[found[g][f"c{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)] for g in range(len(groups))])
+    limit = qr.chi_square_quantile(qr.CUTOFF, 4)
+    for g, (_, _, x) in enumerate(groups):
+        k = qr.POOLED_WEIGHT
+        mean = (means[g] * w[g] + np.average(means, axis=0, weights=w) * k) / (w[g] + k)
+        cov = (covs[g] * w[g] + np.average(covs, axis=0, weights=w) * k) / (w[g] + k) + FLOOR
+        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+        assert np.allclose([verdicts[0][g * 10_000 + i][0] for i in range(len(x))], d2, rtol=1e-4)
+        assert all(verdicts[0][g * 10_000 + i][1] == (d > limit) for i, d in enumerate(d2))
+        if len(x) >= 300:
+            assert (d2[: len(x) // 6] > limit).all() and (d2[len(x) // 6 :] > limit).mean() < 0.02
 
 
 def test_quality_rules_empty(spark):

@@ -40,6 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ PART_BYTES, BLOCK_BYTES = 4_000_000, 4_000_000
 #: Bytes of text of the places that one task joins with their spans, one place after the other.
 TASK_BYTES = 128_000_000
 #: Words of an anchor.
-ANCHOR = 6
+ANCHOR = 5
 #: Windows of one anchor that one block takes, and the share of a part that is reported.
 SUB_WINDOWS, SHARE = 100_000, 20_000
 #: Tasks that add up those counts.
@@ -64,7 +65,11 @@ LAST = 2**63 - 1
 #: A span of `windows` repeated windows from `start`, and its source: `from` in another document.
 FACTOR = np.dtype([("id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("source", "<i8"), ("source_digest", "<i8"), ("from", "<i4")])
 
-_PHRASES = "block int, ids binary, digests binary, starts binary, counts binary, words binary, spans binary"
+#: A phrase that a block receives: `windows` windows from `start` on. Its words come beside it.
+PHRASE = np.dtype([("id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("windows", "u1")])
+_PHRASES = "block int, heads binary, words binary, spans binary"
+#: Level of compression of the phrases of one row (neighbouring ones overlap in other rows only).
+SQUEEZE = 3
 #: A text of a part: id, digest, text.
 Row = tuple[int, int, str]
 
@@ -217,7 +222,7 @@ def _phrases(rows: list[Row], window: int, blocks: int, frequent: Frequent = NON
         own = np.empty(len(begin), FACTOR)
         own["id"], own["digest"], own["start"], own["windows"] = ids[doc[begin]], digests[doc[begin]], begin - first[doc[begin]], n - window + 1
         own["source"], own["source_digest"], own["from"] = ids[doc[source]], digests[doc[source]], source - first[doc[source]]
-        out += [(-1 - place, *[None] * 5, spans) for place, spans in _packed(own, blocks)]
+        out += [(-1 - place, None, None, spans) for place, spans in _packed(own, blocks)]
         edge = np.zeros(len(doc) + 1, np.int64)
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + n - window + 1, -1)
@@ -235,12 +240,14 @@ def _phrases(rows: list[Row], window: int, blocks: int, frequent: Frequent = NON
         w, n, block = pos[b[order]], n[order], block[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(b) else []
         from_, to = ref.at[w].tolist(), (ref.at[w + n + window - 1] - 1).tolist()
+        heads = np.empty(len(w), PHRASE)
+        heads["id"], heads["digest"], heads["start"], heads["windows"] = ids[doc[w]], digests[doc[w]], w - first[doc[w]], n
+        squeeze = zstandard.ZstdCompressor(SQUEEZE).compress
         for x, y in zip(cut[:-1], cut[1:]):
-            p = doc[w[x:y]]
             words = b"\n".join([ref.raw[i:j] for i, j in zip(from_[x:y], to[x:y])])
-            out.append((int(block[x]), ids[p].tobytes(), digests[p].tobytes(), (w[x:y] - first[p]).astype("<i4").tobytes(), n[x:y].astype(np.uint8).tobytes(), words, None))
-    kinds = [pa.int32(), *[pa.binary()] * 6]
-    columns = list(zip(*out)) if out else [[]] * 7
+            out.append((int(block[x]), squeeze(heads[x:y].tobytes()), squeeze(words), None))
+    kinds = [pa.int32(), *[pa.binary()] * 3]
+    columns = list(zip(*out)) if out else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _PHRASES.split(", ")])
 
 
@@ -252,11 +259,12 @@ def _parsed(group: pa.Table, window: int, places: int) -> pa.Table:
     out = [(-1 - r["block"], r["spans"]) for r in rows if r["spans"] is not None]
     rows = [r for r in rows if r["spans"] is None]
     if rows:
-        join = lambda name, kind: np.frombuffer(b"".join(r[name] for r in rows), kind)
-        ids, digests, starts, n = join("ids", "<i8"), join("digests", "<i8"), join("starts", "<i4").astype(np.int64), join("counts", np.uint8).astype(np.int64)
-        pieces = [p for r in rows for p in r["words"].split(b"\n")]
-        order = np.lexsort((starts, digests, ids))
-        ids, digests, starts, n = ids[order], digests[order], starts[order], n[order]
+        whole = zstandard.ZstdDecompressor().decompress
+        heads = np.frombuffer(b"".join(whole(r["heads"]) for r in rows), PHRASE)
+        pieces = [p for r in rows for p in whole(r["words"]).split(b"\n")]
+        order = np.lexsort((heads["start"], heads["digest"], heads["id"]))
+        heads = heads[order]
+        ids, digests, starts, n = heads["id"].copy(), heads["digest"].copy(), heads["start"].astype(np.int64), heads["windows"].astype(np.int64)
         ref = Reference.of([pieces[i] for i in order.tolist()], n + window - 1)
         pos, piece = ref.windows(window), np.repeat(np.arange(len(n)), n)
         base = starts - (np.cumsum(n + window - 1) - (n + window - 1))  # number in the document, less that in the reference

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import accumulate
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.session import ship
+from scriptorium.session import materialise, ship
 
-GAP, LEAST, MOST, PAD = 0.05, 3.0, 15.0, 0.15
+GAP, INSIDE, LEAST, MOST, PAD = 0.05, 0.5, 3.0, 15.0, 0.15
 
 
 def parse_silences(log: DataFrame, key: str, line: str, text: str) -> DataFrame:
@@ -19,77 +22,58 @@ def parse_silences(log: DataFrame, key: str, line: str, text: str) -> DataFrame:
     return rows.withColumn("start", before).where("e is not null and start is not null").select(key, "start", F.col("e").alias("end"))
 
 
+def _gaps(silences: DataFrame, by: list[str], begin: Column, end: Column) -> DataFrame:
+    """by, start, end: what lies from `begin` to `end` outside the silences of each group, by the
+    running end of the silences before; gaps up to 0.05 s don't count. Both ends are the same in a group."""
+    before = F.max("end").over(Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
+    inner = silences.select(*by, F.greatest(begin, F.coalesce(before, begin)).alias("from"), F.col("start").alias("to"))
+    tail = silences.groupBy(*by).agg(F.max("end").alias("from"), F.max(end).alias("to"))
+    return inner.unionByName(tail).where(F.col("to") > F.col("from") + GAP).select(*by, F.col("from").alias("start"), F.col("to").alias("end"))
+
+
 def speech_spans(silences: DataFrame, key: str, total: float) -> DataFrame:
     """key, start, end: what is not silent in [0, total]; gaps up to 0.05 s don't count."""
-    seen = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
-    inner = silences.select(key, F.greatest(F.lit(0.0), F.coalesce(seen, F.lit(0.0))).alias("from"), F.col("start").alias("to"))
-    tail = silences.groupBy(key).agg(F.max("end").alias("from")).withColumn("to", F.lit(total))
-    return inner.unionByName(tail).where(F.col("to") > F.col("from") + GAP).select(key, F.col("from").alias("start"), F.col("to").alias("end"))
-
-
-def spans_of(silences: list[tuple[float, float]], total: float) -> list[tuple[float, float]]:
-    out, cursor = [], 0.0
-    for s, e in sorted(silences):
-        if s > cursor + GAP:
-            out.append((cursor, s))
-        cursor = max(cursor, e)
-    return out + ([(cursor, total)] if total > cursor + GAP else [])
-
-
-def refined(spans: list[tuple[float, float]], levels: list[list[tuple[float, float]]]) -> list[tuple[float, float]]:
-    """Spans that are too long, cut at the first finer level with a silence inside; pieces
-    that are still too long go on to the levels after it."""
-    out: list[tuple[float, float]] = []
-    for start, end in spans:
-        depth = next((i for i, level in enumerate(levels) if any(s > start + 0.5 and e < end - 0.5 for s, e in level)), None)
-        if end - start <= MOST or depth is None:
-            out.append((start, end))
-            continue
-        inside = [(s, e) for s, e in levels[depth] if s > start + 0.5 and e < end - 0.5]
-        pieces = [(max(s, start), e) for s, e in spans_of(inside, end) if e > start]
-        out += pieces if all(e - s <= MOST for s, e in pieces) else refined(pieces, levels[depth + 1 :])
-    return out
-
-
-def refine_spans(spans: DataFrame, finer: DataFrame, key: str) -> DataFrame:
-    """key, start, end: long spans cut at silences (key, level, start, end) of finer levels."""
-    ship(spans.sparkSession)
+    return _gaps(silences, [key], F.lit(0.0), F.lit(total))
 
-    def run(own: pd.DataFrame, silences: pd.DataFrame) -> pd.DataFrame:
-        levels = [sorted(zip(g["start"], g["end"])) for _, g in silences.groupby("level")]
-        made = pd.DataFrame(refined(sorted(zip(own["start"], own["end"])), levels), columns=["start", "end"])
-        made.insert(0, key, (own if len(own) else silences)[key].iloc[0])
-        return made
 
-    kind = spans.schema[key].dataType.simpleString()
-    left = spans.select(key, "start", "end").groupBy(key)
-    return left.cogroup(finer.select(key, "level", "start", "end").groupBy(key)).applyInPandas(run, f"{key} {kind}, start double, end double")
+def refine_spans(spans: DataFrame, finer: DataFrame, key: str, levels: list[int]) -> DataFrame:
+    """key, start, end: spans that are too long, cut at silences (key, level, start, end) that lie
+    half a second inside. Each level in turn cuts what is still too long; a span without such
+    a silence goes on to the next level."""
+    inside = (F.col("start") > F.col("_start") + INSIDE) & (F.col("end") < F.col("_end") - INSIDE)
+    for level in levels:
+        long = F.col("end") - F.col("start") > MOST
+        whole = spans.where(long).select(F.col(key).alias("_key"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        own = finer.where(F.col("level") == level).select(key, "start", "end")
+        cuts = materialise(own.join(whole, (F.col(key) == F.col("_key")) & inside).drop("_key"), "cuts")
+        made = _gaps(cuts, [key, "_start", "_end"], F.col("_start"), F.col("_end"))
+        done = cuts.select(F.col(key).alias("_key"), "_start").distinct()
+        left = spans.join(done, (F.col(key) == F.col("_key")) & (F.col("start") == F.col("_start")), "left_anti")
+        spans = materialise(left.unionByName(made.select(key, "start", "end")), "spans")
+    return spans
+
+
+def _clip_starts(ends: Iterable[tuple[float, float]]) -> list[float]:
+    """For spans in order, the start of each one's clip: that of the span before, as long as
+    the clip stays within MOST, or else its own."""
+    return list(accumulate(ends, lambda clip, span: clip if span[1] - clip[0] <= MOST else span))
 
 
 def plan_clips(spans: DataFrame, key: str, total: float) -> DataFrame:
     """key, start, end, dropped: consecutive spans packed into clips of 3 to 15 seconds, cut
     only in silences; a span that is too long and a clip that is too short are dropped with
-    the reason. A recording is a group of its own."""
+    the reason. Only the starts of clips need the order: a fold over the spans of a recording."""
     ship(spans.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(pdf["start"], pdf["end"]))
-        out, i = [], 0
-        while i < len(rows):
-            start, end = rows[i]
-            if end - start > MOST:
-                out.append((start, end, "too long"))
-                i += 1
-                continue
-            j = i
-            while j + 1 < len(rows) and rows[j + 1][1] - start <= MOST:
-                j += 1
-            a, b = max(0.0, start - PAD), min(total, rows[j][1] + PAD)
-            out.append((a, b, None if b - a >= LEAST else "too short"))
-            i = j + 1
-        made = pd.DataFrame(out, columns=["start", "end", "dropped"])
-        made.insert(0, key, pdf[key].iloc[0])
-        return made
+        pdf = pdf.sort_values(["start", "end"])
+        return pdf.assign(clip=[c[0] for c in _clip_starts(zip(pdf["start"], pdf["end"]))])
 
     kind = spans.schema[key].dataType.simpleString()
-    return spans.select(key, "start", "end").groupBy(key).applyInPandas(run, f"{key} {kind}, start double, end double, dropped string")
+    begun = spans.select(key, "start", "end").groupBy(key).applyInPandas(run, f"{key} {kind}, start double, end double, clip double")
+    clips = begun.groupBy(key, "clip").agg(F.max("end").alias("last"))
+    long = F.col("last") - F.col("clip") > MOST
+    start = F.when(long, F.col("clip")).otherwise(F.greatest(F.lit(0.0), F.col("clip") - PAD))
+    end = F.when(long, F.col("last")).otherwise(F.least(F.lit(total), F.col("last") + PAD))
+    reason = F.when(F.col("long"), "too long").when(F.col("end") - F.col("start") < LEAST, "too short")
+    return clips.select(key, start.alias("start"), end.alias("end"), long.alias("long")).select(key, "start", "end", reason.alias("dropped"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.operators.places import placed
-from scriptorium.session import ship
+from scriptorium.session import materialise, ship
 
 ITEMS, CHARS, ITEM_CHARS = 10, 6000, 4000
 EXEMPLARS, PER_TOPIC, MOST_ASKED, LEAD = 12, 2, 4, 4
@@ -79,32 +81,30 @@ def request_batches(df: DataFrame, subject: str, order: str, size: Column) -> Da
     return met.groupBy(subject, "_range").applyInPandas(run, f"{subject} {kinds[subject]}, {order} {kinds[order]}, batch long")
 
 
-def pick(rows: list[tuple]) -> list[int]:
-    """Positions of the rows (topic, mode) that are taken, best first."""
-    taken, topics, modes = [], {}, {"spoken": 0, "written": 0}
-    for i, (topic, mode) in enumerate(rows):
-        if len(taken) >= EXEMPLARS:
-            break
-        topic = (topic or "misc").lower()
-        if topics.get(topic, 0) >= PER_TOPIC or modes[mode] - modes["written" if mode == "spoken" else "spoken"] >= LEAD:
-            continue
-        taken.append(i)
-        topics[topic] = topics.get(topic, 0) + 1
-        modes[mode] += 1
-    return taken
-
-
 def pick_exemplars(df: DataFrame, subject: str, id_col: str) -> DataFrame:
-    """subject, id, place of chosen rows (style, asked, topic, mode). Before a group is gathered
-    each subject, topic and mode keeps its best rows; more of one topic are never taken."""
-    ship(df.sparkSession)
-    best = F.row_number().over(Window.partitionBy(subject, F.lower(F.coalesce("topic", F.lit("misc"))), "mode").orderBy(F.desc("style"), id_col))
-    rows = df.where((F.col("asked") <= MOST_ASKED) & F.col("style").isNotNull()).withColumn("_b", best).where(F.col("_b") <= PER_TOPIC).drop("_b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["style", id_col], ascending=[False, True]).reset_index(drop=True)
-        taken = pick(list(zip(pdf["topic"], pdf["mode"])))
-        return pdf.loc[taken, [subject, id_col]].assign(place=range(1, len(taken) + 1))
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    return rows.groupBy(subject).applyInPandas(run, f"{subject} {kinds[subject]}, {id_col} {kinds[id_col]}, place long")
+    """subject, id, place of chosen rows (style, asked, topic, mode): rarely asked ones by style, two a
+    topic at most, neither mode four ahead of the other, twelve at most.
+
+    One row a subject and round: the first after the last chosen one that the topics and modes
+    chosen so far allow. What a row was refused for can only be lifted by rows that come after
+    it, which is too late, so no subject is gathered and all subjects go round together."""
+    eligible = df.where((F.col("asked") <= MOST_ASKED) & F.col("style").isNotNull())
+    order = F.struct((-F.col("style")).alias("s"), F.col(id_col).alias("i"))
+    rows = eligible.select(F.col(subject).alias("subject"), F.col(id_col).alias("id"), F.lower(F.coalesce("topic", F.lit("misc"))).alias("topic"), F.col("mode"), order.alias("at"))
+    rows = materialise(rows, "eligible")
+    none = "CAST(array() AS array<string>)"
+    state = rows.groupBy("subject").agg(F.min("at").alias("first")).select(F.col("subject").alias("_of"), F.lit(None).cast(rows.schema["at"].dataType).alias("last"), F.expr(none).alias("topics"), F.lit(0).alias("ahead"))
+    chosen = []
+    step = F.when(F.col("mode") == "spoken", 1).otherwise(-1)  # spoken ones less written ones
+    for place in range(1, EXEMPLARS + 1):
+        met = rows.join(state, F.col("subject").eqNullSafe(F.col("_of")))
+        free = (F.col("last").isNull() | (F.col("at") > F.col("last"))) & (F.size(F.filter("topics", lambda t: t == F.col("topic"))) < PER_TOPIC) & (step * F.col("ahead") < LEAD)
+        best = met.where(free).groupBy("subject", "topics", "ahead").agg(F.min_by(F.struct("id", "topic", "mode", "at"), "at").alias("x"))
+        best = materialise(best.select("subject", "topics", "ahead", "x.*"), "chosen")
+        if best.isEmpty():
+            break
+        chosen.append(best.select("subject", "id", F.lit(place).cast("long").alias("place")))
+        state = best.select(F.col("subject").alias("_of"), F.col("at").alias("last"), F.array_append("topics", F.col("topic")).alias("topics"), (F.col("ahead") + step).alias("ahead"))
+    if not chosen:
+        return rows.select(F.col("subject").alias(subject), F.col("id").alias(id_col), F.lit(0).cast("long").alias("place"))
+    return reduce(DataFrame.unionByName, chosen).withColumnsRenamed({"subject": subject, "id": id_col})

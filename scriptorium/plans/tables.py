@@ -222,7 +222,7 @@ def v3_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = F.col("end") - F.col("start")
     spans = intervals.speech_spans(s.where(length >= 2.5), "recording", 3600.0)
     finer = s.where(length >= 1.5).withColumn("level", F.lit(1)).unionByName(s.withColumn("level", F.lit(2)))
-    return intervals.refine_spans(spans, finer, "recording").select("recording", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+    return intervals.refine_spans(spans, finer, "recording", [1, 2]).select("recording", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
 def w3_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +259,18 @@ def w8_hourly_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, item_id % 7 <> 0 AS active, text AS prompt FROM benchmark)"
 _SIL = "z AS (SELECT user_id AS recording, event_id AS line, round((epoch_us(ts) % 3600000000) / 1e6, 3) AS start, round((epoch_us(ts) % 3600000000) / 1e6 + value % 3, 3) AS \"end\" FROM events)"
+_SPANS = """spans AS (SELECT recording, cursor AS start, start AS "end" FROM (
+  SELECT recording, start, coalesce(greatest(0.0, max("end") OVER (PARTITION BY recording ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0) AS cursor FROM z WHERE {where}
+  UNION ALL SELECT recording, 3600.0, max("end") FROM z WHERE {where} GROUP BY 1) WHERE start > cursor + 0.05)"""
+
+
+def _refined(n: int, of: str, where: str) -> str:
+    """Spans after one more level: cut at silences half a second inside, or left as they are."""
+    return f"""i{n} AS (SELECT p.recording, p.start AS s, p."end" AS e, z.start AS a, z."end" AS b FROM {of} p JOIN z ON z.recording = p.recording AND p."end" - p.start > 15 AND z.start > p.start + 0.5 AND z."end" < p."end" - 0.5 WHERE {where}),
+g{n} AS (SELECT recording, s, greatest(s, coalesce(max(b) OVER (PARTITION BY recording, s ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), s)) AS f, a AS t FROM i{n} UNION ALL SELECT recording, s, max(b), max(e) FROM i{n} GROUP BY 1, 2),
+l{n} AS (SELECT recording, f AS start, t AS "end" FROM g{n} WHERE t > f + 0.05 UNION ALL SELECT recording, start, "end" FROM {of} p WHERE NOT EXISTS (SELECT 1 FROM i{n} WHERE i{n}.recording = p.recording AND i{n}.s = p.start))"""
+
+
 _CLEAN = f"NOT ({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 
 QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
@@ -288,6 +300,11 @@ ORACLE = {
     "a11_agreement": "WITH l AS (SELECT source, doc_id, quality FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) FILTER (WHERE quality = 1) AS agreed, count(*) AS judged, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE quality <> 1))[1:5], ','), '') AS gaps FROM l GROUP BY 1",
     "v1_silence_log": f"WITH {_SIL} SELECT recording, start, \"end\" FROM z",
     "v2_speech_spans": f"""WITH {_SIL}, c AS (SELECT recording, start, coalesce(greatest(0.0, max("end") OVER (PARTITION BY recording ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0.0) AS cursor FROM z UNION ALL SELECT recording, 3600.0, max("end") FROM z GROUP BY 1) SELECT recording, round(cursor, 3) AS start, round(start, 3) AS "end" FROM c WHERE start > cursor + 0.05""",
+    "v3_refined": f"""WITH {_SIL}, {_SPANS.format(where='"end" - start >= 2.5')}, {_refined(1, 'spans', '"z"."end" - z.start >= 1.5')}, {_refined(2, 'l1', 'true')} SELECT recording, round(start, 3) AS start, round("end", 3) AS "end" FROM l2""",
+    "v4_clips": f"""WITH RECURSIVE {_SIL}, {_SPANS.format(where='true')}, n AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY start, "end") AS i FROM spans),
+f AS (SELECT recording, i, start AS clip, "end" FROM n WHERE i = 1 UNION ALL SELECT n.recording, n.i, CASE WHEN n."end" - f.clip <= 15 THEN f.clip ELSE n.start END, n."end" FROM f JOIN n ON n.recording = f.recording AND n.i = f.i + 1),
+c AS (SELECT recording, clip, max("end") AS last FROM f GROUP BY 1, 2), p AS (SELECT *, last - clip > 15 AS long, CASE WHEN last - clip > 15 THEN clip ELSE greatest(0, clip - 0.15) END AS s, CASE WHEN last - clip > 15 THEN last ELSE least(3600, last + 0.15) END AS e FROM c)
+SELECT recording, round(s, 3) AS start, round(e, 3) AS "end", CASE WHEN long THEN 'too long' WHEN e - s < 3 THEN 'too short' END AS dropped FROM p""",
     "w1_capture": f"WITH c AS (SELECT conv_id, turn, trim(text) AS t FROM conversations WHERE role = 'user'), k AS (SELECT conv_id, turn, CASE WHEN {found('t', *rules.REMEMBER)} THEN 0 WHEN {found('t', *rules.META)} THEN 1 WHEN {found('t', *rules.CORRECTION)} THEN 2 WHEN turn > 0 AND {found('t', rules.WEAK_CORRECTION)} THEN 2 ELSE 3 END AS k FROM c) SELECT conv_id, turn, ['material', 'meta', 'correction', 'chat'][k + 1] AS intent, k IN (1, 2) AS note, true AS work FROM k",
     "w2_session_memory": "WITH n AS (SELECT user_id, max(ts) AS now, max(ts) FILTER (WHERE event_type = 'signup') AS reset FROM events GROUP BY 1), e AS (SELECT e.user_id AS user_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY ts DESC, event_id DESC) AS k, ts FROM events e JOIN n USING (user_id) WHERE event_type <> 'signup' AND ts > now - INTERVAL 12 HOUR AND (reset IS NULL OR ts > reset)) SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS position FROM e WHERE k <= 30",
     "w3_retention": "WITH n AS (SELECT user_id, max(ts) AS now FROM events GROUP BY 1) SELECT user_id, count(*) AS stored, count(*) FILTER (WHERE ts > now - INTERVAL 12 HOUR) AS live FROM events JOIN n USING (user_id) GROUP BY 1",

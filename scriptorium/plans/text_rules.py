@@ -108,7 +108,7 @@ def p17_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p18_delivery_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tagged = F.concat(F.lit("[pause] "), F.substring("text", 1, 40), F.lit(" [Sighs] [whispers]"), F.lit("  [slows down]"))
+    tagged = F.concat(F.lit("[pause] "), F.col("text"), F.lit(" [Sighs] [whispers]"), F.lit("  [slows down]"))
     return table(spark, sf_dir, "documents").select("doc_id", rules.strip_tags(tagged, True).alias("kept"), rules.strip_tags(tagged, False).alias("plain"))
 
 
@@ -130,7 +130,7 @@ def s11_flat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s12_mail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped as mails in three ways, and unwrapped again."""
-    head = F.trim(F.regexp_replace(F.substring("text", 1, 200), "\\n", " "))
+    head = F.trim(F.regexp_replace("text", "\\n", " "))
     tail = F.when(F.col("doc_id") % 3 == 0, "\n\nBest regards,\nAnn\n").when(F.col("doc_id") % 3 == 1, "\n> quoted\nOn Monday the 3rd, Ann wrote:\n> more\nlost").otherwise("\n-- \nAnn\nlost")
     return table(spark, sf_dir, "documents").select("doc_id", markup.own_mail_text(F.concat(head, tail)).alias("own"))
 
@@ -159,7 +159,7 @@ def redacted_sql(source: str, keep: str) -> str:
 
 
 LAST = f"r{len(redaction.RULES)}"
-_TAGGED = "('[pause] ' || substr(text, 1, 40) || ' [Sighs] [whispers]' || '  [slows down]')"
+_TAGGED = "('[pause] ' || text || ' [Sighs] [whispers]' || '  [slows down]')"
 _SQUEEZE = "trim(regexp_replace({x}, '[ \\t]{{2,}}', ' ', 'g'))"
 _FLAT = "html"
 for _p in ("(?is)<script.*?</script>", "(?is)<style.*?</style>", "<[^>]+>", "(?i)&[a-z#0-9]+;", "\\s+"):
@@ -204,5 +204,5 @@ SELECT doc_id, tier, CASE WHEN tier = 'mutable' AND doc_id % 2 = 0 THEN 'positio
     "p20_model_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
     "s10_html_text": f"WITH t AS (SELECT page_id, {_HTML} AS t FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM t",
     "s11_flat_text": f"SELECT page_id, trim({_FLAT}) AS text FROM pages",
-    "s12_mail_text": "SELECT doc_id, trim(replace(substr(text, 1, 200), chr(10), ' ')) AS own FROM documents",
+    "s12_mail_text": "SELECT doc_id, trim(replace(text, chr(10), ' ')) AS own FROM documents",
 }

@@ -19,7 +19,7 @@ from scriptorium.session import table
 def s3_project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A description header only where there is one, and non-blank docs, exploded from JSON."""
     d = table(spark, sf_dir, "documents")
-    project = F.struct(F.col("source").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 20)).otherwise("").alias("description"), F.array(F.struct(F.lit("a").alias("filename"), F.substring("text", 1, 60).alias("content")), F.struct(F.lit("b").alias("filename"), F.lit("  ").alias("content"))).alias("docs"))
+    project = F.struct(F.col("source").alias("name"), F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("").alias("description"), F.array(F.struct(F.lit("a").alias("filename"), F.col("text").alias("content")), F.struct(F.lit("b").alias("filename"), F.lit("  ").alias("content"))).alias("docs"))
     p = d.select("doc_id", F.from_json(F.to_json(project), "struct<name:string,description:string,docs:array<struct<filename:string,content:string>>>").alias("p"))
     head = p.where("trim(p.description) <> ''").select("doc_id", F.lit("description").alias("part"), F.concat("p.name", F.lit(": "), "p.description").alias("text"))
     docs = p.select("doc_id", F.explode("p.docs").alias("f")).where("trim(f.content) <> ''").select("doc_id", F.col("f.filename").alias("part"), F.col("f.content").alias("text"))
@@ -91,10 +91,12 @@ def l4_gram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l8_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correction and meta turns whose text is in a store."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user' and turn % 2 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    found_ = holdout.sealed_matches(table(spark, sf_dir, "conversations").withColumn("store", F.col("conv_id") * 1000 + F.col("turn")).where("role = 'assistant' or turn % 2 = 0"), "store", "text", c, "id", "text")
-    return found_.where("id <> sid").select(F.col("id").alias("store_id"), F.col("sid").alias("turn_id"))
+    """Correction and meta turns whose text is in a store: in a document or in another turn."""
+    c = table(spark, sf_dir, "conversations").select("role", "text", F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("id"), "turn")
+    of = rules.event_intent(F.col("text"), F.lit("text"), F.lit(0.0), F.col("turn") > 0, F.lit(None).cast("string"))
+    notes = c.where("role = 'user'").withColumn("intent", of["intent"]).where("intent in ('correction', 'meta')")
+    stores = c.join(notes.select("id"), "id", "left_anti").select("id", "text").unionByName(table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text"))
+    return holdout.sealed_matches(stores, "id", "text", notes, "id", "text").select(F.col("id").alias("store_id"), F.col("sid").alias("turn_id"))
 
 
 def p9_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ def p9_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p19_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of model answers: stored or rejected, by the first check that fails."""
     c = table(spark, sf_dir, "conversations")
-    answer = F.to_json(F.struct(F.array(F.struct((F.col("conv_id") % 120).alias("source_id"), F.substring("text", 1, 300).alias("text"), F.get(F.array(*map(F.lit, ["fact", "belief", "odd", "insight"])), (F.col("turn") % 4).cast("int")).alias("type"), F.when(F.col("turn") % 3 == 0, "strong").alias("strength"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("topics"))).alias("statements")))
+    answer = F.to_json(F.struct(F.array(F.struct((F.col("conv_id") % 120).alias("source_id"), F.col("text"), F.get(F.array(*map(F.lit, ["fact", "belief", "odd", "insight"])), (F.col("turn") % 4).cast("int")).alias("type"), F.when(F.col("turn") % 3 == 0, "strong").alias("strength"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("topics"))).alias("statements")))
     parsed = c.select("conv_id", "turn", F.from_json(answer, "struct<statements:array<struct<source_id:bigint,text:string,type:string,strength:string,topics:array<string>>>>").alias("a")).select("conv_id", "turn", F.explode("a.statements").alias("s"))
     known = table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("source_id"), F.lit(True).alias("known"))
     j = parsed.select("conv_id", "turn", "s.*").join(known, "source_id", "left")
@@ -165,7 +167,7 @@ def v5_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u1_test_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic unit vector of each text; its size, norm and first component."""
-    v = table(spark, sf_dir, "documents").select("doc_id", udfs.test_embedding(F.substring("text", 1, 4000)).alias("v"))
+    v = table(spark, sf_dir, "documents").select("doc_id", udfs.test_embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("size"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
 
@@ -201,16 +203,20 @@ _CENTS = "CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) AS audio_c
 _TOPICS = f"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in rules.TOPIC_STOP)}))[1:3]"
 _LINTED = f"({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 ORACLE = {
-    "s3_project_docs": "SELECT doc_id, 'description' AS part, source || ': ' || substr(text, 1, 20) AS text FROM documents WHERE doc_id % 3 = 0 AND trim(substr(text, 1, 20)) <> '' UNION ALL SELECT doc_id, 'a', substr(text, 1, 60) FROM documents WHERE trim(substr(text, 1, 60)) <> ''",
+    "s3_project_docs": "SELECT doc_id, 'description' AS part, source || ': ' || text AS text FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> '' UNION ALL SELECT doc_id, 'a', text FROM documents WHERE trim(text) <> ''",
     "s4_export_format": "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS format, CASE WHEN turn % 4 = 2 THEN 'unknown format' WHEN turn % 4 = 3 THEN CASE WHEN regexp_matches(ltrim(text), '^[\\[{]') THEN 'unknown format' ELSE 'not JSON' END END AS skipped FROM conversations",
     "s6_interview": f"WITH {_R}, {_Q} SELECT session_id, CASE WHEN sealed THEN 'holdout' WHEN skipped THEN 'skipped' WHEN trim(prompt) = '' THEN 'blank' ELSE 'item' END AS route, count(*) AS n, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
     "s7_session_files": "SELECT doc_id, source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.png' ELSE '.md' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unsupported' WHEN doc_id % 9 = 0 OR trim(text) = '' THEN 'empty' END AS skipped FROM documents",
     "k2_sealed_write": f"WITH {redacted_sql('benchmark', 'item_id')} SELECT item_id, t AS redacted FROM r{len(redaction.RULES)}",
     "k3_selective_rebuild": "SELECT doc_id, CASE WHEN source IN ('src2', 'src5') THEN 0 ELSE n_chars END AS n_chars, source FROM documents",
     "l4_gram_set": f"WITH t AS (SELECT {TOK_LIST} AS w FROM benchmark) SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM t",
-    "l8_firewall": f"WITH n AS (SELECT conv_id * 1000 + turn AS id, role, turn, {NORMAL} AS n FROM conversations) SELECT s.id AS store_id, c.id AS turn_id FROM n s JOIN n c ON c.role = 'user' AND c.turn % 2 = 0 AND (s.role = 'assistant' OR s.turn % 2 = 0) AND s.id <> c.id AND length(c.n) >= 40 AND contains(s.n, c.n)",
+    "l8_firewall": f"WITH c AS (SELECT 'turn:' || conv_id || ':' || turn AS id, role, turn, text, trim(text) AS t FROM conversations), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
     "p9_own_text": "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'spoken' ELSE 'written' END AS mode, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1, 2",
-    "p19_validated": f"WITH c AS (SELECT conv_id, turn, substr(text, 1, 300) AS text FROM conversations) SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, 'a,b,c' AS topics FROM c",
+    "p19_validated": f"SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, 'a,b,c' AS topics FROM conversations",
+    "r5_exemplars": """WITH RECURSIVE d AS (SELECT lang AS subject, doc_id, source AS topic, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS step, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 11 DESC, doc_id) AS pos FROM documents WHERE doc_id % 11 <= 4),
+s AS (SELECT DISTINCT subject, 0::BIGINT AS place, NULL::BIGINT AS doc_id, 0::BIGINT AS last, []::VARCHAR[] AS topics, 0 AS ahead FROM d
+UNION ALL SELECT subject, place, doc_id, pos, topics, ahead FROM (SELECT s.subject AS subject, place + 1 AS place, d.doc_id AS doc_id, pos, list_append(topics, topic) AS topics, ahead + step AS ahead, row_number() OVER (PARTITION BY s.subject ORDER BY pos) AS r FROM s JOIN d ON d.subject = s.subject AND pos > last AND len(list_filter(topics, lambda t: t = topic)) < 2 AND step * ahead < 4 WHERE place < 12) WHERE r = 1)
+SELECT subject, doc_id, place FROM s WHERE place > 0""",
     "r7_correction_pairs": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, turn FROM c WHERE {WORDS} BETWEEN 20 AND 140",
     "m12_ship_gate": "WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_id % 2 = 0 AND event_type = 'view') AS before, count(*) FILTER (WHERE event_id % 2 = 1 AND event_type = 'view') AS after FROM events GROUP BY 1) SELECT *, after >= before AS ship FROM c",
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),

@@ -133,14 +133,16 @@ def test_upsert_twice_is_once(spark):
 
 
 def test_intervals(spark):
-    assert intervals.spans_of([(4, 5), (11, 12), (30, 31)], 33.5) == [(0, 4), (5, 11), (12, 30), (31, 33.5)]
     s = spark.createDataFrame([("r", 4.0, 5.0), ("r", 11.0, 12.0), ("r", 30.0, 31.0)], "rec string, start double, end double")
     spans = intervals.speech_spans(s, "rec", 33.5)
     assert sorted((r.start, r.end) for r in spans.collect()) == [(0, 4), (5, 11), (12, 30), (31, 33.5)]
     clips = intervals.plan_clips(spans, "rec", 33.5).collect()
     kept = sorted((round(r.start, 2), round(r.end, 2)) for r in clips if r.dropped is None)
     assert kept == [(0, 11.15)] and sorted(r.dropped for r in clips if r.dropped) == ["too long", "too short"]
-    assert intervals.refined([(0.0, 40.0)], [[(14.0, 14.5)], [(28.0, 28.4)]]) == [(0.0, 14.0), (14.5, 28.0), (28.4, 40.0)]
+    one = spark.createDataFrame([("r", 0.0, 40.0), ("q", 0.0, 9.0), ("p", 2.0, 30.0)], "rec string, start double, end double")
+    finer = spark.createDataFrame([("r", 0, 14.0, 14.5), ("r", 1, 28.0, 28.4), ("q", 0, 3.0, 4.0), ("r", 1, 5.0, 6.0), ("p", 0, 2.3, 9.0), ("p", 1, 10.0, 11.0)], "rec string, level int, start double, end double")
+    got = sorted((r.rec, r.start, r.end) for r in intervals.refine_spans(one, finer, "rec", [0, 1]).collect())
+    assert got == [("p", 2.0, 10.0), ("p", 11.0, 30.0), ("q", 0.0, 9.0), ("r", 0.0, 14.0), ("r", 14.5, 28.0), ("r", 28.4, 40.0)]
 
 
 def test_split_write_and_rebuild(spark, tmp_path):

@@ -54,13 +54,24 @@ def test_regrouped_texts_of_a_group_over_many_partitions(spark):
     assert "_part" in out._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_exemplars_equal_the_sequential_pick(spark):
+def test_exemplars(spark):
     r = np.random.default_rng(1)
-    rows = [("s", i, int(r.integers(0, 9)), int(r.integers(0, 9)), f"t{r.integers(0, 12)}", ["spoken", "written"][int(r.random() < 0.3)]) for i in range(300)]
-    df = spark.createDataFrame(rows, "s string, id long, style int, asked int, topic string, mode string").repartition(5)
-    got = [q.id for q in sorted(pack.pick_exemplars(df, "s", "id").collect(), key=lambda q: q.place)]
-    ordered = sorted((x for x in rows if x[3] <= 4), key=lambda x: (-x[2], x[1]))
-    assert got == [ordered[i][1] for i in pack.pick([(x[4], x[5]) for x in ordered])] and 8 <= len(got) <= 12
+    rows = [(s, i, int(r.integers(0, 9)), int(r.integers(0, 9)), None if i % 11 == 0 else f"{'tT'[i % 2]}{r.integers(0, 12)}", ["spoken", "written"][int(r.random() < p)]) for s, p in (("s", 0.3), ("t", 0.05), (None, 0.5)) for i in range(200)]
+    rows += [("one", 1, 5, 9, "a", "spoken"), ("two", 1, 5, 0, "a", "spoken"), ("two", 2, None, 0, "a", "spoken")]
+    got = {}
+    for q in sorted(pack.pick_exemplars(spark.createDataFrame(rows, "s string, id long, style int, asked int, topic string, mode string").repartition(5), "s", "id").collect(), key=lambda q: q.place):
+        got.setdefault(q.s, []).append(q.id)
+    assert set(got) == {"s", "t", None, "two"}
+    for subject, ids in got.items():
+        # by the definition: a row in order is chosen if and only if it fits to those chosen before it
+        order = sorted((x for x in rows if x[0] == subject and x[2] is not None and x[3] <= 4), key=lambda x: (-x[2], x[1]))
+        taken = []
+        for x in order:
+            topic = [(y[4] or "misc").lower() for y in taken]
+            ahead = sum(y[5] == x[5] for y in taken) - sum(y[5] != x[5] for y in taken)
+            if len(taken) < 12 and topic.count((x[4] or "misc").lower()) < 2 and ahead < 4:
+                taken.append(x)
+        assert ids == [x[1] for x in taken]
 
 
 def test_caller_supplied_functions(spark):

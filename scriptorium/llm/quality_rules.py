@@ -53,6 +53,9 @@ POOLED_WEIGHT = 50
 #: Bins of the histogram of distances in each e-fold, and of the grid of medians in each unit.
 BINS, GRID = 32, 1000
 
+#: Groups whose estimates are sent to all workers; the rows of more groups are dealt by group.
+MOST_SENT = 20_000
+
 _M = [f"m{i}" for i in range(DIMS)]
 _X = [f"x{i}" for i in range(DIMS)]
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
@@ -120,9 +123,15 @@ def _robust(rows: DataFrame, g: list[str]) -> DataFrame:
     return both.groupBy(*g).agg(F.max("n").alias("n"), *[of("m", i).alias(f"m{i}") for i in range(DIMS)], *[F.sqrt(F.pow(1.4826 * of("s", i), 2) + floor[i] ** 2).alias(f"s{i}") for i in range(DIMS)])
 
 
-def _starts(rows: DataFrame, g: list[str]) -> DataFrame:
+def _sent(estimate: DataFrame, groups: int) -> DataFrame:
+    """`estimate` (a few rows a group), for a join: so that a group that holds most rows need not
+    go to one task, it is sent to the rows if it is small."""
+    return F.broadcast(estimate) if groups <= MOST_SENT else estimate
+
+
+def _starts(rows: DataFrame, robust: DataFrame, g: list[str]) -> DataFrame:
     """g, start, n, m0.., c00..: estimates to begin with."""
-    joined = rows.join(_robust(rows, g), g)
+    joined = rows.join(robust, g)
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"s{i}") for i in range(DIMS)]
     joined = joined.withColumns({f"z{i}": c for i, c in enumerate(z)})
     norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIMS)), F.col("z0") * F.col("z0")))
@@ -157,7 +166,7 @@ def _factored(estimate: DataFrame) -> DataFrame:
 
 def _measured(rows: DataFrame, estimate: DataFrame, g: list[str], *also: str) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance under each estimate of the row's group, and `also`."""
-    joined = rows.join(estimate.select(*g, *_M, *_L, *also), g)
+    joined = rows.join(estimate, g)
     for i in range(DIMS):  # forward substitution, a column each, so that no term is computed twice
         joined = joined.withColumn(f"_z{i}", F.col(f"x{i}") - F.col(f"m{i}"))
     for i in range(DIMS):
@@ -169,16 +178,16 @@ def _measured(rows: DataFrame, estimate: DataFrame, g: list[str], *also: str) ->
     return joined.withColumn("d2", d2).select(*rows.columns, *also, "d2")
 
 
-def _concentrated(rows: DataFrame, estimate: DataFrame, g: list[str]) -> DataFrame:
+def _concentrated(rows: DataFrame, estimate: DataFrame, g: list[str], groups: int) -> DataFrame:
     """g, start, n, m0.., c00..: of the SHARE of a group's rows that is nearest to each estimate."""
     of = [*g, "start"]
-    binned = _measured(rows.select(*g, *_X), estimate, g, "start").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
+    binned = _measured(rows.select(*g, *_X), _sent(estimate, groups), g, "start").withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
     bins = binned.groupBy(*of, "bin").agg(F.count("*").alias("k"))
     whole = Window.partitionBy(*of)
     before = F.coalesce(F.sum("k").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = bins.withColumn("before", before).withColumn("h", F.ceil(SHARE * F.sum("k").over(whole)))
     last = bins.where("before < h and h <= before + k").select(*of, F.col("bin").alias("last"), ((F.col("h") - F.col("before")) / F.col("k")).alias("part"))
-    near = binned.join(last, of).where("bin <= last").withColumn("w", F.when(F.col("bin") < F.col("last"), 1.0).otherwise(F.col("part")))
+    near = binned.join(_sent(last, groups), of).where("bin <= last").withColumn("w", F.when(F.col("bin") < F.col("last"), 1.0).otherwise(F.col("part")))
     sums = near.groupBy(*of).agg(F.sum("w").alias("n"), *[(F.sum(F.col("w") * F.col(x)) / F.sum("w")).alias(f"m{i}") for i, x in enumerate(_X)], *[(F.sum(F.col("w") * F.col(f"x{i}") * F.col(f"x{j}")) / F.sum("w")).alias(f"c{i}{j}") for i, j in _PAIRS])
     return sums.withColumns({f"c{i}{j}": (F.col(f"c{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * consistency() for i, j in _PAIRS})
 
@@ -186,10 +195,12 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, g: list[str]) -> DataFra
 def estimates(rows: DataFrame, g: list[str]) -> DataFrame:
     """g, n, m0.., c00.., l00.., det: the smallest determinant found in each group. `g` has no nulls."""
     names = ["n", *_M, *_C, *_L, "det"]
-    now = _factored(_starts(rows, g)).withColumn("det", F.lit(float("inf"))).withColumn("open", F.lit(True))
+    robust = materialise(_robust(rows, g), "robust")
+    groups = robust.count()
+    now = _factored(_starts(rows, _sent(robust, groups), g)).withColumn("det", F.lit(float("inf"))).withColumn("open", F.lit(True))
     now = materialise(now.select(*g, "start", *names, "open"), "estimate")
     for _ in range(MOST_STEPS):
-        new = _factored(_concentrated(rows, now.where("open"), g)).select(*g, "start", *[F.col(c).alias(f"_{c}") for c in names])
+        new = _factored(_concentrated(rows, now.where("open"), g, groups)).select(*g, "start", *[F.col(c).alias(f"_{c}") for c in names])
         lower = F.coalesce(F.col("_det") < F.col("det") * (1 - FALL), F.lit(False))
         both = now.join(new, [*g, "start"], "left").withColumn("lower", lower)
         now = materialise(both.select(*g, "start", *[F.when(F.col("lower"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in names], F.col("lower").alias("open")), "estimate")
@@ -212,7 +223,7 @@ def outliers(rows: DataFrame, keys: list[str]) -> DataFrame:
     g = [f"_g{i}" for i in range(len(keys))]
     marked = rows.withColumns({n: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for n, k in zip(g, keys)})  # nulls are a value
     found = materialise(_factored(_pooled(estimates(marked, g).select(*g, "n", *_M, *_C))), "estimate")
-    return _measured(marked, found, g).withColumn("outlier", F.coalesce(F.col("d2") > chi_square_quantile(CUTOFF, DIMS), F.lit(False))).drop(*g)
+    return _measured(marked, _sent(found, found.count()), g).withColumn("outlier", F.coalesce(F.col("d2") > chi_square_quantile(CUTOFF, DIMS), F.lit(False))).drop(*g)
 
 
 def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:

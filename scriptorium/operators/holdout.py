@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
-from scriptorium.operators.style import grams
+from scriptorium.operators.style import bind, grams
 
 LEAST_CHARS, GRAM = 40, 8
-ANCHOR = 4
+#: Words of an anchor, and its characters where there are no words for one.
+ANCHOR, LETTERS = 4, 16
 
 
 def word_grams(df: DataFrame, keys: list[str], text_col: str, n: int = GRAM) -> DataFrame:
@@ -29,20 +30,36 @@ def longest_copied_run(replies: DataFrame, key: str, text_col: str, sources: Dat
     return replies.select(key).join(runs, key, "left").select(key, F.coalesce("run", F.lit(0)).cast("long").alias("run"))
 
 
+def _run_hashes(words: Column, n: int) -> Column:
+    """A hash of each run of n words; different lengths have different hashes."""
+    of = lambda w: lambda i: F.xxhash64(F.lit(n), *[F.get(w, i + j) for j in range(n)])
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - n), of(w))
+    return bind(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
+def _letter_hashes(words: Column) -> Column:
+    """A hash of each run of LETTERS characters within the long words."""
+    long = F.filter(words, lambda w: F.length(w) >= LETTERS)
+    runs = F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (LETTERS - 1)), lambda i: F.xxhash64(F.lit(0), F.substr(w, i, F.lit(LETTERS)))))
+    return F.flatten(runs)
+
+
 def sealed_matches(docs: DataFrame, id_col: str, text_col: str, sealed: DataFrame, sealed_id: str, sealed_text: str) -> DataFrame:
     """id, sealed_id of texts that contain a sealed text (identity forms, both long enough).
 
-    Anchored: one run (of the largest hash) of interior words of each sealed text is joined with
-    the runs of the documents, then containment is checked on the texts. The first and last
-    word may be cut by a substring match, so texts of fewer than ANCHOR + 2 words have no
-    anchor; those few go to every document by a nested loop."""
+    Anchored: one run (of the largest hash) of up to ANCHOR interior words of each sealed text
+    meets the runs of the documents; the first and last word may be cut by a match within words.
+    A text of one or two words is so long that one of them has LETTERS characters, which lie
+    in one word of the document: its anchor is a run of these. Only ids and hashes are spread out;
+    texts join the pairs that met, and containment is checked on them."""
     s = sealed.select(F.col(sealed_id).alias("sid"), tx.normalize(F.col(sealed_text)).alias("sealed")).where(F.length("sealed") >= LEAST_CHARS)
     d = docs.select(F.col(id_col).alias("id"), tx.normalize(F.col(text_col)).alias("norm")).where(F.length("norm") >= LEAST_CHARS)
-    hashes = lambda: F.transform(grams(F.col("_w"), ANCHOR), lambda g: F.xxhash64(g))
-    inner = s.withColumn("_w", F.split("sealed", " ")).withColumn("_w", F.expr("slice(_w, 2, greatest(size(_w) - 2, 0))"))
-    anchored = inner.select("sid", "sealed", F.array_max(hashes()).alias("_a"))
-    runs = d.withColumn("_w", F.split("norm", " ")).select("id", "norm", F.array_distinct(hashes()).alias("_r")).select("id", "norm", F.explode("_r").alias("_a"))
-    inside = F.col("norm").contains(F.col("sealed"))
-    long = runs.join(anchored.where("_a is not null"), "_a").where(inside).select("id", "sid").distinct()
-    short = d.join(anchored.where("_a is null").select("sid", "sealed"), inside).select("id", "sid")
-    return long.unionByName(short)
+    inner = s.withColumn("_w", F.split("sealed", " ")).withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(ANCHOR), F.size("_w") - 2)))
+    kinds = sorted(r[0] for r in inner.select("_k").distinct().collect())  # ANCHOR + 1 at most
+    own = lambda k, w: _letter_hashes(w) if k == 0 else _run_hashes(w, k)
+    anchors = [F.when(F.col("_k") == k, F.array_max(own(k, F.col("_w") if k == 0 else F.expr("slice(_w, 2, size(_w) - 2)")))) for k in kinds]
+    anchored = inner.select("sid", F.coalesce(*anchors, F.lit(None).cast("long")).alias("_a")).where("_a is not null")
+    split = d.select("id", F.split("norm", " ").alias("_w"))
+    hashes = F.array_distinct(F.concat(*[own(k, F.col("_w")) for k in kinds])) if kinds else F.expr("cast(array() as array<bigint>)")
+    met = split.select("id", F.explode(hashes).alias("_a")).join(anchored, "_a").select("id", "sid").distinct()
+    return d.join(met, "id").join(s, "sid").where(F.col("norm").contains(F.col("sealed"))).select("id", "sid").distinct()

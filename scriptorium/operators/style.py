@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
+from scriptorium.operators.places import placed
+from scriptorium.session import materialise
 
 # Function words in rank order, and the marker lists.
 FUNCTION_WORDS = (
@@ -78,9 +80,12 @@ def length_bucket(n: Column) -> Column:
     return out.otherwise(">100")
 
 
-def baseline(spark, words: list[str]) -> DataFrame:
-    """gram, probability of a ranked word list: 0.07 by rank."""
-    return spark.createDataFrame([(w, 0.07 / (i + 1)) for i, w in enumerate(dict.fromkeys(words))], "word string, p double")
+def common_words(df: DataFrame, text_col: str, k: int = 250) -> DataFrame:
+    """word, p: the baseline of general usage, 0.07 by rank over the k most frequent words of `df`,
+    a collection other than the one that is described."""
+    counts = df.select(F.explode(tx.style_tokens(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(k)  # k rows in one task from here on
+    return top.select("word", (0.07 / F.row_number().over(Window.orderBy(F.desc("n"), "word"))).alias("p"))
 
 
 def distinctive(counts: DataFrame, keys: list[str], base: DataFrame, k: int = 60, floor: float = 3e-6) -> DataFrame:
@@ -94,20 +99,42 @@ def distinctive(counts: DataFrame, keys: list[str], base: DataFrame, k: int = 60
     return top_per(scored, keys, [F.desc(F.col("score") * F.log(1 + F.col("count"))), "gram"], k)
 
 
+def _terms_in(tokens: Column, terms: list[str]) -> Column:
+    """The terms that occur in an array of tokens, as often as they do. Only where a term's first
+    word stands are longer runs spelled out."""
+    words = [t for t in terms if " " not in t]
+    phrases = [t for t in terms if " " in t]
+    own = F.filter(tokens, lambda w: w.isin(words))
+    if not phrases:
+        return own
+    firsts = sorted({t.split()[0] for t in phrases})
+    lengths = sorted({len(t.split()) for t in phrases})
+    at = F.array_compact(F.transform(tokens, lambda w, i: F.when(w.isin(firsts), i + 1)))
+    runs = F.transform(at, lambda i: F.array_distinct(F.array(*[F.array_join(F.slice(tokens, i, n), " ") for n in lengths])))
+    return F.concat(own, F.filter(F.flatten(runs), lambda g: g.isin(phrases)))
+
+
 def term_rates(df: DataFrame, keys: list[str], text_col: str, terms: list[str]) -> DataFrame:
     """per_1k, baseline and ratio of each term that occurs; terms may have several words."""
     spark = df.sparkSession
     ranks = {w: 70.0 / (i + 1) for i, w in enumerate(dict.fromkeys(FUNCTION_WORDS))}
-    given = spark.createDataFrame([(t, PHRASE_PER_1K if " " in t else ranks.get(t, FLOOR_PER_1K)) for t in terms], "gram string, base double")
-    lengths = sorted({len(t.split()) for t in terms})
-    tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w"))
-    total = tokens.groupBy(*keys).agg(F.sum(F.size("_w")).alias("total"))
-    # only grams that are terms leave the row
-    known = F.array(*map(F.lit, terms))
-    each = F.flatten(F.array(*[F.filter(grams(F.col("_w"), n), lambda g: F.array_contains(known, g)) for n in lengths]))
-    counts = tokens.select(*keys, F.explode(each).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("count"))
+    given = spark.createDataFrame([(t, PHRASE_PER_1K if " " in t else ranks.get(t, FLOOR_PER_1K)) for t in terms], "term string, base double")
+    found = bind(tx.style_tokens(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), _terms_in(w, terms).alias("t")))
+    tokens = df.select(*keys, found.alias("_found"))
+    # one pass: a text's own counts leave the row, its tokens don't; the empty term counts all
+    each = F.concat(F.transform("_found.t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("k"))), F.array(F.struct(F.lit("").alias("term"), F.col("_found.n").alias("k"))))
+    counts = tokens.select(*keys, F.explode(each).alias("x")).groupBy(*keys, "x.term").agg(F.sum("x.k").alias("count"))
+    counts = materialise(counts, "terms")
+    total = counts.where("term = ''").select(*keys, F.col("count").alias("total"))
     rate = 1000 * F.col("count") / F.col("total")
-    return counts.join(total, keys).join(F.broadcast(given), "gram").select(*keys, F.col("gram").alias("term"), F.round(rate, 2).alias("per_1k"), F.round("base", 2).alias("baseline"), F.round(rate / F.col("base"), 2).alias("ratio")).where("per_1k > 0")
+    return counts.join(total, keys).join(F.broadcast(given), "term").select(*keys, "term", F.round(rate, 2).alias("per_1k"), F.round("base", 2).alias("baseline"), F.round(rate / F.col("base"), 2).alias("ratio")).where("per_1k > 0")
+
+
+def listed(rates: DataFrame, keys: list[str], terms: list[str], most: int, name: str) -> DataFrame:
+    """keys and `name`: the first `most` of `terms` that occur, in the order of `terms`, with their rates."""
+    place = F.array_position(F.array(*map(F.lit, terms)), F.col("term"))
+    own = rates.where(F.col("term").isin(terms)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place.alias("i"), "term", "per_1k"))).alias("x"))  # the list at most
+    return own.select(*keys, F.array_join(F.transform(F.slice("x", 1, most), lambda t: F.concat_ws(":", t["term"], t["per_1k"])), ",").alias(name))
 
 
 def markers(rates: DataFrame, keys: list[str], k: int = 25) -> DataFrame:
@@ -138,15 +165,17 @@ def punctuation(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     )
 
 
-def word_profile(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """keys, word, per_1k of every function word, zeros included; one pass, no gram shuffle."""
+def word_profile(df: DataFrame, keys: list[str], text_col: str, counted: bool = False) -> DataFrame:
+    """keys, word, per_1k of every function word, zeros included, and if `counted` also its count
+    and the total; one pass, no gram shuffle."""
     tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w"))
     known = F.array(*map(F.lit, FUNCTION_WORDS))
-    own = tokens.select(*keys, F.size("_w").alias("n"), F.filter("_w", lambda w: F.array_contains(known, w)).alias("_w"))
+    own = tokens.select(*keys, F.size("_w").alias("n"), F.filter("_w", lambda w: w.isin(FUNCTION_WORDS)).alias("_w"))
     total = own.groupBy(*keys).agg(F.sum("n").alias("total"))
     counts = own.select(*keys, F.explode("_w").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("count"))
     every = total.select(*keys, "total", F.explode(known).alias("word"))
-    return every.join(counts, [*keys, "word"], "left").select(*keys, "word", (1000 * F.coalesce("count", F.lit(0)) / F.greatest("total", F.lit(1))).alias("per_1k"))
+    more = [F.coalesce("count", F.lit(0)).alias("count"), "total"] if counted else []
+    return every.join(counts, [*keys, "word"], "left").select(*keys, "word", (1000 * F.coalesce("count", F.lit(0)) / F.greatest("total", F.lit(1))).alias("per_1k"), *more)
 
 
 def profile_spread(profile: DataFrame, keys: list[str]) -> DataFrame:
@@ -162,9 +191,10 @@ def delta(a: DataFrame, b: DataFrame, spread: DataFrame, keys: list[str]) -> Dat
 
 
 def self_distance(df: DataFrame, keys: list[str], order: str, text_col: str) -> DataFrame:
-    """Delta between alternate documents of a subject."""
-    half = (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1) % 2
-    rows = df.withColumn("_half", half)
-    spread = profile_spread(word_profile(df, [*keys, order], text_col), keys)
-    halves = word_profile(rows, [*keys, "_half"], text_col)
-    return delta(halves.where("_half = 0"), halves.where("_half = 1"), spread, keys)
+    """Delta between alternate documents of a subject. Texts are counted once; only ids are ranked."""
+    profile = materialise(word_profile(df, [*keys, order], text_col, True), "profile")
+    places = placed(df.select(*keys, order), *keys, order)
+    first = places.groupBy(*keys).agg(F.min("_i").alias("_first"))
+    halves = places.join(first, keys).select(*keys, order, ((F.col("_i") - F.col("_first")) % 2).alias("_half"))
+    both = profile.join(halves, [*keys, order]).groupBy(*keys, "_half", "word").agg((1000 * F.sum("count") / F.greatest(F.sum("total"), F.lit(1))).alias("per_1k"))
+    return delta(both.where("_half = 0"), both.where("_half = 1"), profile_spread(profile, keys), keys)

@@ -266,11 +266,6 @@ def l5_copied_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdout.longest_copied_run(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "benchmark"), "text")
 
 
-def l6_copy_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = l5_copied_run(spark, sf_dir).join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id")
-    return runs.groupBy("source").agg(F.round(100 * F.avg((F.col("run") >= 8).cast("int")), 1).alias("flag_rate"), F.round(F.avg("run"), 2).alias("mean_run"))
-
-
 def l7_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply fails if it repeats eight words of the turn two before it."""
     c = table(spark, sf_dir, "conversations")
@@ -288,7 +283,7 @@ _RUNS = f"""b AS (SELECT DISTINCT gram FROM (SELECT {_GRAMS8} FROM (SELECT {TOK}
 h AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM g WHERE gram IN (SELECT gram FROM b)), k AS (SELECT doc_id, max(c) + 7 AS run FROM (SELECT doc_id, i, count(*) AS c FROM h GROUP BY ALL) GROUP BY doc_id),
 runs AS (SELECT doc_id, source, CAST(coalesce(run, 0) AS BIGINT) AS run FROM documents LEFT JOIN k USING (doc_id))"""
 
-QUERIES = {f.__name__: f for f in (corpus_report, corpus_build, s1_chat_export_a, s2_chat_export_b, s5_conversation_stats, s8_work_manifest, s9_extensions, s13_archives, k1_split_write, k4_upsert, k5_stale_origins, k9_report_totals, k10_release_scan, d1_exact_duplicates, d2_near_pairs, d3_dedup_counts, c1_chunks, c4_regroup, c6_passages, l1_sealed, l2_hash_leaks, l3_quarantine, l5_copied_run, l6_copy_rate, l7_regressions)}
+QUERIES = {f.__name__: f for f in (corpus_report, corpus_build, s1_chat_export_a, s2_chat_export_b, s5_conversation_stats, s8_work_manifest, s9_extensions, s13_archives, k1_split_write, k4_upsert, k5_stale_origins, k9_report_totals, k10_release_scan, d1_exact_duplicates, d2_near_pairs, d3_dedup_counts, c1_chunks, c4_regroup, c6_passages, l1_sealed, l2_hash_leaks, l3_quarantine, l5_copied_run, l7_regressions)}
 ORACLE = {
     "corpus_report": f"""
 WITH {redacted_sql("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn')},
@@ -314,6 +309,5 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n)",
     "l3_quarantine": f"WITH d AS (SELECT doc_id, source, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark WHERE length(text) >= 40)) SELECT source, count(DISTINCT item_id) AS items, count(*) AS hits FROM d JOIN b ON contains(n, s) WHERE length(s) >= 40 AND length(n) >= 40 GROUP BY source",
     "l5_copied_run": f"WITH {_RUNS} SELECT doc_id, run FROM runs",
-    "l6_copy_rate": f"WITH {_RUNS} SELECT source, round(100 * avg(CASE WHEN run >= 8 THEN 1 ELSE 0 END), 1) AS flag_rate, round(avg(run), 2) AS mean_run FROM runs GROUP BY source",
     "l7_regressions": f"WITH g AS (SELECT conv_id, turn, {_GRAMS8} FROM (SELECT conv_id, turn, {TOK} AS w FROM conversations)), f AS (SELECT DISTINCT a.conv_id, a.turn FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = b.turn + 2 AND a.gram = b.gram) SELECT conv_id, turn, (conv_id, turn) IN (SELECT (conv_id, turn) FROM f) AS failed FROM conversations",
 }

@@ -184,3 +184,15 @@ def test_session_memory(spark):
     df = spark.createDataFrame(rows, "u string, id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = stream.session_memory(df, "u", "ts", "id", F.col("k") == "r").collect()
     assert sorted((r.position, r.id) for r in got) == [(1, 4), (2, 5)]
+
+
+def test_sealed_texts_of_any_number_of_words(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcde") for _ in range(n))
+    sealed = [" ".join(word(r.randrange(*size)) for _ in range(n)) for n, size in ((1, (40, 50)), (2, (20, 40)), (3, (14, 20)), (4, (10, 14)), (5, (8, 12)), (6, (7, 9)), (12, (3, 6))) for _ in range(6)]
+    docs = [f"{word(5)}{x if k % 2 else x[:-1]}{word(4)} {word(9)}" for k, x in enumerate(sealed)] + [f"{word(3)} {x.upper()}  {word(3)}" for x in sealed] + [word(60), " ".join(word(4) for _ in range(30)), None, "", "short"]
+    d = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    s = spark.createDataFrame([*enumerate(sealed), (900, None), (901, "tiny")], "item long, text string")
+    got = sorted(map(tuple, holdout.sealed_matches(d, "id", "text", s, "item", "text").collect()))
+    assert got == sorted((i, j) for i, t in enumerate(docs) for j, x in enumerate(sealed) if x in " ".join((t or "").lower().split()))
+    assert holdout.sealed_matches(d, "id", "text", s.limit(0), "item", "text").count() == 0

@@ -19,10 +19,16 @@ bucket is lost.
 Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
 steps shrink what is left, until all links form stars. No link or group passes the driver.
 
+No task gets a hot key: the few classes and buckets with more than a HOT-th of all rows are sent
+to the rows, so that these need not meet by key; all other rows do. Blocks are cut by members and by
+the size of their sets.
+
 Defined results: documents without words (null, empty or blank texts) have an empty set, link
-with nothing and stay; fewer words than a shingle make one shingle of all words. Repeated
-rows of one id are one document if their texts are equal. Rows without an id stay out. An
-empty table gives an empty table. Other columns are ignored.
+with nothing and stay; fewer words than a shingle make one shingle of all words. Rows of one id are one
+document, linked by any of its texts; each row is returned. Rows without an id have their
+n_shingles, no component_id, and stay. A very long text is read whole, one at a time. Ties cannot
+occur (ids are ordered). An empty table gives an empty table. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -54,8 +60,10 @@ class Settings:
         return self.bands * self.rows
 
 
-#: Members of a bucket's largest group, and of the others, that are compared at once.
-BLOCK = 256
+#: Members of a bucket's largest group, and of the others, that are compared at once, and shingles.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: A key with more than a HOT-th of all rows is hot; there are fewer than HOT of these.
+HOT = 1_000
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
 PART_BYTES = 4_000_000
@@ -95,6 +103,15 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return best.reshape(-1, m)
 
 
+def _met(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` joined with `facts`, one row a key, by key; `n` of facts is how many rows have the key, of
+    `total`. Hot keys are sent to the rows, the others meet by key."""
+    hot = F.broadcast(facts.where(F.col(n) > total / HOT))  # fewer than HOT rows
+    of_hot = rows.join(hot, key)
+    cold = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(n) <= total / HOT), key, how)
+    return of_hot.unionByName(cold)
+
+
 def _signed(df: DataFrame, s: Settings) -> DataFrame:
     """id, n_shingles, set_key, bands (a hash each)."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -137,7 +154,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
     rows = docs.join(where.hint("merge"), "id").select("a", "salt", "kind", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, base = None, None
+        of, bases = None, []
         for batch in batches:
             for x, y in text_parts(batch, 4, PART_BYTES):
                 u, v = [], []
@@ -145,8 +162,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
                 for a, kind, i, text in zip(*(part.column(c).to_pylist() for c in ("a", "kind", "id", "text"))):
                     own = shingle_set(text, s.shingle)
                     if kind == 0:
-                        of, base = a, own
-                    elif of == a and linked(base, own, s.percent):
+                        of, bases = a, [*bases, own] if of == a else [own]
+                    elif of == a and any(linked(base, own, s.percent) for base in bases):
                         u.append(a)
                         v.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -231,10 +248,11 @@ def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[t
 
 
 def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """Links u, v between members (bucket, id, component) of one bucket in different groups."""
-    groups = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = groups.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("n"), F.sum("n").alias("all")).select("bucket", "main", blocks(F.col("n")).alias("m"), blocks(F.col("all") - F.col("n")).alias("s"))
+    """Links u, v between members (bucket, id, n_shingles, component) of one bucket in different groups."""
+    groups = members.groupBy("bucket", "component").agg(F.struct(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), "component").alias("x"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
+    sizes = groups.groupBy("bucket").agg(F.max("x").alias("x"), F.sum("x.n").alias("all"), F.sum("x.w").alias("w"))
+    sizes = materialise(sizes.select("bucket", F.col("x.component").alias("main"), "all", blocks(F.col("x.n"), F.col("x.w")).alias("m"), blocks(F.col("all") - F.col("x.n"), F.col("w") - F.col("x.w")).alias("s")), "sizes")
     # Members of the main group meet each block of the others; the others also meet each other.
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -243,7 +261,7 @@ def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
         F.transform(upto(F.col("m")), lambda j: F.struct(F.lit(0).alias("kind"), own(F.col("s")).alias("x"), j.alias("y"))),
         F.transform(upto(F.col("s")), lambda k: F.struct(F.lit(1).alias("kind"), F.least(own(F.col("s")), k).alias("x"), F.greatest(own(F.col("s")), k).alias("y"))),
     )
-    placed = members.join(sizes, "bucket").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
+    placed = _met(members, sizes, "bucket", "all", members.count()).select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
     rows = texts.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,41 +289,50 @@ def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, id, component of the members of buckets that hold several groups."""
-    grouped = met.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket")
-    return materialise(grouped.join(mixed, "bucket"), "unsettled")
+    """bucket, id, n_shingles, component of the members of buckets that hold several groups."""
+    grouped = materialise(met.join(groups, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "grouped")
+    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
+    return materialise(_met(grouped, mixed, "bucket", "n", grouped.count()).drop("n"), "unsettled")
 
 
 def _with(groups: DataFrame, links: DataFrame) -> DataFrame:
     return components(links.unionByName(groups.select(F.col("component").alias("u"), F.col("id").alias("v"))))
 
 
+def _bridges(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links u, v between an id with several sets and the ids of these sets' classes."""
+    several = full.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id")
+    own = full.join(several, "id", "left_semi").select(F.col("id").alias("u"), "set_key").distinct()
+    return own.join(classes.select("set_key", F.col("id").alias("v")), "set_key").select("u", "v")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Settings = Settings()) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (it is its own)."""
     s = settings
     ship(df.sparkSession)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_signed(docs, s), "signed")
+    full = signed.where("n_shingles > 0 and id is not null")
     # Equal sets are one class; its smallest id stands for it.
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"))
+    classes = full.groupBy("set_key").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
     classes = materialise(classes, "classes")
-    members = classes.select("id", F.posexplode("bands").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
-    leaders = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    met = materialise(members.join(leaders, "bucket").select("bucket", "leader", "id"), "buckets")
+    members = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select("id", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
+    leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    met = materialise(_met(members, leaders, "bucket", "n", s.bands * classes.count()).select("bucket", "leader", "id", "n_shingles"), "buckets")
     # Only members of buckets are compared: from here on their texts are enough.
     texts = materialise(docs.join(met.select("id").distinct().hint("merge"), "id"), "texts")
     stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    groups = components(_verified(texts, stars, s))
-    rest = _unsettled(met.select("bucket", "id"), groups)
-    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x")).select("bucket", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
-    again = rest.join(others, "bucket").where("component <> of").select("a", F.col("id").alias("b")).distinct()
+    groups = components(_verified(texts, stars, s).unionByName(_bridges(full, classes)))
+    rest = _unsettled(met.select("bucket", "id", "n_shingles"), groups)
+    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("n")).select("bucket", "n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
+    again = _met(rest, materialise(others, "others"), "bucket", "n", rest.count()).where("component <> of").select("a", F.col("id").alias("b")).distinct()
     groups = _with(groups, _verified(texts, again, s))
-    groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id"), groups), s))
-    of_class = classes.join(groups, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    out = signed.select("id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id", "n_shingles"), groups), s))
+    of_class = materialise(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
+    found = _met(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies", full.count()).select("id", "n_shingles", "component")
+    alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
+    out = found.unionByName(alone)
+    return out.select("id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,30 @@ def test_equals_brute_force(spark):
         assert got == brute(rows, 3, 85)
 
 
+def test_small_blocks_salts_and_hot_keys(spark, monkeypatch):
+    """Every comparison is dealt to several tasks, and most buckets and classes are hot."""
+    for block, shingles, salt, hot in ((4, 10**9, 3, 50), (10**6, 300, 2, 10**9)):
+        monkeypatch.setattr(nd, "BLOCK", block)
+        monkeypatch.setattr(nd, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(nd, "SALT_ROWS", salt)
+        monkeypatch.setattr(nd, "HOT", hot)
+        rows = corpus(3, 120)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df, "doc_id", "text", nd.Settings(3, 60, 30, 2)).collect()}
+        assert got == brute(rows, 3, 60)
+
+
+def test_repeated_and_missing_ids(spark):
+    r = random.Random(9)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b), (9, c), (12, c + " end"), (20, d), (20, d), (None, a), (None, ""), (21, None), (21, d)]
+    df = spark.createDataFrame([(*x, "k", 0) for x in rows], "doc_id long, text string, set_key string, component int").repartition(3)
+    got = sorted(((x.id, x.component_id, x.kept) for x in nd.near_duplicates(df, "doc_id", "text", nd.Settings(3, 85)).collect()), key=str)
+    # 3 = 7 by a, 7 = 9 by b, 9 ~ 12 by c; the ids of d are one
+    want = [(3, 3, True), *[(7, 3, False)] * 3, *[(9, 3, False)] * 2, (12, 3, False), *[(20, 20, True)] * 2, (21, 20, False), (21, 21, True), *[(None, None, True)] * 2]
+    assert got == sorted(want, key=str)
+
+
 def test_signature_is_the_sequential_one():
     r = np.random.default_rng(5)
     m = 16

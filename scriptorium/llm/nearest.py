@@ -16,7 +16,9 @@ whatever the table's size; nothing is broadcast but the seed of the directions.
 Defined results: null vectors, zero vectors and those with null or non-finite components take
 no part; vectors meet only those of the same length. Distances are computed in double
 precision on the original components; ties go to the smaller id. Repeated ids count as separate
-candidates; a query is never its own candidate, by id. Empty tables give empty tables.
+candidates; a query is never its own candidate, by id. Equal query rows are one query; different
+vectors under one query id are queries of their own, each with ranks from 1 (`query_key` tells them
+apart). Vectors of any length take part; other columns are ignored. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from scriptorium.session import materialise, ship, table
 
 DIMS, LEAF, CONFIDENCE = 8, 32, 0.999
-BLOCK_ROWS, QUERY_ROWS = 16_384, 1_024
+BLOCK_ROWS, QUERY_ROWS = 16_384, 8_192
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -87,14 +89,14 @@ def distances(vectors: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, seed: int = 3, confidence: float = CONFIDENCE) -> list[tuple[int, int, float]]:
-    """(query id, id, distance) of the k nearest found in one block, for each query."""
+    """(number of the query, id, distance) of the k nearest found in one block, for each query."""
     directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], DIMS))
     points, targets = vectors @ directions, queries @ directions
     tree = KdTree.build(points)
     ids, vectors = ids[tree.order], vectors[tree.order]
     stop, out = math.sqrt(chi_square_quantile(confidence, DIMS)), []
     margin = 1e-9 * max(np.abs(points).max(), np.abs(targets).max(initial=0))
-    for qid, q, target in zip(query_ids, queries, targets):
+    for number, (qid, q, target) in enumerate(zip(query_ids, queries, targets)):
         bound = tree.bounds(target)
         near, best, worst, step = np.argsort(bound, kind="stable"), [], math.inf, 4
         at = 0
@@ -106,12 +108,13 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             found = zip(distances(vectors[rows], q).tolist(), ids[rows].tolist())
             best = sorted([*best, *found])[:k]
             worst = best[-1][0] if len(best) == k else math.inf
-        out += [(int(qid), i, d) for d, i in best]
+        out += [(number, i, d) for d, i in best]
     return out
 
 
 def nearest(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score: the k nearest rows of `df` found for each row of `queries`."""
+    """query_id, query_key (a hash of its vector), rank, id, score: the k nearest rows of `df` found for
+    each different row of `queries`."""
     ship(df.sparkSession)
 
     def valid(x: DataFrame) -> DataFrame:
@@ -119,31 +122,32 @@ def nearest(df: DataFrame, id_col: str, vector_col: str, queries: DataFrame, k:
         finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         return x.where(finite & F.exists("v", lambda c: c != 0))
 
-    rows, asked = valid(df), valid(queries)
+    rows, asked = valid(df), valid(queries).distinct()
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     portions = max(1, -(-asked.count() // QUERY_ROWS))
     own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     other = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = rows.select(F.size("v").alias("size"), own(blocks).alias("block"), other(portions).alias("portion"), F.lit(0).alias("kind"), "id", "v")
-    dealt = dealt.unionByName(asked.select(F.size("v").alias("size"), other(blocks).alias("block"), own(portions).alias("portion"), F.lit(1).alias("kind"), "id", "v"))
+    dealt = rows.select(F.size("v").alias("size"), own(blocks).alias("block"), other(portions).alias("portion"), F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("key"), "v")
+    dealt = dealt.unionByName(asked.select(F.size("v").alias("size"), other(blocks).alias("block"), own(portions).alias("portion"), F.lit(1).alias("kind"), "id", F.xxhash64("v").alias("key"), "v"))
 
     def run(group: pa.Table) -> pa.Table:
-        kind, ids = group["kind"].to_numpy(), group["id"].to_numpy()
+        kind, ids, keys = (group[c].to_numpy() for c in ("kind", "id", "key"))
         vectors = group["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         base, ask = kind == 0, kind == 1
         found = search(ids[base], vectors[base], ids[ask], vectors[ask], k) if base.any() and ask.any() else []
-        return pa.table({"query_id": pa.array([x[0] for x in found], pa.int64()), "id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64())})
+        of = np.flatnonzero(ask)[[x[0] for x in found]] if found else []
+        return pa.table({"query_id": pa.array(ids[of] if len(of) else [], pa.int64()), "query_key": pa.array(keys[of] if len(of) else [], pa.int64()), "id": pa.array([x[1] for x in found], pa.int64()), "score": pa.array([x[2] for x in found], pa.float64())})
 
-    found = materialise(dealt.groupBy("size", "block", "portion").applyInArrow(run, "query_id long, id long, score double"), "found")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = materialise(dealt.groupBy("size", "block", "portion").applyInArrow(run, "query_id long, query_key long, id long, score double"), "found")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy("score", "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "query_key", "rank", "id", "score")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: ten nearest of every row whose vec_id 100 divides."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = nearest(vectors, "vec_id", "embedding", vectors.where("vec_id % 100 = 0"), 10)
-    return found.withColumnRenamed("id", "vec_id")
+    return found.drop("query_key").withColumnRenamed("id", "vec_id")
 
 
 ORACLE = """

@@ -26,7 +26,7 @@ def test_recall_over_many_blocks(spark):
         found = nn.search(ids[part], x[part], ids[::100], x[::100], 10)
         by = {}
         for q, i, _ in found:
-            by.setdefault(q, set()).add(i)
+            by.setdefault(100 * q, set()).add(i)
         for q in ids[::100]:
             d = nn.distances(x[part], x[q])
             true = [i for _, i in sorted(zip(d, part)) if i != q][:10]
@@ -38,7 +38,7 @@ def test_recall_over_many_blocks(spark):
 def test_odd_vectors_ties_and_few_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [0.0, 2.0]), (100, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (200, [0.0, 1.0])]
     df = spark.createDataFrame([(*x, 0) for x in rows], "vec_id long, embedding array<double>, rank int")
-    got = sorted(tuple(r) for r in nn.nearest(df, "vec_id", "embedding", df.where("vec_id % 100 = 0"), 2).collect())
+    got = sorted(tuple(r) for r in nn.nearest(df, "vec_id", "embedding", df.where("vec_id % 100 = 0"), 2).drop("query_key").collect())
     assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 2), (200, 1, 8), (200, 2, 0)]
     assert abs(got[3][3] - 2**0.5) < 1e-15
     assert nn.nearest(df.limit(0), "vec_id", "embedding", df, 3).count() == 0
@@ -52,4 +52,25 @@ def test_smallest_ids_of_many_equal_vectors():
     same = ids[300:800]
     for q in (int(same.max()), int(same.min())):
         found = nn.search(ids, x, np.array([q]), x[300:301], 10)
-        assert found == [(q, i, 0.0) for i in sorted(set(same.tolist()) - {q})[:10]]
+        assert found == [(0, i, 0.0) for i in sorted(set(same.tolist()) - {q})[:10]]
+
+
+def test_many_blocks_and_portions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nn, "BLOCK_ROWS", 70)
+    monkeypatch.setattr(nn, "QUERY_ROWS", 9)
+    r = np.random.default_rng(2)
+    x = r.standard_normal((600, 12)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(0, x[0].tolist()), (0, x[0].tolist()), (0, x[5].tolist()), (7, x[7].tolist())]  # repeated queries and candidates
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = nn.nearest(df, "vec_id", "embedding", df.where("vec_id % 20 = 0"), 5).collect()
+    got = sorted((f.query_id, f.query_key, f.rank, f.id, f.score) for f in found)
+    assert len({(q, k) for q, k, *_ in got}) == 31  # 30 ids, one of them with two vectors
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    want = {}
+    for i, v in {(i, tuple(v)) for i, v in rows if i % 20 == 0}:
+        other = ids != i
+        want.setdefault(i, []).append(sorted(zip(nn.distances(vectors[other], np.array(v)).tolist(), ids[other].tolist()))[:5])
+    for q, key in {(q, k) for q, k, *_ in got}:
+        own = [(d, i) for a, b, _, i, d in got if (a, b) == (q, key)]
+        assert own in want[q] and [n for a, b, n, *_ in got if (a, b) == (q, key)] == [1, 2, 3, 4, 5]

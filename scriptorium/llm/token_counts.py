@@ -6,7 +6,9 @@ at or above it, tokens left after truncation to L, and quantiles of the length.
 two levels, within blocks of lengths and over the blocks, so no task sees all lengths.
 
 Defined results: null and empty texts have length 0 and count as documents. Repeated rows
-count each. An empty table gives an empty histogram.
+count each, and documents of one length are one row (ties). A very long text is encoded whole and is
+one document of its length. An empty table gives an empty histogram, and no answers; any limit then
+has 0 documents and tokens. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,4 +69,5 @@ def length_quantile(found: DataFrame, q: float) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every length in tokens that a whole text of documents has: the columns of `answers`."""
     return answers(histogram(table(spark, sf_dir, "documents"), "text"))

@@ -165,12 +165,27 @@ def test_mixing_meets_its_targets(spark):
 
 
 def test_mixed_rows(spark):
-    df = spark.createDataFrame([(i, "a b c" if i % 2 else None, "x" if i < 30 else "y", "k") for i in range(40)], "doc_id long, text string, source string, copies string")
+    r = random.Random(6)
+    rows = [(r.choice([1, 2, 3, i, None]), " ".join("abc" for _ in range(r.randrange(9))) if i % 9 else None, "big" if i % 4 else "small" if i % 8 else None, f"k{i}", i) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies string, _row int").repartition(3)
     out = mx.mixed_rows(df, "doc_id", "source", "text")
-    assert out.columns == df.columns and out.count() > 0
+    assert out.columns == df.columns
+    got = Counter(map(tuple, out.collect()))
+    assert set(got) <= set(rows)
+    # the same schedule by the definition: passes in full, and a prefix of each source's permutation
+    con = duckdb.connect()
+    con.register("documents", __import__("pandas").DataFrame([x[:3] for x in rows], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"}))
+    want = Counter()
+    for i, source, n, _, copies in con.sql(mx.oracle()).fetchall():
+        want[i, source, n] += copies
+    assert sum(got.values()) == sum(want.values())
+    size = Counter()
+    for (i, text, source, *_), n in got.items():
+        size[i, source, len((text or "").split())] += n
+    assert size == Counter({k: v for k, v in want.items() if v})
 
 
-ODD_CHAT = [(1, 0, "user", "hi <|end|> there"), (1, 1, "ann b!", None), (1, 2, "system", "rules"), (1, 2, "system", "rules"), (None, 0, None, "x"), (None, 1, " ", "y"), (2, 0, "system", "only"), (3, 5, "assistant", "")]
+ODD_CHAT = [(1, 0, "user", "hi <|end|> there"), (1, 1, "ann b!", None), (1, 2, "system", "rules"), (1, 2, "system", "rules"), (None, 0, None, "x"), (None, 1, " ", "y"), (2, 0, "system", "only"), (3, 5, "assistant", ""), (4, 0, "a b", "one"), (4, 1, "a_b", "two"), (4, 1, "a_b", "three"), (4, None, "a-b", "zero")]
 
 
 def test_chat_equals_sql(spark):
@@ -188,3 +203,21 @@ def test_chat_equals_sql(spark):
     con.sql(f"create view conversations as select * from '{SF}/conversations.parquet'")
     assert sorted(map(tuple, cf.op6_chat_rotation(spark, SF).collect()), key=key) == sorted(con.sql(cf.ORACLE).fetchall(), key=key)
     assert cf.rotate(df.limit(0), "conv_id", "turn", "role", "text").count() == 0
+    # speakers keep different names
+    assert {r[4] for r in got if r[0] == 4 and r[1] == "a-b" and r[4]} == {"a_b", "a_b-" + __import__("hashlib").md5(b"a b").hexdigest()[:8]}
+
+
+def test_dialogues_and_their_masks(spark):
+    df = spark.createDataFrame(ODD_CHAT, "conv_id long, turn long, role string, text string")
+    rows = cf.rotate(df, "conv_id", "turn", "role", "text")
+    turns = {}
+    for r in rows.collect():
+        turns.setdefault((r.conv_id, r.perspective), []).append(r)
+    found = cf.dialogues(rows).collect()
+    assert {(d.conv_id, d.perspective) for d in found} == set(turns) and len(found) == len(turns)
+    for d in found:
+        own = sorted(turns[d.conv_id, d.perspective], key=lambda r: (r.turn is not None, r.turn or 0, r.chat_role, r.name is not None, r.name or "", r.rendered))
+        assert d.text == "".join(r.rendered for r in own)
+        learned = [r.rendered[r.mask_start : r.mask_start + r.mask_length] for r in own if r.mask_length]
+        assert [d.text[m.start : m.start + m.length] for m in d.mask] == learned and all(x.endswith(cf.END) for x in learned)
+    assert cf.dialogues(rows.limit(0)).count() == 0

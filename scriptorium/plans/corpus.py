@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import redaction
+from scriptorium.functions import redaction, rules
 from scriptorium.functions import text as tx
 from scriptorium.operators import chunk, dedup, holdout
 from scriptorium.plans.style import TOK
@@ -188,9 +188,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str, mutable: list[str]) -> Data
 
 
 def k4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _docs(spark, sf_dir)
-    base = d.groupBy(tx.item_id(F.lit("work_file"), F.col("source"), F.col("text")).alias("id")).agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("label"))
-    return upsert(base, base.withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000}), "id", ["label"])
+    """Two thirds of the documents are stored; then all come: known ids get another label, the others are
+    inserted."""
+    d = _docs(spark, sf_dir).withColumn("id", tx.item_id(F.lit("work_file"), F.col("source"), F.col("text")))
+    of = lambda rows: rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("label"))
+    return upsert(of(d.where("doc_id % 3 <> 0")), of(d).withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000}), "id", ["label"])
 
 
 def k5_stale_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,9 +203,16 @@ def k5_stale_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k9_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source and in total: documents, short ones, copies."""
-    m = dedup.exact_duplicates(_docs(spark, sf_dir), "source", "doc_id", "text")
-    return m.rollup("source").agg(F.count("*").alias("n"), F.count_if(tx.word_count(F.col("text")) < 15).alias("short"), F.count_if(F.col("duplicate")).alias("copies")).select(F.coalesce("source", F.lit("total")).alias("source"), "n", "short", "copies")
+    """Per source and in total: documents, short ones, copies, kept private and public ones, redactions by
+    rule, and a note where less than half an hour (at 900 characters a minute) is kept."""
+    m = dedup.exact_duplicates(redaction.redact(_docs(spark, sf_dir)), "source", "doc_id", "text")
+    m = m.withColumn("public", F.col("doc_id") % 4 == 0).withColumn("ok", ~F.col("duplicate") & (tx.word_count(F.col("text")) >= 15))
+    rules_ = redaction.NAMES
+    by_rule = [F.sum(F.coalesce(F.col("redactions")[name], F.lit(0))).cast("long").alias(f"r{i}") for i, name in enumerate(rules_)]
+    sums = m.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n"), F.count_if(tx.word_count(F.col("text")) < 15).alias("short"), F.count_if(F.col("duplicate")).alias("copies"), F.count_if(F.col("ok") & ~F.col("public")).alias("private"), F.count_if(F.col("ok") & F.col("public")).alias("public"), F.sum(F.when(F.col("ok"), F.length("text"))).alias("chars"), *by_rule)
+    named = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"r{i}") > 0, F.concat(F.lit(f"{name}="), F.col(f"r{i}"))) for i, name in enumerate(rules_)])), ",")
+    note = F.when(F.coalesce("chars", F.lit(0)) < 30 * 900, "under 30 minutes")
+    return sums.select(F.when(F.col("g") == 1, "total").otherwise(F.col("source")).alias("source"), "n", "short", "copies", "private", "public", named.alias("redactions"), note.alias("note"))
 
 
 def k10_release_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,11 +256,16 @@ def l1_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l2_hash_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents or their lines whose identity form equals a sealed text's."""
+    """Documents that leak a sealed text: by content (their identity form, or a line's, is that of a sealed
+    text) or by provenance (an origin begins with a sealed question's number)."""
     h = lambda c: F.sha2(tx.normalize(c), 256)
-    lines = _docs(spark, sf_dir).select("doc_id", F.explode(F.array_union(F.array("text"), F.split("text", "\n"))).alias("t"))
-    sealed = table(spark, sf_dir, "benchmark").select("item_id", h(F.col("text")).alias("h"))
-    return lines.select("doc_id", h(F.col("t")).alias("h")).join(sealed, "h").select("doc_id", "item_id").distinct()
+    d, b = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
+    lines = d.select("doc_id", F.explode(F.array_union(F.array("text"), F.split("text", "\n"))).alias("t"))
+    content = lines.select("doc_id", h(F.col("t")).alias("h")).join(b.select("item_id", h(F.col("text")).alias("h")), "h").select("doc_id", "item_id", F.lit("content").alias("how"))
+    origins = d.select("doc_id", F.array(F.concat(F.lit("q"), F.col("doc_id") % 997, F.lit("-answer")), F.concat(F.lit("file-"), "source")).alias("origins"))
+    prefix = origins.select("doc_id", F.explode("origins").alias("o")).select("doc_id", F.regexp_extract("o", "^(q[0-9]+)-", 1).alias("q"))
+    provenance = prefix.join(b.where("item_id % 10 = 0").select("item_id", F.concat(F.lit("q"), "item_id").alias("q")), "q").select("doc_id", "item_id", F.lit("provenance").alias("how"))
+    return content.unionByName(provenance).distinct()
 
 
 def l3_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,11 +281,20 @@ def l5_copied_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l7_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply fails if it repeats eight words of the turn two before it."""
+    """Replies against what was rejected (the turn two before) and corrected (the turn before): a reply
+    fails if it repeats eight words of the former, or, where facts or positions were corrected (odd
+    turns), if it has less than 30 in 100 of at least two keywords of the latter. Newly failing: it
+    passed at the last run (turns that 3 does not divide)."""
     c = table(spark, sf_dir, "conversations")
     g = holdout.word_grams(c, ["conv_id", "turn"], "text").select("conv_id", "turn", "gram")
-    again = g.join(g.select("conv_id", (F.col("turn") + 2).alias("turn"), "gram").distinct(), ["conv_id", "turn", "gram"], "left_semi").select("conv_id", "turn").distinct().withColumn("failed", F.lit(True))
-    return c.select("conv_id", "turn").join(again, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("failed", F.lit(False)).alias("failed"))
+    again = g.join(g.select("conv_id", (F.col("turn") + 2).alias("turn"), "gram").distinct(), ["conv_id", "turn", "gram"], "left_semi").select("conv_id", "turn").distinct().withColumn("again", F.lit(True))
+    wanted = c.select("conv_id", (F.col("turn") + 1).alias("turn"), rules.keywords(F.col("text")).alias("keys"))
+    j = c.select("conv_id", "turn", F.lower("text").alias("reply")).join(again, ["conv_id", "turn"], "left").join(wanted, ["conv_id", "turn"], "left")
+    share = F.size(F.filter("keys", lambda k: F.col("reply").contains(k))) / F.size("keys")
+    lacking = F.coalesce((F.col("turn") % 2 == 1) & (F.size("keys") >= 2) & (share < 0.3), F.lit(False))
+    failed = F.coalesce("again", F.lit(False)) | lacking
+    reason = F.when(F.coalesce("again", F.lit(False)), "rejected again").when(lacking, "correction missing")
+    return j.select("conv_id", "turn", failed.alias("failed"), reason.alias("reason"), (failed & (F.col("turn") % 3 != 0)).alias("newly_failing"))
 
 
 _DUP = f"(row_number() OVER (PARTITION BY source, {NORMAL} ORDER BY doc_id) > 1)"
@@ -283,6 +306,8 @@ _RUNS = f"""b AS (SELECT DISTINCT gram FROM (SELECT {_GRAMS8} FROM (SELECT {TOK}
 h AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM g WHERE gram IN (SELECT gram FROM b)), k AS (SELECT doc_id, max(c) + 7 AS run FROM (SELECT doc_id, i, count(*) AS c FROM h GROUP BY ALL) GROUP BY doc_id),
 runs AS (SELECT doc_id, source, CAST(coalesce(run, 0) AS BIGINT) AS run FROM documents LEFT JOIN k USING (doc_id))"""
 
+_BY_RULE = {name: " + ".join(f"sum(n{i})" for i, r in enumerate(redaction.RULES) if r.name == name) for name in redaction.NAMES}
+
 QUERIES = {f.__name__: f for f in (corpus_report, corpus_build, s1_chat_export_a, s2_chat_export_b, s5_conversation_stats, s8_work_manifest, s9_extensions, s13_archives, k1_split_write, k4_upsert, k5_stale_origins, k9_report_totals, k10_release_scan, d1_exact_duplicates, d2_near_pairs, d3_dedup_counts, c1_chunks, c4_regroup, c6_passages, l1_sealed, l2_hash_leaks, l3_quarantine, l5_copied_run, l7_regressions)}
 ORACLE = {
     "corpus_report": f"""
@@ -298,16 +323,21 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "s9_extensions": f"WITH p AS (SELECT text, regexp_extract({_PATH}, '[.]([a-z]+)$', 1) AS e FROM documents) SELECT CASE WHEN e NOT IN ('md', 'txt', 'html', 'eml') THEN 'unsupported: ' || e WHEN length(text) < 120 THEN 'empty' ELSE 'loaded' END AS outcome, count(*) AS files FROM p GROUP BY 1",
     "s13_archives": "SELECT page_id, 'page.html' AS entry, length(html) AS chars, NULL AS error FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, 'meta/url.txt', length(url), NULL FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, NULL, NULL, 'unreadable archive' FROM pages WHERE page_id % 7 = 0",
     "k1_split_write": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'public' ELSE 'private' END AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min('work_file|' || source || '|' || doc_id) AS first FROM documents GROUP BY 1",
-    "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, doc_id, 'new-' || label AS label FROM b",
+    "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) AS old, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, coalesce(old, doc_id + 1000000) AS doc_id, 'new-' || label AS label FROM b",
     "k5_stale_origins": "SELECT doc_id, source, CASE WHEN source IN ('src1', 'src7') THEN 'new' ELSE 'old' END AS version FROM documents",
-    "k9_report_totals": f"WITH m AS (SELECT source, text, {_DUP} AS dup FROM documents) SELECT coalesce(source, 'total') AS source, count(*) AS n, count(*) FILTER (WHERE {WORDS} < 15) AS short, count(*) FILTER (WHERE dup) AS copies FROM m GROUP BY ROLLUP (source)",
+    "k9_report_totals": f"""WITH {redacted_sql('documents', 'doc_id, source, text AS raw')}, i AS (SELECT doc_id, source, raw AS text, {', '.join(f'n{i}' for i in range(len(redaction.RULES)))} FROM {LAST}), m AS (SELECT *, {_DUP} AS dup, {WORDS} AS words FROM i)
+SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS n, count(*) FILTER (WHERE words < 15) AS short, count(*) FILTER (WHERE dup) AS copies, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 <> 0) AS private, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 = 0) AS public,
+array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CAST({k} AS BIGINT) END" for name, k in _BY_RULE.items())}], lambda x: x IS NOT NULL), ',') AS redactions, CASE WHEN coalesce(sum(CASE WHEN NOT dup AND words >= 15 THEN length(text) END), 0) < 27000 THEN 'under 30 minutes' END AS note FROM m GROUP BY ROLLUP (source)""",
     "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END]) AS pattern FROM documents) SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL",
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",
     "d2_near_pairs": f"WITH {_ITEMS} SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9",
     "c4_regroup": "WITH r AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM documents) SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM r WHERE before < 6000 GROUP BY source",
     "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) OR contains(s, n) WHERE length(n) >= 40 AND length(s) >= 40",
-    "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n)",
+    "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id, 'content' AS how FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n) UNION SELECT doc_id, item_id, 'provenance' FROM documents JOIN benchmark ON item_id % 10 = 0 AND starts_with('q' || doc_id % 997 || '-answer', 'q' || item_id || '-')",
     "l3_quarantine": f"WITH d AS (SELECT doc_id, source, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark WHERE length(text) >= 40)) SELECT source, count(DISTINCT item_id) AS items, count(*) AS hits FROM d JOIN b ON contains(n, s) WHERE length(s) >= 40 AND length(n) >= 40 GROUP BY source",
     "l5_copied_run": f"WITH {_RUNS} SELECT doc_id, run FROM runs",
-    "l7_regressions": f"WITH g AS (SELECT conv_id, turn, {_GRAMS8} FROM (SELECT conv_id, turn, {TOK} AS w FROM conversations)), f AS (SELECT DISTINCT a.conv_id, a.turn FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = b.turn + 2 AND a.gram = b.gram) SELECT conv_id, turn, (conv_id, turn) IN (SELECT (conv_id, turn) FROM f) AS failed FROM conversations",
+    "l7_regressions": f"""WITH g AS (SELECT conv_id, turn, {_GRAMS8} FROM (SELECT conv_id, turn, {TOK} AS w FROM conversations)), f AS (SELECT DISTINCT a.conv_id, a.turn FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn = b.turn + 2 AND a.gram = b.gram),
+k AS (SELECT conv_id, turn + 1 AS turn, list_distinct(list_filter({TOK}, lambda w: len(w) > 3 AND NOT list_contains({rules.KEYWORD_STOP}, w))) AS keys FROM conversations), j AS (SELECT c.conv_id AS conv_id, c.turn AS turn, lower(text) AS reply, keys, (c.conv_id, c.turn) IN (SELECT (conv_id, turn) FROM f) AS again FROM conversations c LEFT JOIN k ON k.conv_id = c.conv_id AND k.turn = c.turn),
+l AS (SELECT *, coalesce(turn % 2 = 1 AND len(keys) >= 2 AND len(list_filter(keys, lambda w: contains(reply, w))) / len(keys) < 0.3, false) AS lacking FROM j)
+SELECT conv_id, turn, again OR lacking AS failed, CASE WHEN again THEN 'rejected again' WHEN lacking THEN 'correction missing' END AS reason, (again OR lacking) AND turn % 3 <> 0 AS newly_failing FROM l""",
 }

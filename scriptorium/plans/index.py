@@ -10,7 +10,7 @@ from scriptorium.operators import similarity as sim
 from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.text_rules import WORDS, found
-from scriptorium.session import table
+from scriptorium.session import materialise, table
 
 #: Wider than the defaults (0.45 and a cosine of 0.62), within which these vectors have no neighbours.
 NEAR, LEADER = 0.8, 0.3
@@ -89,13 +89,20 @@ def r2_episodic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r3_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intent decides the store and how many; one logged row a turn."""
+    """One logged row a turn. Intent decides the store and how many: recalls read the raw chunks
+    (every vector), questions of knowledge the active statements, and past-framed ones the historical too."""
     c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("intent", rules.route_intent(F.col("text")))
-    best = sim.top_k(statements(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "embedding", 4)
-    k = F.when(F.col("intent") == "knowledge", 4).when(F.col("intent") == "explicit_recall", 3).otherwise(0)
-    asked = c.select("conv_id", "turn", "intent", k.alias("k"))
-    logged = asked.join(best, (F.col("conv_id") == F.col("query_id")) & (F.col("rank") <= F.col("k")), "left")
-    return logged.groupBy("conv_id", "turn", "intent").agg(F.count("id").alias("n"), F.round(F.min("distance"), 6).alias("best"), F.sum("id").alias("ids"))
+    past = (F.col("turn") % 5 == 4) | rules.past_framed(F.col("text"))  # every fifth question stands for a past-framed one
+    store = F.when(F.col("intent") == "explicit_recall", "chunks").when(F.col("intent") == "knowledge", F.when(past, "all times").otherwise("now"))
+    asked = materialise(c.select("conv_id", "turn", "intent", store.alias("store")), "asked")
+    s = statements(spark, sf_dir)
+    found = []
+    for name, rows, k in (("chunks", s.where("embedding is not null"), 3), ("now", s.where("status = 'active'"), 4), ("all times", s.where("status in ('active', 'historical')"), 4)):
+        queries = s.join(asked.where(F.col("store") == name).select(F.col("conv_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+        found.append(sim.top_k(rows, queries, "vec_id", "embedding", k).withColumn("of", F.lit(name)))
+    best = found[0].unionByName(found[1]).unionByName(found[2])
+    logged = asked.join(best, (F.col("conv_id") == F.col("query_id")) & (F.col("store") == F.col("of")), "left")
+    return logged.groupBy("conv_id", "turn", "intent", "store").agg(F.count("id").alias("n"), F.round(F.min("distance"), 6).alias("best"), F.sum("id").alias("ids"))
 
 
 def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,23 +162,40 @@ def m8_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_type = s.groupBy(F.concat(F.lit("statement:"), "type").alias("what")).agg(F.count("*").alias("n"))
     topics = s.select(F.explode("topics").alias("t")).agg(F.count_distinct("t").alias("n")).select(F.lit("topics").alias("what"), "n")
     chunks = table(spark, sf_dir, "documents").groupBy(F.concat(F.lit("chunk:"), "lang").alias("what")).agg(F.count("*").alias("n"))
-    return by_type.unionByName(topics).unionByName(chunks)
+    cases = table(spark, sf_dir, "events").where("event_type in ('click', 'error')").agg(F.count("*").alias("cases"), F.count_if(F.col("event_type") == "error").alias("open"))
+    cases = cases.select(F.explode(F.array(F.struct(F.lit("cases").alias("what"), F.col("cases").alias("n")), F.struct(F.lit("cases open").alias("what"), F.col("open").alias("n")))).alias("x")).select("x.*")
+    return by_type.unionByName(topics).unionByName(chunks).unionByName(cases)
 
 
 def m9_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth per language from the even to all documents, floored at 0."""
-    d = table(spark, sf_dir, "documents")
-    old = d.where("doc_id % 2 = 0").groupBy("source", "lang").agg(F.count("*").alias("old"))
-    new = d.groupBy("source", "lang").agg(F.count("*").alias("new"))
-    return old.join(new, ["source", "lang"], "full_outer").select("source", "lang", F.greatest(F.lit(0).cast("long"), F.coalesce("new", F.lit(0)) - F.coalesce("old", F.lit(0))).alias("grown"))
+    """Growth from the even to all documents and events: chunks per source, cases raised and open (each
+    floored at 0), and the topics (first words) that are new, the first 20 of them."""
+    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "events")
+    kinds = [d.select(F.concat(F.lit("chunks:"), "source").alias("what"), (F.col("doc_id") % 2 == 0).alias("old")), e.where("event_type in ('click', 'error')").select(F.lit("cases raised").alias("what"), (F.col("event_id") % 2 == 0).alias("old")), e.where("event_type = 'error'").select(F.lit("cases open").alias("what"), (F.col("event_id") % 2 == 0).alias("old"))]
+    grown = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("what").agg(F.greatest(F.lit(0).cast("long"), F.count("*") - F.count_if("old")).alias("n"))
+    topics = d.groupBy(F.lower(F.get(F.split("text", " "), F.lit(0))).alias("t")).agg(F.bool_or(F.col("doc_id") % 2 == 0).alias("old"))
+    new = topics.where("not old").orderBy("t").limit(20).select(F.concat(F.lit("topic:"), "t").alias("what"), F.lit(1).cast("long").alias("n"))
+    return grown.unionByName(new)
+
+
+def weak_retrievals(turns: DataFrame, best: DataFrame, threshold: float = 0.62) -> DataFrame:
+    """topic, weak: turns (query_id, text) about a personal topic without a hit (query_id, distance) or
+    with one beyond the threshold."""
+    missed = turns.join(best, "query_id", "left").where(F.col("distance").isNull() | (F.col("distance") > threshold))
+    return missed.where(rules.personal_topic(F.col("text"))).groupBy(rules.topic_of(F.col("text")).alias("topic")).agg(F.count("*").alias("weak"))
 
 
 def m13_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak retrievals by topic: no hit, or the best one farther than 0.62."""
-    best = sim.top_k(statements(spark, sf_dir), _asked(spark, sf_dir), "vec_id", "embedding", 1).select("query_id", "distance")
+    """Weak retrievals by topic; ready to invite from three on, if fewer than two invitations were
+    ignored and none went out in the last 24 hours. The vectors lie close together, so 0.03 is weak here."""
+    s = statements(spark, sf_dir)
+    best = sim.top_k(s.where("status = 'active'"), _asked(spark, sf_dir), "vec_id", "embedding", 1).select("query_id", "distance")
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    weak = c.join(best, F.col("conv_id") == F.col("query_id"), "left").where("distance is null or distance > 0.1")
-    return weak.groupBy(rules.topic_of(F.col("text")).alias("topic")).agg(F.count("*").alias("weak")).withColumn("ready", F.col("weak") >= 3)
+    about = F.get(F.array(*map(F.lit, ["my family ", "music and money ", "the road "])), (F.col("turn") % 3).cast("int"))
+    turns = c.select(F.col("conv_id").alias("query_id"), F.concat(about, F.get(F.split("text", " "), F.lit(0))).alias("text"), "turn")
+    state = turns.groupBy(rules.topic_of(F.col("text")).alias("topic")).agg(F.count_if(F.col("turn") % 4 == 0).alias("ignored"), F.min(F.col("query_id") % 72).alias("hours"))
+    out = weak_retrievals(turns, best, 0.03).join(state, "topic")
+    return out.select("topic", "weak", "ignored", ((F.col("weak") >= 3) & (F.col("ignored") < 2) & (F.col("hours") >= 24)).alias("ready"))
 
 
 _S = f"""s AS (SELECT vec_id, embedding::DOUBLE[] AS e, label, {TYPES}[vec_id % 6 + 1] AS type, CASE vec_id % 11 WHEN 0 THEN 'historical' WHEN 1 THEN 'superseded' WHEN 2 THEN 'merged' ELSE 'active' END AS status,
@@ -194,7 +218,10 @@ ORACLE = {
     "d8_culprit_first": f"WITH {_NEAR} SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id % 3 = 0 DESC, rank) = 1",
     "r1_statements": f"WITH {_S}, {_BEST.format(w='q.vec_id % 100 = 0 AND c.status IN (CASE WHEN q.vec_id % 200 = 0 THEN $$historical$$ ELSE $$active$$ END, $$active$$)', k=4)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
     "r2_episodic": f"WITH {_S}, {_BEST.format(w='q.vec_id % 100 = 0', k=3)} SELECT query_id, rank, id, round(distance, 6) AS distance FROM b",
-    "r3_routing": f"WITH {_S}, {_BEST.format(w='q.vec_id IN (SELECT conv_id FROM conversations WHERE role = $$user$$)', k=4)}, c AS (SELECT conv_id, turn, {_INTENT} AS intent FROM conversations WHERE role = 'user') SELECT conv_id, turn, intent, count(id) AS n, round(min(distance), 6) AS best, CAST(sum(id) AS BIGINT) AS ids FROM c LEFT JOIN b ON query_id = conv_id AND rank <= CASE intent WHEN 'knowledge' THEN 4 WHEN 'explicit_recall' THEN 3 ELSE 0 END GROUP BY ALL",
+    "r3_routing": f"""WITH {_S}, c AS (SELECT conv_id, turn, {_INTENT} AS intent, turn % 5 = 4 OR {found('trim(text)', *rules.PAST_FRAMED)} AS past FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, intent, CASE intent WHEN 'explicit_recall' THEN 'chunks' WHEN 'knowledge' THEN CASE WHEN past THEN 'all times' ELSE 'now' END END AS store FROM c),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.status AS status, list_cosine_distance(q.e, c.e) AS distance FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE q.vec_id IN (SELECT conv_id FROM a)),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id, store ORDER BY round(distance, 9), id) AS rank FROM (SELECT *, 'chunks' AS store FROM d UNION ALL SELECT *, 'now' FROM d WHERE status = 'active' UNION ALL SELECT *, 'all times' FROM d WHERE status IN ('active', 'historical')))
+SELECT conv_id, turn, intent, a.store AS store, count(id) AS n, round(min(distance), 6) AS best, CAST(sum(id) AS BIGINT) AS ids FROM a LEFT JOIN b ON query_id = conv_id AND b.store = a.store AND rank <= CASE a.store WHEN 'chunks' THEN 3 ELSE 4 END GROUP BY ALL""",
     "r4_ranked": f"WITH {_S}, k AS (SELECT vec_id, CASE WHEN type = 'decision_heuristic' THEN 'heuristic' ELSE 'value' END AS kind, CASE label % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN type = 'insight' THEN 2 ELSE 0 END AS score FROM s WHERE status = 'active' AND type IN ('belief', 'preference', 'insight', 'decision_heuristic')) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, vec_id) <= 8",
     "r6_even_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE n <= 240 OR i IN (SELECT k * (SELECT max(n) FROM r) // 240 FROM range(240) t(k))",
     "m2_clamped": f"WITH {_CASES} SELECT * FROM cases",
@@ -204,7 +231,9 @@ SELECT CAST(vec_id AS VARCHAR) AS id, CASE w WHEN 3 THEN 'merged' WHEN 2 THEN 's
 UNION ALL SELECT old_id || '+' || new_id, 'active', NULL FROM cases WHERE outcome = 'augment'""",
     "m6_undistilled": f"WITH {_S} SELECT DISTINCT 'o' || doc_id % 60 AS origin FROM documents WHERE 'o' || doc_id % 60 NOT IN (SELECT origin FROM s WHERE vec_id % 2 = 0)",
     "m7_born_from": f"WITH {_S} SELECT vec_id, type FROM s WHERE origin IN ('o3', 'o17')",
-    "m8_snapshot": f"WITH {_S} SELECT 'statement:' || type AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'topics', count(DISTINCT topic) FROM s UNION ALL SELECT 'chunk:' || lang, count(*) FROM documents GROUP BY 1",
-    "m9_snapshot_diff": "WITH o AS (SELECT source, lang, count(*) AS old FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL), n AS (SELECT source, lang, count(*) AS new FROM documents GROUP BY ALL) SELECT source, lang, greatest(0, coalesce(new, 0) - coalesce(old, 0)) AS grown FROM o FULL JOIN n USING (source, lang)",
-    "m13_gaps": f"WITH {_S}, {_BEST.format(w='q.vec_id IN (SELECT conv_id FROM conversations WHERE role = $$user$$)', k=1)}, w AS (SELECT {_TOPIC} AS ws FROM conversations LEFT JOIN b ON query_id = conv_id WHERE role = 'user' AND (distance IS NULL OR distance > 0.1)), t AS (SELECT CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w) SELECT topic, count(*) AS weak, count(*) >= 3 AS ready FROM t GROUP BY topic",
+    "m8_snapshot": f"WITH {_S} SELECT 'statement:' || type AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'topics', count(DISTINCT topic) FROM s UNION ALL SELECT 'chunk:' || lang, count(*) FROM documents GROUP BY 1 UNION ALL SELECT 'cases', count(*) FROM events WHERE event_type IN ('click', 'error') UNION ALL SELECT 'cases open', count(*) FROM events WHERE event_type = 'error'",
+    "m9_snapshot_diff": "WITH k AS (SELECT 'chunks:' || source AS what, doc_id % 2 = 0 AS old FROM documents UNION ALL SELECT 'cases raised', event_id % 2 = 0 FROM events WHERE event_type IN ('click', 'error') UNION ALL SELECT 'cases open', event_id % 2 = 0 FROM events WHERE event_type = 'error'), t AS (SELECT lower(string_split(text, ' ')[1]) AS t FROM documents GROUP BY 1 HAVING NOT bool_or(doc_id % 2 = 0) ORDER BY t LIMIT 20) SELECT what, greatest(0, count(*) - count(*) FILTER (WHERE old)) AS n FROM k GROUP BY 1 UNION ALL SELECT 'topic:' || t, 1 FROM t",
+    "m13_gaps": f"""WITH {_S}, {_BEST.format(w='c.status = $$active$$ AND q.vec_id IN (SELECT conv_id FROM conversations WHERE role = $$user$$)', k=1)}, c AS (SELECT conv_id, turn, ['my family ', 'music and money ', 'the road '][turn % 3 + 1] || string_split(text, ' ')[1] AS text FROM conversations WHERE role = 'user'),
+w AS (SELECT conv_id, turn, text, {_TOPIC} AS ws FROM c), t AS (SELECT conv_id, turn, text, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), st AS (SELECT topic, count(*) FILTER (WHERE turn % 4 = 0) AS ignored, min(conv_id % 72) AS hours FROM t GROUP BY 1),
+k AS (SELECT topic, count(*) AS weak FROM t LEFT JOIN b ON query_id = conv_id WHERE (distance IS NULL OR distance > 0.03) AND {found('text', rules.PERSONAL_TOPIC)} GROUP BY 1) SELECT topic, weak, ignored, weak >= 3 AND ignored < 2 AND hours >= 24 AS ready FROM k JOIN st USING (topic)""",
 }

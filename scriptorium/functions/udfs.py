@@ -57,3 +57,15 @@ def completions(df: DataFrame, prompt_col: str, complete: Callable[[list[str]],
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     return df.mapInPandas(run, f"{kinds}, answer string")
+
+
+def chunk_table(cut: Callable[[str], list[str]]):
+    """A table function (number, of, chunk) from any function that cuts a text into chunks."""
+
+    class Chunks:
+        def eval(self, text: str):
+            found = cut(text)
+            for i, c in enumerate(found):
+                yield i, len(found), c
+
+    return F.udtf(Chunks, returnType="number int, of int, chunk string")

@@ -216,10 +216,13 @@ def k9_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k10_release_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a banned pattern, and a digest of each."""
+    """What a release fails for: texts with a banned pattern and files with a media extension, with a digest of
+    each; the row without a document is the verdict."""
     banned = {"token": "(?i)token\\s*=", "licence": "Licensed under", "address": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+"}
-    hits = F.array_compact(F.array(*[F.when(tx.matches(F.col("text"), p), F.lit(n)) for n, p in banned.items()]))
-    return _docs(spark, sf_dir).select("doc_id", F.explode(hits).alias("pattern"), F.sha2("text", 256).alias("sha256"))
+    hits = [F.when(tx.matches(F.col("text"), p), F.lit(n)) for n, p in banned.items()] + [F.when(F.col("path").rlike("\\.(png|jpg|wav|mp3|mp4)$"), F.lit("media"))]
+    found = _paths(spark, sf_dir).select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern"), F.sha2("text", 256).alias("sha256"))
+    verdict = found.agg(F.lit(None).cast("long").alias("doc_id"), F.when(F.count("*") > 0, "fail").otherwise("pass").alias("pattern"), F.lit(None).cast("string").alias("sha256"))
+    return found.unionByName(verdict)
 
 
 def d1_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,9 +331,12 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "k9_report_totals": f"""WITH {redacted_sql('documents', 'doc_id, source, text AS raw')}, i AS (SELECT doc_id, source, raw AS text, {', '.join(f'n{i}' for i in range(len(redaction.RULES)))} FROM {LAST}), m AS (SELECT *, {_DUP} AS dup, {WORDS} AS words FROM i)
 SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS n, count(*) FILTER (WHERE words < 15) AS short, count(*) FILTER (WHERE dup) AS copies, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 <> 0) AS private, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 = 0) AS public,
 array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CAST({k} AS BIGINT) END" for name, k in _BY_RULE.items())}], lambda x: x IS NOT NULL), ',') AS redactions, CASE WHEN coalesce(sum(CASE WHEN NOT dup AND words >= 15 THEN length(text) END), 0) < 27000 THEN 'under 30 minutes' END AS note FROM m GROUP BY ROLLUP (source)""",
-    "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END]) AS pattern FROM documents) SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL",
+    "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END, CASE WHEN doc_id % 8 = 4 THEN 'media' END]) AS pattern FROM documents), f AS (SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL) SELECT * FROM f UNION ALL SELECT NULL, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END, NULL FROM f",
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",
     "d2_near_pairs": f"WITH {_ITEMS} SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9",
+    "d3_dedup_counts": f"""WITH RECURSIVE x AS (SELECT doc_id, source, text, {_DUP} AS dup FROM documents), {_ITEMS.replace('FROM documents', 'FROM x WHERE NOT dup')}, p AS (SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9),
+m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b), r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT m.i, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, m.b) ELSE gone END FROM r JOIN m ON m.i = r.i + 1),
+g AS (SELECT unnest(gone) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)) SELECT source, CASE WHEN dup THEN 'exact' WHEN doc_id IN (SELECT doc_id FROM g) THEN 'near' ELSE 'kept' END AS verdict, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM x GROUP BY 1, 2""",
     "c4_regroup": "WITH r AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM documents) SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM r WHERE before < 6000 GROUP BY source",
     "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) OR contains(s, n) WHERE length(n) >= 40 AND length(s) >= 40",
     "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id, 'content' AS how FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n) UNION SELECT doc_id, item_id, 'provenance' FROM documents JOIN benchmark ON item_id % 10 = 0 AND starts_with('q' || doc_id % 997 || '-answer', 'q' || item_id || '-')",

@@ -212,6 +212,10 @@ _TOPIC = f"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]
 
 QUERIES = {f.__name__: f for f in (d4_leader_clusters, d5_cluster_rollup, d6_neighbours, d7_not_siblings, d8_culprit_first, r1_statements, r2_episodic, r3_routing, r4_ranked, r6_even_sample, m2_clamped, m3_applied, m6_undistilled, m7_born_from, m8_snapshot, m9_snapshot_diff, m13_gaps)}
 ORACLE = {
+    "d4_leader_clusters": f"""WITH RECURSIVE {_S}, p AS (SELECT a.sensitivity AS sensitivity, a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.sensitivity = b.sensitivity AND a.vec_id < b.vec_id AND list_cosine_distance(a.e, b.e) < 1 - {LEADER} + 1e-12), m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT m.i, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, m.b) ELSE gone END FROM r JOIN m ON m.i = r.i + 1), g AS (SELECT unnest(gone) AS id FROM r WHERE i = (SELECT max(i) FROM r)),
+c AS (SELECT sensitivity, vec_id AS id, vec_id AS leader FROM s WHERE vec_id NOT IN (SELECT id FROM g) UNION ALL SELECT sensitivity, b, min(a) FROM p WHERE b IN (SELECT id FROM g) AND a NOT IN (SELECT id FROM g) GROUP BY 1, 2),
+z AS (SELECT c.sensitivity AS sensitivity, leader, count(*) AS members, count(DISTINCT origin) AS n_origins, CAST(sum(id) AS BIGINT) AS ids FROM c JOIN s ON vec_id = id GROUP BY 1, 2) SELECT * FROM z WHERE members >= 4 AND n_origins >= 2 QUALIFY row_number() OVER (PARTITION BY sensitivity ORDER BY members DESC, leader) <= 25""",
     "d5_cluster_rollup": f"WITH {_S}, o AS (SELECT DISTINCT label, origin FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY origin) AS i FROM o) SELECT label, (SELECT max(CASE WHEN sensitivity = 'private' THEN 1 ELSE 0 END) FROM s WHERE s.label = r.label) AS private, string_agg(origin, ',' ORDER BY origin) AS origins FROM r WHERE i <= 20 GROUP BY label",
     "d6_neighbours": f"WITH {_NEAR} SELECT query_id, rank, id, round(distance, 6) AS distance FROM near",
     "d7_not_siblings": f"WITH {_NEAR} SELECT query_id, id FROM near WHERE query_id % 50 <> id % 50 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1",

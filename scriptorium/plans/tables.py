@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
+from scriptorium.functions.text import normalize
 from scriptorium.operators import intervals
 from scriptorium.operators.style import top_per
 from scriptorium.plans.style import _ANALYSIS
@@ -42,8 +43,6 @@ def k6_session_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k7_import_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imported prompts matched by identity form; unknown ones get new numbers and are inactive."""
-    from scriptorium.functions.text import normalize
-
     q = questions(spark, sf_dir)
     known = q.where("question_id % 3 <> 0").select("question_id", normalize(F.col("prompt")).alias("k"), "active")
     came = q.select(F.col("question_id").alias("import_id"), F.upper("prompt").alias("prompt"))
@@ -78,12 +77,25 @@ def m1_reply_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m4_correction_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a correction goes, by its kind; every one is a regression case as well."""
+    """Where a correction (a user turn) goes, by its kind: style ones pair with the turn before, facts and
+    positions become statements if their register is neutral and they are not sealed, rules wait or apply
+    once. Each is a regression case as well, whose fields fall back on one another; their sizes are summed."""
     kinds = ["style", "factual", "position", "behavior"]
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("kind", F.get(F.array(*map(F.lit, kinds)), (F.col("turn") % 4).cast("int")))
+    c = table(spark, sf_dir, "conversations")
+    said = lambda role, back, name: c.where(F.col("role") == role).select("conv_id", (F.col("turn") + back).alias("turn"), F.col("text").alias(name))
+    rows = c.where("role = 'user'").withColumn("kind", F.get(F.array(*map(F.lit, kinds)), (F.col("turn") % 4).cast("int")))
+    rows = rows.join(said("assistant", 1, "original"), ["conv_id", "turn"], "left").join(said("user", 2, "trigger"), ["conv_id", "turn"], "left")
+    same = F.sha2(normalize(F.col("text")), 256)
+    sealed = table(spark, sf_dir, "benchmark").select(same.alias("same")).distinct().withColumn("sealed", F.lit(True))
+    rows = rows.withColumn("same", same).join(sealed, "same", "left")
     clean = F.size(rules.lint_reasons(F.col("text"))) == 0
-    route = F.when(F.col("kind") == "style", "exemplar_pair").when(F.col("kind") == "behavior", F.when(F.col("conv_id") % 2 == 0, "rule_pending").otherwise("rule_applied")).when(clean, "statement").otherwise("rejected")
-    return c.groupBy("kind", route.alias("route")).agg(F.count("*").alias("n"))
+    ready = (F.col("kind") == "behavior") & (F.col("conv_id") % 2 == 1)
+    first = rows.where(ready).groupBy("same").agg(F.min(F.struct("conv_id", "turn")).alias("first"))
+    rows = rows.join(first, "same", "left")
+    rule = F.when(~ready, "rule_pending").when(F.struct("conv_id", "turn") == F.col("first"), "rule_applied").otherwise("rule_known")
+    route = F.when(F.col("kind") == "style", F.when(F.col("original").isNull(), "no_original").otherwise("exemplar_pair")).when(F.col("kind") == "behavior", rule).when(~clean, "rejected").when(F.col("sealed"), "sealed").otherwise("statement")
+    cut = lambda *c: F.sum(F.length(F.substring(F.coalesce(*c, F.lit("")), 1, 2000)))
+    return rows.groupBy("kind", route.alias("route")).agg(F.count("*").alias("n"), cut("trigger", "original", "text").alias("trigger_chars"), cut("original").alias("rejected_chars"))
 
 
 def m5_live_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +134,18 @@ def m16_previous_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("event_type = 'click'").select("event_id", "persona")
 
 
+def m16_oldest_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest open case (an error) of a subject that has a question and was not asked yet, and how many
+    answers (clicks) go back to a case: the one that the persona turn before names, if it is still open."""
+    e = table(spark, sf_dir, "events")
+    open_ = (F.col("event_type") == "error") & (F.col("event_id") % 5 != 0)
+    oldest = e.where(open_ & (F.col("event_id") % 3 != 0) & (F.col("event_id") % 2 == 0)).groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("oldest"))
+    answers = m16_previous_turn(spark, sf_dir).join(e.select("event_id", "user_id"), "event_id").withColumn("named", F.col("persona") - F.col("persona") % 3)
+    cases = e.where(open_).select(F.col("event_id").alias("named"), F.lit(1).alias("hit"))
+    routed = answers.join(cases, "named").groupBy("user_id").agg(F.count("*").alias("routed"))
+    return oldest.join(routed, "user_id", "full_outer").select("user_id", "oldest", F.coalesce("routed", F.lit(0).cast("long")).alias("routed"))
+
+
 def m18_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approvals numbered by time; every third is decided."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -173,8 +197,14 @@ def a7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a8_build_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = a5_subject_stats(spark, sf_dir)
-    return s.select("source", F.when(F.col("minutes") < 2, "too little voice").when(F.col("chunks") < 50, "too few statements").when(F.col("origins") < 40, "too few origins").otherwise("ok").alias("gate"))
+    """The first gate that a build of a subject fails: half an hour of voice (at 900 characters a minute),
+    fifty statements, no sealed text among them, a fingerprint, eight exemplars (rarely asked)."""
+    d = table(spark, sf_dir, "documents")
+    sealed = questions(spark, sf_dir).where("sealed").select(F.sha2(normalize(F.col("prompt")), 256).alias("same")).distinct().withColumn("leak", F.lit(True))
+    rows = d.withColumn("same", F.sha2(normalize(F.col("text")), 256)).join(sealed, "same", "left")
+    s = rows.groupBy("source").agg(F.round(F.sum("n_chars") / 900, 1).alias("minutes"), F.count("*").alias("statements"), F.coalesce(F.bool_or("leak"), F.lit(False)).alias("leak"), F.bool_or(F.trim("text") != "").alias("fingerprint"), F.least(F.lit(12), F.count_if(F.col("doc_id") % 11 <= 4)).alias("exemplars"))
+    gate = F.when(F.col("minutes") < 30, "too little voice").when(F.col("statements") < 50, "too few statements").when(F.col("leak"), "sealed text").when(~F.col("fingerprint"), "no fingerprint").when(F.col("exemplars") < 8, "too few exemplars").otherwise("ok")
+    return s.select("source", "minutes", "statements", "exemplars", gate.alias("gate"))
 
 
 def a9_blinding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,19 +303,23 @@ l{n} AS (SELECT recording, f AS start, t AS "end" FROM g{n} WHERE t > f + 0.05 U
 
 _CLEAN = f"NOT ({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 
-QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
+QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m16_oldest_case, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
 ORACLE = {
     "k6_session_export": f"WITH {_R}, {_Q}, e AS (SELECT DISTINCT session_id, q.question_id FROM r, q) SELECT e.session_id AS session_id, count(*) AS questions, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM e LEFT JOIN r USING (session_id, question_id) GROUP BY 1",
     "k7_import_by_prompt": f"WITH {_Q}, n AS (SELECT question_id, {NORMAL.replace('text', 'prompt')} AS k, active FROM q), j AS (SELECT a.question_id AS import_id, b.question_id AS known, b.active FROM n a LEFT JOIN n b ON a.k = b.k AND b.question_id % 3 <> 0) SELECT import_id, coalesce(known, (SELECT max(question_id) FROM n WHERE question_id % 3 <> 0) + row_number() OVER (PARTITION BY known IS NULL ORDER BY import_id)) AS question_id, coalesce(active, false) AS active FROM j",
     "k8_response_upsert": "SELECT user_id AS session_id, event_id % 40 AS question_id, arg_max(event_id % 7, (ts, event_id)) FILTER (WHERE event_type = 'click') AS likert, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS audio_sec FROM events WHERE event_type <> 'click' OR event_id % 7 BETWEEN 1 AND 5 GROUP BY 1, 2",
     "k11_late_results": "SELECT CASE WHEN event_type = 'view' AND event_id % 9 <> 0 AND event_id % 5 = event_id % 4 THEN 'applied' ELSE 'discarded' END AS outcome, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
     "m1_reply_chain": "SELECT c.conv_id AS conv_id, c.turn AS turn, a.role AS answers, b.role AS trigger FROM conversations c LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2 WHERE c.role = 'user'",
-    "m4_correction_routes": f"WITH c AS (SELECT *, ['style', 'factual', 'position', 'behavior'][turn % 4 + 1] AS kind, {_CLEAN} AS clean FROM conversations WHERE role = 'user') SELECT kind, CASE kind WHEN 'style' THEN 'exemplar_pair' WHEN 'behavior' THEN CASE WHEN conv_id % 2 = 0 THEN 'rule_pending' ELSE 'rule_applied' END ELSE CASE WHEN clean THEN 'statement' ELSE 'rejected' END END AS route, count(*) AS n FROM c GROUP BY 1, 2",
+    "m4_correction_routes": f"""WITH c AS (SELECT c.*, a.text AS original, t.text AS trig, ['style', 'factual', 'position', 'behavior'][c.turn % 4 + 1] AS kind, {NORMAL.replace('text', 'c.text')} AS same FROM conversations c LEFT JOIN conversations a ON a.role = 'assistant' AND a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN conversations t ON t.role = 'user' AND t.conv_id = c.conv_id AND t.turn = c.turn - 2 WHERE c.role = 'user'),
+k AS (SELECT *, {_CLEAN} AS clean, same IN (SELECT {NORMAL} FROM benchmark) AS sealed, kind = 'behavior' AND conv_id % 2 = 1 AS ready FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY ready, same ORDER BY conv_id, turn) AS i FROM k)
+SELECT kind, CASE kind WHEN 'style' THEN CASE WHEN original IS NULL THEN 'no_original' ELSE 'exemplar_pair' END WHEN 'behavior' THEN CASE WHEN NOT ready THEN 'rule_pending' WHEN i = 1 THEN 'rule_applied' ELSE 'rule_known' END ELSE CASE WHEN NOT clean THEN 'rejected' WHEN sealed THEN 'sealed' ELSE 'statement' END END AS route, count(*) AS n,
+CAST(sum(length(substr(coalesce(trig, original, text), 1, 2000))) AS BIGINT) AS trigger_chars, CAST(sum(length(substr(coalesce(original, ''), 1, 2000))) AS BIGINT) AS rejected_chars FROM f GROUP BY 1, 2""",
     "m5_live_notes": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AND event_type <> 'error' AS active FROM events",
     "m10_cards": "SELECT CASE WHEN event_id % 3 <> 0 THEN 'theme' || user_id % 6 ELSE 'general' END AS theme, count(*) AS cases, min(event_id) AS first FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
     "m11_due": "WITH l AS (SELECT user_id, max(ts) AS run_at FROM events WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS statements, count(*) FILTER (WHERE event_type = 'click') AS corrections, bool_or(event_type = 'error' AND event_id % 5 = 0) AS blocked FROM events LEFT JOIN l USING (user_id) WHERE run_at IS NULL OR ts > run_at GROUP BY 1) SELECT *, (statements >= 40 OR corrections >= 15) AND NOT blocked AS due FROM c",
     "m15_one_each": "WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT user_id, bool_or(event_type = 'purchase') AS clarified, bool_or(event_type = 'signup') AS invited FROM e GROUP BY 1",
     "m16_previous_turn": "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS persona FROM events) SELECT event_id, persona FROM e WHERE event_type = 'click'",
+    "m16_oldest_case": "WITH o AS (SELECT user_id, arg_min(event_id, (ts, event_id)) AS oldest FROM events WHERE event_type = 'error' AND event_id % 5 <> 0 AND event_id % 3 <> 0 AND event_id % 2 = 0 GROUP BY 1), e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS persona FROM events), r AS (SELECT e.user_id AS user_id, count(*) AS routed FROM e JOIN events c ON c.event_id = persona - persona % 3 AND c.event_type = 'error' AND c.event_id % 5 <> 0 WHERE e.event_type = 'click' GROUP BY 1) SELECT user_id, oldest, coalesce(routed, 0) AS routed FROM o FULL JOIN r USING (user_id)",
     "m18_approvals": "WITH e AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'purchase') SELECT event_id, n, CASE WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'applied' ELSE 'rejected' END ELSE 'pending' END AS status FROM e",
     "a1_coverage": f"WITH {_R}, {_Q}, c AS (SELECT module, count(*) AS questions, count(*) FILTER (WHERE question_id IN (SELECT question_id FROM r WHERE NOT skipped)) AS answered FROM q WHERE active GROUP BY 1) SELECT m AS module, coalesce(questions, 0) AS questions, coalesce(answered, 0) AS answered, CASE WHEN questions > 0 THEN round(100 * answered / questions) ELSE 0 END AS percent FROM range(6) t(m) LEFT JOIN c ON module = m",
     "a2_next_question": f"WITH {_R}, {_Q} SELECT session_id, q.question_id AS question_id FROM (SELECT DISTINCT session_id FROM r) x, q WHERE active AND NOT EXISTS (SELECT 1 FROM r WHERE r.session_id = x.session_id AND r.question_id = q.question_id AND NOT skipped) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sealed, q.question_id) = 1",
@@ -294,7 +328,7 @@ ORACLE = {
     "a5_subject_stats": "SELECT source, count(DISTINCT doc_id % 50) AS origins, count(*) AS chunks, round(sum(n_chars) / 60000, 1) AS minutes FROM documents GROUP BY 1",
     "a6_domains": "SELECT lang AS domain FROM documents UNION SELECT event_type FROM events UNION SELECT role FROM conversations UNION SELECT 'general'",
     "a7_status": "WITH c AS (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS pending FROM events GROUP BY 1) SELECT *, CASE WHEN pending > 40 THEN 'blocked' WHEN events < 100 THEN 'collecting' ELSE 'ready' END AS phase FROM c",
-    "a8_build_gates": "WITH s AS (SELECT source, count(DISTINCT doc_id % 50) AS origins, count(*) AS chunks, round(sum(n_chars) / 60000, 1) AS minutes FROM documents GROUP BY 1) SELECT source, CASE WHEN minutes < 2 THEN 'too little voice' WHEN chunks < 50 THEN 'too few statements' WHEN origins < 40 THEN 'too few origins' ELSE 'ok' END AS gate FROM s",
+    "a8_build_gates": f"WITH {_Q}, d AS (SELECT *, {NORMAL} IN (SELECT {NORMAL.replace('text', 'prompt')} FROM q WHERE sealed) AS leak FROM documents), s AS (SELECT source, round(sum(n_chars) / 900, 1) AS minutes, count(*) AS statements, bool_or(leak) AS leak, bool_or(trim(text) <> '') AS fp, least(12, count(*) FILTER (WHERE doc_id % 11 <= 4)) AS exemplars FROM d GROUP BY 1) SELECT source, minutes, statements, exemplars, CASE WHEN minutes < 30 THEN 'too little voice' WHEN statements < 50 THEN 'too few statements' WHEN leak THEN 'sealed text' WHEN NOT fp THEN 'no fingerprint' WHEN exemplars < 8 THEN 'too few exemplars' ELSE 'ok' END AS gate FROM s",
     "a9_blinding": "SELECT item_id, CAST('0x' || substr(sha256('seed:' || item_id), 1, 2) AS INT) % 2 = 0 AS first_is_a FROM benchmark",
     "a10_pick_tally": "SELECT user_id % 7 AS listener, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error' AND (event_type = 'click') = (event_id % 2 = 0)) AS local, count(*) FILTER (WHERE event_type = 'error') AS cannot_tell FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ROLLUP (user_id % 7)",
     "a11_agreement": "WITH l AS (SELECT source, doc_id, quality FROM labels JOIN documents USING (doc_id)) SELECT source, count(*) FILTER (WHERE quality = 1) AS agreed, count(*) AS judged, coalesce(array_to_string(list_sort(list(doc_id) FILTER (WHERE quality <> 1))[1:5], ','), '') AS gaps FROM l GROUP BY 1",

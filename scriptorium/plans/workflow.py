@@ -165,6 +165,26 @@ def v5_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy("module", reason.alias("outcome")).agg(F.count("*").alias("clips"), F.sum(F.round(F.col("audio_sec") * 100).cast("long")).alias("audio_cents"))
 
 
+def v5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset a session: clips kept, the last tenth of them (three at least) held back, and whether it is
+    built: not without consent, and not under twenty minutes (here: seconds)."""
+    j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id")
+    kept = j.where(~F.col("sealed") & ~F.col("skipped") & (F.col("event_id") % 3 != 0) & (F.col("audio_sec") >= 3))
+    own = Window.partitionBy("session_id")  # a questionnaire at most
+    ranked = kept.select("session_id", "audio_sec", F.row_number().over(own.orderBy(F.desc("question_id"))).alias("r"), F.count("*").over(own).alias("n"))
+    held = F.count_if(F.col("r") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.1)))
+    cents = F.sum(F.round(F.col("audio_sec") * 100).cast("long"))
+    s = ranked.groupBy("session_id").agg(F.count("*").alias("clips"), held.alias("held_back"), cents.alias("audio_cents"))
+    status = F.when(F.col("session_id") % 7 == 0, "no consent").when(F.col("audio_cents") < 2000, "too short").otherwise("built")
+    return s.select("session_id", "clips", "held_back", "audio_cents", status.alias("status"))
+
+
+def u5_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker as a table function, joined laterally: number, count and size of each chunk."""
+    made = udfs.chunk_table(chunk.chunks)(F.col("text").outer())
+    return table(spark, sf_dir, "documents").select("doc_id", "text").lateralJoin(made).select("doc_id", "number", "of", F.length("chunk").cast("long").alias("chars"))
+
+
 def u1_test_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic unit vector of each text; its size, norm and first component."""
     v = table(spark, sf_dir, "documents").select("doc_id", udfs.test_embedding(F.col("text")).alias("v"))
@@ -196,7 +216,7 @@ def w7_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), F.when(k.isNull(), "corrupt").otherwise("ok").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
+QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, v5_selection, u5_chunk_table, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, text AS prompt FROM benchmark)"
 _CENTS = "CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) AS audio_cents"
@@ -222,6 +242,8 @@ SELECT subject, doc_id, place FROM s WHERE place > 0""",
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),
     "m17_reassign": f"WITH {_Q} SELECT question_id, CASE WHEN question_id % 4 = 0 OR (question_id % 2 = 0 AND starts_with(prompt, 'other')) THEN 9 ELSE module END AS module, question_id % 4 = 2 AND NOT starts_with(prompt, 'other') AS skipped FROM q",
     "v5_dataset": f"WITH {_R}, {_Q} SELECT module, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome, count(*) AS clips, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
+    "v5_selection": f"WITH {_R}, {_Q}, k AS (SELECT session_id, audio_sec, row_number() OVER (PARTITION BY session_id ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM r JOIN q USING (question_id) WHERE NOT sealed AND NOT skipped AND event_id % 3 <> 0 AND audio_sec >= 3), s AS (SELECT session_id, count(*) AS clips, count(*) FILTER (WHERE r <= greatest(3, floor(n * 0.1))) AS held_back, {_CENTS} FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 2000 THEN 'too short' ELSE 'built' END AS status FROM s",
+    "p21_token_count": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS tokens FROM documents",
     "p12_past_framed": f"SELECT conv_id, turn, {found('trim(text)', *rules.PAST_FRAMED)} AS past_framed FROM conversations",
     "u3_embedding": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS es FROM documents",
     "u4_completion": "SELECT conv_id, turn, reverse(text) AS answer FROM conversations",

@@ -101,7 +101,7 @@ def regroup(df: DataFrame, keys: list[str], order: str, text_col: str, most: int
 
 def passages(text: Column, least: int = 40, most: int = 120) -> Column:
     """Consecutive sentences until there are `least` tokens; longer than `most` is left out."""
-    parts = F.filter(F.transform(tx.sentences(text), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(tx.sentences(text), lambda s: F.trim(s)), lambda s: s != "")
     empty = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit("").alias("held"), F.lit(0).alias("n"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -229,6 +229,8 @@ ORACLE = {
     "s7_session_files": "SELECT doc_id, source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.png' ELSE '.md' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unsupported' WHEN doc_id % 9 = 0 OR trim(text) = '' THEN 'empty' END AS skipped FROM documents",
     "k2_sealed_write": f"WITH {redacted_sql('benchmark', 'item_id')} SELECT item_id, t AS redacted FROM r{len(redaction.RULES)}",
     "k3_selective_rebuild": "SELECT doc_id, CASE WHEN source IN ('src2', 'src5') THEN 0 ELSE n_chars END AS n_chars, source FROM documents",
+    "c5_batches": """WITH RECURSIVE d AS (SELECT source, doc_id, least(coalesce(length(text), 0), 4000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS (SELECT source, doc_id, i, 1 AS n, size AS total, 0 AS batch FROM d WHERE i = 1
+UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN 1 ELSE r.n + 1 END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN size ELSE r.total + size END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN r.batch + 1 ELSE r.batch END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1) SELECT source, doc_id, batch FROM r""",
     "l4_gram_set": f"WITH t AS (SELECT {TOK_LIST} AS w FROM benchmark) SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM t",
     "l8_firewall": f"WITH c AS (SELECT 'turn:' || conv_id || ':' || turn AS id, role, turn, text, trim(text) AS t FROM conversations), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
     "p9_own_text": "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'spoken' ELSE 'written' END AS mode, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1, 2",

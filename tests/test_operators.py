@@ -179,6 +179,29 @@ def test_hourly_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.sql("select * from hourly_counts").collect())) == sorted(map(tuple, stream.hourly(events).collect()))
 
 
+def streamed(spark, tmp_path, df, make, name, mode):
+    """What a stream over `df`, read in several batches, leaves behind."""
+    df.repartition(4).write.parquet(str(tmp_path / name))
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    q = make(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    return sorted(map(tuple, spark.sql(f"select * from {name}").collect()), key=str)
+
+
+def test_running_style_stream_equals_batch(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "text")
+    got = streamed(spark, tmp_path, docs, lambda s: stream.running_style(s, "lang", "text"), "running_style", "complete")
+    assert got == sorted(map(tuple, stream.running_style(docs, "lang", "text").collect()), key=str) and got
+
+
+def test_replays_have_no_effect_on_a_stream(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", F.col("ts").cast("timestamp").alias("ts")).limit(300)
+    twice = events.unionByName(events)
+    one_hour = twice.withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))  # within the retention
+    got = streamed(spark, tmp_path, one_hour, lambda s: stream.first_of_each(s, "event_id", "ts"), "replays", "append")
+    assert [x[0] for x in got] == sorted((r.event_id for r in events.collect()), key=str)
+
+
 def test_session_memory(spark):
     rows = [("u", i, f"2024-01-01 {h:02d}:00:00", k) for i, (h, k) in enumerate([(0, "t"), (1, "t"), (20, "t"), (21, "r"), (22, "t"), (23, "t")])]
     df = spark.createDataFrame(rows, "u string, id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))

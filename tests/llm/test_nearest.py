@@ -55,6 +55,34 @@ def test_smallest_ids_of_many_equal_vectors():
         assert found == [(0, i, 0.0) for i in sorted(set(same.tolist()) - {q})[:10]]
 
 
+def test_cells():
+    r = np.random.default_rng(4)
+    points = r.standard_normal((4000, nn.DIMS))
+    points[:900] = points[0]
+    cells = nn.Cells.fit(points, 40)
+    home = cells.home(points)
+    assert len(cells.low) == 40 and set(home) == set(range(40))
+    assert (points >= cells.low[home]).all() and (points <= cells.high[home]).all()
+    assert all(cells.bounds(p)[h] == 0 for p, h in zip(points[::50], home[::50]))
+    assert nn.Cells.fit(points[:900], 9).home(points).max() == 0  # equal points stay together
+
+
+def test_cells_leave_the_result_as_it_is(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((30, 16)) * 4
+    rows = [(i, (centres[i % 30] + 0.3 * r.standard_normal(16)).tolist()) for i in range(3000)]
+    rows += [(5000 + i, rows[100][1]) for i in range(300)] + [(6000 + i, r.standard_normal(3).tolist()) for i in range(150)] + [(7000, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ask = df.where("vec_id % 50 = 0")
+    whole = sorted(map(tuple, nn.nearest(df, "vec_id", "embedding", ask, 10).collect()))
+    monkeypatch.setattr(nn, "CELL_ROWS", 100)
+    monkeypatch.setattr(nn, "SAMPLE_ROWS", 1500)
+    monkeypatch.setattr(nn, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(nn, "QUERY_ROWS", 4)
+    got = sorted(map(tuple, nn.nearest(df, "vec_id", "embedding", ask, 10).collect()))
+    assert len(got) == len(whole) and len(set(got) & set(whole)) >= 0.99 * len(whole)
+
+
 def test_many_blocks_and_portions_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(nn, "BLOCK_ROWS", 70)
     monkeypatch.setattr(nn, "QUERY_ROWS", 9)

@@ -19,8 +19,8 @@ bucket is lost.
 Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
 steps shrink what is left, until all links form stars. No link or group passes the driver.
 
-No task gets a hot key: the few classes and buckets with more than a HOT-th of all rows are sent
-to the rows, so that these need not meet by key; all other rows do. Blocks are cut by members and by
+No task gets a hot key: the HOT largest classes and buckets are sent to their rows, so that these
+need not meet by key; all other rows do. Blocks are cut by members and by
 the size of their sets.
 
 Defined results: documents without words (null, empty or blank texts) have an empty set, link
@@ -62,7 +62,7 @@ class Settings:
 
 #: Members of a bucket's largest group, and of the others, that are compared at once, and shingles.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
-#: A key with more than a HOT-th of all rows is hot; there are fewer than HOT of these.
+#: Keys that are sent to their rows, the most frequent ones.
 HOT = 1_000
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
@@ -103,13 +103,14 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return best.reshape(-1, m)
 
 
-def _met(rows: DataFrame, facts: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
-    """`rows` joined with `facts`, one row a key, by key; `n` of facts is how many rows have the key, of
-    `total`. Hot keys are sent to the rows, the others meet by key."""
-    hot = F.broadcast(facts.where(F.col(n) > total / HOT))  # fewer than HOT rows
-    of_hot = rows.join(hot, key)
-    cold = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(n) <= total / HOT), key, how)
-    return of_hot.unionByName(cold)
+def _met(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `facts`, one row a key, by key; `n` of facts is how many rows have the key. The
+    HOT most frequent keys are sent to the rows; the others, none of which has more than a HOT-th of
+    the rows, meet by key."""
+    first = facts.orderBy(F.desc(n), key).limit(HOT)
+    hot, cold = F.broadcast(first), facts.join(F.broadcast(first.select(key)), key, "left_anti")  # HOT rows
+    rest = rows.join(F.broadcast(first.select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
 
 
 def _signed(df: DataFrame, s: Settings) -> DataFrame:
@@ -261,7 +262,7 @@ def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
         F.transform(upto(F.col("m")), lambda j: F.struct(F.lit(0).alias("kind"), own(F.col("s")).alias("x"), j.alias("y"))),
         F.transform(upto(F.col("s")), lambda k: F.struct(F.lit(1).alias("kind"), F.least(own(F.col("s")), k).alias("x"), F.greatest(own(F.col("s")), k).alias("y"))),
     )
-    placed = _met(members, sizes, "bucket", "all", members.count()).select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
+    placed = _met(members, sizes, "bucket", "all").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
     rows = texts.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +293,7 @@ def _unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
     """bucket, id, n_shingles, component of the members of buckets that hold several groups."""
     grouped = materialise(met.join(groups, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
-    return materialise(_met(grouped, mixed, "bucket", "n", grouped.count()).drop("n"), "unsettled")
+    return materialise(_met(grouped, materialise(mixed, "mixed"), "bucket", "n").drop("n"), "unsettled")
 
 
 def _with(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -318,18 +319,18 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Setting
     classes = materialise(classes, "classes")
     members = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select("id", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
     leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    met = materialise(_met(members, leaders, "bucket", "n", s.bands * classes.count()).select("bucket", "leader", "id", "n_shingles"), "buckets")
+    met = materialise(_met(members, leaders, "bucket", "n").select("bucket", "leader", "id", "n_shingles"), "buckets")
     # Only members of buckets are compared: from here on their texts are enough.
     texts = materialise(docs.join(met.select("id").distinct().hint("merge"), "id"), "texts")
     stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     groups = components(_verified(texts, stars, s).unionByName(_bridges(full, classes)))
     rest = _unsettled(met.select("bucket", "id", "n_shingles"), groups)
     others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("n")).select("bucket", "n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
-    again = _met(rest, materialise(others, "others"), "bucket", "n", rest.count()).where("component <> of").select("a", F.col("id").alias("b")).distinct()
+    again = _met(rest, materialise(others, "others"), "bucket", "n").where("component <> of").select("a", F.col("id").alias("b")).distinct()
     groups = _with(groups, _verified(texts, again, s))
     groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id", "n_shingles"), groups), s))
     of_class = materialise(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
-    found = _met(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies", full.count()).select("id", "n_shingles", "component")
+    found = _met(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", "component")
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     out = found.unionByName(alone)
     return out.select("id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))

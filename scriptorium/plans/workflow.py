@@ -13,7 +13,7 @@ from scriptorium.operators.style import top_per
 from scriptorium.plans.index import statements
 from scriptorium.plans.tables import questions, responses
 from scriptorium.plans.text_rules import NORMAL, TOK_LIST, WORDS, found, re2, redacted_sql  # noqa: F401
-from scriptorium.session import table
+from scriptorium.session import ship, table
 
 
 def s3_project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,6 +181,7 @@ def v5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u5_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunker as a table function, joined laterally: number, count and size of each chunk."""
+    ship(spark)
     made = udfs.chunk_table(chunk.chunks)(F.col("text").outer())
     return table(spark, sf_dir, "documents").select("doc_id", "text").lateralJoin(made).select("doc_id", "number", "of", F.length("chunk").cast("long").alias("chars"))
 

@@ -32,18 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that this process wrote to cut lineages.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write `df` to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete what `materialise` wrote so far, when all results made from it are used up; how many
+    folders that was."""
+    paths = spark._jvm.org.apache.hadoop.fs
+    done = 0
+    while _WRITTEN:
+        path = paths.Path(_WRITTEN.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the workers, once per application."""
+    """Make this package importable on the workers, once per application. Only workers of a local
+    session are known to see the driver's own path."""
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if str(_ROOT) in on_path or spark.conf.get(_SHIPPED, ""):
+    if spark.sparkContext.master.startswith("local") and str(_ROOT) in on_path or spark.conf.get(_SHIPPED, ""):
         return
     target = os.path.join(tempfile.mkdtemp(prefix="scriptorium-"), "scriptorium.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:

@@ -82,3 +82,15 @@ def test_caller_supplied_functions(spark):
     assert np.allclose(v[0], udfs.hashed_vector("a b c"), atol=1e-6)
     answers = udfs.completions(df.where("t <> ''"), "t", lambda prompts: [p.upper() for p in prompts]).collect()
     assert [tuple(r) for r in answers] == [("a b c", "A B C")]
+
+
+def test_intermediate_folders_are_deleted(spark):
+    from pathlib import Path
+
+    from scriptorium import session
+
+    session.forget(spark)
+    df = session.materialise(spark.range(5), "kept")
+    folder = Path(df.inputFiles()[0].removeprefix("file://").removeprefix("file:")).parent
+    assert df.count() == 5 and folder.exists()
+    assert session.forget(spark) == 1 and not folder.exists()

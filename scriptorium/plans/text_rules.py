@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import markup, redaction, rules
 from scriptorium.functions import text as tx
+from scriptorium.plans import style
 from scriptorium.session import table
 
 
@@ -65,8 +66,11 @@ def p8_redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_register_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six reasons; the collocations are the fifteen phrases that a role uses most."""
     c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.array_join(rules.lint_reasons(F.col("text")), ",").alias("reasons"))
+    own = style.t4_top_phrases(spark, sf_dir).groupBy("role").agg(F.collect_list("phrase").alias("own"))  # fifteen a role
+    rows = c.join(own, "role", "left").withColumn("own", F.coalesce("own", F.expr("cast(array() as array<string>)")))
+    return rows.select("conv_id", "turn", F.array_join(rules.lint_reasons(F.col("text"), F.col("own")), ",").alias("reasons"))
 
 
 def p11_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,7 +189,7 @@ ORACLE = {
     "p6_redaction": f"WITH {redacted_sql('documents', 'doc_id')} SELECT doc_id, t AS redacted FROM {LAST}",
     "p7_luhn_runs": rf"WITH r AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d[ -]?){{13,19}}\b')) AS run FROM documents) SELECT doc_id, run, {_LUHN.format(r='run')} AS valid FROM r",
     "p8_redaction_counts": f"WITH {redacted_sql('documents', 'source')}, c AS (" + " UNION ALL ".join(f"SELECT source, '{r.name}' AS rule, n{i} AS n FROM {LAST}" for i, r in enumerate(redaction.RULES)) + ") SELECT source, rule, CAST(sum(n) AS BIGINT) AS n FROM c WHERE n > 0 GROUP BY 1, 2",
-    "p10_register_lint": "SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in ((found("trim(text)", rules.FIRST_PERSON), "first_person"), (found("trim(text)", rules.SECOND_PERSON), "second_person"), (found("trim(text)", rules.FILLER), "filler"), (found("trim(text)", "[!?]$"), "exclamatory"), (f"{WORDS} > 60", "too_long"))) + ") AS reasons FROM conversations",
+    "p10_register_lint": f"WITH ph AS ({style.ORACLE['t4_top_phrases']}), own AS (SELECT role, list(phrase) AS own FROM ph GROUP BY role) SELECT conv_id, turn, concat_ws(',', " + ", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name in ((found("trim(text)", rules.FIRST_PERSON), "first_person"), (found("trim(text)", rules.SECOND_PERSON), "second_person"), (found("trim(text)", rules.FILLER), "filler"), (found("trim(text)", "[!?]$"), "exclamatory"), (f"{WORDS} > 60", "too_long"), ("len(list_filter(coalesce(own, []), lambda p: contains(' ' || lower(trim(text)) || ' ', ' ' || p || ' '))) > 0", "collocation"))) + ") AS reasons FROM conversations LEFT JOIN own USING (role)",
     "p11_intent": f"SELECT conv_id, turn, CASE WHEN {found('trim(text)', *rules.RECALL)} THEN 'explicit_recall' WHEN {found('trim(text)', *rules.SMALLTALK)} OR ({WORDS} <= 3 AND NOT contains(text, '?')) THEN 'smalltalk' ELSE 'knowledge' END AS intent, {found('trim(text)', *rules.PAST_FRAMED)} AS past_framed FROM conversations",
     "p13_event_intent": f"""
 WITH c AS (SELECT *, trim(text) AS t, CASE WHEN turn % 5 = 3 THEN 'file' WHEN turn % 5 = 4 THEN 'audio' ELSE 'text' END AS kind FROM conversations), r AS (

@@ -35,12 +35,25 @@ def s4_export_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", kind.alias("format"), reason.alias("skipped"))
 
 
+_MANIFEST = "struct<session:bigint,responses:array<struct<question:bigint,prompt:string,kind:string,validation:boolean,transcript:string,audio_cents:bigint>>>"
+
+
+def interview_rows(df: DataFrame, json_col: str) -> DataFrame:
+    """session, route, question, text, audio_cents of each response of a manifest: validation questions go
+    to the holdout only, others that are not spoken or blank are left out with the reason."""
+    m = df.select(F.from_json(json_col, _MANIFEST).alias("m")).select("m.session", F.explode("m.responses").alias("r"))
+    route = F.when(F.col("r.validation"), "holdout").when(F.col("r.kind") != "voice", "not voice").when(F.trim(F.coalesce("r.transcript", F.lit(""))) == "", "blank").otherwise("item")
+    return m.select("session", route.alias("route"), F.col("r.question").alias("question"), F.concat_ws("\n", "r.prompt", "r.transcript").alias("text"), "r.audio_cents")
+
+
 def s6_interview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sealed questions go only to the holdout; skipped and blank ones are counted; minutes add up."""
+    """Responses nested to a manifest a session and read back; minutes (to a tenth) add up over what is kept."""
     j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id")
-    route = F.when(F.col("sealed"), "holdout").when(F.col("skipped"), "skipped").when(F.trim("prompt") == "", "blank").otherwise("item")
-    cents = F.sum(F.round(F.col("audio_sec") * 100).cast("long"))
-    return j.groupBy("session_id", route.alias("route")).agg(F.count("*").alias("n"), cents.alias("audio_cents"))
+    one = F.struct(F.col("question_id").alias("question"), "prompt", F.when(F.col("skipped"), "text").otherwise("voice").alias("kind"), F.col("sealed").alias("validation"), F.when(F.col("event_id") % 10 == 0, " ").otherwise(F.concat(F.lit("said "), "event_id")).alias("transcript"), F.round(F.col("audio_sec") * 100).cast("long").alias("audio_cents"))
+    nested = j.groupBy("session_id").agg(F.to_json(F.struct(F.first("session_id").alias("session"), F.collect_list(one).alias("responses"))).alias("json"))  # a questionnaire at most
+    rows = interview_rows(nested, "json")
+    cents = F.sum("audio_cents")
+    return rows.groupBy("session", "route").agg(F.count("*").alias("n"), F.sum("question").alias("questions"), F.sum(F.length("text")).alias("chars"), (F.floor((cents * 10 + 3000) / 6000) / 10).alias("minutes"))
 
 
 def s7_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +239,7 @@ _LINTED = f"({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', r
 ORACLE = {
     "s3_project_docs": "SELECT doc_id, 'description' AS part, source || ': ' || text AS text FROM documents WHERE doc_id % 3 = 0 AND trim(text) <> '' UNION ALL SELECT doc_id, 'a', text FROM documents WHERE trim(text) <> ''",
     "s4_export_format": "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS format, CASE WHEN turn % 4 = 2 THEN 'unknown format' WHEN turn % 4 = 3 THEN CASE WHEN regexp_matches(ltrim(text), '^[\\[{]') THEN 'unknown format' ELSE 'not JSON' END END AS skipped FROM conversations",
-    "s6_interview": f"WITH {_R}, {_Q} SELECT session_id, CASE WHEN sealed THEN 'holdout' WHEN skipped THEN 'skipped' WHEN trim(prompt) = '' THEN 'blank' ELSE 'item' END AS route, count(*) AS n, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
+    "s6_interview": f"WITH {_R}, {_Q} SELECT session_id AS session, CASE WHEN sealed THEN 'holdout' WHEN skipped THEN 'not voice' WHEN event_id % 10 = 0 THEN 'blank' ELSE 'item' END AS route, count(*) AS n, CAST(sum(question_id) AS BIGINT) AS questions, CAST(sum(length(prompt) + 1 + CASE WHEN event_id % 10 = 0 THEN 1 ELSE length('said ' || event_id) END) AS BIGINT) AS chars, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM r JOIN q USING (question_id) GROUP BY 1, 2",
     "s7_session_files": "SELECT doc_id, source || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.png' ELSE '.md' END AS name, CASE WHEN doc_id % 4 = 1 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'unsupported' WHEN doc_id % 9 = 0 OR trim(text) = '' THEN 'empty' END AS skipped FROM documents",
     "k2_sealed_write": f"WITH {redacted_sql('benchmark', 'item_id')} SELECT item_id, t AS redacted FROM r{len(redaction.RULES)}",
     "k3_selective_rebuild": "SELECT doc_id, CASE WHEN source IN ('src2', 'src5') THEN 0 ELSE n_chars END AS n_chars, source FROM documents",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from scriptorium.functions import rules
 from scriptorium.operators.style import text_analysis
+from scriptorium.session import ship
 
 RETENTION_HOURS, TURNS, TURN_CHARS = 12, 30, 2000
 
@@ -47,6 +50,35 @@ def session_memory(events: DataFrame, key: str, ts: str, event_id: str, reset: C
     return kept.withColumn("position", F.row_number().over(oldest)).drop("_k", "_now", "_reset")
 
 
+def session_stream(events: DataFrame, key: str, ts: str, event_id: str, reset: Column) -> DataFrame:
+    """The same over a stream, in update mode: key, version (events of the key so far), event_id, position of
+    the memory after each batch (an empty memory is a row of position 0). The state of a key is its 30 newest live turns, its newest event and
+    its last reset, in any order of arrival; it expires with the retention."""
+    ship(events.sparkSession)
+    keep = RETENTION_HOURS * 3600 * 1_000_000  # microseconds
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark(ts, f"{RETENTION_HOURS} hours").select(F.col(key).alias("key"), ts, F.unix_micros(ts).alias("at"), F.col(event_id).alias("id"), reset.alias("reset"))
+
+    def run(of: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now, cleared, seen, times, ids = state.get if state.exists else (-1, -1, 0, [], [])
+        turns = list(zip(times, ids))
+        for pdf in batches:
+            seen += len(pdf)
+            now = max(now, int(pdf["at"].max()))
+            cleared = max([cleared, *pdf.loc[pdf["reset"], "at"].tolist()])
+            turns += zip(*(pdf.loc[~pdf["reset"], c].tolist() for c in ("at", "id")))
+        turns = sorted(t for t in turns if t[0] > now - keep and t[0] > cleared)[-TURNS:]
+        state.update((now, cleared, seen, [t for t, _ in turns], [i for _, i in turns]))
+        state.setTimeoutTimestamp(max((now + keep) // 1000, state.getCurrentWatermarkMs() + 1))
+        made = [(of[0], seen, i, place) for place, (_, i) in enumerate(turns, 1)] or [(of[0], seen, None, 0)]
+        yield pd.DataFrame(made, columns=["key", "version", "event_id", "position"]).astype({"event_id": "Int64"})
+
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, version long, event_id long, position int", "now long, cleared long, seen long, times array<long>, ids array<long>", "update", "EventTimeTimeout")
+
+
 def due_checks(events: DataFrame, least: int) -> DataFrame:
     """Events since a subject's last check (signup), and whether a check is due."""
     last = events.where("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("run_at"))

@@ -202,6 +202,19 @@ def test_replays_have_no_effect_on_a_stream(spark, tmp_path):
     assert [x[0] for x in got] == sorted((r.event_id for r in events.collect()), key=str)
 
 
+def test_session_stream_ends_as_the_batch(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    # one day in all, so that the watermark drops nothing
+    close = events.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") % 36_000_000_000)).where("user_id < 12")
+    reset = F.col("event_type") == "signup"
+    got = streamed(spark, tmp_path, close, lambda s: stream.session_stream(s, "user_id", "ts", "event_id", reset), "session_memory", "update")
+    last = {}
+    for user, version, *_ in got:
+        last[user] = max(version, last.get(user, 0))
+    end = sorted((user, event, place) for user, version, event, place in got if version == last[user] and place)
+    assert end == sorted((r.user_id, r.event_id, r.position) for r in stream.session_memory(close, "user_id", "ts", "event_id", reset).collect()) and end
+
+
 def test_session_memory(spark):
     rows = [("u", i, f"2024-01-01 {h:02d}:00:00", k) for i, (h, k) in enumerate([(0, "t"), (1, "t"), (20, "t"), (21, "r"), (22, "t"), (23, "t")])]
     df = spark.createDataFrame(rows, "u string, id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))

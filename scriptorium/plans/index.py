@@ -51,7 +51,9 @@ def d4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d5_cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label groups: private if any member is, up to 20 origins."""
     s = statements(spark, sf_dir)
-    return s.groupBy("label").agg(F.max(F.when(F.col("sensitivity") == "private", 1).otherwise(0)).alias("private"), F.array_join(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set("origins")))), 1, 20), ",").alias("origins"))
+    private = s.groupBy("label").agg(F.max(F.when(F.col("sensitivity") == "private", 1).otherwise(0)).alias("private"))
+    first = top_per(s.select("label", F.explode("origins").alias("origin")).distinct(), ["label"], ["origin"], 20)
+    return private.join(first.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("origin")), ",").alias("origins")), "label")
 
 
 def d6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rules
 from scriptorium.functions.text import normalize
 from scriptorium.operators import intervals
+from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.style import _ANALYSIS
 from scriptorium.plans.text_rules import NORMAL, WORDS, found
@@ -47,9 +48,9 @@ def k7_import_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = q.where("question_id % 3 <> 0").select("question_id", normalize(F.col("prompt")).alias("k"), "active")
     came = q.select(F.col("question_id").alias("import_id"), F.upper("prompt").alias("prompt"))
     j = came.withColumn("k", normalize(F.col("prompt"))).join(known, "k", "left")
-    top = known.agg(F.max("question_id").alias("top"))
-    n = F.row_number().over(Window.partitionBy(F.col("question_id").isNull()).orderBy("import_id"))
-    return j.join(F.broadcast(top)).select("import_id", F.when(F.col("question_id").isNull(), F.col("top") + n).otherwise(F.col("question_id")).alias("question_id"), F.coalesce("active", F.lit(False)).alias("active"))
+    top = known.agg(F.max("question_id").alias("top"))  # one row
+    new = placed(j.where("question_id is null").select("import_id"), "import_id").join(F.broadcast(top)).select("import_id", (F.col("top") + F.col("_i") + 1).alias("question_id"), F.lit(False).alias("active"))
+    return j.where("question_id is not null").select("import_id", "question_id", "active").unionByName(new)
 
 
 def k8_response_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,12 +163,15 @@ def a1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a2_next_question(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First active question without an answer, sealed ones last."""
+    """First active question without an answer, sealed ones last: where the places of a session's answered
+    questions have their first gap."""
     r = responses(spark, sf_dir)
-    done = r.groupBy("session_id").agg(F.collect_set(F.when(~F.col("skipped"), F.col("question_id"))).alias("done"))  # a questionnaire at most
-    order = F.array_sort(F.collect_list(F.struct("sealed", "question_id")))
-    q = questions(spark, sf_dir).where("active").agg(F.transform(order, lambda x: x["question_id"]).alias("all"))  # the questionnaire, one row
-    return done.join(F.broadcast(q)).select("session_id", F.get(F.array_except("all", "done"), F.lit(0)).alias("question_id"))
+    q = placed(questions(spark, sf_dir).where("active").select("sealed", "question_id"), "sealed", "question_id").select("question_id", F.col("_i").alias("place"))
+    done = r.where(~F.col("skipped")).join(q, "question_id").select("session_id", "place")
+    n = (F.row_number().over(Window.partitionBy("session_id").orderBy("place")) - 1).cast("long")  # a session's answers
+    gaps = done.withColumn("n", n).groupBy("session_id").agg(F.coalesce(F.min(F.when(F.col("place") != F.col("n"), F.col("n"))), F.count("*")).alias("place"))
+    first = r.select("session_id").distinct().join(gaps, "session_id", "left").withColumn("place", F.coalesce("place", F.lit(0)))
+    return first.join(q, "place").select("session_id", "question_id")
 
 
 def a3_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +224,13 @@ def a10_pick_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a11_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements and agreements per source, and the first five documents that were not agreed on."""
     l = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")  # noqa: E741
     agreed = F.col("quality") == 1
-    return l.groupBy("source").agg(F.count_if(agreed).alias("agreed"), F.count("*").alias("judged"), F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.when(~agreed, F.col("doc_id")))), 1, 5), lambda x: x.cast("string")), ",").alias("gaps"))
+    counts = l.groupBy("source").agg(F.count_if(agreed).alias("agreed"), F.count("*").alias("judged"))
+    five = top_per(l.where(~agreed).select("source", "doc_id"), ["source"], ["doc_id"], 5)
+    gaps = five.groupBy("source").agg(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("gaps"))
+    return counts.join(gaps, "source", "left").select("source", "agreed", "judged", F.coalesce("gaps", F.lit("")).alias("gaps"))
 
 
 def _silences(spark: SparkSession, sf_dir: str) -> DataFrame:

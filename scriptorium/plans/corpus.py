@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import redaction, rules
+from scriptorium.functions import markup, redaction, rules
 from scriptorium.functions import text as tx
 from scriptorium.operators import chunk, dedup, holdout
 from scriptorium.plans.style import SENTENCES, TOK, TOKENS
-from scriptorium.plans.text_rules import LAST, NORMAL, WORDS, redacted_sql
+from scriptorium.plans.text_rules import HTML, HTML_TEXT, LAST, NORMAL, WORDS, redacted_sql
 from scriptorium.session import materialise, ship, table
 
 
@@ -123,10 +123,23 @@ def s8_work_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_manifest(_paths(spark, sf_dir), "path", MANIFEST).select("doc_id", "path", "label", "sensitivity")
 
 
+def load_files(files: DataFrame, path_col: str, content_col: str) -> DataFrame:
+    """Adds body and skipped: text files as they are, pages and mails through their loaders; other
+    extensions and empty bodies are skipped with the reason."""
+    extension = F.lower(F.regexp_extract(path_col, "\\.([A-Za-z0-9]+)$", 1))
+    body = F.when(extension.isin("md", "txt"), F.trim(content_col)).when(extension == "html", markup.html_text(F.col(content_col))).when(extension == "eml", markup.own_mail_text(F.col(content_col)))
+    rows = files.withColumn("_extension", extension).withColumn("body", body)
+    reason = F.when(F.col("body").isNull(), F.concat(F.lit("unsupported: "), "_extension")).when(F.trim("body") == "", "empty")
+    return rows.withColumn("skipped", reason).drop("_extension")
+
+
 def s9_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extension = F.regexp_extract("path", "\\.([a-z]+)$", 1)
-    reason = F.when(~extension.isin("md", "txt", "html", "eml"), F.concat(F.lit("unsupported: "), extension)).when(F.length("text") < 120, "empty")
-    return _paths(spark, sf_dir).groupBy(F.coalesce(reason, F.lit("loaded")).alias("outcome")).agg(F.count("*").alias("files"))
+    """Documents as text files, pages and mails (every ninth one blank), loaded by extension."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text"))
+    kind = F.col("doc_id") % 8
+    content = F.when(kind == 2, F.concat(F.lit("<html><head>x</head><body><p>"), text, F.lit("</p></body></html>"))).when(kind == 3, F.concat(F.regexp_replace(text, "\\n", " "), F.lit("\n-- \nAnn\nlost"))).otherwise(text)
+    files = load_files(_paths(spark, sf_dir).withColumn("content", content), "path", "content")
+    return files.select("doc_id", "path", F.when(F.col("skipped").isNull(), F.sha2("body", 256)).alias("sha256"), "skipped")
 
 
 def unzip(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -323,7 +336,9 @@ SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos F
     "s2_chat_export_b": "WITH r AS (SELECT conv_id, turn, 'm' || turn // 2 AS message_id, CASE WHEN turn % 4 <> 3 THEN 1704067200 + conv_id * 3600 + turn * 60 ELSE 1704067200 + conv_id * 3600 END AS s, text FROM conversations WHERE role = 'user' AND turn % 7 <> 6) SELECT conv_id, message_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%S') AS date, text FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, message_id ORDER BY turn) = 1",
     "s5_conversation_stats": "SELECT count(DISTINCT conv_id) AS conversations, count(*) FILTER (WHERE role = 'user') AS human, count(*) FILTER (WHERE role = 'assistant') AS assistant FROM conversations",
     "s8_work_manifest": f"WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents), e AS (SELECT *, CASE " + " ".join(f"WHEN regexp_full_match(path, '{glob_pattern(g)[2:-2]}') THEN {i}" for i, (g, _, _) in enumerate(MANIFEST)) + f" END AS e FROM p) SELECT doc_id, path, {[m[1] for m in MANIFEST]}[e + 1] AS label, {[m[2] for m in MANIFEST]}[e + 1] AS sensitivity FROM e",
-    "s9_extensions": f"WITH p AS (SELECT text, regexp_extract({_PATH}, '[.]([a-z]+)$', 1) AS e FROM documents) SELECT CASE WHEN e NOT IN ('md', 'txt', 'html', 'eml') THEN 'unsupported: ' || e WHEN length(text) < 120 THEN 'empty' ELSE 'loaded' END AS outcome, count(*) AS files FROM p GROUP BY 1",
+    "s9_extensions": f"""WITH p AS (SELECT doc_id, {_PATH} AS path, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE text END AS text FROM documents), h AS (SELECT *, '<html><head>x</head><body><p>' || text || '</p></body></html>' AS html FROM p), t AS (SELECT *, {HTML} AS t FROM h),
+b AS (SELECT doc_id, path, CASE doc_id % 8 WHEN 2 THEN {HTML_TEXT} WHEN 3 THEN trim(replace(text, chr(10), ' ')) WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE trim(text) END AS body FROM t)
+SELECT doc_id, path, CASE WHEN body <> '' THEN sha256(body) END AS sha256, CASE WHEN body IS NULL THEN 'unsupported: ' || CASE doc_id % 8 WHEN 4 THEN 'png' ELSE 'pdf' END WHEN body = '' THEN 'empty' END AS skipped FROM b""",
     "s13_archives": "SELECT page_id, 'page.html' AS entry, length(html) AS chars, NULL AS error FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, 'meta/url.txt', length(url), NULL FROM pages WHERE page_id % 7 <> 0 UNION ALL SELECT page_id, NULL, NULL, 'unreadable archive' FROM pages WHERE page_id % 7 = 0",
     "k1_split_write": "SELECT CASE WHEN doc_id % 4 = 0 THEN 'public' ELSE 'private' END AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, min('work_file|' || source || '|' || doc_id) AS first FROM documents GROUP BY 1",
     "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) AS old, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, coalesce(old, doc_id + 1000000) AS doc_id, 'new-' || label AS label FROM b",

@@ -31,9 +31,8 @@ def t1_sentence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of both halves of the corpus merged; the 8,000 most frequent words and phrases each."""
-    docs = _docs(spark, sf_dir)
-    parts = [st.gram_counts(docs.where(f"doc_id % 2 = {k}"), ["source"], "text") for k in (0, 1)]
-    merged = parts[0].unionByName(parts[1]).groupBy("source", "n", "gram").agg(F.sum("count").alias("count"))
+    halves = st.gram_counts(_docs(spark, sf_dir).withColumn("half", F.col("doc_id") % 2), ["source", "half"], "text")
+    merged = halves.groupBy("source", "n", "gram").agg(F.sum("count").alias("count"))
     return st.top_per(merged.withColumn("phrase", F.col("n") > 1), ["source", "phrase"], [F.desc("count"), "gram"], 8000).select("source", "n", "gram", "count")
 
 

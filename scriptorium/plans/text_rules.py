@@ -179,6 +179,8 @@ for _e, _by in markup.ENTITIES:
     _DECODED = f"replace({_DECODED}, {re2(_e)}, {re2(_by)})"
 _KEYS = ", ".join(f"'{w}'" for w in [*rules.KEYWORD_STOP, "source"])
 
+HTML, HTML_TEXT = _HTML, f"trim(regexp_replace(regexp_replace({_DECODED}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
+
 QUERIES = {f.__name__: f for f in (p1_normalize, p2_item_id, p3_chunk_id, p4_statement_id, p5_short_messages, p6_redaction, p7_luhn_runs, p8_redaction_counts, p10_register_lint, p11_intent, p13_event_intent, p14_classifier_gate, p15_tier, p16_topic, p17_keywords, p18_delivery_tags, p20_model_json, s10_html_text, s11_flat_text, s12_mail_text)}
 ORACLE = {
     "p1_normalize": f"SELECT doc_id, {NORMAL} AS normalized FROM documents",
@@ -206,7 +208,7 @@ SELECT doc_id, tier, CASE WHEN tier = 'mutable' AND doc_id % 2 = 0 THEN 'positio
     "p17_keywords": f"SELECT DISTINCT doc_id, keyword FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}'' ]', ' ', 'g'), ' +')) AS keyword FROM documents) WHERE len(keyword) > 3 AND keyword NOT IN ({_KEYS})",
     "p18_delivery_tags": f"SELECT doc_id, {_SQUEEZE.format(x=f'''replace({_TAGGED}, '[whispers]', ' ')''')} AS kept, {_SQUEEZE.format(x=f'''regexp_replace({_TAGGED}, '[[][^]]{{{{1,30}}}}[]]', ' ', 'g')''').replace('{{1,30}}', '{1,30}')} AS plain FROM documents",
     "p20_model_json": "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events",
-    "s10_html_text": f"WITH t AS (SELECT page_id, {_HTML} AS t FROM pages) SELECT page_id, trim(regexp_replace(regexp_replace({_DECODED}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) AS text FROM t",
+    "s10_html_text": f"WITH t AS (SELECT page_id, {_HTML} AS t FROM pages) SELECT page_id, {HTML_TEXT} AS text FROM t",
     "s11_flat_text": f"SELECT page_id, trim({_FLAT}) AS text FROM pages",
     "s12_mail_text": "SELECT doc_id, trim(replace(text, chr(10), ' ')) AS own FROM documents",
 }

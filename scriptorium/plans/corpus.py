@@ -353,10 +353,10 @@ array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CA
 m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b), r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT m.i, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, m.b) ELSE gone END FROM r JOIN m ON m.i = r.i + 1),
 g AS (SELECT unnest(gone) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)) SELECT source, CASE WHEN dup THEN 'exact' WHEN doc_id IN (SELECT doc_id FROM g) THEN 'near' ELSE 'kept' END AS verdict, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM x GROUP BY 1, 2""",
     "c4_regroup": "WITH r AS (SELECT source, doc_id, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM documents) SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM r WHERE before < 6000 GROUP BY source",
-    "c6_passages": f"""WITH RECURSIVE s AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i FROM (SELECT doc_id, trim(unnest(list), ' ') AS s, generate_subscripts(list, 1) AS k FROM (SELECT doc_id, {SENTENCES} AS list FROM documents)) WHERE s <> ''),
-t AS (SELECT *, len({TOKENS.format(x='s')}) AS k FROM s), r AS (SELECT doc_id, 0::BIGINT AS i, '' AS held, 0::BIGINT AS n, NULL::VARCHAR AS out FROM documents
-UNION ALL SELECT t.doc_id, t.i, CASE WHEN n + k >= 40 THEN '' WHEN held = '' THEN s ELSE held || ' ' || s END, CASE WHEN n + k >= 40 THEN 0 ELSE n + k END, CASE WHEN n + k BETWEEN 40 AND 120 THEN CASE WHEN held = '' THEN s ELSE held || ' ' || s END END FROM r JOIN t ON t.doc_id = r.doc_id AND t.i = r.i + 1)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, out AS passage FROM r WHERE out IS NOT NULL""",
+    "c6_passages": f"""WITH s AS (SELECT doc_id, list_filter(list_transform({SENTENCES}, lambda x: trim(x, ' ')), lambda x: x <> '') AS list FROM documents),
+k AS (SELECT doc_id, list_prepend({{'held': '', 'n': 0::BIGINT, 'out': []::VARCHAR[]}}, list_transform(list, lambda y: {{'held': y, 'n': len({TOKENS.format(x='y')})::BIGINT, 'out': []::VARCHAR[]}})) AS list FROM s),
+r AS (SELECT doc_id, list_reduce(list, lambda a, x: {{'held': CASE WHEN a.n + x.n >= 40 THEN '' WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END, 'n': CASE WHEN a.n + x.n >= 40 THEN 0 ELSE a.n + x.n END, 'out': CASE WHEN a.n + x.n BETWEEN 40 AND 120 THEN list_append(a.out, CASE WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END) ELSE a.out END}}).out AS out FROM k)
+SELECT doc_id, unnest(range(len(out))) AS pos, unnest(out) AS passage FROM r""",
     "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) OR contains(s, n) WHERE length(n) >= 40 AND length(s) >= 40",
     "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id, 'content' AS how FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n) UNION SELECT doc_id, item_id, 'provenance' FROM documents JOIN benchmark ON item_id % 10 = 0 AND starts_with('q' || doc_id % 997 || '-answer', 'q' || item_id || '-')",
     "l3_quarantine": f"WITH d AS (SELECT doc_id, source, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark WHERE length(text) >= 40)) SELECT source, count(DISTINCT item_id) AS items, count(*) AS hits FROM d JOIN b ON contains(n, s) WHERE length(s) >= 40 AND length(n) >= 40 GROUP BY source",

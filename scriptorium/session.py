@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,15 +46,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete what `materialise` wrote so far, when all results made from it are used up; how many
-    folders that was."""
-    paths = spark._jvm.org.apache.hadoop.fs
-    done = 0
-    while _WRITTEN:
-        path = paths.Path(_WRITTEN.pop())
-        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return done
+def written() -> int:
+    """How many folders `materialise` wrote so far, for `forget`."""
+    return len(_WRITTEN)
+
+
+def forget(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> int:
+    """Delete what `materialise` wrote after the first `since` folders but for the names `keep`, when no
+    result that is made from it is wanted any more; how many folders that was. Then the driver
+    collects its garbage, on which Spark deletes the shuffles of results that are gone."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    gone = [p for p in _WRITTEN[since:] if p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep]
+    for p in gone:
+        path = fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _WRITTEN.remove(p)
+    gc.collect()
+    spark._jvm.System.gc()
+    return len(gone)
 
 
 def ship(spark: SparkSession) -> None:

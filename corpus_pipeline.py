@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, mixing, near_dedup, quality_classifier, substring_dedup
 from scriptorium.llm.words import free_name, plain
-from scriptorium.operators.places import placed
 from scriptorium.session import materialise, table
 
 #: Words of a passage that may not repeat across documents.
@@ -37,15 +36,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8).
 
-    Rows are told apart by their place in the order of ids (and texts), not by the id: of
-    copies under one id one stays, different texts under one id are different documents, and
-    rows without an id come last and are judged like any other. The first row of a group
-    stays. Null, empty and blank texts are no copies of anything and stay."""
+    Rows get numbers of their own, so they are not told apart by the id: of copies under one id one
+    stays, different texts under one id are different documents, and rows without an id are judged like
+    any other. Of a group the row with the smallest id stays (rows without an id come last), and of
+    rows with one id that with the smallest digest of its text. Null, empty and blank texts are no
+    copies of anything and stay."""
     own, at = plain(docs)
-    rows = placed(own, F.asc_nulls_last(at["doc_id"]), F.xxhash64(at["text"])).withColumnRenamed("_i", "_row")
-    rows = materialise(rows.select("_row", *own.columns), "numbered")
-    kept = near_dedup.near_duplicates(rows, "_row", at["text"]).where("kept").select(F.col("id").alias("_id"))
-    return rows.join(kept, F.col("_row") == F.col("_id"), "left_semi").select(*own.columns).toDF(*docs.columns)
+    rows = materialise(own.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_dedup.near_duplicates(rows, "_row", at["text"]).select("id", "component_id")
+    order = F.struct(F.col(at["doc_id"]).isNull().alias("last"), F.col(at["doc_id"]).alias("of"), F.xxhash64(at["text"]).alias("digest"), "_row")
+    placed = groups.join(rows.select(F.col("_row").alias("id"), order.alias("order")), "id")
+    kept = placed.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first._row").alias("_kept"))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*own.columns).toDF(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm.words import gram_hashes, hash_words, mix, split_words, text_parts
-from scriptorium.session import materialise, ship, table
+from scriptorium.session import forget, materialise, ship, table, written
 
 
 @dataclass(frozen=True)
@@ -309,8 +309,8 @@ def _bridges(full: DataFrame, classes: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Settings = Settings()) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (it is its own)."""
-    s = settings
-    ship(df.sparkSession)
+    s, spark, begun = settings, df.sparkSession, written()
+    ship(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_signed(docs, s), "signed")
     full = signed.where("n_shingles > 0 and id is not null")
@@ -330,6 +330,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Setting
     groups = _with(groups, _verified(texts, again, s))
     groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id", "n_shingles"), groups), s))
     of_class = materialise(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
+    del classes, members, leaders, met, texts, stars, groups, rest, others, again
+    forget(spark, begun, keep=("signed", "of-class"))  # the result needs no more than these
     found = _met(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", "component")
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     out = found.unionByName(alone)

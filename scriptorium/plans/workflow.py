@@ -10,9 +10,8 @@ from scriptorium.functions import text as tx
 from scriptorium.functions import udfs
 from scriptorium.operators import chunk, holdout, pack
 from scriptorium.operators.style import top_per
-from scriptorium.plans.index import statements
 from scriptorium.plans.tables import questions, responses
-from scriptorium.plans.text_rules import NORMAL, TOK_LIST, WORDS, found, re2, redacted_sql  # noqa: F401
+from scriptorium.plans.text_rules import NORMAL, TOK_LIST, WORDS, found, redacted_sql
 from scriptorium.session import ship, table
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _SHIPPED = "spark.scriptorium.shipped"
+#: Rows of a batch between the JVM and Python at most: rows of texts are wide, and a batch exists several times.
+BATCH_ROWS, _BATCH = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +70,9 @@ def forget(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> i
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on the workers, once per application. Only workers of a local
-    session are known to see the driver's own path."""
+    session are known to see the driver's own path. Batches of rows become small enough for texts."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if spark.sparkContext.master.startswith("local") and str(_ROOT) in on_path or spark.conf.get(_SHIPPED, ""):
         return

@@ -66,7 +66,7 @@ BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 HOT = 1_000
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
-PART_BYTES = 4_000_000
+PART_BYTES = 2_000_000
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:

@@ -48,7 +48,7 @@ from scriptorium.llm.words import gram_hashes, mix, plain, sliding_min, split_wo
 from scriptorium.session import ship, table
 
 #: Bytes of text that a task parses at once, and that one reference block and one place stand for.
-PART_BYTES, BLOCK_BYTES = 4_000_000, 4_000_000
+PART_BYTES, BLOCK_BYTES = 3_000_000, 4_000_000
 #: Bytes of text of the places that one task joins with their spans, one place after the other.
 TASK_BYTES = 128_000_000
 #: Words of an anchor.
@@ -180,15 +180,21 @@ def _packed(found: np.ndarray, places: int) -> Iterator[tuple[int, bytes]]:
 def _referenced(rows: list[Row], window: int) -> tuple:
     """A part of the documents as one reference, equal rows once, in order: ids, digests, first
     word and number of words of each document with a window; the reference; its windows."""
-    found = [(i, d, w) for i, d, w in ((i, d, split_words(text)) for (i, d), text in sorted({(i, d): t for i, d, t in rows}.items())) if len(w) >= window]
-    sizes = np.array([len(w) for _, _, w in found], np.int64)
-    ref = Reference.of([b" ".join(w) for _, _, w in found], sizes)
+    ids, digests, sizes, pieces = [], [], [], []
+    for (i, d), text in sorted({(i, d): t for i, d, t in rows}.items()):
+        words = split_words(text)
+        if len(words) >= window:
+            ids.append(i)
+            digests.append(d)
+            sizes.append(len(words))
+            pieces.append(b" ".join(words))
+    ids, digests, sizes = (np.array(x, np.int64) for x in (ids, digests, sizes))
+    ref = Reference.of(pieces, sizes)
     pos = ref.windows(window)
     h = word_hashes(ref.raw, ref.at)
     k = min(ANCHOR, window)
     anchor = sliding_min(gram_hashes(h, k), window - k + 1)[pos] if len(pos) else np.empty(0, np.uint64)
     key = gram_hashes(h, window)[pos] if len(pos) else np.empty(0, np.uint64)
-    ids, digests = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)
     return ids, digests, np.cumsum(sizes) - sizes, sizes, ref, pos, anchor, key
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 #: Words whose hashes a worker remembers; the memory is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 
 
 class _Hashes(dict):

@@ -48,6 +48,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The folders that one call writes to cut lineages. It deletes its own and no others, so calls in
+    one session don't meet."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """`df`, written to the shared folder as Parquet and read again."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths.append((name, path))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: tuple[str, ...] = ()) -> None:
+        """Delete all but the folders named `keep`, once nothing that is still wanted is made from them. Then
+        the driver collects its garbage, on which Spark deletes the shuffles of results that are gone."""
+        fs = self.spark._jvm.org.apache.hadoop.fs
+        for name, path in [x for x in self.paths if x[0] not in keep]:
+            at = fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self.paths.remove((name, path))
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def written() -> int:
     """How many folders `materialise` wrote so far, for `forget`."""
     return len(_WRITTEN)

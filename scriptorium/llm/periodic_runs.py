@@ -26,8 +26,10 @@ from __future__ import annotations
 import hashlib
 import zlib
 from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -147,8 +149,9 @@ def runs_of(texts: list[list[bytes]], settings: Settings = Settings()) -> list[l
     """The runs of each text, by start and then period."""
     sizes = np.array([len(t) for t in texts], np.int64)
     found: list[list[Run]] = [[] for _ in texts]
-    names: dict[bytes, int] = {}
-    words = [names.setdefault(w, len(names)) for t in texts for w in t]
+    names: defaultdict[bytes, int] = defaultdict()
+    names.default_factory = names.__len__  # the next number
+    words = [*map(names.__getitem__, chain.from_iterable(texts))]
     if not words:
         return found
     first = np.cumsum(sizes) - sizes

@@ -5,23 +5,10 @@ one random value per step j = 0, 1, ... at a fresh position of a random permutat
 j + r; a position keeps its smallest. The ranks of one element are correlated, which lowers
 the estimate's variance. Step j + 1 cannot improve a signature whose values are all below
 j + 1, so a document stops there; long documents need a step or two. Documents with
-equal sets form one class. Classes that agree in all rows of a band meet in a bucket.
+equal sets form one class. Classes that agree in all rows of a band meet in a bucket, and `links`
+finds the links of its members on their full sets and groups them.
 
-A bucket does not emit all its pairs. First every member is compared with the bucket's leader
-(smallest id) on the full shingle sets, and the links found are grouped. In buckets that still
-hold several groups, another leader (smallest hash) tries again. What is then still apart is
-compared exactly: the members of the bucket's largest group are dealt to blocks, and so are all
-others; blocks of the others meet each other and those of the largest group, and a product of
-the membership matrix of two blocks gives every intersection. So a
-large group of copies costs a comparison or two a copy, and no link between members of one
-bucket is lost.
-
-Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
-steps shrink what is left, until all links form stars. No link or group passes the driver.
-
-No task gets a hot key: the HOT largest classes and buckets are sent to their rows, so that these
-need not meet by key; all other rows do. Blocks are cut by members and by
-the size of their sets.
+The HOT largest classes are sent to their rows, so that these need not meet by key.
 
 Defined results: documents without words (null, empty or blank texts) have an empty set, link
 with nothing and stay; fewer words than a shingle make one shingle of all words. Rows of one id are one
@@ -42,8 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import gram_hashes, hash_words, mix, split_words, text_parts
-from scriptorium.session import forget, materialise, ship, table, written
+from scriptorium.llm import links
+from scriptorium.llm.links import shingle_set
+from scriptorium.llm.words import mix, text_parts
+from scriptorium.session import Scratch, ship, table
+
+PART_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -60,23 +51,6 @@ class Settings:
         return self.bands * self.rows
 
 
-#: Members of a bucket's largest group, and of the others, that are compared at once, and shingles.
-BLOCK, BLOCK_SHINGLES = 256, 2_000_000
-#: Keys that are sent to their rows, the most frequent ones.
-HOT = 1_000
-#: Members that one salted task compares with one leader.
-SALT_ROWS = 500
-PART_BYTES = 2_000_000
-
-
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text, A-Z lower-cased."""
-    words = split_words(text, lower=True)
-    if not words:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(hash_words(words), min(size, len(words))) + np.uint64(min(size, len(words))))
-
-
 def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     """Signatures (documents x m) of non-empty sets, all at once, step by step.
 
@@ -103,16 +77,6 @@ def super_minhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return best.reshape(-1, m)
 
 
-def _met(rows: DataFrame, facts: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
-    """`rows` joined with `facts`, one row a key, by key; `n` of facts is how many rows have the key. The
-    HOT most frequent keys are sent to the rows; the others, none of which has more than a HOT-th of
-    the rows, meet by key."""
-    first = facts.orderBy(F.desc(n), key).limit(HOT)
-    hot, cold = F.broadcast(first), facts.join(F.broadcast(first.select(key)), key, "left_anti")  # HOT rows
-    rest = rows.join(F.broadcast(first.select(key)), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
-
-
 def _signed(df: DataFrame, s: Settings) -> DataFrame:
     """id, n_shingles, set_key, bands (a hash each)."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -137,202 +101,34 @@ def _signed(df: DataFrame, s: Settings) -> DataFrame:
     return df.mapInArrow(run, "id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    small, large = sorted((len(a), len(b)))
-    if 100 * small < percent * large:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, s: Settings) -> DataFrame:
-    """The pairs (a, b) that are links: u, v. A pair's texts meet in a task by a and a salt; the
-    salts of an `a` grow with its pairs, and a task streams with one set of an `a` in memory."""
-    pairs = materialise(pairs, "pairs")
-    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
-    where = pairs.join(salts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("kind"))
-    where = where.unionByName(salts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind")))
-    rows = docs.join(where.hint("merge"), "id").select("a", "salt", "kind", "id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, bases = None, []
-        for batch in batches:
-            for x, y in text_parts(batch, 4, PART_BYTES):
-                u, v = [], []
-                part = batch.slice(x, y - x)
-                for a, kind, i, text in zip(*(part.column(c).to_pylist() for c in ("a", "kind", "id", "text"))):
-                    own = shingle_set(text, s.shingle)
-                    if kind == 0:
-                        of, bases = a, [*bases, own] if of == a else [own]
-                    elif of == a and any(linked(base, own, s.percent) for base in bases):
-                        u.append(a)
-                        v.append(i)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return materialise(rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "kind").mapInArrow(run, "u long, v long"), "links")
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the links of a task, in bounded portions: one link a node to its root."""
-    for batch in batches:
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(u), find(v)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        nodes = [x for x in root if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
-
-
-def components(links: DataFrame) -> DataFrame:
-    """id, component for every id in links (u, v): the smallest id reachable.
-
-    Alternates large-star (link larger neighbours to the smallest one) and small-star (link
-    smaller neighbours and the node itself to it) until all links form stars."""
-    edges = materialise(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    while not _stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialise(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "small")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Whether each node has one link, to a node without one; links go from larger to smaller."""
-    ends = edges.groupBy("u").agg(F.count("*").alias("n"))
-    if not ends.where("n > 1").isEmpty():
-        return False
-    return edges.join(ends.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
-
-
-def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets of different groups that connect groups not yet connected, exactly:
-    the product of the membership matrix with itself holds every intersection."""
-    sizes = np.array([len(x) for x in sets])
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(often > 1)
-    place = np.full(len(often), -1)
-    place[shared] = np.arange(len(shared))
-    column, row = place[column], np.repeat(np.arange(len(sets)), sizes)
-    both = np.zeros((len(sets), len(sets)))
-    for lo in range(0, len(shared), 8192):
-        at = (column >= lo) & (column < lo + 8192)
-        m = np.zeros((len(sets), min(8192, len(shared) - lo)), np.float32)
-        m[row[at], column[at] - lo] = 1
-        both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
-    a, b = np.nonzero(np.triu(100 * both >= percent * union, 1) & (group[:, None] != group[None, :]))
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist()):
-        x, y = find(group[i]), find(group[j])
-        if x != y:
-            root[x] = y
-            out.append((i, j))
-    return out
-
-
-def _across(texts: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
-    """Links u, v between members (bucket, id, n_shingles, component) of one bucket in different groups."""
-    groups = members.groupBy("bucket", "component").agg(F.struct(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), "component").alias("x"))
-    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
-    sizes = groups.groupBy("bucket").agg(F.max("x").alias("x"), F.sum("x.n").alias("all"), F.sum("x.w").alias("w"))
-    sizes = materialise(sizes.select("bucket", F.col("x.component").alias("main"), "all", blocks(F.col("x.n"), F.col("x.w")).alias("m"), blocks(F.col("all") - F.col("x.n"), F.col("w") - F.col("x.w")).alias("s")), "sizes")
-    # Members of the main group meet each block of the others; the others also meet each other.
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    as_main = F.transform(upto(F.col("s")), lambda i: F.struct(F.lit(0).alias("kind"), i.alias("x"), own(F.col("m")).alias("y")))
-    as_other = F.concat(
-        F.transform(upto(F.col("m")), lambda j: F.struct(F.lit(0).alias("kind"), own(F.col("s")).alias("x"), j.alias("y"))),
-        F.transform(upto(F.col("s")), lambda k: F.struct(F.lit(1).alias("kind"), F.least(own(F.col("s")), k).alias("x"), F.greatest(own(F.col("s")), k).alias("y"))),
-    )
-    placed = _met(members, sizes, "bucket", "all").select("bucket", "id", "component", F.explode(F.when(F.col("component") == F.col("main"), as_main).otherwise(as_other)).alias("block"))
-    rows = texts.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, groups, sets = None, [], [], []
-
-        def found() -> pa.RecordBatch:
-            links = _crossing(sets, np.array(groups), s.percent) if len(set(groups)) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
-
-        for batch in batches:
-            for x, y in text_parts(batch, 4, PART_BYTES):
-                part = batch.slice(x, y - x)
-                for bucket, block, i, group, text in zip(*(part.column(c).to_pylist() for c in range(5))):
-                    if (bucket, block) != of:
-                        if ids:
-                            yield found()
-                        of, ids, groups, sets = (bucket, block), [], [], []
-                    ids.append(i)
-                    groups.append(group)
-                    sets.append(shingle_set(text, s.shingle))
-        if ids:
-            yield found()
-
-    return materialise(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "u long, v long"), "crossing")
-
-
-def _unsettled(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """bucket, id, n_shingles, component of the members of buckets that hold several groups."""
-    grouped = materialise(met.join(groups, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "grouped")
-    mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
-    return materialise(_met(grouped, materialise(mixed, "mixed"), "bucket", "n").drop("n"), "unsettled")
-
-
-def _with(groups: DataFrame, links: DataFrame) -> DataFrame:
-    return components(links.unionByName(groups.select(F.col("component").alias("u"), F.col("id").alias("v"))))
-
-
-def _bridges(full: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links u, v between an id with several sets and the ids of these sets' classes."""
-    several = full.groupBy("id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("id")
-    own = full.join(several, "id", "left_semi").select(F.col("id").alias("u"), "set_key").distinct()
-    return own.join(classes.select("set_key", F.col("id").alias("v")), "set_key").select("u", "v")
-
-
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, settings: Settings = Settings()) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (it is its own)."""
-    s, spark, begun = settings, df.sparkSession, written()
-    ship(spark)
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = materialise(_signed(docs, s), "signed")
+    s, scratch = settings, Scratch(df.sparkSession)
+    ship(df.sparkSession)
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
+    signed = scratch.write(_signed(docs, s), "signed")
     full = signed.where("n_shingles > 0 and id is not null")
     # Equal sets are one class; its smallest id stands for it.
     classes = full.groupBy("set_key").agg(F.min("id").alias("id"), F.min_by("bands", "id").alias("bands"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    classes = materialise(classes, "classes")
+    classes = scratch.write(classes, "classes")
     members = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "value")).select("id", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
-    leaders = materialise(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
-    met = materialise(_met(members, leaders, "bucket", "n").select("bucket", "leader", "id", "n_shingles"), "buckets")
+    leaders = scratch.write(members.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).where("n > 1"), "leaders")
+    met = scratch.write(links.by_key(members, leaders, "bucket", "n").select("bucket", "leader", "id", "n_shingles"), "buckets")
     # Only members of buckets are compared: from here on their texts are enough.
-    texts = materialise(docs.join(met.select("id").distinct().hint("merge"), "id"), "texts")
-    stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    groups = components(_verified(texts, stars, s).unionByName(_bridges(full, classes)))
-    rest = _unsettled(met.select("bucket", "id", "n_shingles"), groups)
-    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("n")).select("bucket", "n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
-    again = _met(rest, materialise(others, "others"), "bucket", "n").where("component <> of").select("a", F.col("id").alias("b")).distinct()
-    groups = _with(groups, _verified(texts, again, s))
-    groups = _with(groups, _across(texts, _unsettled(rest.select("bucket", "id", "n_shingles"), groups), s))
-    of_class = materialise(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
-    del classes, members, leaders, met, texts, stars, groups, rest, others, again
-    forget(spark, begun, keep=("signed", "of-class"))  # the result needs no more than these
-    found = _met(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", "component")
+    texts = scratch.write(docs.join(met.select("id").distinct().hint("merge"), "id"), "texts")
+
+    def load(text: str | None) -> np.ndarray:
+        return shingle_set(text, s.shingle)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return links.paired(texts, pairs, load, lambda a, b: links.linked(a, b, s.percent), scratch)
+
+    groups, rest = links.by_leaders(met, links.bridges(full, classes), confirmed, scratch)
+    groups = links.joined(groups, links.across(texts, links.unsettled(rest, groups, scratch), load, s.percent, scratch), scratch)
+    of_class = scratch.write(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
+    del classes, members, leaders, met, texts, groups, rest
+    scratch.drop(keep=("signed", "of-class"))  # the result needs no more than these
+    found = links.by_key(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", "component")
     alone = signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component"))
     out = found.unionByName(alone)
     return out.select("id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.llm import bpe, chat_format, language_id, mixing, near_dedup, nearest, quality_classifier, quality_rules, substring_dedup, token_counts
+from scriptorium.llm import bpe, chat_format, language_id, mixing, near_dedup, nearest, parity_join, periodic_runs, quality_classifier, quality_rules, substring_dedup, token_counts, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         substring_dedup.op8_substring_dedup,
         nearest.op9_nearest,
         token_counts.op10_token_counts,
+        periodic_runs.op11_periodic_runs,
+        whitening.op12_embedding_whitening,
+        parity_join.op13_jaccard_join,
     ]
     return {f.__name__: f for f in found}
 

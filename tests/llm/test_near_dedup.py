@@ -1,9 +1,12 @@
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 
+from scriptorium.llm import links
 from scriptorium.llm import near_dedup as nd
+from scriptorium.session import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -52,10 +55,10 @@ def test_equals_brute_force(spark):
 def test_small_blocks_salts_and_hot_keys(spark, monkeypatch):
     """Every comparison is dealt to several tasks, and most buckets and classes are hot."""
     for block, shingles, salt, hot in ((4, 10**9, 3, 50), (10**6, 300, 2, 1)):
-        monkeypatch.setattr(nd, "BLOCK", block)
-        monkeypatch.setattr(nd, "BLOCK_SHINGLES", shingles)
-        monkeypatch.setattr(nd, "SALT_ROWS", salt)
-        monkeypatch.setattr(nd, "HOT", hot)
+        monkeypatch.setattr(links, "BLOCK", block)
+        monkeypatch.setattr(links, "BLOCK_SHINGLES", shingles)
+        monkeypatch.setattr(links, "SALT_ROWS", salt)
+        monkeypatch.setattr(links, "HOT", hot)
         rows = corpus(3, 120)
         df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
         got = {r.id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df, "doc_id", "text", nd.Settings(3, 60, 30, 2)).collect()}
@@ -104,9 +107,9 @@ def test_crossing_links():
     pool = r.integers(0, 2**63, 300).astype(np.uint64)
     sets = [np.unique(r.choice(pool, 280)) for _ in range(40)] + [np.unique(pool[:200]), np.unique(pool[:199])]
     group = np.array([*range(40), 50, 50])
-    links = [(i, j) for i in range(42) for j in range(i + 1, 42) if group[i] != group[j] and nd.linked(sets[i], sets[j], 45)]
-    found = nd._crossing(sets, group, 45)
-    assert links and set(found) <= set(links)
+    want = [(i, j) for i in range(42) for j in range(i + 1, 42) if group[i] != group[j] and links.linked(sets[i], sets[j], 45)]
+    found = links._crossing(sets, group, 45)
+    assert want and set(found) <= set(want)
     root = {}
 
     def find(x):
@@ -116,10 +119,20 @@ def test_crossing_links():
 
     for i, j in found:
         root[find(group[i])] = find(group[j])
-    assert all(find(group[i]) == find(group[j]) for i, j in links)
+    assert all(find(group[i]) == find(group[j]) for i, j in want)
 
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 200)]
-    got = {r.id: r.component for r in nd.components(spark.createDataFrame(chain, "u long, v long").repartition(9)).collect()}
+    got = {r.id: r.component for r in links.components(spark.createDataFrame(chain, "u long, v long").repartition(9), Scratch(spark)).collect()}
     assert got == {**{i: 0 for i in range(61)}, 200: 0, 100: 100, 101: 100, 103: 100}
+
+
+def test_two_calls_at_once(spark):
+    """Each call deletes its own folders and no others."""
+    rows = corpus(5, 60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    ask = lambda _: {r.id: (r.n_shingles, r.component_id) for r in nd.near_duplicates(df, "doc_id", "text", nd.Settings(3, 85)).collect()}
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(ask, range(2))
+    assert a == b == brute(rows, 3, 85)

@@ -348,7 +348,9 @@ SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, co
 array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CAST({k} AS BIGINT) END" for name, k in _BY_RULE.items())}], lambda x: x IS NOT NULL), ',') AS redactions, CASE WHEN coalesce(sum(CASE WHEN NOT dup AND words >= 15 THEN length(text) END), 0) < 27000 THEN 'under 30 minutes' END AS note FROM m GROUP BY ROLLUP (source)""",
     "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END, CASE WHEN doc_id % 8 = 4 THEN 'media' END]) AS pattern FROM documents), f AS (SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL) SELECT * FROM f UNION ALL SELECT NULL, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END, NULL FROM f",
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",
-    "d2_near_pairs": f"WITH {_ITEMS} SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9",
+    "d2_near_pairs": f"""WITH {_ITEMS}, c AS (SELECT *, min(doc_id) OVER (PARTITION BY source, list_sort(w), n) AS first FROM items WHERE len(w) > 0), k AS (SELECT * FROM c WHERE doc_id = first)
+SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9
+UNION ALL SELECT source, first, doc_id FROM c WHERE doc_id <> first""",
     "d3_dedup_counts": f"""WITH RECURSIVE x AS (SELECT doc_id, source, text, {_DUP} AS dup FROM documents), {_ITEMS.replace('FROM documents', 'FROM x WHERE NOT dup')}, p AS (SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9),
 m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b), r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT m.i, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, m.b) ELSE gone END FROM r JOIN m ON m.i = r.i + 1),
 g AS (SELECT unnest(gone) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)) SELECT source, CASE WHEN dup THEN 'exact' WHEN doc_id IN (SELECT doc_id FROM g) THEN 'near' ELSE 'kept' END AS verdict, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM x GROUP BY 1, 2""",

@@ -59,6 +59,54 @@ def test_dedup_judges_rows_with_a_null_group_or_text(spark):
     assert {r.id: r.verdict for r in dedup.dedup(df, "g", "id", "text", 0.7).collect()} == want
 
 
+def test_near_pairs_are_those_of_classes(spark):
+    rows = items(3)[:-1]
+    df = spark.createDataFrame(rows, "id long, g string, text string").repartition(7)
+    sets, firsts, want = {}, {}, set()
+    for i, g, text in sorted(rows):
+        norm = re.sub(r"\s+", " ", text or "").strip().lower()
+        words = frozenset(re.sub(r"[^\w ]|_", "", norm).split())
+        if words:
+            first = firsts.setdefault((g, words, len(norm)), i)
+            if first == i:
+                sets[i] = (g, words, len(norm))
+            else:
+                want.add((g, first, i))
+    for a, (g, x, n) in sets.items():
+        for b, (h, y, m) in sets.items():
+            if a < b and g == h and 0.6 <= m / n <= 1.67 and len(x & y) >= 0.7 * len(x | y) - 1e-9:
+                want.add((g, a, b))
+    assert {tuple(r) for r in dedup.near_pairs(df, "g", "id", "text", 0.7).collect()} == want
+    assert want
+
+
+def test_cliques_are_stars(spark, monkeypatch):
+    """5,000 rows with one set of tokens, and 400 variants of one text: no list of all their pairs."""
+    words = [f"w{i}" for i in range(30)]
+    r = random.Random(2)
+    equal = [(i, "a", " ".join(r.sample(words, 30))) for i in range(5000)]
+    df = spark.createDataFrame(equal, "id long, g string, text string")
+    got = dedup.near_pairs(df, "g", "id", "text").collect()
+    assert len(got) == 4999 and {x.a for x in got} == {0}
+    variants = [(i, "a", " ".join([*words, f"v{i}"])) for i in range(400)]
+    seen = []
+    verified = dedup._verified
+    monkeypatch.setattr(dedup, "_verified", lambda pairs, *rest: (seen.append(pairs.count()), verified(pairs, *rest))[1])
+    df = spark.createDataFrame(variants, "id long, g string, text string")
+    got = {x.id: x.verdict for x in dedup.dedup(df, "g", "id", "text").collect()}
+    assert got == greedy(variants, dedup.THRESHOLD) and sum(v == "near" for v in got.values()) == 399
+    assert sum(seen) < 2 * 400
+
+
+def test_salted_tokens_and_rounds(spark, monkeypatch):
+    for salt, dense in ((2, 10**9), (3, 1)):
+        monkeypatch.setattr(dedup, "SALT_ROWS", salt)
+        monkeypatch.setattr(dedup, "DENSE", dense)
+        rows = items(4)[:-1]
+        df = spark.createDataFrame(rows, "id long, g string, text string").repartition(3)
+        assert {r.id: r.verdict for r in dedup.dedup(df, "g", "id", "text", 0.7).collect()} == greedy(rows, 0.7)
+
+
 def test_greedy_chain(spark):
     pairs = spark.createDataFrame([("g", 1, 2), ("g", 2, 3), ("g", 3, 4), ("g", 1, 5), ("g", 4, 5)], "g string, a long, b long")
     assert sorted(r.dropped for r in dedup.greedy_drops(pairs, "g").distinct().collect()) == [2, 4, 5]

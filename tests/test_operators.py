@@ -112,6 +112,62 @@ def test_greedy_chain(spark):
     assert sorted(r.dropped for r in dedup.greedy_drops(pairs, "g").distinct().collect()) == [2, 4, 5]
 
 
+def clustered(seed, n=900, d=12, of=15, width=0.15):
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((of, d))[r.integers(0, of, n)] + width * r.standard_normal((n, d))
+    x[5:9] = x[4]  # equal vectors
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def small_cells(monkeypatch):
+    for name, value in (("CELL_ROWS", 60), ("BLOCK_ROWS", 40), ("QUERY_ROWS", 7), ("SAMPLE_ROWS", 300)):
+        monkeypatch.setattr(similarity, name, value)
+
+
+def test_inverted_file_is_exact_and_skips_blocks(spark, monkeypatch):
+    small_cells(monkeypatch)
+    x = clustered(3)
+    rows = [(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(x)]
+    rows += [(5000, "a", None), (None, "a", x[0].tolist()), (5001, "a", [1.0, 0.0]), (5002, "a", [1.0, 0.1]), (5003, None, x[0].tolist()), (5004, None, x[1].tolist()), (5005, "a", [0.0] * 12), (5006, "a", [1.0, None])]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>").repartition(5)
+    ask = df.where("id % 10 = 0 or id >= 5000")
+    met, visits = [], similarity.Inverted.pairs
+    monkeypatch.setattr(similarity.Inverted, "pairs", lambda self, v, *rest: (met.append((v.count(), self.blocks.count())), visits(self, v, *rest))[1])
+    whole = {}
+    for i, g, v in rows:
+        if i is not None and v is not None and None not in v:
+            whole.setdefault((g, len(v)), []).append((i, np.array(v) / max(np.linalg.norm(v), 1e-12)))
+    top, near = {}, set()
+    for own in whole.values():
+        for i, v in own:
+            d = sorted((round(1 - v @ w, 9), j) for j, w in own if j != i)
+            if i % 10 == 0 or i >= 5000:
+                top[i] = d[:6]
+                near |= {(i, j) for c, j in d if c < 0.05}
+    got = {}
+    for q in similarity.top_k(df, ask, "id", "v", 6, "g").collect():
+        got.setdefault(q.query_id, []).append((round(q.distance, 9), q.id))
+    assert {i: sorted(d) for i, d in got.items()} == {i: d for i, d in top.items() if d}
+    assert {(q.query_id, q.id) for q in similarity.pairs_within(df, ask, "id", "v", 0.05, "g").collect()} == near
+    asked = 98
+    assert all(visited < 0.5 * asked * blocks for visited, blocks in met)
+
+
+def test_leaders_of_many_rows(spark, monkeypatch):
+    """Taken in several rounds, and by pairs once few rows fall."""
+    small_cells(monkeypatch)
+    x = clustered(5, 400, width=0.4)
+    df = spark.createDataFrame([(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(x)], "id long, g string, v array<double>").repartition(4)
+    want = {}
+    for i, v in enumerate(x):
+        near = [j for j in range(i) if want[j] == j and j % 2 == i % 2 and x[j] @ v >= 0.8]
+        want[i] = near[0] if near else i
+    for leaders, falling in ((50, 0.0), (30, 0.5), (10**6, 0.05)):
+        monkeypatch.setattr(similarity, "LEADER_ROWS", leaders)
+        monkeypatch.setattr(similarity, "FALLING", falling)
+        assert {q.id: q.leader for q in similarity.leader_clusters(df, "id", "v", "g", 0.8).collect()} == want
+
+
 def test_leader_clusters(spark):
     r = np.random.default_rng(4)
     x = (r.standard_normal((6, 8))[r.integers(0, 6, 60)] + 0.35 * r.standard_normal((60, 8))).tolist()

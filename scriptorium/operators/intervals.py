@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import accumulate
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +10,8 @@ from pyspark.sql import functions as F
 from scriptorium.session import materialise, ship
 
 GAP, INSIDE, LEAST, MOST, PAD = 0.05, 0.5, 3.0, 15.0, 0.15
+#: Seconds of a recording that a task packs at once.
+BUCKET = 600.0
 
 
 def parse_silences(log: DataFrame, key: str, line: str, text: str) -> DataFrame:
@@ -53,25 +53,72 @@ def refine_spans(spans: DataFrame, finer: DataFrame, key: str, levels: list[int]
     return spans
 
 
-def _clip_starts(ends: Iterable[tuple[float, float]]) -> list[float]:
-    """For spans in order, the start of each one's clip: that of the span before, as long as
-    the clip stays within MOST, or else its own."""
-    return list(accumulate(ends, lambda clip, span: clip if span[1] - clip[0] <= MOST else span))
+def _jumps(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each span in order, the span that begins the next clip if it begins one."""
+    n = len(start)
+    after = np.searchsorted(end, start + MOST, "right")
+    after -= (after > 0) & (end[np.maximum(after, 1) - 1] - start > MOST)  # the sum may round, the difference decides
+    after += (after < n) & (end[np.minimum(after, n - 1)] - start <= MOST)
+    return np.maximum(after, np.arange(n) + 1)
+
+
+def _bucketed(spans: DataFrame, key: str) -> DataFrame:
+    """Spans with the bucket of their start, and once more (`own` false) with the bucket before if a clip from there may reach them."""
+    bucket = F.floor(F.col("start") / BUCKET).cast("long")
+    rows = spans.select(key, "start", "end", bucket.alias("bucket"))
+    again = rows.where(F.col("start") - F.col("bucket") * BUCKET <= MOST).select(key, "start", "end", (F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("own"))
+    return rows.withColumn("own", F.lit(True)).unionByName(again)
 
 
 def plan_clips(spans: DataFrame, key: str, total: float) -> DataFrame:
     """key, start, end, dropped: consecutive spans packed into clips of 3 to 15 seconds, cut
     only in silences; a span that is too long and a clip that is too short are dropped with
-    the reason. Only the starts of clips need the order: a fold over the spans of a recording."""
+    the reason.
+
+    Which span begins a clip depends on all before it, so buckets of BUCKET seconds are packed on
+    their own from each span that can be the first there to begin one: those up to the first that ends
+    more than 15 seconds into the bucket. That gives a bucket's jump, from its first clip to the next bucket's; jumps,
+    a few for each bucket, are followed in order, and each bucket is packed from the start that is left. No
+    task holds more than a bucket's spans."""
     ship(spans.sparkSession)
+    kind, width = spans.schema[key].dataType.simpleString(), BUCKET
+    rows = materialise(_bucketed(spans, key), "buckets")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
         pdf = pdf.sort_values(["start", "end"])
-        return pdf.assign(clip=[c[0] for c in _clip_starts(zip(pdf["start"], pdf["end"]))])
-
-    kind = spans.schema[key].dataType.simpleString()
-    begun = spans.select(key, "start", "end").groupBy(key).applyInPandas(run, f"{key} {kind}, start double, end double, clip double")
-    clips = begun.groupBy(key, "clip").agg(F.max("end").alias("last"))
+        return pdf["start"].to_numpy(), pdf["end"].to_numpy(), int(pdf["own"].sum())
+
+    def jumps(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        start, end, own = ordered(pdf)
+        then = _jumps(start, end)
+        leaves = np.zeros(own)  # where the last clip ends that begins here
+        for i in range(own - 1, -1, -1):
+            leaves[i] = end[then[i] - 1] if then[i] >= own else leaves[then[i]]
+        first = np.flatnonzero(np.concatenate([[own > 0], end[: max(own, 1) - 1] <= of[1] * width + MOST + GAP]))
+        return pd.DataFrame({"key": of[0], "bucket": of[1], "entry": start[first], "exit": leaves[first]})
+
+    def followed(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, out = -np.inf, []
+        for bucket, own in pdf.sort_values(["bucket", "entry"]).groupby("bucket"):
+            here = int(np.searchsorted(own["entry"], at))
+            if here < len(own):  # else a clip from before holds all spans here
+                out.append((of[0], bucket, own["entry"].iloc[here]))
+                at = own["exit"].iloc[here]
+        return pd.DataFrame(out, columns=["key", "bucket", "entry"])
+
+    def packed(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        start, end, own = ordered(pdf)
+        then, i, out = _jumps(start, end), int(np.searchsorted(start, pdf["entry"].iloc[0])), []
+        while i < own:
+            out.append((of[0], start[i], end[i : then[i]].max()))
+            i = int(then[i])
+        return pd.DataFrame(out, columns=["key", "clip", "last"])
+
+    named = rows.withColumnRenamed(key, "key")
+    found = materialise(named.groupBy("key", "bucket").applyInPandas(jumps, f"key {kind}, bucket long, entry double, exit double"), "jumps")
+    entries = found.groupBy("key").applyInPandas(followed, f"key {kind}, bucket long, entry double")
+    entries = entries.withColumnsRenamed({"key": "_key", "bucket": "_bucket"})
+    clips = named.join(entries, F.col("key").eqNullSafe(F.col("_key")) & (F.col("bucket") == F.col("_bucket"))).drop("_key", "_bucket").groupBy("key", "bucket").applyInPandas(packed, f"key {kind}, clip double, last double").withColumnRenamed("key", key)
     long = F.col("last") - F.col("clip") > MOST
     start = F.when(long, F.col("clip")).otherwise(F.greatest(F.lit(0.0), F.col("clip") - PAD))
     end = F.when(long, F.col("last")).otherwise(F.least(F.lit(total), F.col("last") + PAD))

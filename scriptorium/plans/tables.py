@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
 from scriptorium.functions.text import normalize
-from scriptorium.operators import intervals
+from scriptorium.operators import intervals, scans
 from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.style import _ANALYSIS
@@ -100,10 +100,13 @@ def m4_correction_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m5_live_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest ten notes of a subject stay active; those of errors are retired by event."""
-    e = table(spark, sf_dir, "events")
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    return e.withColumn("n", n).select("event_id", ((F.col("n") <= 10) & (F.col("event_type") != "error")).alias("active"))
+    """The newest ten notes of a subject stay active. Those of errors are retired by event, unless a case (of every
+    fourth event) is pending; a note with a case is retired when that case is resolved (by a signup)."""
+    e = table(spark, sf_dir, "events").withColumn("case_id", F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 997))
+    resolved = e.where("event_type = 'signup'").select((F.col("event_id") % 997).alias("case_id")).distinct().withColumn("resolved", F.lit(True))
+    notes = scans.scanned(e, "user_id", [F.desc("ts"), F.desc("event_id")]).join(resolved, "case_id", "left")
+    retired = (F.col("event_type") == "error") & F.col("case_id").isNull() | F.coalesce("resolved", F.lit(False))
+    return notes.select("event_id", ((F.col("n") <= 10) & ~retired).alias("active"))
 
 
 def m10_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +133,9 @@ def m15_one_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m16_previous_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest earlier persona turn (a view) of each answer (a click)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = table(spark, sf_dir, "events").withColumn("persona", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), True).over(w))
-    return e.where("event_type = 'click'").select("event_id", "persona")
+    e = table(spark, sf_dir, "events").withColumn("view", F.when(F.col("event_type") == "view", F.col("event_id")))
+    found = scans.scanned(e, "user_id", [F.col("ts"), F.col("event_id")], "view")
+    return found.where("event_type = 'click'").select("event_id", F.col("before").alias("persona"))
 
 
 def m16_oldest_case(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +152,7 @@ def m16_oldest_case(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m18_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approvals numbered by time; every third is decided."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("n", n)
+    e = scans.scanned(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "user_id", [F.col("ts"), F.col("event_id")])
     return e.select("event_id", "n", F.when(F.col("n") % 3 == 0, F.when(F.col("n") % 2 == 0, "applied").otherwise("rejected")).otherwise("pending").alias("status"))
 
 
@@ -322,7 +324,7 @@ ORACLE = {
 k AS (SELECT *, {_CLEAN} AS clean, same IN (SELECT {NORMAL} FROM benchmark) AS sealed, kind = 'behavior' AND conv_id % 2 = 1 AS ready FROM c), f AS (SELECT *, row_number() OVER (PARTITION BY ready, same ORDER BY conv_id, turn) AS i FROM k)
 SELECT kind, CASE kind WHEN 'style' THEN CASE WHEN original IS NULL THEN 'no_original' ELSE 'exemplar_pair' END WHEN 'behavior' THEN CASE WHEN NOT ready THEN 'rule_pending' WHEN i = 1 THEN 'rule_applied' ELSE 'rule_known' END ELSE CASE WHEN NOT clean THEN 'rejected' WHEN sealed THEN 'sealed' ELSE 'statement' END END AS route, count(*) AS n,
 CAST(sum(length(substr(coalesce(trig, original, text), 1, 2000))) AS BIGINT) AS trigger_chars, CAST(sum(length(substr(coalesce(original, ''), 1, 2000))) AS BIGINT) AS rejected_chars FROM f GROUP BY 1, 2""",
-    "m5_live_notes": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AND event_type <> 'error' AS active FROM events",
+    "m5_live_notes": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AND NOT (event_type = 'error' AND event_id % 4 <> 0) AND NOT (event_id % 4 = 0 AND event_id % 997 IN (SELECT event_id % 997 FROM events WHERE event_type = 'signup')) AS active FROM events",
     "m10_cards": "SELECT CASE WHEN event_id % 3 <> 0 THEN 'theme' || user_id % 6 ELSE 'general' END AS theme, count(*) AS cases, min(event_id) AS first FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
     "m11_due": "WITH l AS (SELECT user_id, max(ts) AS run_at FROM events WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS statements, count(*) FILTER (WHERE event_type = 'click') AS corrections, bool_or(event_type = 'error' AND event_id % 5 = 0) AS blocked FROM events LEFT JOIN l USING (user_id) WHERE run_at IS NULL OR ts > run_at GROUP BY 1) SELECT *, (statements >= 40 OR corrections >= 15) AND NOT blocked AS due FROM c",
     "m15_one_each": "WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT user_id, bool_or(event_type = 'purchase') AS clarified, bool_or(event_type = 'signup') AS invited FROM e GROUP BY 1",

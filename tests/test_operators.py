@@ -5,9 +5,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import chunk, dedup, holdout, intervals, similarity
+from scriptorium.operators import chunk, dedup, holdout, intervals, scans, similarity
 from scriptorium.plans import corpus
 from scriptorium.sources import sinks
 from scriptorium.streaming import events as stream
@@ -249,6 +250,60 @@ def test_intervals(spark):
     assert got == [("p", 2.0, 10.0), ("p", 11.0, 30.0), ("q", 0.0, 9.0), ("r", 0.0, 14.0), ("r", 14.5, 28.0), ("r", 28.4, 40.0)]
 
 
+def greedy_clips(spans, total):
+    """The definition, span by span."""
+    out, i = [], 0
+    while i < len(spans):
+        start, end = spans[i]
+        j = i
+        if end - start > 15:
+            out.append((start, end, "too long"))
+        else:
+            while j + 1 < len(spans) and spans[j + 1][1] - start <= 15:
+                j += 1
+            a, b = max(0.0, start - 0.15), min(total, spans[j][1] + 0.15)
+            out.append((a, b, "too short" if b - a < 3 else None))
+        i = j + 1
+    return out
+
+
+def test_clips_over_many_buckets(spark, monkeypatch):
+    """Equal to the fold, whatever the buckets cut."""
+    monkeypatch.setattr(intervals, "BUCKET", 20.0)
+    r = random.Random(6)
+    rows, want = [], []
+    for rec in ["a", "b", "c", "d", None]:
+        spans, at = [], r.choice([0.0, 55.0])
+        for _ in range(r.choice([1, 60, 200])):
+            at = round(at + r.choice([0.06, 0.5, 3.0, 16.0, 70.0]) * r.random() + 0.06, 3)
+            end = round(at + r.choice([0.2, 2.0, 7.0, 14.9, 15.0, 22.0, 60.0]) * r.random() + 0.01, 3)
+            spans.append((at, end))
+            at = end
+        rows += [(rec, *x) for x in spans]
+        want += [(rec, *x) for x in greedy_clips(spans, 10_000.0)]
+    df = spark.createDataFrame(rows, "rec string, start double, end double").repartition(5)
+    assert sorted(map(tuple, intervals.plan_clips(df, "rec", 10_000.0).collect()), key=str) == sorted(want, key=str)
+    assert intervals.plan_clips(df.limit(0), "rec", 10.0).count() == 0
+
+
+def test_scans_equal_windows(spark):
+    """One subject has 90 in 100 rows; others, and none, have few."""
+    r = random.Random(8)
+    rows = [(i, r.choices([7, None, *range(20)], [180, 3, *[1] * 20])[0], r.randrange(400), r.choice([None, None, i])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, u long, t long, v long").repartition(6)
+    by = Window.partitionBy("u").orderBy("t", "id")
+    want = df.withColumn("n", F.row_number().over(by)).withColumn("before", F.last("v", True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    got = scans.scanned(df, "u", [F.col("t"), F.col("id")], "v")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    down = scans.scanned(df.withColumn("s", F.col("u").cast("string")), "s", [F.desc("t"), F.desc("id")])
+    last = Window.partitionBy("u").orderBy(F.desc("t"), F.desc("id"))
+    assert sorted((x.id, x.n) for x in down.collect()) == sorted((x.id, x.n) for x in df.withColumn("n", F.row_number().over(last)).collect())
+    sparse = df.withColumn("v", F.when(F.col("id") == 5, F.col("v")).otherwise(F.when(F.col("t") == 0, F.col("id"))))
+    want = sparse.withColumn("before", F.last("v", True).over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    assert sorted((x.id, x.before) for x in scans.scanned(sparse, "u", [F.col("t"), F.col("id")], "v").collect()) == sorted((x.id, x.before) for x in want.collect())
+    assert scans.scanned(df.limit(0), "u", [F.col("t")], "v").count() == 0
+
+
 def test_split_write_and_rebuild(spark, tmp_path):
     rows = spark.createDataFrame([("a", True), ("b", False), ("c", None)], "key string, public boolean")
     private, public = sinks.write_split(rows, "public", "key", str(tmp_path / "out"))

@@ -32,6 +32,8 @@ from scriptorium.session import Scratch
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 #: Keys that are sent to their rows, the most frequent ones.
 HOT = 1_000
+#: Ids that are sent to all documents.
+SENT_IDS = 500_000
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
 PART_BYTES = 2_000_000
@@ -167,8 +169,9 @@ def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[t
     return out
 
 
-def across(bodies: DataFrame, members: DataFrame, load: Callable[[Any], np.ndarray], percent: int, scratch: Scratch) -> DataFrame:
-    """Links u, v between members (bucket, id, n_shingles, component) of one bucket in different groups. Bodies (id, body) are loaded as sets."""
+def _in_blocks(bodies: DataFrame, members: DataFrame, load: Callable[[Any], Any], found: Callable[[int, list[int], list[int], list], pa.RecordBatch], names: str, scratch: Scratch) -> DataFrame:
+    """What `found` makes of bucket, ids, groups and loaded bodies (id, body) of each two blocks of members (bucket, id,
+    n_shingles, component) of one bucket that meet."""
     groups = members.groupBy("bucket", "component").agg(F.struct(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), "component").alias("x"))
     blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
     sizes = groups.groupBy("bucket").agg(F.max("x").alias("x"), F.sum("x.n").alias("all"), F.sum("x.w").alias("w"))
@@ -185,27 +188,54 @@ def across(bodies: DataFrame, members: DataFrame, load: Callable[[Any], np.ndarr
     rows = bodies.join(placed.hint("merge"), "id").select("bucket", "block", "id", "component", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, ids, groups, sets = None, [], [], []
-
-        def found() -> pa.RecordBatch:
-            links = _crossing(sets, np.array(groups), percent) if len(set(groups)) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["u", "v"])
-
+        of, ids, groups, loaded = None, [], [], []
         for batch in batches:
             for x, y in text_parts(batch, 4, PART_BYTES):
                 part = batch.slice(x, y - x)
                 for bucket, block, i, group, body in zip(*(part.column(c).to_pylist() for c in range(5))):
                     if (bucket, block) != of:
-                        if ids:
-                            yield found()
-                        of, ids, groups, sets = (bucket, block), [], [], []
+                        if len(set(groups)) > 1:
+                            yield found(of[0], ids, groups, loaded)
+                        of, ids, groups, loaded = (bucket, block), [], [], []
                     ids.append(i)
                     groups.append(group)
-                    sets.append(load(body))
-        if ids:
-            yield found()
+                    loaded.append(load(body))
+        if len(set(groups)) > 1:
+            yield found(of[0], ids, groups, loaded)
+
+    return scratch.write(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, names), "crossing")
+
+
+def across(bodies: DataFrame, members: DataFrame, load: Callable[[Any], np.ndarray], percent: int, scratch: Scratch) -> DataFrame:
+    """Links u, v between members (bucket, id, n_shingles, component) of one bucket in different groups. Bodies
+    (id, body) are loaded as sets."""
+
+    def found(_: int, ids: list[int], groups: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        own = _crossing(sets, np.array(groups), percent)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in own], pa.int64()), pa.array([ids[j] for _, j in own], pa.int64())], names=["u", "v"])
+
+    return _in_blocks(bodies, members, load, found, "u long, v long", scratch)
+
+
+def promising(bodies: DataFrame, members: DataFrame, load: Callable[[Any], Any], may: Callable[[list], np.ndarray], scratch: Scratch) -> DataFrame:
+    """The members (bucket, id, n_shingles, component) that may be linked to one of another group in their
+    bucket, as `may` tells of all pairs of a list of loaded bodies."""
+
+    def found(bucket: int, ids: list[int], groups: list[int], loaded: list) -> pa.RecordBatch:
+        group = np.array(groups)
+        own = np.array(ids, np.int64)[(may(loaded) & (group[:, None] != group[None, :])).any(axis=1)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), bucket, np.int64)), pa.array(own)], names=["bucket", "id"])
+
+    kept = _in_blocks(bodies, members, load, found, "bucket long, id long", scratch)
+    return scratch.write(members.join(kept.distinct(), ["bucket", "id"], "left_semi"), "promising")
+
 
-    return scratch.write(rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block").mapInArrow(run, "u long, v long"), "crossing")
+def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """`docs` (id, ...) with one of the ids: these go to the documents if they are SENT_IDS at most, and else
+    both meet by id."""
+    found = ids.distinct()
+    few = found.limit(SENT_IDS + 1).count() <= SENT_IDS
+    return docs.join(F.broadcast(found) if few else found.hint("merge"), "id", "left_semi")
 
 
 def unsettled(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:

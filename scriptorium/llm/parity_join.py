@@ -117,6 +117,24 @@ def may_link(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], s: Settings)
     return 100 * min(n, m) >= s.percent * max(n, m) and int(np.bitwise_count(x ^ y).sum()) <= s.differ(n + m)
 
 
+def may_link_all(sketches: list[tuple[int, np.ndarray]], s: Settings) -> np.ndarray:
+    """may_link of all pairs: sketches of one size by a product, and of the next size folded to it."""
+    sizes = np.array([len(x) for _, x in sketches])
+    n = np.array([k for k, _ in sketches])
+    may = np.zeros((len(sketches), len(sketches)), bool)
+    for size in np.unique(sizes).tolist():
+        own, larger = np.flatnonzero(sizes == size), np.flatnonzero(sizes == 2 * size)
+        x = np.stack([sketches[i][1] for i in own])
+        for at, y in ((own, x), (larger, np.stack([sketches[i][1][:size] ^ sketches[i][1][size:] for i in larger]) if len(larger) else x[:0])):
+            a, b = (np.unpackbits(z, axis=1).astype(np.float32) for z in (x, y))
+            apart = a.sum(axis=1)[:, None] + b.sum(axis=1)[None, :] - 2 * (a @ b.T)
+            both = n[own][:, None] + n[at][None, :]
+            near = (apart <= both * (100 - s.percent) // (100 + s.percent)) & (100 * np.minimum(n[own][:, None], n[at][None, :]) >= s.percent * np.maximum(n[own][:, None], n[at][None, :]))
+            may[np.ix_(own, at)] |= near
+            may[np.ix_(at, own)] |= near.T
+    return may
+
+
 def _signed(docs: DataFrame, s: Settings) -> DataFrame:
     """id, n_shingles, set_key, keys, sketch."""
     schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -158,13 +176,21 @@ def _rare_first(texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     return counted.withColumn("place", place).where("place <= differ + 1").select(F.col("key").alias("bucket"), "id", "n_shingles")
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """bucket, leader, id, n_shingles, n of buckets with several members, one bucket for those with the same."""
-    dealt = members.repartition("bucket")  # once, for the sums and for what they are joined with
+def _buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, leader, id, n_shingles of buckets with several members, one bucket for those with the same
+    members. Rows go by their bucket once: most have none to meet and end there."""
+    by = Window.partitionBy("bucket").orderBy("id")
+    met = members.withColumns({"leader": F.min("id").over(by), "next": F.lead("id").over(by), "n_": F.lag("id").over(by)})
+    met = scratch.write(met.where("next is not null or n_ is not null").drop("next", "n_"), "met")
     of_ids = [F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 32)).alias(f"x{seed}") for seed in range(3)]  # alike only for the same members
-    sums = dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("id").alias("largest"), *of_ids).where("leader < largest")
-    once = sums.groupBy("n", "leader", "largest", "x0", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "leader")
-    return dealt.join(once.hint("merge"), "bucket").select("bucket", "leader", "id", "n_shingles", "n")
+    sums = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("id").alias("largest"), *of_ids).where("leader < largest")
+    once = scratch.write(sums.groupBy("n", "leader", "largest", "x0", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "once")
+    return scratch.write(links.by_key(met, once, "bucket", "n").drop("n"), "buckets")
+
+
+def _met(full: DataFrame, scratch: Scratch) -> DataFrame:
+    own = full.groupBy("set_key").agg(F.min_by(F.struct("keys", "n_shingles"), "id").alias("own"), F.min("id").alias("id"))
+    return _buckets(own.select("id", F.col("own.n_shingles").alias("n_shingles"), F.explode("own.keys").alias("bucket")), scratch)
 
 
 def similar(df: DataFrame, id_col: str, text_col: str, settings: Settings = Settings()) -> DataFrame:
@@ -173,41 +199,49 @@ def similar(df: DataFrame, id_col: str, text_col: str, settings: Settings = Sett
     ship(spark)
     scratch = Scratch(spark)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("body"))
-    signed = scratch.write(_signed(docs, s), "signed")
-    full = signed.where("n_shingles > 0 and id is not null")
+    keyed = scratch.write(_signed(docs, s), "keyed")
+    some = "n_shingles > 0 and id is not null"
     # Equal sets are one class; its smallest id stands for it.
-    classes = scratch.write(full.groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
-    members = full.groupBy("set_key").agg(F.min_by(F.struct("keys", "n_shingles"), "id").alias("own"), F.min("id").alias("id"))
-    met = scratch.write(_buckets(members.select("id", F.col("own.n_shingles").alias("n_shingles"), F.explode("own.keys").alias("bucket"))), "buckets")
-    ids = met.select("id").distinct().hint("merge")
-    texts = scratch.write(docs.join(ids, "id"), "texts")
-    sketches = full.select("id", F.col("sketch").alias("body")).join(ids, "id").distinct()
+    classes = scratch.write(keyed.where(some).groupBy("set_key").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
+    met = _met(keyed.where(some), scratch)
+    signed = scratch.write(keyed.drop("keys"), "signed")
+    del keyed
+    scratch.drop(keep=("classes", "buckets", "signed"))  # the keys, and the shuffles that they went through
+    full = signed.where(some)
+    groups = _grouped(docs, full, classes, met, s, scratch)
+    of_class = scratch.write(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
+    del classes, met, groups
+    scratch.drop(keep=("signed", "of-class"))  # the result needs no more than these
+    found = links.by_key(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", F.col("component").alias("component_id"))
+    return found.unionByName(signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id")))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        near = links.paired(sketches, pairs, unpacked, lambda a, b: may_link(a, b, s), scratch)
-        return links.paired(texts, near.toDF("a", "b"), load, lambda a, b: links.linked(a, b, s.percent), scratch)
+
+def _grouped(docs: DataFrame, full: DataFrame, classes: DataFrame, met: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """id, component of the ids that have links."""
+    texts = scratch.write(links.restricted(docs, met.select("id")), "texts")
+    sketches = scratch.write(links.restricted(full.select("id", F.col("sketch").alias("body")), met.select("id")).distinct(), "sketches")
 
     def load(text: str | None) -> np.ndarray:
         return shingle_set(text, s.shingle)
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        near = links.paired(sketches, pairs, unpacked, lambda a, b: may_link(a, b, s), scratch)
+        return links.paired(texts, near.toDF("a", "b"), load, lambda a, b: links.linked(a, b, s.percent), scratch)
+
     def whole(groups: DataFrame, members: DataFrame) -> DataFrame:
-        return links.joined(groups, links.across(texts, links.unsettled(members, groups, scratch), load, s.percent, scratch), scratch)
+        left = links.promising(sketches, links.unsettled(members, groups, scratch), unpacked, lambda x: may_link_all(x, s), scratch)
+        return links.joined(groups, links.across(texts, left, load, s.percent, scratch), scratch)
 
     groups, rest = links.by_leaders(met, links.bridges(full, classes), confirmed, scratch)
     sizes = scratch.write(rest.groupBy("bucket").agg(F.count("*").alias("n")), "rest-sizes")
     rest = scratch.write(links.by_key(rest, sizes, "bucket", "n"), "rest")
     groups = whole(groups, rest.where(F.col("n") <= links.BLOCK).drop("n"))
     many = links.unsettled(rest.where(F.col("n") > links.BLOCK).drop("n"), groups, scratch).select("id").distinct()
-    if not many.isEmpty():
-        met = scratch.write(_buckets(_rare_first(texts.join(many.hint("merge"), "id"), s, scratch)), "buckets")
-        known = groups.select(F.col("component").alias("u"), F.col("id").alias("v"))
-        groups, rest = links.by_leaders(met, known, confirmed, scratch)
-        groups = whole(groups, rest)
-    of_class = scratch.write(classes.join(groups, "id", "left").select("set_key", "copies", F.coalesce("component", "id").alias("component")), "of-class")
-    del classes, members, met, texts, sketches, groups, rest, sizes, many
-    scratch.drop(keep=("signed", "of-class"))  # the result needs no more than these
-    found = links.by_key(full.select("id", "n_shingles", "set_key"), of_class, "set_key", "copies").select("id", "n_shingles", F.col("component").alias("component_id"))
-    return found.unionByName(signed.where("n_shingles = 0 or id is null").select("id", "n_shingles", F.col("id").alias("component_id")))
+    if many.isEmpty():
+        return groups
+    met = _buckets(_rare_first(links.restricted(texts, many), s, scratch), scratch)
+    groups, rest = links.by_leaders(met, groups.select(F.col("component").alias("u"), F.col("id").alias("v")), confirmed, scratch)
+    return whole(groups, rest)
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

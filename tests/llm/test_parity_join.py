@@ -45,6 +45,15 @@ def test_keys_and_sketches_tell_others_apart():
     assert not any(pj.may_link(pj.unpacked(pj.short_sketch(sets[0])), pj.unpacked(pj.short_sketch(x)), s) for x in sets[1:])
 
 
+def test_all_pairs_of_sketches():
+    s = pj.Settings()
+    r = random.Random(4)
+    sets = [x for size in (5, 30, 31, 33, 63, 65, 120) for _ in range(4) for x in near_sets(r, size, 80)]
+    sketches = [pj.unpacked(pj.short_sketch(x)) for x in sets]
+    want = np.array([[pj.may_link(a, b, s) for b in sketches] for a in sketches])
+    assert (pj.may_link_all(sketches, s) == want).all() and not want.all()
+
+
 def got_of(df):
     return {r.id: (r.n_shingles, r.component_id) for r in pj.similar(df, "doc_id", "text").collect()}
 
@@ -61,6 +70,7 @@ def test_common_passages_make_no_links_and_lose_none(spark, monkeypatch):
     monkeypatch.setattr(links, "BLOCK", 4)
     monkeypatch.setattr(links, "SALT_ROWS", 3)
     monkeypatch.setattr(links, "HOT", 2)
+    monkeypatch.setattr(links, "SENT_IDS", 3)
     r = random.Random(7)
     passage = [f"p{i}" for i in range(60)]
     rows = []

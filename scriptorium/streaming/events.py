@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from scriptorium.functions import rules
@@ -70,7 +70,7 @@ def session_stream(events: DataFrame, key: str, ts: str, event_id: str, reset: C
             now = max(now, int(pdf["at"].max()))
             cleared = max([cleared, *pdf.loc[pdf["reset"], "at"].tolist()])
             turns += zip(*(pdf.loc[~pdf["reset"], c].tolist() for c in ("at", "id")))
-        turns = sorted(t for t in turns if t[0] > now - keep and t[0] > cleared)[-TURNS:]
+            turns = sorted(t for t in turns if t[0] > now - keep and t[0] > cleared)[-TURNS:]
         state.update((now, cleared, seen, [t for t, _ in turns], [i for _, i in turns]))
         state.setTimeoutTimestamp(max((now + keep) // 1000, state.getCurrentWatermarkMs() + 1))
         made = [(of[0], seen, i, place) for place, (_, i) in enumerate(turns, 1)] or [(of[0], seen, None, 0)]
@@ -86,6 +86,87 @@ def due_checks(events: DataFrame, least: int) -> DataFrame:
     return events.join(last, "user_id", "left").groupBy("user_id").agg(since.alias("since")).withColumn("due", F.col("since") >= least)
 
 
+class _Times(StatefulProcessor):
+    """The times of a key's turns after its last reset, in any order of arrival, and of the last `keep` microseconds
+    before its newest event if there is such a limit. The state of a key ends by a timer once the watermark
+    is RETENTION_HOURS beyond its newest event."""
+
+    def __init__(self, keep: int | None, due: int | None) -> None:
+        self.keep, self.due = keep, due
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.of = handle.getValueState("of", "newest long, cleared long, seen long")
+        self.times = handle.getListState("times", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        newest, cleared, seen = self.of.get() if self.of.exists() else (-1, -1, 0)
+        before, new = (newest, cleared), []
+        for pdf in rows:
+            seen += len(pdf)
+            newest = max(newest, int(pdf["at"].max()))
+            cleared = max([cleared, *pdf.loc[pdf["reset"], "at"].tolist()])
+            new += pdf.loc[~pdf["reset"], "at"].tolist()
+        least = max(cleared, newest - self.keep if self.keep else -1)
+        held = [t for (t,) in self.times.get()] if self.times.exists() else []
+        live = [t for t in [*held, *new] if t > least]
+        if before != (newest, cleared) and len(live) < len(held) + len(new):  # something fell out
+            if live:
+                self.times.put([(t,) for t in live])
+            else:
+                self.times.clear()
+        elif kept := [t for t in new if t > least]:
+            self.times.appendList([(t,) for t in kept])
+        self.of.update((newest, cleared, seen))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max(newest // 1000 + RETENTION_HOURS * 3_600_000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._row(key, seen, len(live))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, _, seen = self.of.get()
+        self.of.clear()
+        self.times.clear()
+        yield self._row(key, seen, 0)
+
+    def _row(self, key, seen: int, live: int) -> pd.DataFrame:
+        made = {"key": [key[0]], "version": [seen], "live": [live]}
+        return pd.DataFrame(made if self.due is None else made | {"due": [live >= self.due]})
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(events: DataFrame, key: str, ts: str, reset: Column, keep: int | None, due: int | None) -> DataFrame:
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.withWatermark(ts, f"{RETENTION_HOURS} hours").select(F.col(key).alias("key"), ts, F.unix_micros(ts).alias("at"), reset.alias("reset"))
+    names = f"key {kind}, version long, live long" + ", due boolean" * (due is not None)
+    return rows.groupBy("key").transformWithStateInPandas(_Times(keep, due), names, "Update", "EventTime")
+
+
+def cadence_stream(events: DataFrame, key: str, ts: str, reset: Column, least: int) -> DataFrame:
+    """due_checks over a stream, in update mode: key, version (events so far), live (those since the last check,
+    which is a row of `reset`) and due. Rows later than the watermark don't count."""
+    return _counted(events, key, ts, reset, None, least)
+
+
+def live_stream(events: DataFrame, key: str, ts: str) -> DataFrame:
+    """The live side of `retention` over a stream, in update mode: key, version, live (turns within the
+    retention of the newest one). A key that the watermark passes by the retention has none and no state."""
+    return _counted(events, key, ts, F.lit(False), RETENTION_HOURS * 3_600_000_000, None)
+
+
+def retention_streams(events: DataFrame, key: str, ts: str, raw: str, live: Callable[[DataFrame, int], None], checkpoint: str) -> tuple[StreamingQuery, StreamingQuery]:
+    """Both sides of the retention: every turn, late ones too, is appended to the Parquet folder `raw` and never
+    taken out, and beside it the live counts go to `live` batch by batch and expire."""
+    stored = events.writeStream.format("parquet").option("path", raw).option("checkpointLocation", f"{checkpoint}/raw").trigger(availableNow=True).start()
+    counts = live_stream(events, key, ts).writeStream.foreachBatch(live).outputMode("update").option("checkpointLocation", f"{checkpoint}/live").trigger(availableNow=True).start()
+    return stored, counts
+
+
 def hourly(events: DataFrame) -> DataFrame:
     """Tumbling counts by type; on a stream with the retention as watermark."""
     if events.isStreaming:

@@ -374,6 +374,45 @@ def test_session_stream_ends_as_the_batch(spark, tmp_path):
     assert end == sorted((r.user_id, r.event_id, r.position) for r in stream.session_memory(close, "user_id", "ts", "event_id", reset).collect()) and end
 
 
+def last_of(rows):
+    """The row of the highest version of each key."""
+    out = {}
+    for r in rows:
+        if r[0] not in out or r[1] >= out[r[0]][1]:
+            out[r[0]] = r
+    return out
+
+
+def test_cadence_stream_ends_as_the_batch(spark, tmp_path):
+    """Shuffled micro-batches: checks (resets) come before and after what they clear."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    close = events.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") % 36_000_000_000)).where("user_id < 9").orderBy(F.xxhash64("event_id"))
+    got = streamed(spark, tmp_path, close, lambda s: stream.cadence_stream(s, "user_id", "ts", F.col("event_type") == "signup", 3), "cadence", "update")
+    want = {r.user_id: (r.since, r.due) for r in stream.due_checks(close, 3).collect()}
+    assert {k: r[2:] for k, r in last_of(got).items()} == want and {d for _, d in want.values()} == {True, False}
+
+
+def test_retention_streams(spark, tmp_path):
+    """Late turns are stored but don't live; a key that is long silent has no live turns and no state."""
+    at = lambda h: f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00"
+    batches = [[("a", 1, at(20)), ("b", 2, at(20)), ("a", 3, at(10))], [("a", 4, at(30)), ("c", 5, at(60))], [("a", 6, at(2)), ("c", 7, at(61))], [("c", 8, at(62))]]
+    kind = "user_id string, event_id long, ts timestamp"
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "user_id string, event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{n}"))
+    seen = []
+    for n in range(len(batches)):  # one folder after the other arrives
+        spark.read.schema(kind).parquet(str(tmp_path / "in" / f"{n}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "arrived"))
+        source = spark.readStream.schema(kind).parquet(str(tmp_path / "arrived"))
+        for q in stream.retention_streams(source, "user_id", "ts", str(tmp_path / "raw"), lambda df, _: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp")):
+            assert q.awaitTermination(180)
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == list(range(1, 9))
+    assert ("a", 2, 2) in seen and ("a", 3, 2) in seen  # 20 and 10 h, then 30 and 20 h
+    last = last_of(seen)
+    assert last["a"][2] == 0 and last["b"][2] == 0  # expired: the watermark is at 50 h
+    assert last["c"] == ("c", 3, 3) and not any(r[0] == "a" and r[1] > 3 for r in seen)
+
+
 def test_session_memory(spark):
     rows = [("u", i, f"2024-01-01 {h:02d}:00:00", k) for i, (h, k) in enumerate([(0, "t"), (1, "t"), (20, "t"), (21, "r"), (22, "t"), (23, "t")])]
     df = spark.createDataFrame(rows, "u string, id long, ts string, k string").withColumn("ts", F.col("ts").cast("timestamp"))

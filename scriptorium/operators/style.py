@@ -43,13 +43,13 @@ def grams(tokens: Column, n: int) -> Column:
 
 def gram_counts(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
     """keys, n (1..longest), gram, count; summed before the shuffle."""
-    tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w"))
-
-    def sized(n: int) -> Column:
-        return F.transform(grams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
-
-    each = F.flatten(F.array(*[sized(n) for n in range(1, longest + 1)]))
-    return tokens.select(*keys, F.explode(each).alias("g")).groupBy(*keys, "g.n", "g.gram").agg(F.count("*").alias("count"))
+    tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w")).where("size(_w) > 0")
+    # The runs at a place are the tokens from there on, side by side: short rows, and nothing interpreted.
+    shifted = [F.slice("_w", k + 1, F.size("_w")).alias(f"_w{k}") for k in range(longest)]
+    rows = tokens.select(*keys, *shifted).select(*keys, F.inline(F.arrays_zip(*[f"_w{k}" for k in range(longest)])))
+    run = lambda n: F.when(F.col(f"_w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_w{k}" for k in range(n)]))
+    each = F.stack(F.lit(longest), *[c for n in range(1, longest + 1) for c in (F.lit(n), run(n))]).alias("n", "gram")
+    return rows.select(*keys, each).where("gram is not null").groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -15,7 +16,8 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import chunk, dedup, holdout
 from scriptorium.plans.style import SENTENCES, TOK, TOKENS
 from scriptorium.plans.text_rules import HTML, HTML_TEXT, LAST, NORMAL, WORDS, redacted_sql
-from scriptorium.session import materialise, ship, table
+from scriptorium.session import materialise, shared_dir, ship, table
+from scriptorium.sources.stored import Stored
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,14 +207,21 @@ def k4_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     inserted."""
     d = _docs(spark, sf_dir).withColumn("id", tx.item_id(F.lit("work_file"), F.col("source"), F.col("text")))
     of = lambda rows: rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.min("lang").alias("label"))
-    return upsert(of(d.where("doc_id % 3 <> 0")), of(d).withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000}), "id", ["label"])
+    first, all_ = of(d.where("doc_id % 3 <> 0")), of(d).withColumns({"label": F.concat(F.lit("new-"), "label"), "doc_id": F.col("doc_id") + 1_000_000})
+    kept = Stored(spark, f"{shared_dir(spark)}/items-{uuid.uuid4().hex}", first.schema, ["id"])
+    kept.upsert(first, ["label"])
+    kept.upsert(all_, ["label"])
+    return kept.frame()
 
 
 def k5_stale_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rows of re-ingested origins are replaced, for any number of origins."""
+    """All rows of re-ingested origins are replaced, for any number of origins; buckets of others stay as
+    they are on disk."""
     d = _docs(spark, sf_dir).select("doc_id", "source", F.lit("old").alias("version"))
-    fresh = d.where("source in ('src1', 'src7')").withColumn("version", F.lit("new"))
-    return d.join(fresh.select("source").distinct(), "source", "left_anti").select("doc_id", "source", "version").unionByName(fresh)
+    kept = Stored(spark, f"{shared_dir(spark)}/origins-{uuid.uuid4().hex}", d.schema, ["source"])
+    kept.replace(d)
+    kept.replace(d.where("source in ('src1', 'src7')").withColumn("version", F.lit("new")))
+    return kept.frame()
 
 
 def k9_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

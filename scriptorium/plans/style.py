@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import holdout
 from scriptorium.operators import style as st
 from scriptorium.operators.places import placed
-from scriptorium.session import materialise, table
+from scriptorium.session import materialise, shared_dir, table
+from scriptorium.sources.stored import Stored
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +33,13 @@ def t1_sentence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of both halves of the corpus merged; the 8,000 most frequent words and phrases each."""
-    halves = st.gram_counts(_docs(spark, sf_dir).withColumn("half", F.col("doc_id") % 2), ["source", "half"], "text")
-    merged = halves.groupBy("source", "n", "gram").agg(F.sum("count").alias("count"))
-    return st.top_per(merged.withColumn("phrase", F.col("n") > 1), ["source", "phrase"], [F.desc("count"), "gram"], 8000).select("source", "n", "gram", "count")
+    """Counts of the two halves of the corpus, merged in a stored table batch by batch; the 8,000 most frequent words
+    and phrases each."""
+    half = lambda k: st.gram_counts(_docs(spark, sf_dir).where(F.col("doc_id") % 2 == k), ["source"], "text")
+    kept = Stored(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", half(0).schema, ["source", "n", "gram"])
+    for k in (0, 1, 1):  # a batch that comes again counts once
+        kept.add(half(k), ["count"], f"half {k}")
+    return st.top_per(kept.frame().withColumn("phrase", F.col("n") > 1), ["source", "phrase"], [F.desc("count"), "gram"], 8000).select("source", "n", "gram", "count")
 
 
 def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import markup, redaction, rules
+from scriptorium.functions import redaction, rules
 from scriptorium.functions import text as tx
 from scriptorium.operators import chunk, dedup, holdout
 from scriptorium.plans.style import SENTENCES, TOK, TOKENS
 from scriptorium.plans.text_rules import HTML, HTML_TEXT, LAST, NORMAL, WORDS, redacted_sql
-from scriptorium.session import materialise, shared_dir, ship, table
+from scriptorium.session import Scratch, materialise, shared_dir, ship, table
+from scriptorium.sources import files
 from scriptorium.sources.stored import Stored
 
 
@@ -110,10 +111,14 @@ def match_manifest(files: DataFrame, path_col: str, manifest: list[tuple[str, st
 
 
 def require_matched(files: DataFrame, path_col: str) -> None:
-    """Fails with the names of files that no entry fits."""
-    orphans = [r[0] for r in files.where("entry is null").select(path_col).orderBy(path_col).limit(50).collect()]
-    if orphans:
-        raise ValueError(f"no manifest entry for: {', '.join(orphans)}")
+    """Fails if no entry fits a file: with the number of such files and a folder in which all their names are."""
+    orphans = Scratch(files.sparkSession)
+    names = orphans.write(files.where("entry is null").select(F.col(path_col).alias("path")).sort("path"), "orphans")
+    n = names.count()
+    if n:
+        first = ", ".join(r.path for r in names.sort("path").limit(10).collect())
+        raise ValueError(f"no manifest entry for {n} files, all named in {orphans.paths[-1][1]}: {first}")
+    orphans.drop()
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,26 +127,27 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s8_work_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the manifest says of each file; orphans have no label. With an entry for all others the same files pass
+    whole."""
+    require_matched(match_manifest(_paths(spark, sf_dir), "path", [*MANIFEST, ("**", "other", "private")]), "path")
     return match_manifest(_paths(spark, sf_dir), "path", MANIFEST).select("doc_id", "path", "label", "sensitivity")
 
 
-def load_files(files: DataFrame, path_col: str, content_col: str) -> DataFrame:
-    """Adds body and skipped: text files as they are, pages and mails through their loaders; other
-    extensions and empty bodies are skipped with the reason."""
-    extension = F.lower(F.regexp_extract(path_col, "\\.([A-Za-z0-9]+)$", 1))
-    body = F.when(extension.isin("md", "txt"), F.trim(content_col)).when(extension == "html", markup.html_text(F.col(content_col))).when(extension == "eml", markup.own_mail_text(F.col(content_col)))
-    rows = files.withColumn("_extension", extension).withColumn("body", body)
-    reason = F.when(F.col("body").isNull(), F.concat(F.lit("unsupported: "), "_extension")).when(F.trim("body") == "", "empty")
-    return rows.withColumn("skipped", reason).drop("_extension")
+def _tree(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows (path, content) as files of a new folder, read back."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    files.save_tree(rows, "path", "content", folder)
+    return files.read_tree(spark, folder)
 
 
 def s9_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as text files, pages and mails (every ninth one blank), loaded by extension."""
+    """Documents as a folder of text files, pages and mails (every ninth one blank), read and loaded by extension."""
     text = F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text"))
     kind = F.col("doc_id") % 8
     content = F.when(kind == 2, F.concat(F.lit("<html><head>x</head><body><p>"), text, F.lit("</p></body></html>"))).when(kind == 3, F.concat(F.regexp_replace(text, "\\n", " "), F.lit("\n-- \nAnn\nlost"))).otherwise(text)
-    files = load_files(_paths(spark, sf_dir).withColumn("content", content), "path", "content")
-    return files.select("doc_id", "path", F.when(F.col("skipped").isNull(), F.sha2("body", 256)).alias("sha256"), "skipped")
+    found = files.load_files(_tree(spark, _paths(spark, sf_dir).withColumn("content", content)))
+    doc_id = F.regexp_extract("path", "([0-9]+)\\.[a-z]+$", 1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "path", F.when(F.col("skipped").isNull(), F.sha2("body", 256)).alias("sha256"), "skipped")
 
 
 def unzip(df: DataFrame, key: str, content: str) -> DataFrame:
@@ -238,13 +244,12 @@ def k9_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def k10_release_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a release fails for: texts with a banned pattern and files with a media extension, with a digest of
-    each; the row without a document is the verdict."""
+    """The manifest of a release: every file with its digest and what it fails for, texts for banned patterns and others
+    for a media extension; the row without a path is the verdict."""
     banned = {"token": "(?i)token\\s*=", "licence": "Licensed under", "address": "[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+"}
-    hits = [F.when(tx.matches(F.col("text"), p), F.lit(n)) for n, p in banned.items()] + [F.when(F.col("path").rlike("\\.(png|jpg|wav|mp3|mp4)$"), F.lit("media"))]
-    found = _paths(spark, sf_dir).select("doc_id", F.explode(F.array_compact(F.array(*hits))).alias("pattern"), F.sha2("text", 256).alias("sha256"))
-    verdict = found.agg(F.lit(None).cast("long").alias("doc_id"), F.when(F.count("*") > 0, "fail").otherwise("pass").alias("pattern"), F.lit(None).cast("string").alias("sha256"))
-    return found.unionByName(verdict)
+    scan = materialise(files.scanned_files(_tree(spark, _paths(spark, sf_dir).withColumn("content", F.col("text"))), banned, ["png", "jpg", "wav", "mp3", "mp4"]), "scan")
+    verdict = scan.agg(F.lit(None).cast("string").alias("path"), F.sum("length").alias("length"), F.lit(None).cast("string").alias("sha256"), F.when(F.count("found") > 0, "fail").otherwise("pass").alias("found"))
+    return scan.unionByName(verdict)
 
 
 def d1_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -355,7 +360,9 @@ SELECT doc_id, path, CASE WHEN body <> '' THEN sha256(body) END AS sha256, CASE
     "k9_report_totals": f"""WITH {redacted_sql('documents', 'doc_id, source, text AS raw')}, i AS (SELECT doc_id, source, raw AS text, {', '.join(f'n{i}' for i in range(len(redaction.RULES)))} FROM {LAST}), m AS (SELECT *, {_DUP} AS dup, {WORDS} AS words FROM i)
 SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS n, count(*) FILTER (WHERE words < 15) AS short, count(*) FILTER (WHERE dup) AS copies, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 <> 0) AS private, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 = 0) AS public,
 array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CAST({k} AS BIGINT) END" for name, k in _BY_RULE.items())}], lambda x: x IS NOT NULL), ',') AS redactions, CASE WHEN coalesce(sum(CASE WHEN NOT dup AND words >= 15 THEN length(text) END), 0) < 27000 THEN 'under 30 minutes' END AS note FROM m GROUP BY ROLLUP (source)""",
-    "k10_release_scan": "WITH h AS (SELECT doc_id, text, unnest([CASE WHEN regexp_matches(text, '(?i)token\\s*=') THEN 'token' END, CASE WHEN contains(text, 'Licensed under') THEN 'licence' END, CASE WHEN regexp_matches(text, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END, CASE WHEN doc_id % 8 = 4 THEN 'media' END]) AS pattern FROM documents), f AS (SELECT doc_id, pattern, sha256(text) AS sha256 FROM h WHERE pattern IS NOT NULL) SELECT * FROM f UNION ALL SELECT NULL, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END, NULL FROM f",
+    "k10_release_scan": f"""WITH p AS (SELECT {_PATH} AS path, text || chr(10) AS content, doc_id % 8 = 4 AS media FROM documents),
+f AS (SELECT path, strlen(content) AS length, sha256(content) AS sha256, nullif(array_to_string(list_filter([CASE WHEN NOT media AND regexp_matches(content, '(?i)token\\s*=') THEN 'token' END, CASE WHEN NOT media AND contains(content, 'Licensed under') THEN 'licence' END, CASE WHEN NOT media AND regexp_matches(content, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END, CASE WHEN media THEN 'media' END], lambda x: x IS NOT NULL), ','), '') AS found FROM p)
+SELECT * FROM f UNION ALL SELECT NULL, CAST(sum(length) AS BIGINT), NULL, CASE WHEN count(found) > 0 THEN 'fail' ELSE 'pass' END FROM f""",
     "d1_exact_duplicates": f"SELECT doc_id, source, {_DUP} AS duplicate FROM documents",
     "d2_near_pairs": f"""WITH {_ITEMS}, c AS (SELECT *, min(doc_id) OVER (PARTITION BY source, list_sort(w), n) AS first FROM items WHERE len(w) > 0), k AS (SELECT * FROM c WHERE doc_id = first)
 SELECT a.source AS source, a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.source = b.source AND a.doc_id < b.doc_id AND b.n / a.n BETWEEN 0.6 AND 1.67 WHERE len(list_intersect(a.w, b.w)) >= 0.88 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9

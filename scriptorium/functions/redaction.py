@@ -63,10 +63,11 @@ def _apply(text: Column, rule: Rule) -> tuple[Column, Column]:
     """Text after the rule, and how often it replaced."""
     pattern = java(rule.pattern)
     if rule.luhn:
-        found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), luhn_valid)
-        # longest first, so that no run is replaced inside a longer one
-        ordered = F.array_sort(F.array_distinct(found), lambda a, b: F.length(b) - F.length(a))
-        return F.aggregate(ordered, text, lambda t, run: F.replace(t, run, F.lit(MARK))), F.size(found)
+        # match by match, in place: what lies between the runs, and each run as it is or marked
+        runs = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda run: F.struct(run.alias("run"), luhn_valid(run).alias("valid")))
+        kept = F.transform(runs, lambda x: F.when(x["valid"], MARK).otherwise(x["run"]))
+        joined = F.zip_with(F.split(text, pattern, -1), kept, lambda between, run: F.concat(between, F.coalesce(run, F.lit(""))))
+        return F.array_join(joined, ""), F.size(F.filter(runs, lambda x: x["valid"]))
     by = "$1" + MARK.replace("[", "\\[").replace("]", "\\]") if rule.head else MARK
     return F.regexp_replace(text, pattern, by), F.regexp_count(text, F.lit(pattern))
 

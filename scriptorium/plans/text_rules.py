@@ -151,8 +151,9 @@ def redacted_sql(source: str, keep: str) -> str:
         pattern, head = rule.pattern, "\\1" if rule.head else ""
         before = f"r{i}"
         if rule.luhn:
-            runs = f"list_filter(regexp_extract_all(t, {re2(pattern)}), lambda r: {_LUHN.format(r='r')})"
-            step = f"SELECT * EXCLUDE (t), len({runs}) AS n{i}, list_reduce({runs}, lambda a, r: replace(a, r, '{redaction.MARK}'), t) AS t FROM {before}"
+            runs, valid = f"regexp_extract_all(t, {re2(pattern)})", _LUHN.format(r="x[2]")
+            one = f"x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN {valid} THEN '{redaction.MARK}' ELSE x[2] END"
+            step = f"SELECT * EXCLUDE (t), len(list_filter({runs}, lambda r: {_LUHN.format(r='r')})) AS n{i}, array_to_string(list_transform(list_zip(string_split_regex(t, {re2(pattern)}), {runs}), lambda x: {one}), '') AS t FROM {before}"
         elif "(?<!" in pattern:
             plain = "(^|[^0-9])" + pattern.replace("(?<!\\d)", "").replace("(?!\\d)", "") + "($|[^0-9])"
             step = f"SELECT * EXCLUDE (t), len(regexp_extract_all(t, {re2(plain)})) AS n{i}, regexp_replace(t, {re2(plain)}, '\\1{redaction.MARK}\\2', 'g') AS t FROM {before}"

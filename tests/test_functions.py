@@ -95,3 +95,13 @@ def test_markup(spark):
     mail = "Body one\n> quoted\nBody two\n\nCheers,\nAnn\nOn Monday the 3rd, Bob wrote:\n> old"
     assert one(spark, markup.own_mail_text(F.col("t")), t=mail) == "Body one\nBody two"
     assert one(spark, markup.own_mail_text(F.col("t")), t="a\nFrom: x\nSent: y\nb") == "a"
+
+
+def test_cards_are_marked_in_place(spark):
+    """Runs that are no cards keep their digits, even if a card's number is a part of them."""
+    rows = ["99994111111111111111000 4111111111111111", "4111111111111111", "4111111111111112 x 4111111111111111", "a 4111-1111 1111-1111.", "4111111111111111,4111111111111111 ", "none", "", None]
+    want = ["99994111111111111111000 [REDACTED]", "[REDACTED]", "4111111111111112 x [REDACTED]", "a [REDACTED].", "[REDACTED],[REDACTED] ", "none", "", None]
+    got = redaction.redact(spark.createDataFrame(list(enumerate(rows)), "i long, text string")).collect()
+    found = {r.i: (r.redacted, (r.redactions or {}).get("financial_card", 0)) for r in got}
+    assert [found[i][0] for i in range(8)] == want
+    assert [found[i][1] for i in range(8)] == [1, 1, 1, 1, 2, 0, 0, 0]

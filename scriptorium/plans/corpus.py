@@ -17,7 +17,7 @@ from scriptorium.operators import chunk, dedup, holdout
 from scriptorium.plans.style import SENTENCES, TOK, TOKENS
 from scriptorium.plans.text_rules import HTML, HTML_TEXT, LAST, NORMAL, WORDS, redacted_sql
 from scriptorium.session import Scratch, materialise, shared_dir, ship, table
-from scriptorium.sources import files
+from scriptorium.sources import exports, files
 from scriptorium.sources.stored import Stored
 
 
@@ -44,43 +44,45 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.sum("chars").alias("chars"))
 
 
-_MESSAGE = "array<struct<sender:string,text:string,content:array<struct<type:string,text:string>>,created_at:string>>"
-
-
-def s1_chat_export_a(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations nested to an export's JSON and read back: human messages, text from
-    `text` or else from the text blocks, date of the message or else of the conversation."""
+def _flat_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as an export's JSON, and its projects: those of the sources of documents, of which not all are
+    named in a conversation and some named ones do not exist."""
     c = table(spark, sf_dir, "conversations")
     sender = F.when(F.col("role") == "user", "human").otherwise(F.col("role"))
-    blocks = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("image").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))))
-    message = F.struct(sender.alias("sender"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("text"), blocks.alias("content"), F.when(F.col("turn") % 3 == 0, F.format_string("2024-01-%02d", F.col("turn") % 28 + 1)).alias("created_at"))
-    nested = c.groupBy("conv_id").agg(F.to_json(F.struct(F.lit("2023-12-31").alias("created_at"), F.sort_array(F.collect_list(F.struct("turn", message.alias("m"))))["m"].alias("chat_messages"))).alias("json"))
-    return chat_a_messages(nested, "conv_id", "json")
+    blocks = F.when(F.col("turn") % 2 == 0, F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(text).alias("text") if isinstance(text, str) else text.alias("text")) for kind, text in (("image", "x"), ("text", F.concat(F.col("text"), F.lit("  "))), ("text", F.lit("")), ("text", F.lit("(end)")))]))
+    message = F.struct(F.format_string("%08d-m", "turn").alias("uuid"), sender.alias("sender"), F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" \n"), F.col("text"))).alias("text"), blocks.alias("content"), F.when(F.col("turn") % 3 == 0, F.format_string("2024-01-%02d", F.col("turn") % 28 + 1)).alias("created_at"))
+    listed = F.sort_array(F.collect_list(F.struct("turn", message.alias("m"))))["m"].alias("chat_messages")
+    named = F.when(F.col("conv_id") % 3 == 0, F.lit("  ")).otherwise(F.concat(F.lit("Talk "), F.col("conv_id"))).alias("name")
+    project = F.when(F.col("conv_id") % 4 == 1, F.struct(F.concat(F.lit("Own "), F.col("conv_id") % 5).alias("name"))).alias("project")
+    of = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("src"), F.col("conv_id") % 25)).alias("project_uuid")
+    body = F.struct(F.format_string("%08d-c", "conv_id").alias("uuid"), named, F.lit("2023-12-31").alias("created_at"), project, of, F.col("chat_messages"))
+    json = c.groupBy("conv_id").agg(listed).select(F.lit("export.zip").alias("export"), F.to_json(body).alias("json"))
+    return json, _docs(spark, sf_dir).select(F.col("source").alias("uuid"), F.concat(F.lit("Project "), "source").alias("name")).distinct()
 
 
-def chat_a_messages(df: DataFrame, key: str, json_col: str) -> DataFrame:
-    parsed = df.select(key, F.from_json(json_col, f"struct<created_at:string,chat_messages:{_MESSAGE}>").alias("c"))
-    m = parsed.select(key, F.col("c.created_at").alias("_at"), F.posexplode("c.chat_messages").alias("position", "m")).where("m.sender = 'human'")
-    blocks = F.array_join(F.transform(F.filter("m.content", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    text = F.coalesce(F.nullif(F.trim("m.text"), F.lit("")), blocks)
-    return m.select(key, F.col("position").cast("long").alias("position"), text.alias("text"), F.coalesce("m.created_at", "_at").alias("date")).where("trim(text) <> ''")
+def s1_chat_export_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations nested to an export's JSON and read back: human messages with projects and origins."""
+    json, projects = _flat_export(spark, sf_dir)
+    return exports.flat_messages(json, "export", "json", projects).drop("export")
 
 
 def s2_chat_export_b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A map of nodes by id: user role, not hidden, string parts only, first of a repeated id."""
+    """A map of nodes by id: user role, not hidden, the strings among mixed parts, first of a repeated id."""
     c = table(spark, sf_dir, "conversations")
-    node = F.struct(F.col("role"), (F.col("turn") % 7 == 6).alias("hidden"), F.array(F.lit('{"asset": 1}'), F.to_json(F.struct(F.col("text").alias("s")))).alias("parts"), F.when(F.col("turn") % 4 != 3, F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60).alias("create_time"), F.concat(F.lit("m"), F.expr("turn div 2")).alias("message_id"))
-    nested = c.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.format_string("n%03d", "turn").alias("k"), node.alias("v")))))).alias("mapping"), F.min(F.lit(1704067200) + F.col("conv_id") * 3600).alias("started"))
-    parsed = nested.select("conv_id", "started", F.explode(F.from_json("mapping", "map<string,struct<role:string,hidden:boolean,parts:array<string>,create_time:bigint,message_id:string>>")).alias("node", "m"))
-    strings = F.array_join(F.filter(F.transform("m.parts", lambda p: F.get_json_object(p, "$.s")), lambda s: s.isNotNull()), "\n")
-    rows = parsed.where("m.role = 'user' and not m.hidden").select("conv_id", "node", "m.message_id", F.timestamp_seconds(F.coalesce("m.create_time", "started")).alias("at"), strings.alias("text"))
-    first = F.row_number().over(Window.partitionBy("conv_id", "message_id").orderBy("node"))
-    return rows.withColumn("_r", first).where("_r = 1").select("conv_id", "message_id", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "text")
+    parts = F.concat(F.lit('[{"asset": 1}, " ", '), F.expr("left(substring(to_json(array(text)), 2), length(to_json(array(text))) - 2)"), F.when(F.col("turn") % 4 == 0, F.lit(', 7, "(end) "]')).otherwise(F.lit("]")))
+    at = F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60
+    time = F.when(F.col("turn") % 4 == 3, "null").when(F.col("turn") % 4 == 1, "0").otherwise(F.concat(at.cast("string"), F.lit(".25")))
+    hidden = F.when(F.col("turn") % 7 == 6, ', "metadata": {"is_visually_hidden_from_conversation": true}').otherwise("")
+    node = F.concat(F.format_string('"n%03d": {"id": "n", "message": {"id": "m%d", "author": {"role": "%s"}, "create_time": ', F.col("turn"), F.expr("turn div 2"), F.col("role")), time, F.lit(', "content": {"parts": '), parts, F.lit("}"), hidden, F.lit("}}"))
+    nodes = F.array_join(F.sort_array(F.collect_list(F.struct("turn", node.alias("node"))))["node"], ", ")
+    head = F.concat(F.lit('{"conversation_id": "'), F.format_string("%08d-c", "conv_id"), F.lit('", "title": '), F.when(F.col("conv_id") % 3 == 0, "null").otherwise(F.concat(F.lit('"Talk '), "conv_id", F.lit('"'))), F.lit(', "create_time": '), F.lit(1704067200) + F.col("conv_id") * 3600, F.lit(', "mapping": {"root": {"id": "root", "message": null}, '))
+    json = c.groupBy("conv_id").agg(nodes.alias("nodes")).select(F.lit("export.zip").alias("export"), F.concat(head, "nodes", F.lit("}}")).alias("json"))
+    return exports.tree_messages(json, "export", "json").drop("export")
 
 
 def s5_conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.agg(F.count_distinct("conv_id").alias("conversations"), F.count_if(F.col("role") == "user").alias("human"), F.count_if(F.col("role") == "assistant").alias("assistant"))
+    json, projects = _flat_export(spark, sf_dir)
+    return exports.export_stats(json, "json", projects)
 
 
 def glob_pattern(glob: str) -> str:
@@ -346,9 +348,14 @@ i AS (SELECT 'chat' || conv_id % 5 AS source, conv_id * 1000 + turn AS pos, t AS
 c AS (SELECT source, count(*) AS items, count(*) FILTER (WHERE {WORDS} < 15) AS short, CAST(sum(k) AS BIGINT) AS redactions FROM i GROUP BY source),
 d AS (SELECT *, row_number() OVER (PARTITION BY source, {NORMAL} ORDER BY pos) > 1 AS dup FROM i WHERE {WORDS} >= 15)
 SELECT source, items, short, redactions, duplicates, kept, first_pos, last_pos FROM c LEFT JOIN (SELECT source, count(*) FILTER (WHERE dup) AS duplicates, count(*) FILTER (WHERE NOT dup) AS kept, min(pos) AS first_pos, max(pos) AS last_pos FROM d GROUP BY source) USING (source)""",
-    "s1_chat_export_a": "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, text, CASE WHEN turn % 3 = 0 THEN printf('2024-01-%02d', turn % 28 + 1) ELSE '2023-12-31' END AS date FROM conversations QUALIFY role = 'user' AND trim(text) <> ''",
-    "s2_chat_export_b": "WITH r AS (SELECT conv_id, turn, 'm' || turn // 2 AS message_id, CASE WHEN turn % 4 <> 3 THEN 1704067200 + conv_id * 3600 + turn * 60 ELSE 1704067200 + conv_id * 3600 END AS s, text FROM conversations WHERE role = 'user' AND turn % 7 <> 6) SELECT conv_id, message_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%S') AS date, text FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, message_id ORDER BY turn) = 1",
-    "s5_conversation_stats": "SELECT count(DISTINCT conv_id) AS conversations, count(*) FILTER (WHERE role = 'user') AS human, count(*) FILTER (WHERE role = 'assistant') AS assistant FROM conversations",
+    "s1_chat_export_a": f"""WITH p AS (SELECT DISTINCT source FROM documents), m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, printf('%08d', conv_id) AS c8, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations)
+SELECT c8 || '-c' AS conversation, position, CASE WHEN turn % 2 = 1 THEN t WHEN t = '' THEN '(end)' ELSE t || chr(10) || chr(10) || '(end)' END AS text, CASE WHEN turn % 3 = 0 THEN printf('2024-01-%02d', turn % 28 + 1) ELSE '2023-12-31' END AS date,
+CASE WHEN conv_id % 4 = 1 THEN 'Own ' || conv_id % 5 WHEN conv_id % 2 = 0 AND 'src' || conv_id % 25 IN (SELECT source FROM p) THEN 'Project src' || conv_id % 25 END AS project,
+'export.zip#conv:"' || CASE WHEN conv_id % 3 = 0 THEN c8 ELSE 'Talk ' || conv_id END || '"(' || c8 || ')#msg:' || printf('%08d', turn) AS origin FROM m WHERE role = 'user' AND (turn % 2 = 0 OR t <> '')""",
+    "s2_chat_export_b": """WITH r AS (SELECT conv_id, turn, 'm' || turn // 2 AS message, 1704067200 + conv_id * 3600 AS started, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t, printf('%08d', conv_id) AS c8 FROM conversations WHERE role = 'user' AND turn % 7 <> 6 QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY turn) = 1)
+SELECT c8 || '-c' AS conversation, message, CASE WHEN turn % 4 <> 0 THEN t WHEN t = '' THEN '(end)' ELSE t || chr(10) || chr(10) || '(end)' END AS text, CASE WHEN turn % 2 = 1 THEN strftime(make_timestamp(started * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') ELSE strftime(make_timestamp((started + turn * 60) * 1000000 + 250000), '%Y-%m-%dT%H:%M:%S.250Z') END AS date,
+'export.zip#conv:"' || CASE WHEN conv_id % 3 = 0 THEN c8 ELSE 'Talk ' || conv_id END || '"(' || c8 || ')#msg:' || message AS origin FROM r WHERE turn % 4 = 0 OR t <> ''""",
+    "s5_conversation_stats": "SELECT count(DISTINCT conv_id) AS conversations, CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS human, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS assistant, (SELECT count(DISTINCT source) FROM documents) AS projects FROM conversations",
     "s8_work_manifest": f"WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents), e AS (SELECT *, CASE " + " ".join(f"WHEN regexp_full_match(path, '{glob_pattern(g)[2:-2]}') THEN {i}" for i, (g, _, _) in enumerate(MANIFEST)) + f" END AS e FROM p) SELECT doc_id, path, {[m[1] for m in MANIFEST]}[e + 1] AS label, {[m[2] for m in MANIFEST]}[e + 1] AS sensitivity FROM e",
     "s9_extensions": f"""WITH p AS (SELECT doc_id, {_PATH} AS path, CASE WHEN doc_id % 9 = 0 THEN ' ' ELSE text END AS text FROM documents), h AS (SELECT *, '<html><head>x</head><body><p>' || text || '</p></body></html>' AS html FROM p), t AS (SELECT *, {HTML} AS t FROM h),
 b AS (SELECT doc_id, path, CASE doc_id % 8 WHEN 2 THEN {HTML_TEXT} WHEN 3 THEN trim(replace(text, chr(10), ' ')) WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE trim(text) END AS body FROM t)

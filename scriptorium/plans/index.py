@@ -104,7 +104,7 @@ def r3_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
         found.append(sim.top_k(rows, queries, "vec_id", "embedding", k).withColumn("of", F.lit(name)))
     best = found[0].unionByName(found[1]).unionByName(found[2])
     logged = asked.join(best, (F.col("conv_id") == F.col("query_id")) & (F.col("store") == F.col("of")), "left")
-    return logged.groupBy("conv_id", "turn", "intent", "store").agg(F.count("id").alias("n"), F.round(F.min("distance"), 6).alias("best"), F.sum("id").alias("ids"))
+    return logged.groupBy("conv_id", "turn", "intent", "store").agg(F.count("id").alias("n"), F.round(F.min("distance"), 6).alias("best"), F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("ids"))  # four ids at most
 
 
 def r4_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ z AS (SELECT c.sensitivity AS sensitivity, leader, count(*) AS members, count(DI
     "r3_routing": f"""WITH {_S}, c AS (SELECT conv_id, turn, {_INTENT} AS intent, turn % 5 = 4 OR {found('trim(text)', *rules.PAST_FRAMED)} AS past FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, intent, CASE intent WHEN 'explicit_recall' THEN 'chunks' WHEN 'knowledge' THEN CASE WHEN past THEN 'all times' ELSE 'now' END END AS store FROM c),
 d AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.status AS status, list_cosine_distance(q.e, c.e) AS distance FROM s q JOIN s c ON q.vec_id <> c.vec_id WHERE q.vec_id IN (SELECT conv_id FROM a)),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, store ORDER BY round(distance, 9), id) AS rank FROM (SELECT *, 'chunks' AS store FROM d UNION ALL SELECT *, 'now' FROM d WHERE status = 'active' UNION ALL SELECT *, 'all times' FROM d WHERE status IN ('active', 'historical')))
-SELECT conv_id, turn, intent, a.store AS store, count(id) AS n, round(min(distance), 6) AS best, CAST(sum(id) AS BIGINT) AS ids FROM a LEFT JOIN b ON query_id = conv_id AND b.store = a.store AND rank <= CASE a.store WHEN 'chunks' THEN 3 ELSE 4 END GROUP BY ALL""",
+SELECT conv_id, turn, intent, a.store AS store, count(id) AS n, round(min(distance), 6) AS best, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids FROM a LEFT JOIN b ON query_id = conv_id AND b.store = a.store AND rank <= CASE a.store WHEN 'chunks' THEN 3 ELSE 4 END GROUP BY ALL""",
     "r4_ranked": f"WITH {_S}, k AS (SELECT vec_id, CASE WHEN type = 'decision_heuristic' THEN 'heuristic' ELSE 'value' END AS kind, CASE label % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END + CASE WHEN type = 'insight' THEN 2 ELSE 0 END AS score FROM s WHERE status = 'active' AND type IN ('belief', 'preference', 'insight', 'decision_heuristic')) SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, vec_id) <= 8",
     "r6_even_sample": "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, count(*) OVER () AS n FROM documents) SELECT doc_id FROM r WHERE n <= 240 OR i IN (SELECT k * (SELECT max(n) FROM r) // 240 FROM range(240) t(k))",
     "m2_clamped": f"WITH {_CASES} SELECT * FROM cases",

@@ -137,10 +137,16 @@ def t15_self_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.self_distance(docs, ["source"], "doc_id", "text").withColumn("delta", F.round("delta", 4))
 
 
+#: Fillers that are spoken in one of so many turns, by the author and by the assistant.
+_SPOKEN = [("um", 2, 2), ("you know", 2, 6), ("like", 4, 4), ("i mean", 3, 3), ("kind of", 6, 2), ("so", 3, 5), ("well", 2, 2)]
+
+
 def t16_marker_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The author's first six fillers of at least one in a thousand words, and whether the assistant
-    uses each within 30 in 100."""
-    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')")
+    uses each within 30 in 100. Turns are given fillers as in speech: of the author by conversation, of
+    the assistant more of some and fewer of others."""
+    spoken = F.concat_ws(" ", "text", *[F.when((F.col("conv_id") + F.col("turn")) % F.when(F.col("role") == "user", mine).otherwise(theirs) == 0, term) for term, mine, theirs in _SPOKEN])
+    c = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')").withColumn("text", spoken)
     rates = materialise(st.term_rates(c, ["role"], "text", st.FILLERS), "rates")
     place = F.array_position(F.array(*map(F.lit, st.FILLERS)), F.col("term"))
     target = rates.where("role = 'user' and per_1k >= 1").orderBy(place).limit(6).select("term", F.col("per_1k").alias("target"))
@@ -236,6 +242,7 @@ def _listed(name: str, terms: list[str], most: int) -> str:
     return f"""l_{name} AS (SELECT source, mode, string_agg(term || ':' || per_1k, ',' ORDER BY i) AS {name} FROM (SELECT *, list_position({_list(terms)}, term) AS i FROM rates WHERE list_contains({_list(terms)}, term) QUALIFY row_number() OVER (PARTITION BY source, mode ORDER BY i) <= {most}) GROUP BY ALL)"""
 
 
+_SPOKEN_SQL = "".join(f", CASE WHEN (conv_id + turn) % (CASE WHEN role = 'user' THEN {mine} ELSE {theirs} END) = 0 THEN '{term}' END" for term, mine, theirs in _SPOKEN)
 QUERIES = {f.__name__: f for f in (t1_text_analysis, t1_sentence_histogram, t2_gram_counts, t3_distinctive, t4_chat_profile, t4_top_phrases, t5_time_sample, t6_term_rates, t7_markers, t8_sentence_spread, t9_openers, t10_punctuation, t11_fingerprint, t12_word_profile, t13_profile_spread, t14_delta, t15_self_distance, t16_marker_calibration, l6_copy_rate, t17_arms)}
 ORACLE = {
     "t1_text_analysis": f"SELECT source, {_ANALYSIS} FROM documents GROUP BY source",
@@ -266,7 +273,7 @@ FROM a JOIN sp USING (source, mode) JOIN p USING (source, mode) LEFT JOIN l USIN
 SELECT source, round(avg(abs((a.per_1k - b.per_1k) / sd)), 4) AS delta FROM profa a JOIN profb b USING (source, word) JOIN spread USING (source, word) GROUP BY source""",
     "t15_self_distance": f"""WITH long AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) % 2 AS half FROM documents WHERE len({TOK}) > 60), {_profile('source, doc_id', 'long', 'd')}, {_SPREAD}, {_profile('source, half', 'long', 'h')}
 SELECT a.source AS source, round(avg(abs((a.per_1k - b.per_1k) / sd)), 4) AS delta FROM profh a JOIN profh b ON a.source = b.source AND a.word = b.word AND a.half = 0 AND b.half = 1 JOIN spread s ON s.source = a.source AND s.word = a.word GROUP BY a.source""",
-    "t16_marker_calibration": f"""WITH {_rates('role', st.FILLERS, 'conversations')}, t AS (SELECT term, per_1k AS target FROM rates WHERE role = 'user' AND per_1k >= 1 ORDER BY list_position({_list(st.FILLERS)}, term) LIMIT 6),
+    "t16_marker_calibration": f"""WITH spoken AS (SELECT role, concat_ws(' ', text{_SPOKEN_SQL}) AS text FROM conversations WHERE role IN ('user', 'assistant')), {_rates('role', st.FILLERS, 'spoken')}, t AS (SELECT term, per_1k AS target FROM rates WHERE role = 'user' AND per_1k >= 1 ORDER BY list_position({_list(st.FILLERS)}, term) LIMIT 6),
 m AS (SELECT t.term, target, coalesce(per_1k, 0.0) AS made FROM t LEFT JOIN rates r ON r.term = t.term AND r.role = 'assistant') SELECT *, made BETWEEN 0.7 * target AND 1.3 * target AS within FROM m""",
     "l6_copy_rate": f"WITH {_COPIES} SELECT * FROM rate",
     "t17_arms": f"""WITH {_COPIES}, own AS (SELECT 'own' AS who, conv_id * 1000 + turn AS id, text, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) % 2 AS half FROM conversations WHERE role = 'user'), {_profile('who, id', 'own', 'd')}, {_profile('half', 'own', 'h')}, {_profile('who', 'own', 'o')}, {_profile('arm', 're', 'a')},

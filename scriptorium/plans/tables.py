@@ -42,6 +42,33 @@ def k6_session_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(size)).select("session_id", "questions", "answered", "skipped", "minutes")
 
 
+def k6_export_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export's entries: a row for each question of the questionnaire and session, answered or not. Answered: there
+    is a response that was not skipped, with a recording or a point on the scale."""
+    r = responses(spark, sf_dir).withColumn("audio_sec", F.when(F.col("question_id") % 3 != 0, F.col("audio_sec"))).withColumn("likert", F.when(F.col("question_id") % 3 == 0, F.nullif("likert", F.lit(0))))
+    sheet = questions(spark, sf_dir).agg(F.collect_list(F.struct("question_id", "module", "sealed")).alias("sheet"))  # one questionnaire
+    entries = r.select("session_id").distinct().join(F.broadcast(sheet)).select("session_id", F.inline("sheet"))
+    j = entries.join(r, ["session_id", "question_id"], "left")
+    answered = F.coalesce(~F.col("skipped") & (F.col("audio_sec").isNotNull() | F.col("likert").isNotNull()), F.lit(False))
+    return j.select("session_id", "question_id", "module", "sealed", answered.alias("answered"), F.coalesce("skipped", F.lit(False)).alias("skipped"), "audio_sec", "likert", F.col("ts").alias("answered_at"))
+
+
+def k7_import_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of an export by session: matched to questions by the identity form of the prompt, others to new, inactive
+    questions. Sealed is what either side says is sealed; minutes are credited for answers whose recording came along.
+    Entries without an answer and a transcript are passed over."""
+    e = k6_export_entries(spark, sf_dir)
+    q = questions(spark, sf_dir)
+    prompts = q.select("question_id", F.concat(F.lit("  "), F.regexp_replace("prompt", " ", "  ")).alias("prompt"))
+    came = e.join(prompts, "question_id").where(F.col("answered") | (F.col("question_id") % 11 == 0))
+    own = q.where("question_id % 3 <> 1").select(normalize(F.col("prompt")).alias("k"), F.col("question_id").alias("known"), (F.col("question_id") % 4 == 1).alias("own_sealed"))
+    j = came.withColumn("k", normalize(F.col("prompt"))).join(own, "k", "left")
+    sealed = F.col("sealed") | F.coalesce("own_sealed", F.lit(False))
+    recorded = F.col("audio_sec").isNotNull() & (F.col("question_id") % 5 != 2)  # the file is in the export
+    to_ingest = ~sealed & F.col("audio_sec").isNotNull()
+    return j.groupBy("session_id").agg(F.count("*").alias("imported"), F.count_if(F.col("known").isNull()).alias("new_questions"), F.count_if(sealed).alias("sealed"), F.count_if(to_ingest).alias("to_ingest"), _minutes(recorded).alias("minutes"))
+
+
 def k7_import_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imported prompts matched by identity form; unknown ones get new numbers and are inactive."""
     q = questions(spark, sf_dir)
@@ -116,6 +143,15 @@ def m10_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(theme.alias("theme")).agg(F.count("*").alias("cases"), F.min("event_id").alias("first"))
 
 
+def m10_card_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every open card: its theme, its place there by age, and its question if it has one."""
+    e = table(spark, sf_dir, "events").where("event_type in ('click', 'view')")
+    theme = F.coalesce(F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("theme"), F.col("user_id") % 6)), F.lit("general"))
+    placed_ = scans.scanned(e.withColumn("theme", theme), "theme", [F.col("ts"), F.col("event_id")])
+    asked = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Which of "), "event_id", F.lit(" holds?")))
+    return placed_.select("theme", "event_id", F.col("n").alias("place"), asked.alias("question"))
+
+
 def m11_due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Due when 40 statements or 15 corrections came since the last run and no core case is open."""
     e = table(spark, sf_dir, "events")
@@ -185,8 +221,11 @@ def a4_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a5_subject_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origins, chunks, minutes (at 900 characters a minute, as everywhere) and pending jobs of each subject."""
     d = table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.count_distinct(F.col("doc_id") % 50).alias("origins"), F.count("*").alias("chunks"), F.round(F.sum("n_chars") / 60000, 1).alias("minutes"))
+    jobs = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy(F.concat(F.lit("src"), F.col("user_id") % 20).alias("source")).agg(F.count("*").alias("pending"))
+    s = d.groupBy("source").agg(F.count_distinct(F.col("doc_id") % 50).alias("origins"), F.count("*").alias("chunks"), F.round(F.sum("n_chars") / 900, 1).alias("minutes"))
+    return s.join(jobs, "source", "left").withColumn("pending", F.coalesce("pending", F.lit(0).cast("long")))
 
 
 def a6_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,9 +236,15 @@ def a6_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a7_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    c = e.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("pending"))
-    return c.withColumn("phase", F.when(F.col("pending") > 40, "blocked").when(F.col("events") < 100, "collecting").otherwise("ready"))
+    """Phase and queues of each subject: interviewing without statements (views), synthesizing without a fingerprint (a
+    purchase) or a pack (a signup), and else active + improving; open cases, approvals, live notes and jobs."""
+    e = table(spark, sf_dir, "events").where("user_id % 13 <> 0 or event_type not in ('view', 'signup')")
+    n = F.count_if
+    kind = lambda name: F.col("event_type") == name
+    c = e.groupBy("user_id").agg(n(kind("view")).alias("statements"), F.bool_or(kind("purchase")).alias("fingerprint"), n(kind("signup")).alias("pack_version"), n(kind("error") & (F.col("event_id") % 5 != 0)).alias("clarifications"), n(kind("click") & (F.col("event_id") % 3 == 0)).alias("approvals"), n(kind("error") & (F.col("event_id") % 5 == 0)).alias("queued"))
+    phase = F.when(F.col("statements") == 0, "interviewing").when(~F.col("fingerprint") | (F.col("pack_version") == 0), "synthesizing").otherwise("active + improving")
+    live = m5_live_notes(spark, sf_dir).where("active").join(e.select("event_id", "user_id"), "event_id").groupBy("user_id").agg(F.count("*").alias("notes"))
+    return c.join(live, "user_id", "left").select("user_id", phase.alias("phase"), "statements", "pack_version", "clarifications", "approvals", F.coalesce("notes", F.lit(0).cast("long")).alias("notes"), "queued")
 
 
 def a8_build_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,6 +342,7 @@ def w8_hourly_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
+_R6 = _R.replace("value AS audio_sec", "CASE WHEN event_id % 40 % 3 <> 0 THEN value END AS audio_sec, CASE WHEN event_id % 40 % 3 = 0 THEN nullif(event_id % 7, 0) END AS likert")
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, item_id % 7 <> 0 AS active, text AS prompt FROM benchmark)"
 _SIL = "z AS (SELECT user_id AS recording, event_id AS line, round((epoch_us(ts) % 3600000000) / 1e6, 3) AS start, round((epoch_us(ts) % 3600000000) / 1e6 + value % 3, 3) AS \"end\" FROM events)"
 _SPANS = """spans AS (SELECT recording, cursor AS start, start AS "end" FROM (
@@ -313,9 +359,13 @@ l{n} AS (SELECT recording, f AS start, t AS "end" FROM g{n} WHERE t > f + 0.05 U
 
 _CLEAN = f"NOT ({found('trim(text)', rules.FIRST_PERSON)} OR {found('trim(text)', rules.SECOND_PERSON)} OR {found('trim(text)', rules.FILLER)} OR {found('trim(text)', '[!?]$')} OR {WORDS} > 60)"
 
-QUERIES = {f.__name__: f for f in (k6_session_export, k7_import_by_prompt, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m11_due, m15_one_each, m16_previous_turn, m16_oldest_case, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
+QUERIES = {f.__name__: f for f in (k6_session_export, k6_export_entries, k7_import_by_prompt, k7_import_answers, k8_response_upsert, k11_late_results, m1_reply_chain, m4_correction_routes, m5_live_notes, m10_cards, m10_card_list, m11_due, m15_one_each, m16_previous_turn, m16_oldest_case, m18_approvals, a1_coverage, a2_next_question, a3_progress, a4_sessions, a5_subject_stats, a6_domains, a7_status, a8_build_gates, a9_blinding, a10_pick_tally, a11_agreement, v1_silence_log, v2_speech_spans, v3_refined, v4_clips, w3_retention, w5_running_style, w6_replays, w1_capture, w2_session_memory, w4_cadence, w8_hourly_intents)}
 ORACLE = {
     "k6_session_export": f"WITH {_R}, {_Q}, e AS (SELECT DISTINCT session_id, q.question_id FROM r, q) SELECT e.session_id AS session_id, count(*) AS questions, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM e LEFT JOIN r USING (session_id, question_id) GROUP BY 1",
+    "k6_export_entries": f"WITH {_R6}, {_Q} SELECT s.session_id AS session_id, q.question_id AS question_id, module, sealed, coalesce(NOT skipped AND (audio_sec IS NOT NULL OR likert IS NOT NULL), false) AS answered, coalesce(skipped, false) AS skipped, audio_sec, likert, ts AS answered_at FROM (SELECT DISTINCT session_id FROM r) s CROSS JOIN q LEFT JOIN r ON r.session_id = s.session_id AND r.question_id = q.question_id",
+    "k7_import_answers": f"""WITH {_R6}, {_Q}, e AS (SELECT s.session_id AS session_id, q.question_id AS question_id, sealed, prompt, coalesce(NOT skipped AND (audio_sec IS NOT NULL OR likert IS NOT NULL), false) AS answered, audio_sec FROM (SELECT DISTINCT session_id FROM r) s CROSS JOIN q LEFT JOIN r ON r.session_id = s.session_id AND r.question_id = q.question_id),
+o AS (SELECT {NORMAL.replace('text', 'prompt')} AS k, question_id AS known, question_id % 4 = 1 AS own FROM q WHERE question_id % 3 <> 1), j AS (SELECT e.*, known, sealed OR coalesce(own, false) AS shut FROM e LEFT JOIN o ON o.k = {NORMAL.replace('text', 'prompt')} WHERE answered OR question_id % 11 = 0)
+SELECT session_id, count(*) AS imported, count(*) FILTER (WHERE known IS NULL) AS new_questions, count(*) FILTER (WHERE shut) AS sealed, count(*) FILTER (WHERE NOT shut AND audio_sec IS NOT NULL) AS to_ingest, (coalesce(CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE audio_sec IS NOT NULL AND question_id % 5 <> 2) AS BIGINT), 0) * 10 + 3000) // 6000 / 10.0 AS minutes FROM j GROUP BY 1""",
     "k7_import_by_prompt": f"WITH {_Q}, n AS (SELECT question_id, {NORMAL.replace('text', 'prompt')} AS k, active FROM q), j AS (SELECT a.question_id AS import_id, b.question_id AS known, b.active FROM n a LEFT JOIN n b ON a.k = b.k AND b.question_id % 3 <> 0) SELECT import_id, coalesce(known, (SELECT max(question_id) FROM n WHERE question_id % 3 <> 0) + row_number() OVER (PARTITION BY known IS NULL ORDER BY import_id)) AS question_id, coalesce(active, false) AS active FROM j",
     "k8_response_upsert": "SELECT user_id AS session_id, event_id % 40 AS question_id, arg_max(event_id % 7, (ts, event_id)) FILTER (WHERE event_type = 'click') AS likert, arg_max(value, (ts, event_id)) FILTER (WHERE event_type = 'view') AS audio_sec FROM events WHERE event_type <> 'click' OR event_id % 7 BETWEEN 1 AND 5 GROUP BY 1, 2",
     "k11_late_results": "SELECT CASE WHEN event_type = 'view' AND event_id % 9 <> 0 AND event_id % 5 = event_id % 4 THEN 'applied' ELSE 'discarded' END AS outcome, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1",
@@ -326,6 +376,7 @@ SELECT kind, CASE kind WHEN 'style' THEN CASE WHEN original IS NULL THEN 'no_ori
 CAST(sum(length(substr(coalesce(trig, original, text), 1, 2000))) AS BIGINT) AS trigger_chars, CAST(sum(length(substr(coalesce(original, ''), 1, 2000))) AS BIGINT) AS rejected_chars FROM f GROUP BY 1, 2""",
     "m5_live_notes": "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AND NOT (event_type = 'error' AND event_id % 4 <> 0) AND NOT (event_id % 4 = 0 AND event_id % 997 IN (SELECT event_id % 997 FROM events WHERE event_type = 'signup')) AS active FROM events",
     "m10_cards": "SELECT CASE WHEN event_id % 3 <> 0 THEN 'theme' || user_id % 6 ELSE 'general' END AS theme, count(*) AS cases, min(event_id) AS first FROM events WHERE event_type IN ('click', 'view') GROUP BY 1",
+    "m10_card_list": "WITH t AS (SELECT *, CASE WHEN event_id % 3 <> 0 THEN 'theme' || user_id % 6 ELSE 'general' END AS theme FROM events WHERE event_type IN ('click', 'view')) SELECT theme, event_id, row_number() OVER (PARTITION BY theme ORDER BY ts, event_id) AS place, CASE WHEN event_id % 2 = 0 THEN 'Which of ' || event_id || ' holds?' END AS question FROM t",
     "m11_due": "WITH l AS (SELECT user_id, max(ts) AS run_at FROM events WHERE event_type = 'signup' GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS statements, count(*) FILTER (WHERE event_type = 'click') AS corrections, bool_or(event_type = 'error' AND event_id % 5 = 0) AS blocked FROM events LEFT JOIN l USING (user_id) WHERE run_at IS NULL OR ts > run_at GROUP BY 1) SELECT *, (statements >= 40 OR corrections >= 15) AND NOT blocked AS due FROM c",
     "m15_one_each": "WITH e AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT user_id, bool_or(event_type = 'purchase') AS clarified, bool_or(event_type = 'signup') AS invited FROM e GROUP BY 1",
     "m16_previous_turn": "WITH e AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS persona FROM events) SELECT event_id, persona FROM e WHERE event_type = 'click'",
@@ -335,9 +386,11 @@ CAST(sum(length(substr(coalesce(trig, original, text), 1, 2000))) AS BIGINT) AS
     "a2_next_question": f"WITH {_R}, {_Q} SELECT session_id, q.question_id AS question_id FROM (SELECT DISTINCT session_id FROM r) x, q WHERE active AND NOT EXISTS (SELECT 1 FROM r WHERE r.session_id = x.session_id AND r.question_id = q.question_id AND NOT skipped) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sealed, q.question_id) = 1",
     "a3_progress": f"WITH {_R} SELECT session_id, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) AS total, (CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE NOT skipped) AS BIGINT) * 10 + 3000) // 6000 / 10.0 AS minutes FROM r GROUP BY 1",
     "a4_sessions": f"WITH {_R} SELECT session_id, count(*) FILTER (WHERE NOT skipped) AS answered, count(*) FILTER (WHERE skipped) AS skipped, max(ts) AS latest FROM r GROUP BY 1",
-    "a5_subject_stats": "SELECT source, count(DISTINCT doc_id % 50) AS origins, count(*) AS chunks, round(sum(n_chars) / 60000, 1) AS minutes FROM documents GROUP BY 1",
+    "a5_subject_stats": "WITH j AS (SELECT 'src' || user_id % 20 AS source, count(*) AS pending FROM events WHERE event_type = 'error' GROUP BY 1), d AS (SELECT source, count(DISTINCT doc_id % 50) AS origins, count(*) AS chunks, round(sum(n_chars) / 900, 1) AS minutes FROM documents GROUP BY 1) SELECT source, origins, chunks, minutes, coalesce(pending, 0) AS pending FROM d LEFT JOIN j USING (source)",
     "a6_domains": "SELECT lang AS domain FROM documents UNION SELECT event_type FROM events UNION SELECT role FROM conversations UNION SELECT 'general'",
-    "a7_status": "WITH c AS (SELECT user_id, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS pending FROM events GROUP BY 1) SELECT *, CASE WHEN pending > 40 THEN 'blocked' WHEN events < 100 THEN 'collecting' ELSE 'ready' END AS phase FROM c",
+    "a7_status": """WITH e AS (SELECT * FROM events WHERE user_id % 13 <> 0 OR event_type NOT IN ('view', 'signup')), n AS (SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 AND NOT (event_type = 'error' AND event_id % 4 <> 0) AND NOT (event_id % 4 = 0 AND event_id % 997 IN (SELECT event_id % 997 FROM events WHERE event_type = 'signup'))),
+l AS (SELECT user_id, count(*) AS notes FROM n WHERE event_id IN (SELECT event_id FROM e) GROUP BY 1), c AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') AS statements, bool_or(event_type = 'purchase') AS fp, count(*) FILTER (WHERE event_type = 'signup') AS pack_version, count(*) FILTER (WHERE event_type = 'error' AND event_id % 5 <> 0) AS clarifications, count(*) FILTER (WHERE event_type = 'click' AND event_id % 3 = 0) AS approvals, count(*) FILTER (WHERE event_type = 'error' AND event_id % 5 = 0) AS queued FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN statements = 0 THEN 'interviewing' WHEN NOT fp OR pack_version = 0 THEN 'synthesizing' ELSE 'active + improving' END AS phase, statements, pack_version, clarifications, approvals, coalesce(notes, 0) AS notes, queued FROM c LEFT JOIN l USING (user_id)""",
     "a8_build_gates": f"WITH {_Q}, d AS (SELECT *, {NORMAL} IN (SELECT {NORMAL.replace('text', 'prompt')} FROM q WHERE sealed) AS leak FROM documents), s AS (SELECT source, round(sum(n_chars) / 900, 1) AS minutes, count(*) AS statements, bool_or(leak) AS leak, bool_or(trim(text) <> '') AS fp, least(12, count(*) FILTER (WHERE doc_id % 11 <= 4)) AS exemplars FROM d GROUP BY 1) SELECT source, minutes, statements, exemplars, CASE WHEN minutes < 30 THEN 'too little voice' WHEN statements < 50 THEN 'too few statements' WHEN leak THEN 'sealed text' WHEN NOT fp THEN 'no fingerprint' WHEN exemplars < 8 THEN 'too few exemplars' ELSE 'ok' END AS gate FROM s",
     "a9_blinding": "SELECT item_id, CAST('0x' || substr(sha256('seed:' || item_id), 1, 2) AS INT) % 2 = 0 AS first_is_a FROM benchmark",
     "a10_pick_tally": "SELECT user_id % 7 AS listener, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error' AND (event_type = 'click') = (event_id % 2 = 0)) AS local, count(*) FILTER (WHERE event_type = 'error') AS cannot_tell FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY ROLLUP (user_id % 7)",

@@ -103,11 +103,16 @@ def l4_gram_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l8_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correction and meta turns whose text is in a store: in a document or in another turn."""
-    c = table(spark, sf_dir, "conversations").select("role", "text", F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("id"), "turn")
+    """Correction and meta turns whose text is in a store: in a document, in another turn or in a statement. Every third user
+    turn is made a correction, and statements of every fifth conversation quote its turns, as a leak would."""
+    c = table(spark, sf_dir, "conversations")
+    corrected = (F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    c = c.select("conv_id", "role", F.when(corrected, F.concat(F.lit("No, that's wrong. "), "text")).otherwise(F.col("text")).alias("text"), F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("id"), "turn")
     of = rules.event_intent(F.col("text"), F.lit("text"), F.lit(0.0), F.col("turn") > 0, F.lit(None).cast("string"))
     notes = c.where("role = 'user'").withColumn("intent", of["intent"]).where("intent in ('correction', 'meta')")
-    stores = c.join(notes.select("id"), "id", "left_anti").select("id", "text").unionByName(table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text"))
+    quoted = c.where("role = 'user' and conv_id % 5 = 0").select(F.concat_ws(":", F.lit("statement"), "conv_id", "turn").alias("id"), F.concat(F.lit("They said:  "), F.upper("text"), F.lit(" (noted)")).alias("text"))
+    documents = table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text")
+    stores = c.join(notes.select("id"), "id", "left_anti").select("id", "text").unionByName(documents).unionByName(quoted)
     return holdout.sealed_matches(stores, "id", "text", notes, "id", "text").select(F.col("id").alias("store_id"), F.col("sid").alias("turn_id"))
 
 
@@ -119,15 +124,28 @@ def p9_own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("source", mode.alias("mode"), "n_chars").where("mode is not null").groupBy("source", "mode").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-def p19_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements of model answers: stored or rejected, by the first check that fails."""
+def _judged_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of model answers with the first check that they fail; a strength that is none is dropped."""
     c = table(spark, sf_dir, "conversations")
-    answer = F.to_json(F.struct(F.array(F.struct((F.col("conv_id") % 120).alias("source_id"), F.col("text"), F.get(F.array(*map(F.lit, ["fact", "belief", "odd", "insight"])), (F.col("turn") % 4).cast("int")).alias("type"), F.when(F.col("turn") % 3 == 0, "strong").alias("strength"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("topics"))).alias("statements")))
+    answer = F.to_json(F.struct(F.array(F.struct((F.col("conv_id") % 120).alias("source_id"), F.col("text"), F.get(F.array(*map(F.lit, ["fact", "belief", "odd", "insight"])), (F.col("turn") % 4).cast("int")).alias("type"), F.get(F.array(*map(F.lit, ["strong", "weak", "very", "moderate"])), (F.col("conv_id") % 5).cast("int")).alias("strength"), F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")).alias("topics"))).alias("statements")))
     parsed = c.select("conv_id", "turn", F.from_json(answer, "struct<statements:array<struct<source_id:bigint,text:string,type:string,strength:string,topics:array<string>>>>").alias("a")).select("conv_id", "turn", F.explode("a.statements").alias("s"))
     known = table(spark, sf_dir, "documents").where("lang <> 'es'").select(F.col("doc_id").alias("source_id"), F.lit(True).alias("known"))
     j = parsed.select("conv_id", "turn", "s.*").join(known, "source_id", "left")
     verdict = F.when(F.col("known").isNull(), "unknown source").when(F.trim("text") == "", "empty").when(~F.col("type").isin("fact", "belief", "preference", "insight", "decision_heuristic", "experience"), "bad type").when(F.size(rules.lint_reasons(F.col("text"))) > 0, "lint").otherwise("stored")
-    return j.select("conv_id", "turn", verdict.alias("verdict"), F.array_join(F.transform(F.slice("topics", 1, 3), F.lower), ",").alias("topics"))
+    strength = F.when(F.col("strength").isin("strong", "moderate", "weak"), F.col("strength"))
+    return j.select("conv_id", "turn", verdict.alias("verdict"), strength.alias("strength"), F.array_join(F.transform(F.slice("topics", 1, 3), F.lower), ",").alias("topics"))
+
+
+def p19_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of model answers: stored or rejected, by the first check that fails."""
+    return _judged_statements(spark, sf_dir)
+
+
+def p19_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run stored and rejected, by reason, and the strengths of what it stored."""
+    v = _judged_statements(spark, sf_dir)
+    strength = F.when(F.col("verdict") == "stored", F.coalesce("strength", F.lit("none")))
+    return v.groupBy("verdict", strength.alias("strength")).agg(F.count("*").alias("n"))
 
 
 def p21_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,17 +196,21 @@ def v5_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dataset a session: clips kept, the last tenth of them (three at least) held back, and whether it is
-    built: not without consent, and not under twenty minutes (here: seconds)."""
-    j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id")
-    kept = j.where(~F.col("sealed") & ~F.col("skipped") & (F.col("event_id") % 3 != 0) & (F.col("audio_sec") >= 3))
-    own = Window.partitionBy("session_id")  # a questionnaire at most
-    ranked = kept.select("session_id", "audio_sec", F.row_number().over(own.orderBy(F.desc("question_id"))).alias("r"), F.count("*").over(own).alias("n"))
-    held = F.count_if(F.col("r") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.1)))
-    cents = F.sum(F.round(F.col("audio_sec") * 100).cast("long"))
-    s = ranked.groupBy("session_id").agg(F.count("*").alias("clips"), held.alias("held_back"), cents.alias("audio_cents"))
-    status = F.when(F.col("session_id") % 7 == 0, "no consent").when(F.col("audio_cents") < 2000, "too short").otherwise("built")
-    return s.select("session_id", "clips", "held_back", "audio_cents", status.alias("status"))
+    """A dataset a session: clips kept, the last tenth of them (three at least) held back, drops by reason, and whether it is
+    built: not without consent, and not under twenty minutes. Transcripts that nobody reviewed stay out unless
+    the session overrides that (every fifth does). Recordings are half a minute for each second of the events."""
+    j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id").withColumn("audio_sec", 30 * F.col("audio_sec"))
+    reviewed = (F.col("event_id") % 3 != 0) | (F.col("session_id") % 5 == 0)
+    outcome = F.when(F.col("sealed"), "sealed").when(F.col("skipped"), "skipped").when(~reviewed, "not reviewed").when(F.col("audio_sec") < 3, "too short").otherwise("kept")
+    own = Window.partitionBy("session_id", "outcome")  # a questionnaire at most
+    ranked = j.withColumn("outcome", outcome).select("session_id", "outcome", "audio_sec", F.row_number().over(own.orderBy(F.desc("question_id"))).alias("r"), F.count("*").over(own).alias("n"))
+    kept = F.col("outcome") == "kept"
+    held = F.count_if(kept & (F.col("r") <= F.greatest(F.lit(3), F.floor(F.col("n") * 0.1))))
+    cents = F.coalesce(F.sum(F.when(kept, F.round(F.col("audio_sec") * 100).cast("long"))), F.lit(0).cast("long"))
+    dropped = [F.count_if(F.col("outcome") == name).alias(name.replace(" ", "_")) for name in ("not reviewed", "too short")]
+    s = ranked.groupBy("session_id").agg(F.count_if(kept).alias("clips"), held.alias("held_back"), cents.alias("audio_cents"), *dropped)
+    status = F.when(F.col("session_id") % 7 == 0, "no consent").when(F.col("audio_cents") < 20 * 60 * 100, "too short").otherwise("built")
+    return s.withColumn("status", status)
 
 
 def u5_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +251,7 @@ def w7_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), F.when(k.isNull(), "corrupt").otherwise("ok").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, v5_selection, u5_chunk_table, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
+QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p19_counts, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, v5_selection, u5_chunk_table, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, text AS prompt FROM benchmark)"
 _CENTS = "CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) AS audio_cents"
@@ -245,9 +267,10 @@ ORACLE = {
     "c5_batches": """WITH RECURSIVE d AS (SELECT source, doc_id, least(coalesce(length(text), 0), 4000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS (SELECT source, doc_id, i, 1 AS n, size AS total, 0 AS batch FROM d WHERE i = 1
 UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN 1 ELSE r.n + 1 END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN size ELSE r.total + size END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN r.batch + 1 ELSE r.batch END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1) SELECT source, doc_id, batch FROM r""",
     "l4_gram_set": f"WITH t AS (SELECT {TOK_LIST} AS w FROM benchmark) SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM t",
-    "l8_firewall": f"WITH c AS (SELECT 'turn:' || conv_id || ':' || turn AS id, role, turn, text, trim(text) AS t FROM conversations), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
+    "l8_firewall": f"WITH c AS (SELECT conv_id, 'turn:' || conv_id || ':' || turn AS id, 'statement:' || conv_id || ':' || turn AS sid, role, turn, text, trim(text) AS t FROM (SELECT * REPLACE (CASE WHEN role = 'user' AND (conv_id + turn) % 3 = 0 THEN 'No, that''s wrong. ' || text ELSE text END AS text) FROM conversations)), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents UNION ALL SELECT sid, {NORMAL.replace('text', "('They said:  ' || upper(text) || ' (noted)')")} FROM c WHERE role = 'user' AND conv_id % 5 = 0), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
     "p9_own_text": "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'spoken' ELSE 'written' END AS mode, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1, 2",
-    "p19_validated": f"SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, 'a,b,c' AS topics FROM conversations",
+    "p19_validated": f"SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, CASE conv_id % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' WHEN 3 THEN 'moderate' END AS strength, 'a,b,c' AS topics FROM conversations",
+    "p19_counts": f"WITH v AS (SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, CASE conv_id % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' WHEN 3 THEN 'moderate' END AS strength, 'a,b,c' AS topics FROM conversations) SELECT verdict, CASE WHEN verdict = 'stored' THEN coalesce(strength, 'none') END AS strength, count(*) AS n FROM v GROUP BY 1, 2",
     "r5_exemplars": """WITH RECURSIVE d AS (SELECT lang AS subject, doc_id, source AS topic, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS step, row_number() OVER (PARTITION BY lang ORDER BY n_chars % 11 DESC, doc_id) AS pos FROM documents WHERE doc_id % 11 <= 4),
 s AS (SELECT DISTINCT subject, 0::BIGINT AS place, NULL::BIGINT AS doc_id, 0::BIGINT AS last, []::VARCHAR[] AS topics, 0 AS ahead FROM d
 UNION ALL SELECT subject, place, doc_id, pos, topics, ahead FROM (SELECT s.subject AS subject, place + 1 AS place, d.doc_id AS doc_id, pos, list_append(topics, topic) AS topics, ahead + step AS ahead, row_number() OVER (PARTITION BY s.subject ORDER BY pos) AS r FROM s JOIN d ON d.subject = s.subject AND pos > last AND len(list_filter(topics, lambda t: t = topic)) < 2 AND step * ahead < 4 WHERE place < 12) WHERE r = 1)
@@ -257,7 +280,7 @@ SELECT subject, doc_id, place FROM s WHERE place > 0""",
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),
     "m17_reassign": f"WITH {_Q} SELECT question_id, CASE WHEN question_id % 4 = 0 OR (question_id % 2 = 0 AND starts_with(prompt, 'other')) THEN 9 ELSE module END AS module, question_id % 4 = 2 AND NOT starts_with(prompt, 'other') AS skipped FROM q",
     "v5_dataset": f"WITH {_R}, {_Q} SELECT module, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome, count(*) AS clips, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
-    "v5_selection": f"WITH {_R}, {_Q}, k AS (SELECT session_id, audio_sec, row_number() OVER (PARTITION BY session_id ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM r JOIN q USING (question_id) WHERE NOT sealed AND NOT skipped AND event_id % 3 <> 0 AND audio_sec >= 3), s AS (SELECT session_id, count(*) AS clips, count(*) FILTER (WHERE r <= greatest(3, floor(n * 0.1))) AS held_back, {_CENTS} FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 2000 THEN 'too short' ELSE 'built' END AS status FROM s",
+    "v5_selection": f"WITH {_R.replace('value AS audio_sec', '30 * value AS audio_sec')}, {_Q}, o AS (SELECT session_id, question_id, audio_sec, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 AND session_id % 5 <> 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome FROM r JOIN q USING (question_id)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, outcome ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id, outcome) AS n FROM o), s AS (SELECT session_id, count(*) FILTER (WHERE outcome = 'kept') AS clips, count(*) FILTER (WHERE outcome = 'kept' AND r <= greatest(3, floor(n * 0.1))) AS held_back, coalesce(CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE outcome = 'kept') AS BIGINT), 0) AS audio_cents, count(*) FILTER (WHERE outcome = 'not reviewed') AS not_reviewed, count(*) FILTER (WHERE outcome = 'too short') AS too_short FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 120000 THEN 'too short' ELSE 'built' END AS status FROM s",
     "p21_token_count": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS tokens FROM documents",
     "p12_past_framed": f"SELECT conv_id, turn, {found('trim(text)', *rules.PAST_FRAMED)} AS past_framed FROM conversations",
     "u3_embedding": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS es FROM documents",

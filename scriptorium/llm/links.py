@@ -247,6 +247,8 @@ def unsettled(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFr
 
 def joined(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """The groups (id, component) with more links (u, v)."""
+    if links.isEmpty():
+        return groups
     return components(links.unionByName(groups.select(F.col("component").alias("u"), F.col("id").alias("v"))), scratch)
 
 
@@ -264,6 +266,8 @@ def by_leaders(met: DataFrame, known: DataFrame, confirmed: Callable[[DataFrame]
     stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     groups = components(confirmed(stars).unionByName(known), scratch)
     rest = unsettled(met.select("bucket", "id", "n_shingles"), groups, scratch)
+    if rest.isEmpty():
+        return groups, rest.drop("component")
     others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("n")).select("bucket", "n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
     again = by_key(rest, scratch.write(others, "others"), "bucket", "n").where("component <> of").select("a", F.col("id").alias("b")).distinct()
     return joined(groups, confirmed(again), scratch), rest.select("bucket", "id", "n_shingles")

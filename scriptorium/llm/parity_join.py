@@ -177,15 +177,16 @@ def _rare_first(texts: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
 
 
 def _buckets(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """bucket, leader, id, n_shingles of buckets with several members, one bucket for those with the same
-    members. Rows go by their bucket once: most have none to meet and end there."""
+    """bucket, leader, id, n_shingles of buckets with several members; buckets with the same members are one. Rows
+    go by their bucket once: most have none to meet and end there."""
     by = Window.partitionBy("bucket").orderBy("id")
-    met = members.withColumns({"leader": F.min("id").over(by), "next": F.lead("id").over(by), "n_": F.lag("id").over(by)})
-    met = scratch.write(met.where("next is not null or n_ is not null").drop("next", "n_"), "met")
-    of_ids = [F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 32)).alias(f"x{seed}") for seed in range(3)]  # alike only for the same members
-    sums = met.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"), F.max("id").alias("largest"), *of_ids).where("leader < largest")
-    once = scratch.write(sums.groupBy("n", "leader", "largest", "x0", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "once")
-    return scratch.write(links.by_key(met, once, "bucket", "n").drop("n"), "buckets")
+    met = members.withColumns({"next": F.lead("id").over(by), "last": F.lag("id").over(by)})
+    met = scratch.write(met.where("next is not null or last is not null").drop("next", "last"), "met")
+    whole = Window.partitionBy("bucket")
+    of_ids = [F.sum(F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 32)).over(whole) for seed in range(3)]  # alike only for the same members
+    same = F.xxhash64(F.count("*").over(whole), F.max("id").over(whole), *of_ids)
+    named = met.withColumns({"same": same, "leader": F.min("id").over(whole), "largest": F.max("id").over(whole)}).where("leader < largest")
+    return scratch.write(named.select(F.xxhash64("same", "leader").alias("bucket"), "leader", "id", "n_shingles").dropDuplicates(["bucket", "id"]), "buckets")
 
 
 def _met(full: DataFrame, scratch: Scratch) -> DataFrame:
@@ -233,6 +234,8 @@ def _grouped(docs: DataFrame, full: DataFrame, classes: DataFrame, met: DataFram
         return links.joined(groups, links.across(texts, left, load, s.percent, scratch), scratch)
 
     groups, rest = links.by_leaders(met, links.bridges(full, classes), confirmed, scratch)
+    if rest.isEmpty():
+        return groups
     sizes = scratch.write(rest.groupBy("bucket").agg(F.count("*").alias("n")), "rest-sizes")
     rest = scratch.write(links.by_key(rest, sizes, "bucket", "n"), "rest")
     groups = whole(groups, rest.where(F.col("n") <= links.BLOCK).drop("n"))
@@ -241,7 +244,7 @@ def _grouped(docs: DataFrame, full: DataFrame, classes: DataFrame, met: DataFram
         return groups
     met = _buckets(_rare_first(links.restricted(texts, many), s, scratch), scratch)
     groups, rest = links.by_leaders(met, groups.select(F.col("component").alias("u"), F.col("id").alias("v")), confirmed, scratch)
-    return whole(groups, rest)
+    return groups if rest.isEmpty() else whole(groups, rest)
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

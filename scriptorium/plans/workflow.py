@@ -198,8 +198,8 @@ def v5_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dataset a session: clips kept, the last tenth of them (three at least) held back, drops by reason, and whether it is
     built: not without consent, and not under twenty minutes. Transcripts that nobody reviewed stay out unless
-    the session overrides that (every fifth does). Recordings are half a minute for each second of the events."""
-    j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id").withColumn("audio_sec", 30 * F.col("audio_sec"))
+    the session overrides that (every fifth does). Recordings last up to half a minute for each second of the events."""
+    j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id").withColumn("audio_sec", (1 + F.col("session_id") % 30) * F.col("audio_sec"))
     reviewed = (F.col("event_id") % 3 != 0) | (F.col("session_id") % 5 == 0)
     outcome = F.when(F.col("sealed"), "sealed").when(F.col("skipped"), "skipped").when(~reviewed, "not reviewed").when(F.col("audio_sec") < 3, "too short").otherwise("kept")
     own = Window.partitionBy("session_id", "outcome")  # a questionnaire at most
@@ -280,7 +280,7 @@ SELECT subject, doc_id, place FROM s WHERE place > 0""",
     "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),
     "m17_reassign": f"WITH {_Q} SELECT question_id, CASE WHEN question_id % 4 = 0 OR (question_id % 2 = 0 AND starts_with(prompt, 'other')) THEN 9 ELSE module END AS module, question_id % 4 = 2 AND NOT starts_with(prompt, 'other') AS skipped FROM q",
     "v5_dataset": f"WITH {_R}, {_Q} SELECT module, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome, count(*) AS clips, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
-    "v5_selection": f"WITH {_R.replace('value AS audio_sec', '30 * value AS audio_sec')}, {_Q}, o AS (SELECT session_id, question_id, audio_sec, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 AND session_id % 5 <> 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome FROM r JOIN q USING (question_id)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, outcome ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id, outcome) AS n FROM o), s AS (SELECT session_id, count(*) FILTER (WHERE outcome = 'kept') AS clips, count(*) FILTER (WHERE outcome = 'kept' AND r <= greatest(3, floor(n * 0.1))) AS held_back, coalesce(CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE outcome = 'kept') AS BIGINT), 0) AS audio_cents, count(*) FILTER (WHERE outcome = 'not reviewed') AS not_reviewed, count(*) FILTER (WHERE outcome = 'too short') AS too_short FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 120000 THEN 'too short' ELSE 'built' END AS status FROM s",
+    "v5_selection": f"WITH {_R.replace('value AS audio_sec', '(1 + user_id % 30) * value AS audio_sec')}, {_Q}, o AS (SELECT session_id, question_id, audio_sec, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 AND session_id % 5 <> 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome FROM r JOIN q USING (question_id)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, outcome ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id, outcome) AS n FROM o), s AS (SELECT session_id, count(*) FILTER (WHERE outcome = 'kept') AS clips, count(*) FILTER (WHERE outcome = 'kept' AND r <= greatest(3, floor(n * 0.1))) AS held_back, coalesce(CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE outcome = 'kept') AS BIGINT), 0) AS audio_cents, count(*) FILTER (WHERE outcome = 'not reviewed') AS not_reviewed, count(*) FILTER (WHERE outcome = 'too short') AS too_short FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 120000 THEN 'too short' ELSE 'built' END AS status FROM s",
     "p21_token_count": "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS tokens FROM documents",
     "p12_past_framed": f"SELECT conv_id, turn, {found('trim(text)', *rules.PAST_FRAMED)} AS past_framed FROM conversations",
     "u3_embedding": "SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, 'e', '')) AS es FROM documents",

@@ -40,8 +40,9 @@ def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = materialise(redaction.redact(_docs(spark, sf_dir)).select("doc_id", "source", F.col("redacted").alias("text")), "build")
     kept = materialise(dedup.dedup(items, "source", "doc_id", "text").where("verdict = 'kept'"), "kept")
     rows = chunk.chunk_rows(kept.withColumn("id", tx.item_id(F.lit("work_file"), F.col("source"), F.col("text"))).withColumn("key", F.struct("source", "id")), "key", "text")
-    ids = rows.select("id.source", tx.chunk_id(F.col("id.id"), F.col("number"), F.col("of")).alias("chunk_id"), F.length("text").alias("chars"))
-    return ids.groupBy("source").agg(F.count("*").alias("chunks"), F.count_distinct("chunk_id").alias("ids"), F.sum("chars").alias("chars"))
+    public = F.conv(F.substring("id.id", 1, 1), 16, 10) % 4 == 0
+    ids = rows.select("id.source", public.alias("public"), tx.chunk_id(F.col("id.id"), F.col("number"), F.col("of")).alias("chunk_id"), F.length("text").alias("chars"))
+    return ids.groupBy("source").agg(F.count("*").alias("chunks"), F.count_if(~F.col("public")).alias("private"), F.count_if("public").alias("public"), F.count_distinct("chunk_id").alias("ids"), F.sum("chars").alias("chars"))
 
 
 def _flat_export(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -239,10 +240,19 @@ def k9_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = m.withColumn("public", F.col("doc_id") % 4 == 0).withColumn("ok", ~F.col("duplicate") & (tx.word_count(F.col("text")) >= 15))
     rules_ = redaction.NAMES
     by_rule = [F.sum(F.coalesce(F.col("redactions")[name], F.lit(0))).cast("long").alias(f"r{i}") for i, name in enumerate(rules_)]
-    sums = m.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n"), F.count_if(tx.word_count(F.col("text")) < 15).alias("short"), F.count_if(F.col("duplicate")).alias("copies"), F.count_if(F.col("ok") & ~F.col("public")).alias("private"), F.count_if(F.col("ok") & F.col("public")).alias("public"), F.sum(F.when(F.col("ok"), F.length("text"))).alias("chars"), *by_rule)
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int")), "yyyy-MM-dd")
+    dates = [f(F.when(F.col("doc_id") % 7 != 0, day)).alias(name) for name, f in (("first_date", F.min), ("last_date", F.max))]  # every seventh has none
+    sums = m.rollup("source").agg(F.grouping("source").alias("g"), F.count("*").alias("n"), *dates, F.count_if(tx.word_count(F.col("text")) < 15).alias("short"), F.count_if(F.col("duplicate")).alias("copies"), F.count_if(F.col("ok") & ~F.col("public")).alias("private"), F.count_if(F.col("ok") & F.col("public")).alias("public"), F.sum(F.when(F.col("ok"), F.length("text"))).alias("chars"), *by_rule)
     named = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"r{i}") > 0, F.concat(F.lit(f"{name}="), F.col(f"r{i}"))) for i, name in enumerate(rules_)])), ",")
     note = F.when(F.coalesce("chars", F.lit(0)) < 30 * 900, "under 30 minutes")
-    return sums.select(F.when(F.col("g") == 1, "total").otherwise(F.col("source")).alias("source"), "n", "short", "copies", "private", "public", named.alias("redactions"), note.alias("note"))
+    return sums.select(F.when(F.col("g") == 1, "total").otherwise(F.col("source")).alias("source"), "n", "first_date", "last_date", "short", "copies", "private", "public", named.alias("redactions"), note.alias("note"))
+
+
+def k9_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that a run skips, all of them, with the reason of each."""
+    blank = F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("text"))
+    found = files.load_files(_paths(spark, sf_dir).withColumn("content", blank)).where("skipped is not null")
+    return found.select(F.regexp_extract("path", "^([^/]+)/", 1).alias("source"), "path", "skipped")
 
 
 def k10_release_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,6 +289,16 @@ def c6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunk.passages(F.col("text"))).alias("pos", "passage"))
 
 
+def c6_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for exemplars: passages of interviews (spoken) and work files (written), and chat messages of 40 to 120
+    words whole."""
+    d = _docs(spark, sf_dir).where("doc_id % 4 in (0, 2)")
+    mode = F.when(F.col("doc_id") % 4 == 0, "spoken").otherwise("written")
+    cut = d.select(F.concat(F.lit("document:"), "doc_id").alias("origin"), mode.alias("mode"), F.posexplode(chunk.passages(F.col("text"))).alias("pos", "text"))
+    chat = table(spark, sf_dir, "conversations").where((F.col("role") == "user") & F.size(tx.style_tokens(F.col("text"))).between(40, 120))
+    return cut.unionByName(chat.select(F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("origin"), F.lit("written").alias("mode"), F.lit(0).alias("pos"), "text"))
+
+
 def l1_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a sealed text or are contained in one."""
     d, b = _docs(spark, sf_dir), table(spark, sf_dir, "benchmark")
@@ -340,7 +360,7 @@ runs AS (SELECT doc_id, source, CAST(coalesce(run, 0) AS BIGINT) AS run FROM doc
 
 _BY_RULE = {name: " + ".join(f"sum(n{i})" for i, r in enumerate(redaction.RULES) if r.name == name) for name in redaction.NAMES}
 
-QUERIES = {f.__name__: f for f in (corpus_report, corpus_build, s1_chat_export_a, s2_chat_export_b, s5_conversation_stats, s8_work_manifest, s9_extensions, s13_archives, k1_split_write, k4_upsert, k5_stale_origins, k9_report_totals, k10_release_scan, d1_exact_duplicates, d2_near_pairs, d3_dedup_counts, c1_chunks, c4_regroup, c6_passages, l1_sealed, l2_hash_leaks, l3_quarantine, l5_copied_run, l7_regressions)}
+QUERIES = {f.__name__: f for f in (corpus_report, corpus_build, s1_chat_export_a, s2_chat_export_b, s5_conversation_stats, s8_work_manifest, s9_extensions, s13_archives, k1_split_write, k4_upsert, k5_stale_origins, k9_report_totals, k9_skipped, k10_release_scan, d1_exact_duplicates, d2_near_pairs, d3_dedup_counts, c1_chunks, c4_regroup, c6_passages, c6_candidates, l1_sealed, l2_hash_leaks, l3_quarantine, l5_copied_run, l7_regressions)}
 ORACLE = {
     "corpus_report": f"""
 WITH {redacted_sql("(SELECT * FROM conversations WHERE role = 'user')", 'conv_id, turn')},
@@ -365,8 +385,9 @@ SELECT doc_id, path, CASE WHEN body <> '' THEN sha256(body) END AS sha256, CASE
     "k4_upsert": f"WITH b AS (SELECT {_ID} AS id, min(doc_id) FILTER (WHERE doc_id % 3 <> 0) AS old, min(doc_id) AS doc_id, min(lang) AS label FROM documents GROUP BY 1) SELECT id, coalesce(old, doc_id + 1000000) AS doc_id, 'new-' || label AS label FROM b",
     "k5_stale_origins": "SELECT doc_id, source, CASE WHEN source IN ('src1', 'src7') THEN 'new' ELSE 'old' END AS version FROM documents",
     "k9_report_totals": f"""WITH {redacted_sql('documents', 'doc_id, source, text AS raw')}, i AS (SELECT doc_id, source, raw AS text, {', '.join(f'n{i}' for i in range(len(redaction.RULES)))} FROM {LAST}), m AS (SELECT *, {_DUP} AS dup, {WORDS} AS words FROM i)
-SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS n, count(*) FILTER (WHERE words < 15) AS short, count(*) FILTER (WHERE dup) AS copies, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 <> 0) AS private, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 = 0) AS public,
+SELECT CASE WHEN grouping(source) = 1 THEN 'total' ELSE source END AS source, count(*) AS n, min(CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INT), '%Y-%m-%d') END) AS first_date, max(CASE WHEN doc_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(doc_id % 300 AS INT), '%Y-%m-%d') END) AS last_date, count(*) FILTER (WHERE words < 15) AS short, count(*) FILTER (WHERE dup) AS copies, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 <> 0) AS private, count(*) FILTER (WHERE NOT dup AND words >= 15 AND doc_id % 4 = 0) AS public,
 array_to_string(list_filter([{', '.join(f"CASE WHEN {k} > 0 THEN '{name}=' || CAST({k} AS BIGINT) END" for name, k in _BY_RULE.items())}], lambda x: x IS NOT NULL), ',') AS redactions, CASE WHEN coalesce(sum(CASE WHEN NOT dup AND words >= 15 THEN length(text) END), 0) < 27000 THEN 'under 30 minutes' END AS note FROM m GROUP BY ROLLUP (source)""",
+    "k9_skipped": f"SELECT source, {_PATH} AS path, CASE doc_id % 8 WHEN 4 THEN 'unsupported: png' WHEN 5 THEN 'unsupported: pdf' ELSE 'empty' END AS skipped FROM documents WHERE doc_id % 8 IN (4, 5) OR (doc_id % 9 = 0)",
     "k10_release_scan": f"""WITH p AS (SELECT {_PATH} AS path, text || chr(10) AS content, doc_id % 8 = 4 AS media FROM documents),
 f AS (SELECT path, strlen(content) AS length, sha256(content) AS sha256, nullif(array_to_string(list_filter([CASE WHEN NOT media AND regexp_matches(content, '(?i)token\\s*=') THEN 'token' END, CASE WHEN NOT media AND contains(content, 'Licensed under') THEN 'licence' END, CASE WHEN NOT media AND regexp_matches(content, '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+') THEN 'address' END, CASE WHEN media THEN 'media' END], lambda x: x IS NOT NULL), ','), '') AS found FROM p)
 SELECT * FROM f UNION ALL SELECT NULL, CAST(sum(length) AS BIGINT), NULL, CASE WHEN count(found) > 0 THEN 'fail' ELSE 'pass' END FROM f""",
@@ -382,6 +403,10 @@ g AS (SELECT unnest(gone) AS doc_id FROM r WHERE i = (SELECT max(i) FROM r)) SEL
 k AS (SELECT doc_id, list_prepend({{'held': '', 'n': 0::BIGINT, 'out': []::VARCHAR[]}}, list_transform(list, lambda y: {{'held': y, 'n': len({TOKENS.format(x='y')})::BIGINT, 'out': []::VARCHAR[]}})) AS list FROM s),
 r AS (SELECT doc_id, list_reduce(list, lambda a, x: {{'held': CASE WHEN a.n + x.n >= 40 THEN '' WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END, 'n': CASE WHEN a.n + x.n >= 40 THEN 0 ELSE a.n + x.n END, 'out': CASE WHEN a.n + x.n BETWEEN 40 AND 120 THEN list_append(a.out, CASE WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END) ELSE a.out END}}).out AS out FROM k)
 SELECT doc_id, unnest(range(len(out))) AS pos, unnest(out) AS passage FROM r""",
+    "c6_candidates": f"""WITH s AS (SELECT doc_id, list_filter(list_transform({SENTENCES}, lambda x: trim(x, ' ')), lambda x: x <> '') AS list FROM documents),
+k AS (SELECT doc_id, list_prepend({{'held': '', 'n': 0::BIGINT, 'out': []::VARCHAR[]}}, list_transform(list, lambda y: {{'held': y, 'n': len({TOKENS.format(x='y')})::BIGINT, 'out': []::VARCHAR[]}})) AS list FROM s),
+r AS (SELECT doc_id, list_reduce(list, lambda a, x: {{'held': CASE WHEN a.n + x.n >= 40 THEN '' WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END, 'n': CASE WHEN a.n + x.n >= 40 THEN 0 ELSE a.n + x.n END, 'out': CASE WHEN a.n + x.n BETWEEN 40 AND 120 THEN list_append(a.out, CASE WHEN a.held = '' THEN x.held ELSE a.held || ' ' || x.held END) ELSE a.out END}}).out AS out FROM k)
+SELECT 'document:' || doc_id AS origin, CASE doc_id % 4 WHEN 0 THEN 'spoken' ELSE 'written' END AS mode, unnest(range(len(out))) AS pos, unnest(out) AS text FROM r WHERE doc_id % 4 IN (0, 2) UNION ALL SELECT 'turn:' || conv_id || ':' || turn, 'written', 0, text FROM conversations WHERE role = 'user' AND len({TOK}) BETWEEN 40 AND 120""",
     "l1_sealed": f"WITH d AS (SELECT doc_id, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM benchmark) SELECT doc_id, item_id FROM d JOIN b ON contains(n, s) OR contains(s, n) WHERE length(n) >= 40 AND length(s) >= 40",
     "l2_hash_leaks": f"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents), n AS (SELECT doc_id, {NORMAL} AS n FROM t) SELECT DISTINCT doc_id, item_id, 'content' AS how FROM n JOIN (SELECT item_id, {NORMAL} AS n FROM benchmark) USING (n) UNION SELECT doc_id, item_id, 'provenance' FROM documents JOIN benchmark ON item_id % 10 = 0 AND starts_with('q' || doc_id % 997 || '-answer', 'q' || item_id || '-')",
     "l3_quarantine": f"WITH d AS (SELECT doc_id, source, {NORMAL} AS n FROM documents), b AS (SELECT item_id, {NORMAL} AS s FROM (SELECT item_id, substr(text, 1, 80) AS text FROM benchmark WHERE length(text) >= 40)) SELECT source, count(DISTINCT item_id) AS items, count(*) AS hits FROM d JOIN b ON contains(n, s) WHERE length(s) >= 40 AND length(n) >= 40 GROUP BY source",

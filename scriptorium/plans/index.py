@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rules
@@ -40,20 +40,34 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statements(spark, sf_dir).join(asked, "vec_id", "left_semi")
 
 
-def d4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of at least four members from at least two origins, the 25 first by size."""
+def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters of at least four members from at least two origins, the 25 first by size; and all members of clusters."""
     s = statements(spark, sf_dir)
     c = sim.leader_clusters(s, "vec_id", "embedding", "sensitivity", LEADER).join(s.select(F.col("vec_id").alias("id"), "origins"), "id")
+    c = materialise(c, "members")
     sized = c.groupBy("sensitivity", "leader").agg(F.count("*").alias("members"), F.count_distinct(F.get("origins", F.lit(0))).alias("n_origins"), F.sum("id").alias("ids")).where("members >= 4 and n_origins >= 2")
-    return top_per(sized, ["sensitivity"], [F.desc("members"), "leader"], 25)
+    return top_per(sized, ["sensitivity"], [F.desc("members"), "leader"], 25), c
+
+
+def d4_leader_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clusters(spark, sf_dir)[0]
 
 
 def d5_cluster_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label groups: private if any member is, up to 20 origins."""
-    s = statements(spark, sf_dir)
-    private = s.groupBy("label").agg(F.max(F.when(F.col("sensitivity") == "private", 1).otherwise(0)).alias("private"))
-    first = top_per(s.select("label", F.explode("origins").alias("origin")).distinct(), ["label"], ["origin"], 20)
-    return private.join(first.groupBy("label").agg(F.array_join(F.sort_array(F.collect_list("origin")), ",").alias("origins")), "label")
+    """What an insight of each cluster inherits: private if any member is, and up to 20 origins. Members support it
+    (`d5_support`), so their ids are rows and not a list."""
+    chosen, members = _clusters(spark, sf_dir)
+    own = members.join(F.broadcast(chosen.select("sensitivity", "leader")), ["sensitivity", "leader"])  # 25 a store
+    first = top_per(own.select("sensitivity", "leader", F.explode("origins").alias("origin")).distinct(), ["sensitivity", "leader"], ["origin"], 20)
+    origins = first.groupBy("sensitivity", "leader").agg(F.array_join(F.sort_array(F.collect_list("origin")), ",").alias("origins"))
+    private = own.groupBy("sensitivity", "leader").agg(F.max(F.when(F.col("sensitivity") == "private", 1).otherwise(0)).alias("private"), F.count("*").alias("support"))
+    return private.join(origins, ["sensitivity", "leader"])
+
+
+def d5_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members that support the insight of each cluster."""
+    chosen, members = _clusters(spark, sf_dir)
+    return members.join(F.broadcast(chosen.select("sensitivity", "leader")), ["sensitivity", "leader"]).select("sensitivity", "leader", "id")
 
 
 def d6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,9 +146,14 @@ def m2_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("new_id", "old_id", tier.alias("tier"), out.alias("outcome"))
 
 
+def _said(number: Column) -> Column:
+    return F.concat(F.lit("statement "), number)
+
+
 def m3_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statements after the clamped outcomes: augment merges both into a new row, evolve makes the
-    old one historical with a period, replace supersedes it; nothing is deleted."""
+    """Statements after the clamped outcomes: augment merges both into a new row with both as parents, evolve makes
+    the old one historical with a period and records the change as an experience, replace supersedes it; nothing is
+    deleted. Origins of both go to what is new."""
     cases = m2_clamped(spark, sf_dir)
     s = statements(spark, sf_dir)
     weight = F.when(F.col("outcome") == "augment", 3).when(F.col("outcome") == "replace", 2).when(F.col("outcome") == "evolve", 1).otherwise(0)
@@ -143,8 +162,15 @@ def m3_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     worst = by_old.unionByName(by_new).groupBy("vec_id").agg(F.max("w").alias("w"), F.max(F.when(F.col("w") == 1, F.col("new_id"))).alias("by"))
     status = F.when(F.col("w") == 3, "merged").when(F.col("w") == 2, "superseded").when(F.col("w") == 1, "historical").otherwise(F.col("status"))
     period = F.when(F.col("w") == 1, F.concat(F.lit("until "), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("by").cast("int")), "yyyy-MM")))
-    old = s.join(worst, "vec_id", "left").select(F.col("vec_id").cast("string").alias("id"), status.alias("status"), period.alias("period"))
-    new = cases.where("outcome = 'augment'").select(F.concat_ws("+", "old_id", "new_id").alias("id"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("period"))
+    old = s.join(worst, "vec_id", "left").select(F.col("vec_id").cast("string").alias("id"), status.alias("status"), period.alias("period"), "type", _said(F.col("vec_id")).alias("text"), F.array_join("origins", ",").alias("origins"), F.lit(None).cast("string").alias("parents"))
+    of = lambda k: s.select(F.col("vec_id").alias(f"{k}_id"), F.col("type").alias(f"{k}_type"), F.col("origins").alias(f"{k}_origins"))
+    both = cases.where("outcome in ('augment', 'evolve')").join(of("old"), "old_id").join(of("new"), "new_id")
+    grown = F.col("outcome") == "augment"
+    before = F.concat(F.lit('This changed over time: previously "'), _said(F.col("old_id")), F.lit('"; now "'), _said(F.col("new_id")), F.lit('".'))
+    new = both.select(
+        F.concat("old_id", F.when(grown, "+").otherwise(">"), "new_id").alias("id"), F.lit("active").alias("status"), F.lit(None).cast("string").alias("period"), F.when(grown, F.col("old_type")).otherwise("experience").alias("type"),
+        F.when(grown, F.concat_ws(" ", _said(F.col("old_id")), _said(F.col("new_id")))).otherwise(before).alias("text"), F.array_join(F.array_distinct(F.concat("old_origins", "new_origins")), ",").alias("origins"), F.when(grown, F.concat_ws(",", "old_id", "new_id")).alias("parents"),
+    )
     return old.unionByName(new)
 
 
@@ -212,13 +238,16 @@ _BEST = "b AS (SELECT q.vec_id AS query_id, c.vec_id AS id, list_cosine_distance
 _INTENT = f"CASE WHEN {found('trim(text)', *rules.RECALL)} THEN 'explicit_recall' WHEN {found('trim(text)', *rules.SMALLTALK)} OR ({WORDS} <= 3 AND NOT contains(text, '?')) THEN 'smalltalk' ELSE 'knowledge' END"
 _TOPIC = f"list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z\\s]', ' ', 'g'), '\\s+'), lambda w: len(w) > 3 AND w NOT IN ({', '.join(repr(w) for w in rules.TOPIC_STOP)}))[1:3]"
 
-QUERIES = {f.__name__: f for f in (d4_leader_clusters, d5_cluster_rollup, d6_neighbours, d7_not_siblings, d8_culprit_first, r1_statements, r2_episodic, r3_routing, r4_ranked, r6_even_sample, m2_clamped, m3_applied, m6_undistilled, m7_born_from, m8_snapshot, m9_snapshot_diff, m13_gaps)}
-ORACLE = {
-    "d4_leader_clusters": f"""WITH RECURSIVE {_S}, p AS (SELECT a.sensitivity AS sensitivity, a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.sensitivity = b.sensitivity AND a.vec_id < b.vec_id AND list_cosine_distance(a.e, b.e) < 1 - {LEADER} + 1e-12), m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+_TOP = f"""WITH RECURSIVE {_S}, p AS (SELECT a.sensitivity AS sensitivity, a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.sensitivity = b.sensitivity AND a.vec_id < b.vec_id AND list_cosine_distance(a.e, b.e) < 1 - {LEADER} + 1e-12), m AS (SELECT b, list(a) AS near, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
 r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT m.i, CASE WHEN len(list_filter(near, lambda y: NOT list_contains(gone, y))) > 0 THEN list_append(gone, m.b) ELSE gone END FROM r JOIN m ON m.i = r.i + 1), g AS (SELECT unnest(gone) AS id FROM r WHERE i = (SELECT max(i) FROM r)),
 c AS (SELECT sensitivity, vec_id AS id, vec_id AS leader FROM s WHERE vec_id NOT IN (SELECT id FROM g) UNION ALL SELECT sensitivity, b, min(a) FROM p WHERE b IN (SELECT id FROM g) AND a NOT IN (SELECT id FROM g) GROUP BY 1, 2),
-z AS (SELECT c.sensitivity AS sensitivity, leader, count(*) AS members, count(DISTINCT origin) AS n_origins, CAST(sum(id) AS BIGINT) AS ids FROM c JOIN s ON vec_id = id GROUP BY 1, 2) SELECT * FROM z WHERE members >= 4 AND n_origins >= 2 QUALIFY row_number() OVER (PARTITION BY sensitivity ORDER BY members DESC, leader) <= 25""",
-    "d5_cluster_rollup": f"WITH {_S}, o AS (SELECT DISTINCT label, origin FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY origin) AS i FROM o) SELECT label, (SELECT max(CASE WHEN sensitivity = 'private' THEN 1 ELSE 0 END) FROM s WHERE s.label = r.label) AS private, string_agg(origin, ',' ORDER BY origin) AS origins FROM r WHERE i <= 20 GROUP BY label",
+z AS (SELECT c.sensitivity AS sensitivity, leader, count(*) AS members, count(DISTINCT origin) AS n_origins, CAST(sum(id) AS BIGINT) AS ids FROM c JOIN s ON vec_id = id GROUP BY 1, 2), top AS (SELECT * FROM z WHERE members >= 4 AND n_origins >= 2 QUALIFY row_number() OVER (PARTITION BY sensitivity ORDER BY members DESC, leader) <= 25)"""
+
+QUERIES = {f.__name__: f for f in (d4_leader_clusters, d5_cluster_rollup, d5_support, d6_neighbours, d7_not_siblings, d8_culprit_first, r1_statements, r2_episodic, r3_routing, r4_ranked, r6_even_sample, m2_clamped, m3_applied, m6_undistilled, m7_born_from, m8_snapshot, m9_snapshot_diff, m13_gaps)}
+ORACLE = {
+    "d4_leader_clusters": f"{_TOP} SELECT * FROM top",
+    "d5_cluster_rollup": f"{_TOP}, own AS (SELECT sensitivity, leader, id, origin FROM c JOIN top USING (sensitivity, leader) JOIN (SELECT vec_id AS id, origin FROM s) USING (id)), each AS (SELECT DISTINCT sensitivity, leader, origin FROM own), listed AS (SELECT sensitivity, leader, string_agg(origin, ',' ORDER BY origin) AS origins FROM (SELECT *, row_number() OVER (PARTITION BY sensitivity, leader ORDER BY origin) AS i FROM each) WHERE i <= 20 GROUP BY 1, 2) SELECT sensitivity, leader, max(CASE WHEN sensitivity = 'private' THEN 1 ELSE 0 END) AS private, count(*) AS support, any_value(origins) AS origins FROM own JOIN listed USING (sensitivity, leader) GROUP BY 1, 2",
+    "d5_support": f"{_TOP} SELECT sensitivity, leader, id FROM c JOIN top USING (sensitivity, leader)",
     "d6_neighbours": f"WITH {_NEAR} SELECT query_id, rank, id, round(distance, 6) AS distance FROM near",
     "d7_not_siblings": f"WITH {_NEAR} SELECT query_id, id FROM near WHERE query_id % 50 <> id % 50 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) = 1",
     "d8_culprit_first": f"WITH {_NEAR} SELECT query_id, id FROM near QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id % 3 = 0 DESC, rank) = 1",
@@ -233,8 +262,8 @@ SELECT conv_id, turn, intent, a.store AS store, count(id) AS n, round(min(distan
     "m2_clamped": f"WITH {_CASES} SELECT * FROM cases",
     "m3_applied": f"""WITH {_CASES}, w AS (SELECT old_id AS vec_id, CASE outcome WHEN 'augment' THEN 3 WHEN 'replace' THEN 2 WHEN 'evolve' THEN 1 ELSE 0 END AS w, new_id FROM cases UNION ALL SELECT new_id, 3, new_id FROM cases WHERE outcome = 'augment'),
 m AS (SELECT vec_id, max(w) AS w, max(new_id) FILTER (WHERE w = 1) AS by_ FROM w GROUP BY vec_id)
-SELECT CAST(vec_id AS VARCHAR) AS id, CASE w WHEN 3 THEN 'merged' WHEN 2 THEN 'superseded' WHEN 1 THEN 'historical' ELSE status END AS status, CASE WHEN w = 1 THEN 'until ' || strftime(DATE '2024-01-01' + CAST(by_ AS INT), '%Y-%m') END AS period FROM s LEFT JOIN m USING (vec_id)
-UNION ALL SELECT old_id || '+' || new_id, 'active', NULL FROM cases WHERE outcome = 'augment'""",
+SELECT CAST(vec_id AS VARCHAR) AS id, CASE w WHEN 3 THEN 'merged' WHEN 2 THEN 'superseded' WHEN 1 THEN 'historical' ELSE status END AS status, CASE WHEN w = 1 THEN 'until ' || strftime(DATE '2024-01-01' + CAST(by_ AS INT), '%Y-%m') END AS period, type, 'statement ' || vec_id AS text, origin AS origins, NULL AS parents FROM s LEFT JOIN m USING (vec_id)
+UNION ALL SELECT old_id || CASE outcome WHEN 'augment' THEN '+' ELSE '>' END || new_id, 'active', NULL, CASE outcome WHEN 'augment' THEN o.type ELSE 'experience' END, CASE outcome WHEN 'augment' THEN 'statement ' || old_id || ' statement ' || new_id ELSE 'This changed over time: previously "statement ' || old_id || '"; now "statement ' || new_id || '".' END, CASE WHEN o.origin = n.origin THEN o.origin ELSE o.origin || ',' || n.origin END, CASE outcome WHEN 'augment' THEN old_id || ',' || new_id END FROM cases JOIN s o ON o.vec_id = old_id JOIN s n ON n.vec_id = new_id WHERE outcome IN ('augment', 'evolve')""",
     "m6_undistilled": f"WITH {_S} SELECT DISTINCT 'o' || doc_id % 60 AS origin FROM documents WHERE 'o' || doc_id % 60 NOT IN (SELECT origin FROM s WHERE vec_id % 2 = 0)",
     "m7_born_from": f"WITH {_S} SELECT vec_id, type FROM s WHERE origin IN ('o3', 'o17')",
     "m8_snapshot": f"WITH {_S} SELECT 'statement:' || type AS what, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT 'topics', count(DISTINCT topic) FROM s UNION ALL SELECT 'chunk:' || lang, count(*) FROM documents GROUP BY 1 UNION ALL SELECT 'cases', count(*) FROM events WHERE event_type IN ('click', 'error') UNION ALL SELECT 'cases open', count(*) FROM events WHERE event_type = 'error'",

@@ -48,10 +48,12 @@ def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t4_chat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("w", F.size(tx.style_tokens(F.col("text"))))
+    # every seventh conversation has no date
+    date = F.when(F.col("conv_id") % 7 != 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("conv_id") * 2 + F.col("turn")).cast("int")), "yyyy-MM-dd"))
+    c = table(spark, sf_dir, "conversations").withColumns({"w": F.size(tx.style_tokens(F.col("text"))), "date": date})
     shape = st.text_analysis(c, ["role"], "text")
-    base = c.groupBy("role").agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("messages"), F.round(F.percentile("w", 0.5)).cast("long").alias("median_words"), F.round(F.avg("w")).cast("long").alias("mean_words"))
-    return base.join(shape, "role").select("role", "conversations", "messages", "median_words", "mean_words", F.round(F.col("list_lines") / F.col("lines"), 3).alias("list_ratio"))
+    base = c.groupBy("role").agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("messages"), F.round(F.percentile("w", 0.5)).cast("long").alias("median_words"), F.round(F.avg("w")).cast("long").alias("mean_words"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return base.join(shape, "role").select("role", "conversations", "messages", "first_date", "last_date", "median_words", "mean_words", F.round(F.col("list_lines") / F.col("lines"), 3).alias("list_ratio"))
 
 
 def t4_top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +251,7 @@ ORACLE = {
     "t1_sentence_histogram": f"WITH s AS (SELECT source, unnest({SENTENCES}) AS s FROM documents), l AS (SELECT source, len({STOK}) AS n FROM s) SELECT source, {_BUCKET} AS bucket, count(*) AS n FROM l WHERE n > 0 GROUP BY source, {_BUCKET}",
     "t2_gram_counts": f"WITH {_grams('source')} SELECT source, n, gram, count FROM g QUALIFY row_number() OVER (PARTITION BY source, n > 1 ORDER BY count DESC, gram) <= 8000",
     "t3_distinctive": f"WITH {_grams('source')}, {_DISTINCT} SELECT source, gram, count, score FROM dist",
-    "t4_chat_profile": f"WITH a AS (SELECT role, {_ANALYSIS} FROM conversations GROUP BY role), b AS (SELECT role, count(DISTINCT conv_id) AS conversations, count(*) AS messages, CAST(round(quantile_cont(len({TOK}), 0.5)) AS BIGINT) AS median_words, CAST(round(avg(len({TOK}))) AS BIGINT) AS mean_words FROM conversations GROUP BY role) SELECT role, conversations, messages, median_words, mean_words, round(list_lines / lines, 3) AS list_ratio FROM a JOIN b USING (role)",
+    "t4_chat_profile": f"WITH a AS (SELECT role, {_ANALYSIS} FROM conversations GROUP BY role), b AS (SELECT role, count(DISTINCT conv_id) AS conversations, count(*) AS messages, CAST(round(quantile_cont(len({TOK}), 0.5)) AS BIGINT) AS median_words, CAST(round(avg(len({TOK}))) AS BIGINT) AS mean_words, min(CASE WHEN conv_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(conv_id * 2 + turn AS INT), '%Y-%m-%d') END) AS first_date, max(CASE WHEN conv_id % 7 <> 0 THEN strftime(DATE '2024-01-01' + CAST(conv_id * 2 + turn AS INT), '%Y-%m-%d') END) AS last_date FROM conversations GROUP BY role) SELECT role, conversations, messages, first_date, last_date, median_words, mean_words, round(list_lines / lines, 3) AS list_ratio FROM a JOIN b USING (role)",
     "t4_top_phrases": f"""WITH t AS (SELECT role, {TOK} AS w FROM conversations), p AS (SELECT role, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')))) AS phrase FROM t),
 c AS (SELECT role, phrase, count(*) AS messages FROM p WHERE len(list_filter(string_split(phrase, ' '), lambda w: NOT list_contains({_list(st.FUNCTION_WORDS)}, w))) > 0 GROUP BY ALL)
 SELECT * FROM c WHERE messages >= 3 QUALIFY row_number() OVER (PARTITION BY role ORDER BY messages DESC, phrase) <= 15""",

@@ -9,6 +9,7 @@ from scriptorium.functions import redaction, rules
 from scriptorium.functions import text as tx
 from scriptorium.functions import udfs
 from scriptorium.operators import chunk, holdout, pack
+from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.tables import questions, responses
 from scriptorium.plans.text_rules import NORMAL, TOK_LIST, WORDS, found, redacted_sql
@@ -171,12 +172,17 @@ def m12_ship_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m14_gap_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invitations raise `ignored`; an answer resets topics that contain its first word."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("topic", rules.topic_of(F.col("text")))
-    state = c.groupBy("topic").agg(F.count("*").alias("ignored"))
-    answers = c.where("turn = 0").select(F.split("topic", " ")[0].alias("word")).distinct()
-    words = state.select("topic", "ignored", F.explode(F.split("topic", " ")).alias("word")).join(answers.withColumn("hit", F.lit(1)), "word", "left")
-    return words.groupBy("topic", "ignored").agg(F.max("hit").alias("hit")).select("topic", F.when(F.col("hit") == 1, 0).otherwise(F.col("ignored")).cast("long").alias("ignored"))
+    """Gaps are the topics of the person's turns. An invitation (a turn of the assistant on the topic) is stamped and raises
+    `ignored`; an answer (the first turn of a conversation) resets the topics that contain its first word."""
+    c = table(spark, sf_dir, "conversations").withColumn("topic", rules.topic_of(F.col("text")))
+    gaps = c.where("role = 'user'").select("topic").distinct()
+    asked = c.where("role = 'assistant'").select(F.explode(F.split("topic", " ")).alias("word"), (F.col("conv_id") * 1000 + F.col("turn")).alias("stamp")).distinct()
+    answers = c.where("role = 'user' and turn = 0").select(F.split("topic", " ")[0].alias("word")).distinct().withColumn("hit", F.lit(1))
+    words = gaps.select("topic", F.explode(F.array_distinct(F.split("topic", " "))).alias("word"))
+    stamps = asked.groupBy("word").agg(F.count("*").alias("times"), F.max("stamp").alias("last"))  # by first word of the gap
+    first = gaps.withColumn("word", F.split("topic", " ")[0]).join(stamps, "word", "left").select("topic", F.coalesce("times", F.lit(0).cast("long")).alias("times"), F.col("last").alias("last_invited"))
+    hit = words.join(answers, "word").select("topic").distinct().withColumn("answered", F.lit(True))
+    return first.join(hit, "topic", "left").select("topic", F.when(F.col("answered"), 0).otherwise(F.col("times")).cast("long").alias("ignored"), "last_invited")
 
 
 def m17_reassign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,6 +194,20 @@ def m17_reassign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("question_id", F.when(fits, F.col("to")).otherwise(F.col("module")).alias("module"), (F.col("expected").isNotNull() & ~fits).alias("skipped"))
 
 
+def m17_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New questions go behind the largest number there is, in the order in which they come; those whose prompt is known only
+    have their module affirmed. The last row counts what was appended, affirmed and skipped by the guard."""
+    q = questions(spark, sf_dir)
+    came = table(spark, sf_dir, "conversations").where("role = 'user' and turn = 0").groupBy(F.col("text").alias("prompt")).agg(F.min("conv_id").alias("came"))
+    came = came.unionByName(q.where("module = 4").groupBy("prompt").agg((F.min("question_id") + 1_000_000_000).alias("came"))).groupBy("prompt").agg(F.min("came").alias("came"))
+    j = came.join(q.groupBy("prompt").agg(F.min("question_id").alias("known")), "prompt", "left")
+    top = q.agg(F.max("question_id").alias("top"))  # one row
+    new = placed(j.where("known is null"), "came").join(F.broadcast(top)).select(F.lit("appended").alias("what"), (F.col("top") + 1 + F.col("_i")).alias("number"), F.sha2("prompt", 256).alias("of"))
+    known = j.where("known is not null").select(F.lit("affirmed").alias("what"), F.col("known").alias("number"), F.sha2("prompt", 256).alias("of"))
+    skipped = m17_reassign(spark, sf_dir).where("skipped").agg(F.lit("guard skipped").alias("what"), F.count("*").alias("number"), F.lit(None).cast("string").alias("of"))
+    return new.unionByName(known).unionByName(skipped)
+
+
 def v5_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training clips by section: sealed ones out, reviewed ones only, reasons counted."""
     j = responses(spark, sf_dir).join(questions(spark, sf_dir), "question_id")
@@ -251,7 +271,7 @@ def w7_bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", k.alias("k"), F.when(k.isNull(), "corrupt").otherwise("ok").alias("status"))
 
 
-QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p19_counts, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, v5_dataset, v5_selection, u5_chunk_table, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
+QUERIES = {f.__name__: f for f in (s3_project_docs, s4_export_format, s6_interview, s7_session_files, k2_sealed_write, k3_selective_rebuild, c3_chunk_rows, c5_batches, l4_gram_set, l8_firewall, p9_own_text, p19_validated, p19_counts, p21_token_count, r5_exemplars, r7_correction_pairs, m12_ship_gate, m14_gap_updates, m17_reassign, m17_appended, v5_dataset, v5_selection, u5_chunk_table, u1_test_embedding, p12_past_framed, u3_embedding, u4_completion, w7_bad_rows)}
 _R = "r AS (SELECT user_id AS session_id, event_id % 40 AS question_id, event_id, ts, event_type = 'error' AS skipped, value AS audio_sec FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY ts DESC, event_id DESC) = 1)"
 _Q = "q AS (SELECT item_id AS question_id, item_id % 5 AS module, item_id % 5 = 4 AS sealed, text AS prompt FROM benchmark)"
 _CENTS = "CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) AS BIGINT) AS audio_cents"
@@ -277,7 +297,10 @@ UNION ALL SELECT subject, place, doc_id, pos, topics, ahead FROM (SELECT s.subje
 SELECT subject, doc_id, place FROM s WHERE place > 0""",
     "r7_correction_pairs": f"WITH c AS (SELECT * FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4) SELECT conv_id, turn FROM c WHERE {WORDS} BETWEEN 20 AND 140",
     "m12_ship_gate": "WITH c AS (SELECT user_id, count(*) FILTER (WHERE event_id % 2 = 0 AND event_type = 'view') AS before, count(*) FILTER (WHERE event_id % 2 = 1 AND event_type = 'view') AS after FROM events GROUP BY 1) SELECT *, after >= before AS ship FROM c",
-    "m14_gap_updates": f"WITH w AS (SELECT turn, {_TOPICS} AS ws FROM conversations WHERE role = 'user'), t AS (SELECT turn, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), s AS (SELECT topic, count(*) AS ignored FROM t GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE turn = 0) SELECT topic, CASE WHEN len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0 THEN 0 ELSE ignored END AS ignored FROM s".replace("len(list_filter(string_split(topic, ' '), lambda x: x IN (SELECT word FROM a))) > 0", "EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), word))"),
+    "m14_gap_updates": f"""WITH w AS (SELECT role, turn, conv_id * 1000 + turn AS stamp, {_TOPICS} AS ws FROM conversations), t AS (SELECT role, turn, stamp, CASE WHEN len(ws) = 0 THEN 'general' ELSE array_to_string(ws, ' ') END AS topic FROM w), g AS (SELECT DISTINCT topic FROM t WHERE role = 'user'), i AS (SELECT word, count(*) AS times, max(stamp) AS last FROM (SELECT DISTINCT unnest(string_split(topic, ' ')) AS word, stamp FROM t WHERE role = 'assistant') GROUP BY 1), a AS (SELECT DISTINCT string_split(topic, ' ')[1] AS word FROM t WHERE role = 'user' AND turn = 0)
+SELECT topic, CASE WHEN EXISTS (SELECT 1 FROM a WHERE list_contains(string_split(topic, ' '), a.word)) THEN 0 ELSE coalesce(times, 0) END AS ignored, last AS last_invited FROM g LEFT JOIN i ON i.word = string_split(topic, ' ')[1]""",
+    "m17_appended": f"""WITH {_Q}, c AS (SELECT prompt, min(came) AS came FROM (SELECT text AS prompt, conv_id AS came FROM conversations WHERE role = 'user' AND turn = 0 UNION ALL SELECT prompt, question_id + 1000000000 FROM q WHERE module = 4) GROUP BY 1), j AS (SELECT prompt, came, (SELECT min(question_id) FROM q WHERE q.prompt = c.prompt) AS known FROM c)
+SELECT 'appended' AS what, (SELECT max(question_id) FROM q) + row_number() OVER (ORDER BY came) AS number, sha256(prompt) AS of FROM j WHERE known IS NULL UNION ALL SELECT 'affirmed', known, sha256(prompt) FROM j WHERE known IS NOT NULL UNION ALL SELECT 'guard skipped', count(*), NULL FROM q WHERE question_id % 4 = 2 AND NOT starts_with(prompt, 'other')""",
     "m17_reassign": f"WITH {_Q} SELECT question_id, CASE WHEN question_id % 4 = 0 OR (question_id % 2 = 0 AND starts_with(prompt, 'other')) THEN 9 ELSE module END AS module, question_id % 4 = 2 AND NOT starts_with(prompt, 'other') AS skipped FROM q",
     "v5_dataset": f"WITH {_R}, {_Q} SELECT module, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome, count(*) AS clips, {_CENTS} FROM r JOIN q USING (question_id) GROUP BY 1, 2",
     "v5_selection": f"WITH {_R.replace('value AS audio_sec', '(1 + user_id % 30) * value AS audio_sec')}, {_Q}, o AS (SELECT session_id, question_id, audio_sec, CASE WHEN sealed THEN 'sealed' WHEN skipped THEN 'skipped' WHEN event_id % 3 = 0 AND session_id % 5 <> 0 THEN 'not reviewed' WHEN audio_sec < 3 THEN 'too short' ELSE 'kept' END AS outcome FROM r JOIN q USING (question_id)), k AS (SELECT *, row_number() OVER (PARTITION BY session_id, outcome ORDER BY question_id DESC) AS r, count(*) OVER (PARTITION BY session_id, outcome) AS n FROM o), s AS (SELECT session_id, count(*) FILTER (WHERE outcome = 'kept') AS clips, count(*) FILTER (WHERE outcome = 'kept' AND r <= greatest(3, floor(n * 0.1))) AS held_back, coalesce(CAST(sum(CAST(round(audio_sec * 100) AS BIGINT)) FILTER (WHERE outcome = 'kept') AS BIGINT), 0) AS audio_cents, count(*) FILTER (WHERE outcome = 'not reviewed') AS not_reviewed, count(*) FILTER (WHERE outcome = 'too short') AS too_short FROM k GROUP BY 1) SELECT *, CASE WHEN session_id % 7 = 0 THEN 'no consent' WHEN audio_cents < 120000 THEN 'too short' ELSE 'built' END AS status FROM s",

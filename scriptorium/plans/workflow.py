@@ -111,7 +111,7 @@ def l8_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.select("conv_id", "role", F.when(corrected, F.concat(F.lit("No, that's wrong. "), "text")).otherwise(F.col("text")).alias("text"), F.concat_ws(":", F.lit("turn"), "conv_id", "turn").alias("id"), "turn")
     of = rules.event_intent(F.col("text"), F.lit("text"), F.lit(0.0), F.col("turn") > 0, F.lit(None).cast("string"))
     notes = c.where("role = 'user'").withColumn("intent", of["intent"]).where("intent in ('correction', 'meta')")
-    quoted = c.where("role = 'user' and conv_id % 5 = 0").select(F.concat_ws(":", F.lit("statement"), "conv_id", "turn").alias("id"), F.concat(F.lit("They said:  "), F.upper("text"), F.lit(" (noted)")).alias("text"))
+    quoted = c.where("role = 'user' and conv_id % 5 = 0").select(F.concat_ws(":", F.lit("statement"), "conv_id", "turn").alias("id"), F.concat(F.lit("They said:  "), "text", F.lit(" (noted)")).alias("text"))
     documents = table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text")
     stores = c.join(notes.select("id"), "id", "left_anti").select("id", "text").unionByName(documents).unionByName(quoted)
     return holdout.sealed_matches(stores, "id", "text", notes, "id", "text").select(F.col("id").alias("store_id"), F.col("sid").alias("turn_id"))
@@ -287,7 +287,7 @@ ORACLE = {
     "c5_batches": """WITH RECURSIVE d AS (SELECT source, doc_id, least(coalesce(length(text), 0), 4000) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS (SELECT source, doc_id, i, 1 AS n, size AS total, 0 AS batch FROM d WHERE i = 1
 UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN 1 ELSE r.n + 1 END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN size ELSE r.total + size END, CASE WHEN r.total + size > 6000 OR r.n >= 10 THEN r.batch + 1 ELSE r.batch END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1) SELECT source, doc_id, batch FROM r""",
     "l4_gram_set": f"WITH t AS (SELECT {TOK_LIST} AS w FROM benchmark) SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(w[i:i + 7], ' '))) AS gram FROM t",
-    "l8_firewall": f"WITH c AS (SELECT conv_id, 'turn:' || conv_id || ':' || turn AS id, 'statement:' || conv_id || ':' || turn AS sid, role, turn, text, trim(text) AS t FROM (SELECT * REPLACE (CASE WHEN role = 'user' AND (conv_id + turn) % 3 = 0 THEN 'No, that''s wrong. ' || text ELSE text END AS text) FROM conversations)), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents UNION ALL SELECT sid, {NORMAL.replace('text', "('They said:  ' || upper(text) || ' (noted)')")} FROM c WHERE role = 'user' AND conv_id % 5 = 0), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
+    "l8_firewall": f"WITH c AS (SELECT conv_id, 'turn:' || conv_id || ':' || turn AS id, 'statement:' || conv_id || ':' || turn AS sid, role, turn, text, trim(text) AS t FROM (SELECT * REPLACE (CASE WHEN role = 'user' AND (conv_id + turn) % 3 = 0 THEN 'No, that''s wrong. ' || text ELSE text END AS text) FROM conversations)), k AS (SELECT *, role = 'user' AND NOT {found('t', *rules.REMEMBER)} AND ({found('t', *rules.META)} OR {found('t', *rules.CORRECTION)} OR (turn > 0 AND {found('t', rules.WEAK_CORRECTION)})) AS note FROM c), s AS (SELECT id, {NORMAL} AS n FROM k WHERE NOT note UNION ALL SELECT 'document:' || doc_id, {NORMAL} FROM documents UNION ALL SELECT sid, {NORMAL.replace('text', "('They said:  ' || text || ' (noted)')")} FROM c WHERE role = 'user' AND conv_id % 5 = 0), m AS (SELECT id, {NORMAL} AS n FROM k WHERE note) SELECT s.id AS store_id, m.id AS turn_id FROM s JOIN m ON length(m.n) >= 40 AND length(s.n) >= 40 AND contains(s.n, m.n)",
     "p9_own_text": "SELECT source, CASE WHEN doc_id % 4 = 0 THEN 'spoken' ELSE 'written' END AS mode, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE doc_id % 4 <> 3 GROUP BY 1, 2",
     "p19_validated": f"SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, CASE conv_id % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' WHEN 3 THEN 'moderate' END AS strength, 'a,b,c' AS topics FROM conversations",
     "p19_counts": f"WITH v AS (SELECT conv_id, turn, CASE WHEN conv_id % 120 NOT IN (SELECT doc_id FROM documents WHERE lang <> 'es') THEN 'unknown source' WHEN trim(text) = '' THEN 'empty' WHEN turn % 4 = 2 THEN 'bad type' WHEN {_LINTED} THEN 'lint' ELSE 'stored' END AS verdict, CASE conv_id % 5 WHEN 0 THEN 'strong' WHEN 1 THEN 'weak' WHEN 3 THEN 'moderate' END AS strength, 'a,b,c' AS topics FROM conversations) SELECT verdict, CASE WHEN verdict = 'stored' THEN coalesce(strength, 'none') END AS strength, count(*) AS n FROM v GROUP BY 1, 2",

@@ -39,12 +39,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm.words import gram_hashes, mix, plain, sliding_min, split_words, text_parts
+from scriptorium.llm.words import gram_hashes, mix, plain, release, sliding_min, split_words, text_parts
 from scriptorium.session import ship, table
 
 #: Bytes of text that a task parses at once, and that one reference block and one place stand for.
@@ -261,13 +262,14 @@ def _parsed(group: pa.Table, window: int, places: int) -> pa.Table:
     """Parse what one reference block received; its factors, packed by place.
 
     Negative blocks hold what the tasks found on their own; it goes through as it is."""
-    rows = group.to_pylist()
-    out = [(-1 - r["block"], r["spans"]) for r in rows if r["spans"] is not None]
-    rows = [r for r in rows if r["spans"] is None]
-    if rows:
+    release()
+    known = group["spans"].is_valid()
+    out = [(-1 - b, x) for b, x in zip(group["block"].filter(known).to_pylist(), group["spans"].filter(known).to_pylist())]
+    sent = group.filter(pc.invert(known))
+    if len(sent):
         whole = zstandard.ZstdDecompressor().decompress
-        heads = np.frombuffer(b"".join(whole(r["heads"]) for r in rows), PHRASE)
-        pieces = [p for r in rows for p in whole(r["words"]).split(b"\n")]
+        heads = np.frombuffer(b"".join(whole(x.as_py()) for x in sent["heads"]), PHRASE)
+        pieces = [p for x in sent["words"] for p in whole(x.as_py()).split(b"\n")]
         order = np.lexsort((heads["start"], heads["digest"], heads["id"]))
         heads = heads[order]
         ids, digests, starts, n = heads["id"].copy(), heads["digest"].copy(), heads["start"].astype(np.int64), heads["windows"].astype(np.int64)

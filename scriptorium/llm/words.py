@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +93,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give what this worker has freed back to the system, where the C library can: the JVM of its executor and
+    other workers share the memory. Large texts leave much of it free but held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch with about `most` bytes of text each."""
+    """Row ranges of a batch with about `most` bytes of text each. What the range before took is released first."""
     values = batch.column(column)
     wide = pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type)
     at = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
@@ -100,4 +110,5 @@ def text_parts(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[
     while begin < len(values):
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
         yield begin, min(end, len(values))
+        release()
         begin = end

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, mixing, near_dedup, quality_classifier, substring_dedup
 from scriptorium.llm.words import free_name, plain
-from scriptorium.session import materialise, table
+from scriptorium.session import Scratch, materialise, table
 
 #: Words of a passage that may not repeat across documents.
 PASSAGE_WORDS = 40
@@ -57,7 +57,7 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows without an id come last. Of equal rows the first keeps its words; different texts under
     one id are different documents. A text of which nothing is left stays, empty."""
     cut = substring_dedup.dedup_columns(docs, "doc_id", "text", PASSAGE_WORDS)
-    return cut.withColumn("n_chars", F.length("text").cast("long"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,7 +88,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = kept.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept.drop(keep=(name.replace(" ", "-"),))  # what the stage before wrote
     return STAGES[-1][1](spark, docs, sf_dir)

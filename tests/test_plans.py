@@ -1,5 +1,8 @@
-"""Plans of queries whose work must not grow with their form."""
+"""Plans of queries whose work must not grow with their form, and SQL that states the rule of its query."""
 
+import duckdb
+
+from scriptorium.functions import redaction
 from scriptorium.plans import text_rules
 
 SF = "/root/testdata/sf0.001"
@@ -10,3 +13,14 @@ def test_rules_run_once_a_text(spark):
     plan = text_rules.p8_redaction_counts(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     spark.conf.unset("spark.sql.maxPlanStringLength")
     assert plan.count("Terrace") == 2  # replaced and counted
+
+
+def test_redaction_and_its_sql_agree_on_numbers_in_a_row_and_on_white_space(spark):
+    texts = ["555-123-4567 555-123-4568", "555-123-4567x1 555-123-4568_(555) 123-4569", "\x01\x03 5\x01\x03a 555-123-4567a", "token=word-\x0b", "api_key: jo.e@x.co", "( 123 Baker Street", "password: hunter22\xa0x"]
+    rows = list(enumerate(texts))
+    got = sorted((r.i, r.redacted) for r in redaction.redact(spark.createDataFrame(rows, "i long, text string")).collect())
+    con = duckdb.connect()
+    con.sql("create table given (i bigint, text varchar)")
+    con.executemany("insert into given values (?, ?)", rows)
+    assert got == con.sql(f"WITH {text_rules.redacted_sql('given', 'i')} SELECT i, t FROM {text_rules.LAST} ORDER BY i").fetchall()
+    assert got[0][1] == "[REDACTED] [REDACTED]"

@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import markup
 
-_SAVED = "file"
+_DEALT, _SAVED = "part", "file"
+#: Folders that a saved tree's files are dealt to. Each is written by one task and so renamed into place at once, and
+#: listed by one task.
+PARTS = 256
 _STRIPPED = "\\A\\s+|\\s+\\z"
 
 
 def save_tree(rows: DataFrame, path_col: str, content_col: str, folder: str) -> None:
     """One text file for each row, in a folder that its path names (escaped); Spark's writer ends
     it with a line feed. Rows of one path are several files of it."""
-    rows.select(F.col(path_col).alias(_SAVED), F.coalesce(F.col(content_col), F.lit("")).alias("value")).write.partitionBy(_SAVED).text(folder)
+    dealt = F.pmod(F.xxhash64(path_col), F.lit(PARTS)).alias(_DEALT)
+    named = rows.select(dealt, F.col(path_col).alias(_SAVED), F.coalesce(F.col(content_col), F.lit("")).alias("value"))
+    named.repartition(_DEALT).write.partitionBy(_DEALT, _SAVED).text(folder)
 
 
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,7 +29,7 @@ def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     root = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     inside = F.substring(F.col("path"), len(root) + 2, 1_000_000)
-    saved = F.regexp_extract(inside, f"^{_SAVED}=([^/]+)/[^/]+$", 1)
+    saved = F.regexp_extract(inside, f"^{_DEALT}=[0-9]+/{_SAVED}=([^/]+)/[^/]+$", 1)
     return found.select(F.when(saved != "", F.url_decode(F.regexp_replace(saved, "\\+", "%2B"))).otherwise(inside).alias("path"), "content", "length", F.col("modificationTime").alias("modified"))
 
 

@@ -25,3 +25,10 @@ def test_saved_rows_come_back(spark, tmp_path):
     files.save_tree(spark.createDataFrame(rows, "path string, content string"), "path", "content", str(tmp_path / "tree"))
     got = {r.path: bytes(r.content).decode() for r in files.read_tree(spark, str(tmp_path / "tree")).collect()}
     assert got == {"x/y z.md": "one\ntwo\n", "100%+a.txt": "ü\n", "n.txt": "\n"}
+
+
+def test_saved_files_lie_in_a_fixed_number_of_folders(spark, tmp_path):
+    rows = spark.range(600).selectExpr("concat(id, '.txt') AS path", "'x' AS content")
+    files.save_tree(rows, "path", "content", str(tmp_path / "tree"))
+    assert len([p for p in (tmp_path / "tree").iterdir() if p.is_dir()]) <= files.PARTS
+    assert files.read_tree(spark, str(tmp_path / "tree")).select("path").distinct().count() == 600

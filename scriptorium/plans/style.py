@@ -12,7 +12,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import holdout
 from scriptorium.operators import style as st
 from scriptorium.operators.places import placed
-from scriptorium.session import materialise, shared_dir, table
+from scriptorium.session import materialise, shared_dir, spread, table
 from scriptorium.sources.stored import Stored
 
 
@@ -44,7 +44,7 @@ def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against general usage: the most frequent words of the conversations."""
-    return st.distinctive(st.gram_counts(_docs(spark, sf_dir), ["source"], "text"), ["source"], _general(spark, sf_dir))
+    return st.distinctive(st.gram_counts(spread(_docs(spark, sf_dir), "doc_id"), ["source"], "text"), ["source"], _general(spark, sf_dir))
 
 
 def t4_chat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

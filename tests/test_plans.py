@@ -3,7 +3,7 @@
 import duckdb
 
 from scriptorium.functions import redaction
-from scriptorium.plans import corpus, text_rules
+from scriptorium.plans import corpus, style, text_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def test_redaction_and_its_sql_agree_on_numbers_in_a_row_and_on_white_space(spar
     assert got[0][1] == "[REDACTED] [REDACTED]"
 
 
-def test_redaction_of_documents_is_dealt_over_all_tasks(spark):
-    for query in (text_rules.p6_redaction, text_rules.p8_redaction_counts, corpus.k9_report_totals):
+def test_long_work_on_documents_is_dealt_over_all_tasks(spark):
+    for query in (text_rules.p6_redaction, text_rules.p8_redaction_counts, corpus.k9_report_totals, style.t3_distinctive):
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan, query.__name__

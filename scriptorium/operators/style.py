@@ -5,6 +5,8 @@ Everything is counted per text and added up, so that counts merge in any order."
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,15 +43,34 @@ def grams(tokens: Column, n: int) -> Column:
     return bind(tokens, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
-def gram_counts(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
-    """keys, n (1..longest), gram, count; summed before the shuffle."""
+def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
+    """keys, n (1..longest), gram: a row for each place of a gram."""
     tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w")).where("size(_w) > 0")
     # The runs at a place are the tokens from there on, side by side: short rows, and nothing interpreted.
     shifted = [F.slice("_w", k + 1, F.size("_w")).alias(f"_w{k}") for k in range(longest)]
     rows = tokens.select(*keys, *shifted).select(*keys, F.inline(F.arrays_zip(*[f"_w{k}" for k in range(longest)])))
     run = lambda n: F.when(F.col(f"_w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_w{k}" for k in range(n)]))
     each = F.stack(F.lit(longest), *[c for n in range(1, longest + 1) for c in (F.lit(n), run(n))]).alias("n", "gram")
-    return rows.select(*keys, each).where("gram is not null").groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
+    return rows.select(*keys, each).where("gram is not null")
+
+
+def gram_counts(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
+    """keys, n (1..longest), gram, count; summed before the shuffle."""
+    return gram_rows(df, keys, text_col, longest).groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
+
+
+def most_frequent(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """The k rows of each group with the largest `count`, ties to the first `gram`.
+
+    How many rows of a group have a count is a short table; what lies below the count of the k-th row is left out
+    before rows are ranked, so rare grams, which are most, meet in no shuffle."""
+    sizes = counts.groupBy(*keys, "count").agg(F.count("*").alias("_rows"))
+    above = F.sum("_rows").over(Window.partitionBy(*keys).orderBy(F.desc("count")).rowsBetween(Window.unboundedPreceding, -1))
+    floors = sizes.withColumn("_above", F.coalesce(above, F.lit(0))).where(F.col("_above") < k).groupBy(*keys).agg(F.min("count").alias("_floor"))
+    named = materialise(floors.withColumnsRenamed({c: f"_of_{c}" for c in keys}), "floors")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys))
+    enough = counts.join(named, same & (F.col("count") >= F.col("_floor")), "left_semi")
+    return top_per(enough, keys, [F.desc("count"), "gram"], k)
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:

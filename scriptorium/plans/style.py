@@ -35,11 +35,12 @@ def t1_sentence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the two halves of the corpus, merged in a stored table batch by batch; the 8,000 most frequent words
     and phrases each."""
-    half = lambda k: st.gram_counts(_docs(spark, sf_dir).where(F.col("doc_id") % 2 == k), ["source"], "text")
+    docs = spread(_docs(spark, sf_dir), "doc_id")
+    half = lambda k: st.gram_rows(docs.where(F.col("doc_id") % 2 == k), ["source"], "text").withColumn("count", F.lit(1).cast("long"))
     kept = Stored(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", half(0).schema, ["source", "n", "gram"])
     for k in (0, 1, 1):  # a batch that comes again counts once
         kept.add(half(k), ["count"], f"half {k}")
-    return st.top_per(kept.frame().withColumn("phrase", F.col("n") > 1), ["source", "phrase"], [F.desc("count"), "gram"], 8000).select("source", "n", "gram", "count")
+    return st.most_frequent(kept.frame().withColumn("phrase", F.col("n") > 1), ["source", "phrase"], 8000).select("source", "n", "gram", "count")
 
 
 def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A table is a folder with `data/<change>/_bucket=<n>` for the rows of bucket n as a change left them, and
 `versions/<number>` with the manifest of each version: which folder holds each bucket, and which
-batches are in it. Rows go to buckets by a hash of their key columns. A change writes the changed buckets
+batches are in it. Rows go to buckets by a hash of their key columns, that of Spark's own shuffles, so a task after one
+by the keys has rows of few buckets. A change writes the changed buckets
 to a folder of its own, then the next manifest beside the others, and renames that into its place: readers see
 the version before or after it, never half of one, and of two changes at once the later one fails. Folders
 of earlier versions stay until `vacuum`.
@@ -58,7 +59,7 @@ class Stored:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn(_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        return rows.withColumn(_BUCKET, F.pmod(F.hash(*self.keys), F.lit(self.buckets)).cast("int"))
 
     def _publish(self, before: int, manifest: dict) -> None:
         folder = f"{self.path}/versions"
@@ -83,14 +84,22 @@ class Stored:
         numbers = self._numbers(touched)
         if not numbers:
             return False
-        folder = f"data/{uuid.uuid4().hex}"
         own = self._dealt(new.select(*self.schema.names)).where(F.col(_BUCKET).isin(numbers)).drop(_BUCKET)
         rows = self._dealt(made(self.frame(version, numbers), own).select(*self.schema.names))
-        rows.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        return self._written(version, manifest, rows.repartition(_BUCKET), numbers, batch)
+
+    def _written(self, version: int, manifest: dict, rows: DataFrame, numbers: list[int], batch: str | None) -> bool:
+        """Write dealt rows in place of the buckets `numbers`, and the next manifest; not if there was and is nothing."""
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
         fs, at = self._fs(f"{self.path}/{folder}")
         names = [f.getPath().getName() for f in fs.listStatus(at)]
         written = {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith(f"{_BUCKET}=")}
         kept = {n: f for n, f in manifest["buckets"].items() if int(n) not in numbers}
+        if kept.keys() & written.keys():
+            raise RuntimeError(f"the rows for {self.path} were others when they were read again")
+        if not numbers and not written:
+            return False
         self._publish(version, {"buckets": kept | written, "batches": manifest["batches"] + [batch] * (batch is not None)})
         return True
 
@@ -119,12 +128,21 @@ class Stored:
         return self.change(new, new, lambda old, own: old.join(keys, same, "left_anti").unionByName(own), batch)
 
     def add(self, new: DataFrame, sums: list[str], batch: str | None = None) -> bool:
-        """Numbers of equal keys are added up. A batch that has a name counts once."""
-        if batch is not None and batch in self.manifest()["batches"]:
+        """Numbers of equal keys are added up; `new` may have many rows a key. A batch that has a name counts once.
+
+        The rows are summed before the one shuffle that brings them to those of the table, and written by the tasks that
+        sum them. Once the table has rows, `new` is made twice, first for the buckets that it touches."""
+        version = self.version()
+        manifest = self.manifest(version)
+        if batch is not None and batch in manifest["batches"]:
             return False
-        new = materialise(new.select(*self.schema.names), "came")
+        numbers = self._numbers(new) if manifest["buckets"] else []
         total = [F.sum(c).cast(self.schema[c].dataType).alias(c) for c in sums]
-        return self.change(new, new, lambda old, own: old.unionByName(own).groupBy(*self.keys).agg(*total), batch)
+        every = new.select(*self.schema.names)
+        if any(int(n) in numbers for n in manifest["buckets"]):
+            every = self.frame(version, numbers).unionByName(every)
+        rows = self._dealt(every.groupBy(*self.keys).agg(*total).select(*self.schema.names))
+        return self._written(version, manifest, rows, numbers, batch)
 
     def vacuum(self) -> int:
         """Delete the folders of buckets that the latest version does not have, and the manifests before it;

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators import chunk, dedup, holdout, intervals, scans, similarity
+from scriptorium.operators import chunk, dedup, holdout, intervals, scans, similarity, style
 from scriptorium.plans import corpus
 from scriptorium.sources import sinks
 from scriptorium.streaming import events as stream
@@ -430,3 +430,14 @@ def test_sealed_texts_of_any_number_of_words(spark):
     got = sorted(map(tuple, holdout.sealed_matches(d, "id", "text", s, "item", "text").collect()))
     assert got == sorted((i, j) for i, t in enumerate(docs) for j, x in enumerate(sealed) if x in " ".join((t or "").lower().split()))
     assert holdout.sealed_matches(d, "id", "text", s.limit(0), "item", "text").count() == 0
+
+
+def test_most_frequent_drops_rare_rows_before_it_ranks(spark):
+    rows = [(g, f"w{i:03}", 1 if i >= 30 else 100 - i // 2) for g in ("a", None) for i in range(400)] + [("few", "x", 1)]
+    counts = spark.createDataFrame(rows, "g string, gram string, count long")
+    for k in (7, 10, 35):
+        got = style.most_frequent(counts, ["g"], k)
+        want = {r for g in ("a", None, "few") for r in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))[:k]}
+        assert {tuple(r) for r in got.collect()} == want
+    plan = style.most_frequent(counts, ["g"], 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

@@ -59,6 +59,17 @@ def test_sums_of_a_batch_count_once(spark, tmp_path):
     assert kept.manifest()["batches"] == ["one", "two"]
 
 
+def test_sums_of_many_rows_a_key_touch_their_bucket_alone(spark, tmp_path):
+    kind = "g string, n long"
+    kept = Stored(spark, str(tmp_path), made(spark, [], kind).schema, ["g"], 64)
+    assert not kept.add(made(spark, [], kind), ["n"], "none") and kept.version() == 0
+    assert kept.add(made(spark, [(g, 1) for g in "abca"], kind), ["n"])
+    folders = kept.manifest()["buckets"]
+    assert kept.add(made(spark, [("b", 1), ("b", 2)], kind), ["n"])
+    assert rows_of(kept.frame()) == [("a", 2), ("b", 4), ("c", 1)]
+    assert sum(f != folders.get(n) for n, f in kept.manifest()["buckets"].items()) == 1
+
+
 def test_of_two_changes_at_once_one_fails(spark, tmp_path):
     kept = Stored(spark, str(tmp_path), made(spark, []).schema, ["id"], 4)
     kept.upsert(made(spark, [("a", 1, "x")]), ["label"])

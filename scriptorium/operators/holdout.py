@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators.style import bind, grams
+from scriptorium.session import materialise
 
 LEAST_CHARS, GRAM = 40, 8
 #: Words of an anchor, and its characters where there are no words for one.
@@ -37,6 +40,20 @@ def _run_hashes(words: Column, n: int) -> Column:
     return bind(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<bigint>)")))
 
 
+def _met(split: DataFrame, anchored: DataFrame, kinds: list[int]) -> DataFrame:
+    """id, sid where a run of a row's words `_w` has the hash of an anchor."""
+    found = []
+    if longest := max(kinds, default=0):
+        # The words from each place on, side by side, so that no expression is interpreted for a run.
+        shifted = split.select("id", *[F.slice("_w", j + 1, F.size("_w")).alias(f"_w{j}") for j in range(longest)])
+        rows = shifted.select("id", F.inline(F.arrays_zip(*[f"_w{j}" for j in range(longest)])))
+        runs = [F.when(F.col(f"_w{k - 1}").isNotNull(), F.xxhash64(F.lit(k), *[f"_w{j}" for j in range(k)])) for k in kinds if k]
+        found.append(rows.select("id", F.stack(F.lit(len(runs)), *runs).alias("_a")).where("_a is not null"))
+    if 0 in kinds:
+        found.append(split.select("id", F.explode(F.array_distinct(_letter_hashes(F.col("_w")))).alias("_a")))
+    return reduce(DataFrame.unionByName, [hashes.join(anchored, "_a").select("id", "sid") for hashes in found]).distinct()
+
+
 def _letter_hashes(words: Column) -> Column:
     """A hash of each run of LETTERS characters within the long words."""
     long = F.filter(words, lambda w: F.length(w) >= LETTERS)
@@ -51,15 +68,18 @@ def sealed_matches(docs: DataFrame, id_col: str, text_col: str, sealed: DataFram
     meets the runs of the documents; the first and last word may be cut by a match within words.
     A text of one or two words is so long that one of them has LETTERS characters, which lie
     in one word of the document: its anchor is a run of these. Only ids and hashes are spread out;
-    texts join the pairs that met, and containment is checked on them."""
-    s = sealed.select(F.col(sealed_id).alias("sid"), tx.normalize(F.col(sealed_text)).alias("sealed")).where(F.length("sealed") >= LEAST_CHARS)
+    sealed texts join the pairs that met, these the texts, and containment is checked there, so a sealed text that many
+    meet brings no texts to one task. Sealed texts longer than every text are left out first."""
+    longest = docs.agg(F.max(F.length(F.lower(F.col(text_col))))).first()[0] or 0  # a normal form is no longer
+    s = sealed.select(F.col(sealed_id).alias("sid"), tx.normalize(F.col(sealed_text)).alias("sealed")).where(F.length("sealed").between(LEAST_CHARS, longest))
+    s = materialise(s, "sealed")
     d = docs.select(F.col(id_col).alias("id"), tx.normalize(F.col(text_col)).alias("norm")).where(F.length("norm") >= LEAST_CHARS)
     inner = s.withColumn("_w", F.split("sealed", " ")).withColumn("_k", F.greatest(F.lit(0), F.least(F.lit(ANCHOR), F.size("_w") - 2)))
     kinds = sorted(r[0] for r in inner.select("_k").distinct().collect())  # ANCHOR + 1 at most
+    if not kinds:
+        return d.crossJoin(s).select("id", "sid").limit(0)
     own = lambda k, w: _letter_hashes(w) if k == 0 else _run_hashes(w, k)
     anchors = [F.when(F.col("_k") == k, F.array_max(own(k, F.col("_w") if k == 0 else F.expr("slice(_w, 2, size(_w) - 2)")))) for k in kinds]
-    anchored = inner.select("sid", F.coalesce(*anchors, F.lit(None).cast("long")).alias("_a")).where("_a is not null")
-    split = d.select("id", F.split("norm", " ").alias("_w"))
-    hashes = F.array_distinct(F.concat(*[own(k, F.col("_w")) for k in kinds])) if kinds else F.expr("cast(array() as array<bigint>)")
-    met = split.select("id", F.explode(hashes).alias("_a")).join(anchored, "_a").select("id", "sid").distinct()
-    return d.join(met, "id").join(s, "sid").where(F.col("norm").contains(F.col("sealed"))).select("id", "sid").distinct()
+    anchored = materialise(inner.select("sid", F.coalesce(*anchors).alias("_a")).where("_a is not null"), "anchors")
+    met = _met(d.select("id", F.split("norm", " ").alias("_w")), anchored, kinds)
+    return met.join(s, "sid").join(d, "id").where(F.col("norm").contains(F.col("sealed"))).select("id", "sid").distinct()

@@ -13,7 +13,7 @@ from scriptorium.operators.places import placed
 from scriptorium.operators.style import top_per
 from scriptorium.plans.tables import questions, responses
 from scriptorium.plans.text_rules import NORMAL, TOK_LIST, WORDS, found, redacted_sql
-from scriptorium.session import ship, table
+from scriptorium.session import ship, spread, table
 
 
 def s3_project_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def l8_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = rules.event_intent(F.col("text"), F.lit("text"), F.lit(0.0), F.col("turn") > 0, F.lit(None).cast("string"))
     notes = c.where("role = 'user'").withColumn("intent", of["intent"]).where("intent in ('correction', 'meta')")
     quoted = c.where("role = 'user' and conv_id % 5 = 0").select(F.concat_ws(":", F.lit("statement"), "conv_id", "turn").alias("id"), F.concat(F.lit("They said:  "), "text", F.lit(" (noted)")).alias("text"))
-    documents = table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text")
+    documents = spread(table(spark, sf_dir, "documents").select(F.concat_ws(":", F.lit("document"), "doc_id").alias("id"), "text"), "id")
     stores = c.join(notes.select("id"), "id", "left_anti").select("id", "text").unionByName(documents).unionByName(quoted)
     return holdout.sealed_matches(stores, "id", "text", notes, "id", "text").select(F.col("id").alias("store_id"), F.col("sid").alias("turn_id"))
 

@@ -441,3 +441,15 @@ def test_most_frequent_drops_rare_rows_before_it_ranks(spark):
         assert {tuple(r) for r in got.collect()} == want
     plan = style.most_frequent(counts, ["g"], 7)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_sealed_texts_longer_than_every_text_meet_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven"), (2, "x")], "id long, text string")
+    sealed = spark.createDataFrame([(7, "two three four five six seven eight nine ten"), (8, "two three four five six seven eight nine ten eleven twelve thirteen")], "sid long, s string")
+    monkeypatch.setattr(holdout, "_met", lambda split, anchored, kinds, met=holdout._met: seen.append([r.sid for r in anchored.collect()]) or met(split, anchored, kinds))
+    seen = []
+    got = holdout.sealed_matches(docs, "id", "text", sealed, "sid", "s")
+    assert [tuple(r) for r in got.collect()] == [(1, 7)] and seen == [[7]]
+    assert holdout.sealed_matches(docs, "id", "text", sealed.where("sid = 8"), "sid", "s").count() == 0 and seen == [[7]]
+    outer = next(line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in line)
+    assert "sid#" not in outer  # sealed texts join the pairs first, and only then the texts

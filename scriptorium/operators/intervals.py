@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,41 @@ def _bucketed(spans: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("own", F.lit(True)).unionByName(again)
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows of whole groups, and where the groups begin and the last one ends; the last group of a batch waits for the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        codes = [rows.column(c).dictionary_encode("encode").indices.to_numpy() for c in by]
+        cut = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in codes])) + 1])
+        if len(cut) > 1:
+            yield rows.slice(0, int(cut[-1])), cut
+        held = rows.slice(int(cut[-1]))
+    if held is not None:
+        yield held, np.array([0, held.num_rows])
+
+
+def _by_group(rows: DataFrame, by: list[str], order: list[str], work: Callable[..., tuple], schema: str) -> DataFrame:
+    """`schema` (the first is the group's `key`): what `work` makes of the columns of each group, in the `order`, as arrays.
+
+    A task goes through its sorted groups batch by batch: recordings are many and short, and a call for each
+    group from Spark takes longer than its work."""
+    columns, names = [*by[1:], *order], [part.split()[0] for part in schema.split(", ")]
+    kinds = [pa.int64() if part.endswith(" long") else pa.float64() for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, cut in _whole_groups(batches, by):
+            own = [rows.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            made = [work(*(c[x:y] for c in own)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            of = pa.array(np.repeat(cut[:-1], [len(m[0]) for m in made]))
+            values = [pa.array(np.concatenate([np.asarray(m[i]) for m in made]), kind) for i, kind in enumerate(kinds[1:])]
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(of), *values], names=names)
+
+    return rows.select("key", *columns).repartition(*by).sortWithinPartitions("key", *columns).mapInArrow(run, schema)
+
+
 def plan_clips(spans: DataFrame, key: str, total: float) -> DataFrame:
     """key, start, end, dropped: consecutive spans packed into clips of 3 to 15 seconds, cut
     only in silences; a span that is too long and a clip that is too short are dropped with
@@ -84,41 +121,39 @@ def plan_clips(spans: DataFrame, key: str, total: float) -> DataFrame:
     kind, width = spans.schema[key].dataType.simpleString(), BUCKET
     rows = materialise(_bucketed(spans, key), "buckets")
 
-    def ordered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-        pdf = pdf.sort_values(["start", "end"])
-        return pdf["start"].to_numpy(), pdf["end"].to_numpy(), int(pdf["own"].sum())
-
-    def jumps(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end, own = ordered(pdf)
-        then = _jumps(start, end)
+    def jumps(bucket: np.ndarray, start: np.ndarray, end: np.ndarray, mine: np.ndarray) -> tuple:
+        own, then = int(mine.sum()), _jumps(start, end)
         leaves = np.zeros(own)  # where the last clip ends that begins here
         for i in range(own - 1, -1, -1):
             leaves[i] = end[then[i] - 1] if then[i] >= own else leaves[then[i]]
-        first = np.flatnonzero(np.concatenate([[own > 0], end[: max(own, 1) - 1] <= of[1] * width + MOST + GAP]))
-        return pd.DataFrame({"key": of[0], "bucket": of[1], "entry": start[first], "exit": leaves[first]})
-
-    def followed(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, out = -np.inf, []
-        for bucket, own in pdf.sort_values(["bucket", "entry"]).groupby("bucket"):
-            here = int(np.searchsorted(own["entry"], at))
-            if here < len(own):  # else a clip from before holds all spans here
-                out.append((of[0], bucket, own["entry"].iloc[here]))
-                at = own["exit"].iloc[here]
-        return pd.DataFrame(out, columns=["key", "bucket", "entry"])
-
-    def packed(of: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        start, end, own = ordered(pdf)
-        then, i, out = _jumps(start, end), int(np.searchsorted(start, pdf["entry"].iloc[0])), []
+        first = np.flatnonzero(np.concatenate([[own > 0], end[: max(own, 1) - 1] <= bucket[0] * width + MOST + GAP]))
+        return np.repeat(bucket[:1], len(first)), start[first], leaves[first]
+
+    def followed(bucket: np.ndarray, entry: np.ndarray, exit: np.ndarray) -> tuple:
+        at, buckets, entries = -np.inf, [], []
+        cut = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for x, y in zip(cut[:-1], cut[1:]):
+            here = x + int(np.searchsorted(entry[x:y], at))
+            if here < y:  # else a clip from before holds all spans here
+                buckets.append(bucket[x])
+                entries.append(entry[here])
+                at = exit[here]
+        return np.array(buckets, np.int64), np.array(entries)
+
+    def packed(bucket: np.ndarray, start: np.ndarray, end: np.ndarray, mine: np.ndarray, entry: np.ndarray) -> tuple:
+        own, then, i, out = int(mine.sum()), _jumps(start, end), int(np.searchsorted(start, entry[0])), []
         while i < own:
-            out.append((of[0], start[i], end[i : then[i]].max()))
+            out.append((start[i], end[i : then[i]].max()))
             i = int(then[i])
-        return pd.DataFrame(out, columns=["key", "clip", "last"])
+        return tuple(np.array(out, float).reshape(-1, 2).T)
 
     named = rows.withColumnRenamed(key, "key")
-    found = materialise(named.groupBy("key", "bucket").applyInPandas(jumps, f"key {kind}, bucket long, entry double, exit double"), "jumps")
-    entries = found.groupBy("key").applyInPandas(followed, f"key {kind}, bucket long, entry double")
+    spans_in = ["start", "end", "own"]
+    found = materialise(_by_group(named, ["key", "bucket"], spans_in, jumps, f"key {kind}, bucket long, entry double, exit double"), "jumps")
+    entries = _by_group(found, ["key"], ["bucket", "entry", "exit"], followed, f"key {kind}, bucket long, entry double")
     entries = entries.withColumnsRenamed({"key": "_key", "bucket": "_bucket"})
-    clips = named.join(entries, F.col("key").eqNullSafe(F.col("_key")) & (F.col("bucket") == F.col("_bucket"))).drop("_key", "_bucket").groupBy("key", "bucket").applyInPandas(packed, f"key {kind}, clip double, last double").withColumnRenamed("key", key)
+    entered = named.join(entries, F.col("key").eqNullSafe(F.col("_key")) & (F.col("bucket") == F.col("_bucket"))).drop("_key", "_bucket")
+    clips = _by_group(entered, ["key", "bucket"], [*spans_in, "entry"], packed, f"key {kind}, clip double, last double").withColumnRenamed("key", key)
     long = F.col("last") - F.col("clip") > MOST
     start = F.when(long, F.col("clip")).otherwise(F.greatest(F.lit(0.0), F.col("clip") - PAD))
     end = F.when(long, F.col("last")).otherwise(F.least(F.lit(total), F.col("last") + PAD))

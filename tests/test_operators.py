@@ -286,6 +286,13 @@ def test_clips_over_many_buckets(spark, monkeypatch):
     assert intervals.plan_clips(df.limit(0), "rec", 10.0).count() == 0
 
 
+def test_clips_of_many_recordings_take_no_call_each(spark):
+    spans = spark.range(3_000).selectExpr("id AS rec", "explode(sequence(0, 2)) AS i").selectExpr("rec", "i * 600.0D + rec % 7 AS start", "i * 600.0D + rec % 7 + 5 AS end")
+    clips = intervals.plan_clips(spans, "rec", 3600.0)
+    assert clips.count() == 9_000
+    assert "FlatMapGroups" not in clips._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scans_equal_windows(spark):
     """One subject has 90 in 100 rows; others, and none, have few."""
     r = random.Random(8)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 384
+#: Characters of texts that an embedding function gets at once; a longer text comes alone.
+PORTION_CHARS = 1_000_000
 
 
 def token_counter(count: Callable[[str], int]):
@@ -33,13 +35,28 @@ def hashed_vector(text: str, size: int = SIZE) -> np.ndarray:
     return v / max(np.linalg.norm(v), 1e-12)
 
 
+def _portions(texts: pd.Series) -> Iterator[list[str]]:
+    """The texts of a batch in order, at most PORTION_CHARS characters at once or one text; null texts are empty."""
+    own, chars = [], 0
+    for t in texts:
+        t = t or ""
+        if own and chars + len(t) > PORTION_CHARS:
+            yield own
+            own, chars = [], 0
+        own.append(t)
+        chars += len(t)
+    if own:
+        yield own
+
+
 def embedder(embed: Callable[[list[str]], np.ndarray]):
-    """A column function from any function of a list of texts to an array of vectors."""
+    """A column function from any function of a list of texts to an array of vectors. The function gets
+    PORTION_CHARS characters of a batch at once, so what it holds does not grow with the texts of a batch."""
 
     @F.pandas_udf("array<float>")
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(np.asarray(embed([t or "" for t in texts]), np.float32)), dtype=object)
+            yield pd.Series([v for own in _portions(texts) for v in np.asarray(embed(own), np.float32)], dtype=object)
 
     return embedded
 

@@ -242,6 +242,7 @@ def u5_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u1_test_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic unit vector of each text; its size, norm and first component."""
+    ship(spark)
     v = table(spark, sf_dir, "documents").select("doc_id", udfs.test_embedding(F.col("text")).alias("v"))
     return v.select("doc_id", F.size("v").alias("size"), F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4).alias("norm"), F.round(F.get("v", F.lit(0)).cast("double"), 5).alias("first"))
 
@@ -254,6 +255,7 @@ def u3_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's embedding function; here two counts of characters."""
     import numpy as np
 
+    ship(spark)  # batches of few rows
     made = udfs.embedder(lambda texts: np.array([[len(t), t.count("e")] for t in texts]))(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", made.alias("v")).select("doc_id", F.get("v", F.lit(0)).cast("long").alias("chars"), F.get("v", F.lit(1)).cast("long").alias("es"))
 

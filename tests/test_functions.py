@@ -105,3 +105,13 @@ def test_cards_are_marked_in_place(spark):
     found = {r.i: (r.redacted, (r.redactions or {}).get("financial_card", 0)) for r in got}
     assert [found[i][0] for i in range(8)] == want
     assert [found[i][1] for i in range(8)] == [1, 1, 1, 1, 2, 0, 0, 0]
+
+
+def test_an_embedding_function_gets_bounded_portions(spark, monkeypatch):
+    from scriptorium.functions import udfs
+
+    monkeypatch.setattr(udfs, "PORTION_CHARS", 10)
+    texts = ["abcd", None, "efghij", "k" * 30, "l"]
+    portions = [own for own in udfs._portions(texts)]
+    assert portions == [["abcd", "", "efghij"], ["k" * 30], ["l"]]
+    assert list(udfs._portions([])) == []

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from scriptorium.operators.dedup import greedy_drops
 from scriptorium.session import Scratch, materialise, ship
 
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+BLOCK_ROWS, QUERY_ROWS = 8192, 16_384
+#: Queries of a task that are compared with a batch of rows at once.
+MET_ROWS = 1024
 #: Rows for which there is a cell, cells at most, and vectors that pivots are fitted on.
 CELL_ROWS, MOST_CELLS, SAMPLE_ROWS = 32_768, 1024, 8192
 #: Rings of a cell (Euclidean distances are up to 2), and what rounding may add to a bound.
@@ -185,12 +187,14 @@ class Inverted:
                         continue
                     if key != of:
                         continue
-                    d = 1 - asked @ x.T
-                    d[ids[:, None] == own[None, :]] = np.inf
-                    if k and k < d.shape[1]:
-                        d = np.where(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k], d, np.inf)
-                    i, j = np.nonzero(d < most)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j]), pa.array(d[i, j])], names=["query_id", "id", "distance"])
+                    for at in range(0, len(ids), MET_ROWS):
+                        some = ids[at : at + MET_ROWS]
+                        d = 1 - asked[at : at + MET_ROWS] @ x.T
+                        d[some[:, None] == own[None, :]] = np.inf
+                        if k and k < d.shape[1]:
+                            d = np.where(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k], d, np.inf)
+                        i, j = np.nonzero(d < most)
+                        yield pa.RecordBatch.from_arrays([pa.array(some[i]), pa.array(own[j]), pa.array(d[i, j])], names=["query_id", "id", "distance"])
 
         return both.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, "query_id long, id long, distance double")
 

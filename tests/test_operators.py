@@ -460,3 +460,14 @@ def test_sealed_texts_longer_than_every_text_meet_nothing(spark, monkeypatch):
     assert holdout.sealed_matches(docs, "id", "text", sealed.where("sid = 8"), "sid", "s").count() == 0 and seen == [[7]]
     outer = next(line for line in got._jdf.queryExecution().analyzed().toString().splitlines() if "Join Inner" in line)
     assert "sid#" not in outer  # sealed texts join the pairs first, and only then the texts
+
+
+def test_queries_of_a_task_are_compared_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5))
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(60)], "id long, v array<double>")
+    monkeypatch.setattr(similarity, "MET_ROWS", 7)
+    got = {(r.query_id, r["rank"]): r.id for r in similarity.top_k(df, df, "id", "v", 3).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = 1 - u @ u.T + np.diag(np.full(60, 9.0))
+    assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}

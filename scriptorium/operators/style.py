@@ -4,9 +4,10 @@ Everything is counted per text and added up, so that counts merge in any order."
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ INTENSIFIERS = ["really", "very", "definitely", "absolutely", "completely", "tot
 MARKERS = list(dict.fromkeys(FUNCTION_WORDS + DISCOURSE))
 LIST_LINE = "^([-*•]|\\d+[.)])\\s"
 FLOOR_PER_1K, PHRASE_PER_1K = 0.05, 0.15
+#: Steps of a mean log2 by which phrases are ranked first, and how far that rank, rounded to hundredths, may be off.
+STEPS, MARGIN = 64, 0.02
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,12 +46,17 @@ def grams(tokens: Column, n: int) -> Column:
     return bind(tokens, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(F.expr("cast(array() as array<string>)")))
 
 
-def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
-    """keys, n (1..longest), gram: a row for each place of a gram."""
-    tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w")).where("size(_w) > 0")
+def _places(df: DataFrame, keys: list[str], tokens: Column, longest: int) -> DataFrame:
+    """keys, _w0, _w1, ...: each token and those after it."""
+    rows = df.select(*keys, tokens.alias("_w")).where("size(_w) > 0")
     # The runs at a place are the tokens from there on, side by side: short rows, and nothing interpreted.
     shifted = [F.slice("_w", k + 1, F.size("_w")).alias(f"_w{k}") for k in range(longest)]
-    rows = tokens.select(*keys, *shifted).select(*keys, F.inline(F.arrays_zip(*[f"_w{k}" for k in range(longest)])))
+    return rows.select(*keys, *shifted).select(*keys, F.inline(F.arrays_zip(*[f"_w{k}" for k in range(longest)])))
+
+
+def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
+    """keys, n (1..longest), gram: a row for each place of a gram."""
+    rows = _places(df, keys, tx.style_tokens(F.col(text_col)), longest)
     run = lambda n: F.when(F.col(f"_w{n - 1}").isNotNull(), F.concat_ws(" ", *[f"_w{k}" for k in range(n)]))
     each = F.stack(F.lit(longest), *[c for n in range(1, longest + 1) for c in (F.lit(n), run(n))]).alias("n", "gram")
     return rows.select(*keys, each).where("gram is not null")
@@ -78,20 +86,34 @@ def top_per(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
 
 
-def text_analysis(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def cut_texts(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """keys, the text, `full` (sentences that are not blank), `cut` (tokens of each sentence) and `tokens` of all, written
+    once for statistics that would each cut the texts anew. No token goes across the end of a sentence."""
+    made = lambda s: F.struct(F.size(F.filter(s, lambda x: F.trim(x) != "")).alias("full"), F.transform(s, lambda x: tx.style_tokens(F.trim(x))).alias("cut"))
+    rows = df.select(*keys, text_col, bind(tx.sentences(F.col(text_col)), made).alias("_cut"))
+    return materialise(rows.select(*keys, text_col, "_cut.full", "_cut.cut"), "cut").withColumn("tokens", F.flatten("cut"))
+
+
+def text_analysis(df: DataFrame, keys: list[str], text_col: str, tokens: Column | None = None) -> DataFrame:
     """Words, sentences, non-blank lines and list lines by keys."""
     t = F.col(text_col)
-    lines = F.filter(F.split(t, "\n"), lambda x: tx.squeeze(x) != "")
+    lines = F.filter(F.split(t, "\n"), lambda x: tx.matches(x, "\\S"))
     # A terminated sentence is told by its end, so a long text without an end is read once.
     ends = F.greatest(F.lit(1), F.regexp_count(t, F.lit("[^.!?\\n][.!?]")))
-    rows = df.select(*keys, F.size(tx.style_tokens(t)).alias("w"), ends.alias("s"), F.size(lines).alias("l"), F.size(F.filter(lines, lambda x: F.trim(x).rlike(tx.java(LIST_LINE)))).alias("ll"))
+    rows = df.select(*keys, F.size(tx.style_tokens(t) if tokens is None else tokens).alias("w"), ends.alias("s"), F.size(lines).alias("l"), F.size(F.filter(lines, lambda x: F.trim(x).rlike(tx.java(LIST_LINE)))).alias("ll"))
     return rows.groupBy(*keys).agg(F.sum("w").alias("words"), F.sum("s").alias("sentences"), F.sum("l").alias("lines"), F.sum("ll").alias("list_lines"))
 
 
-def sentence_lengths(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def sentence_tokens(df: DataFrame, keys: list[str], text_col: str, cut: Column | None = None) -> DataFrame:
+    """keys, _w: the style tokens of each sentence; `cut` has them if they are known."""
+    if cut is not None:
+        return df.select(*keys, F.explode(cut).alias("_w"))
+    return df.select(*keys, F.explode(tx.sentences(F.col(text_col))).alias("_s")).select(*keys, tx.style_tokens(F.trim("_s")).alias("_w"))
+
+
+def sentence_lengths(df: DataFrame, keys: list[str], text_col: str, cut: Column | None = None) -> DataFrame:
     """keys, length: style tokens of every non-empty sentence."""
-    rows = df.select(*keys, F.explode(tx.sentences(F.col(text_col))).alias("_s"))
-    return rows.select(*keys, F.size(tx.style_tokens(F.trim("_s"))).alias("length")).where("length > 0")
+    return sentence_tokens(df, keys, text_col, cut).select(*keys, F.size("_w").alias("length")).where("length > 0")
 
 
 def length_bucket(n: Column) -> Column:
@@ -120,6 +142,40 @@ def distinctive(counts: DataFrame, keys: list[str], base: DataFrame, k: int = 60
     return top_per(scored, keys, [F.desc(F.col("score") * F.log(1 + F.col("count"))), "gram"], k)
 
 
+def distinctive_grams(df: DataFrame, keys: list[str], text_col: str, base: DataFrame, k: int = 60, floor: float = 3e-6, tokens: Column | None = None) -> DataFrame:
+    """`distinctive` of the grams (1 to 3 tokens) of texts, without a table of all of them.
+
+    Most grams are rare, so phrases are counted by a 64-bit hash first, with their mean log2 of the baseline in steps of 1 / STEPS.
+    That gives each one's rank but for MARGIN; the texts of those that may be among the first k, and of no others,
+    are then read and counted as they are. Two phrases of one hash and step would only bring more to be read, unless
+    one of them seems to be among the first k and is not: a chance of k to 2^64 / (number of phrases)."""
+    tokens = tx.style_tokens(F.col(text_col)) if tokens is None else tokens
+    words = materialise(df.select(*keys, F.explode(tokens).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("count")), "words")
+    rows = _places(df, keys, tokens, 3)
+    single = words.select(*keys, F.lit(1).alias("n"), "gram", "count")
+    totals = words.groupBy(*keys).agg(F.sum("count").alias("total"))
+    known = base.select(F.col("word"), F.log2("p").alias("log"))
+    for i in range(3):
+        rows = rows.join(F.broadcast(known.withColumnsRenamed({"word": f"_b{i}", "log": f"_l{i}"})), F.col(f"_w{i}") == F.col(f"_b{i}"), "left").drop(f"_b{i}")  # a row for each of the common words
+    log = lambda i: F.coalesce(f"_l{i}", F.lit(math.log2(floor)))
+    mean = lambda n: F.round(reduce(add, (log(i) for i in range(n))) * (STEPS / n)).cast("int")
+    hashed = lambda n: F.when(F.col(f"_w{n - 1}").isNotNull(), F.xxhash64(*[f"_w{i}" for i in range(n)]))
+    run = lambda n: F.concat_ws(" ", *[f"_w{i}" for i in range(n)])
+    each = F.stack(F.lit(2), *[c for n in (2, 3) for c in (F.lit(n), mean(n), hashed(n))]).alias("n", "mean", "hash")
+    counts = rows.select(*keys, each).where("hash is not null").groupBy(*keys, "n", "mean", "hash").agg(F.count("*").alias("count")).where("count >= 4")
+    ones = single.where("count >= 5 and length(gram) >= 3").join(F.broadcast(known), F.col("gram") == F.col("word"), "left")
+    ones = ones.select(*keys, "n", F.round(F.coalesce("log", F.lit(math.log2(floor))) * STEPS).cast("int").alias("mean"), F.lit(None).cast("long").alias("hash"), "count")
+    both = counts.unionByName(ones).join(totals, keys).withColumn("raw", F.log2(F.col("count") / F.col("total")) - F.col("mean") / STEPS - F.when(F.col("n") > 1, 2).otherwise(0))
+    ranked = materialise(both.where(F.col("raw") > 1 - MARGIN).withColumn("weight", F.log(1 + F.col("count"))), "ranked")
+    least = top_per(ranked.where(F.col("raw") > 1 + MARGIN).select(*keys, ((F.col("raw") - MARGIN) * F.col("weight")).alias("least")), keys, [F.desc("least")], k)
+    floors = least.groupBy(*keys).agg(F.when(F.count("*") == k, F.min("least")).alias("least"))  # all, where fewer than k are sure
+    near = ranked.join(floors, keys, "left").where(F.col("least").isNull() | ((F.col("raw") + MARGIN) * F.col("weight") >= F.col("least")))
+    some = materialise(near.where("hash is not null").select(*keys, F.col("n").alias("_n"), F.col("hash").alias("_hash")), "some")
+    texts = rows.select(*keys, F.stack(F.lit(2), *[c for n in (2, 3) for c in (F.lit(n), hashed(n), run(n))]).alias("_n", "_hash", "gram")).where("_hash is not null")
+    found = texts.join(some, [*keys, "_n", "_hash"], "left_semi").groupBy(*keys, F.col("_n").alias("n"), "gram").agg(F.count("*").alias("count"))
+    return distinctive(single.unionByName(found), keys, base, k, floor)
+
+
 def _terms_in(tokens: Column, terms: list[str]) -> Column:
     """The terms that occur in an array of tokens, as often as they do. Only where a term's first
     word stands are longer runs spelled out."""
@@ -135,12 +191,12 @@ def _terms_in(tokens: Column, terms: list[str]) -> Column:
     return F.concat(own, F.filter(F.flatten(runs), lambda g: g.isin(phrases)))
 
 
-def term_rates(df: DataFrame, keys: list[str], text_col: str, terms: list[str]) -> DataFrame:
+def term_rates(df: DataFrame, keys: list[str], text_col: str, terms: list[str], tokens: Column | None = None) -> DataFrame:
     """per_1k, baseline and ratio of each term that occurs; terms may have several words."""
     spark = df.sparkSession
     ranks = {w: 70.0 / (i + 1) for i, w in enumerate(dict.fromkeys(FUNCTION_WORDS))}
     given = spark.createDataFrame([(t, PHRASE_PER_1K if " " in t else ranks.get(t, FLOOR_PER_1K)) for t in terms], "term string, base double")
-    found = bind(tx.style_tokens(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), _terms_in(w, terms).alias("t")))
+    found = bind(tx.style_tokens(F.col(text_col)) if tokens is None else tokens, lambda w: F.struct(F.size(w).alias("n"), _terms_in(w, terms).alias("t")))
     tokens = df.select(*keys, found.alias("_found"))
     # one pass: a text's own counts leave the row, its tokens don't; the empty term counts all
     each = F.concat(F.transform("_found.t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("k"))), F.array(F.struct(F.lit("").alias("term"), F.col("_found.n").alias("k"))))
@@ -163,46 +219,73 @@ def markers(rates: DataFrame, keys: list[str], k: int = 25) -> DataFrame:
     return top_per(rates.where("ratio >= 1.5 OR ratio <= 0.5"), keys, [F.desc(F.round(weight, 9)), "term"], k)
 
 
-def sentence_spread(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def sentence_spread(df: DataFrame, keys: list[str], text_col: str, cut: Column | None = None) -> DataFrame:
     """Mean and population deviation of sentence lengths, to one decimal."""
-    return sentence_lengths(df, keys, text_col).groupBy(*keys).agg(F.round(F.avg("length"), 1).alias("mean_words"), F.round(F.stddev_pop("length"), 1).alias("std_words"))
+    return sentence_lengths(df, keys, text_col, cut).groupBy(*keys).agg(F.round(F.avg("length"), 1).alias("mean_words"), F.round(F.stddev_pop("length"), 1).alias("std_words"))
 
 
-def openers(df: DataFrame, keys: list[str], text_col: str, k: int = 10) -> DataFrame:
+def openers(df: DataFrame, keys: list[str], text_col: str, k: int = 10, cut: Column | None = None) -> DataFrame:
     """First two tokens of sentences with at least three, in three sentences or more."""
-    rows = df.select(*keys, F.explode(tx.sentences(F.col(text_col))).alias("_s")).select(*keys, tx.style_tokens(F.trim("_s")).alias("_w"))
+    rows = sentence_tokens(df, keys, text_col, cut)
     counts = rows.where(F.size("_w") >= 3).groupBy(*keys, F.array_join(F.slice("_w", 1, 2), " ").alias("opener")).agg(F.count("*").alias("count")).where("count >= 3")
     return top_per(counts, keys, [F.desc("count"), "opener"], k)
 
 
-def punctuation(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+def punctuation(df: DataFrame, keys: list[str], text_col: str, full: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """Marks by sentences that are not blank (`full`, if known) and by tokens."""
     t = F.col(text_col)
     n = lambda p: F.sum(F.regexp_count(t, F.lit(p)))
-    full = F.filter(tx.sentences(t), lambda s: F.trim(s) != "")
-    per_1k = lambda c: F.round(1000 * c / F.sum(F.size(tx.style_tokens(t))), 2)
+    full = F.size(F.filter(tx.sentences(t), lambda s: F.trim(s) != "")) if full is None else full
+    per_1k = lambda c: F.round(1000 * c / F.sum(F.size(tx.style_tokens(t) if tokens is None else tokens)), 2)
     return df.groupBy(*keys).agg(
-        F.round(n(",") / F.sum(F.size(full)), 2).alias("commas_per_sentence"), per_1k(n("[—–-]{1,2}[ \\n\\t]")).alias("dashes_per_1k"),
+        F.round(n(",") / F.sum(full), 2).alias("commas_per_sentence"), per_1k(n("[—–-]{1,2}[ \\n\\t]")).alias("dashes_per_1k"),
         per_1k(n("!")).alias("exclamations_per_1k"), per_1k(n("\\?")).alias("questions_per_1k"),
     )
 
 
-def word_profile(df: DataFrame, keys: list[str], text_col: str, counted: bool = False) -> DataFrame:
-    """keys, word, per_1k of every function word, zeros included, and if `counted` also its count
-    and the total; one pass, no gram shuffle."""
-    tokens = df.select(*keys, tx.style_tokens(F.col(text_col)).alias("_w"))
-    known = F.array(*map(F.lit, FUNCTION_WORDS))
-    own = tokens.select(*keys, F.size("_w").alias("n"), F.filter("_w", lambda w: w.isin(FUNCTION_WORDS)).alias("_w"))
-    total = own.groupBy(*keys).agg(F.sum("n").alias("total"))
-    counts = own.select(*keys, F.explode("_w").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("count"))
-    every = total.select(*keys, "total", F.explode(known).alias("word"))
-    more = [F.coalesce("count", F.lit(0)).alias("count"), "total"] if counted else []
-    return every.join(counts, [*keys, "word"], "left").select(*keys, "word", (1000 * F.coalesce("count", F.lit(0)) / F.greatest("total", F.lit(1))).alias("per_1k"), *more)
+def word_bags(df: DataFrame, cols: list[str], text_col: str, above: int = -1) -> DataFrame:
+    """cols, word, count of function words that occur in texts of more than `above` tokens; the empty word counts all
+    tokens, and is always there. Texts are cut once, the counts written; a null text has no tokens."""
+    one = lambda word, k: F.struct(word.alias("word"), k.cast("long").alias("k"))
+    own = lambda w: F.transform(F.filter(w, lambda x: x.isin(FUNCTION_WORDS)), lambda x: one(x, F.lit(1)))
+    made = lambda w: F.when(F.size(w) > above, F.concat(own(w), F.array(one(F.lit(""), F.size(w)))))
+    rows = df.select(*cols, F.inline(bind(tx.style_tokens(F.coalesce(text_col, F.lit(""))), made)))
+    return materialise(rows.groupBy(*cols, "word").agg(F.sum("k").alias("count")), "bags")
+
+
+def _bag_counts(bags: DataFrame, keys: list[str]) -> DataFrame:
+    return bags.groupBy(*keys, "word").agg(F.sum("count").alias("count"))
+
+
+def bag_profile(bags: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, word, per_1k of every function word, zeros included."""
+    counts = _bag_counts(bags, keys)
+    every = counts.where("word = ''").select(*keys, F.col("count").alias("total"), F.explode(F.array(*map(F.lit, FUNCTION_WORDS))).alias("word"))
+    return every.join(counts, [*keys, "word"], "left").select(*keys, "word", _per_1k().alias("per_1k"))
+
+
+def _per_1k() -> Column:
+    return 1000 * F.coalesce("count", F.lit(0)) / F.greatest("total", F.lit(1))
+
+
+def word_profile(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """keys, word, per_1k of every function word, zeros included; one pass, no gram shuffle."""
+    return bag_profile(word_bags(df, keys, text_col), keys)
 
 
-def profile_spread(profile: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, word, mean and population deviation (never 0) over the documents of a profile."""
-    sd = F.stddev_pop("per_1k")
-    return profile.groupBy(*keys, "word").agg(F.avg("per_1k").alias("mean"), F.when(sd == 0, 1e-6).otherwise(sd).alias("sd"))
+def bag_spread(bags: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """keys, word, mean and population deviation (never 0) over the documents (keys, order), zeros included: only words
+    that a document has are rows, the others are added by their number."""
+    counts = _bag_counts(bags, [*keys, order])
+    totals = counts.where("word = ''").select(*keys, order, F.col("count").alias("total"))
+    documents = totals.groupBy(*keys).agg(F.count("*").alias("all"))
+    own = counts.where("word <> ''").join(totals, [*keys, order]).withColumn("per_1k", _per_1k())
+    own = own.groupBy(*keys, "word").agg(F.count("*").alias("some"), F.avg("per_1k").alias("own"), F.var_pop("per_1k").alias("var"))
+    every = documents.select(*keys, "all", F.explode(F.array(*map(F.lit, FUNCTION_WORDS))).alias("word")).join(own, [*keys, "word"], "left")
+    some, mine = F.coalesce("some", F.lit(0)), F.coalesce("own", F.lit(0.0))
+    mean = F.when(some == F.col("all"), mine).otherwise(mine * some / F.col("all"))
+    var = F.when(some == F.col("all"), F.col("var")).otherwise((F.coalesce("var", F.lit(0.0)) + mine * mine * (F.col("all") - some) / F.col("all")) * some / F.col("all"))
+    return every.select(*keys, "word", mean.alias("mean"), F.when(var == 0, 1e-6).otherwise(F.sqrt(var)).alias("sd"))
 
 
 def delta(a: DataFrame, b: DataFrame, spread: DataFrame, keys: list[str]) -> DataFrame:
@@ -211,11 +294,12 @@ def delta(a: DataFrame, b: DataFrame, spread: DataFrame, keys: list[str]) -> Dat
     return both.groupBy(*keys).agg(F.avg(F.abs((F.col("a") - F.col("b")) / F.col("sd"))).alias("delta"))
 
 
-def self_distance(df: DataFrame, keys: list[str], order: str, text_col: str) -> DataFrame:
-    """Delta between alternate documents of a subject. Texts are counted once; only ids are ranked."""
-    profile = materialise(word_profile(df, [*keys, order], text_col, True), "profile")
-    places = placed(df.select(*keys, order), *keys, order)
+def self_distance(df: DataFrame, keys: list[str], order: str, text_col: str, above: int = -1) -> DataFrame:
+    """Delta between alternate documents of a subject, of those with more than `above` tokens. Texts are cut once; only ids
+    are ranked."""
+    bags = word_bags(df, [*keys, order], text_col, above)
+    places = placed(bags.where("word = ''").select(*keys, order), *keys, order)
     first = places.groupBy(*keys).agg(F.min("_i").alias("_first"))
     halves = places.join(first, keys).select(*keys, order, ((F.col("_i") - F.col("_first")) % 2).alias("_half"))
-    both = profile.join(halves, [*keys, order]).groupBy(*keys, "_half", "word").agg((1000 * F.sum("count") / F.greatest(F.sum("total"), F.lit(1))).alias("per_1k"))
-    return delta(both.where("_half = 0"), both.where("_half = 1"), profile_spread(profile, keys), keys)
+    both = materialise(bag_profile(bags.join(halves, [*keys, order]), [*keys, "_half"]), "halves")
+    return delta(both.where("_half = 0"), both.where("_half = 1"), bag_spread(bags, keys, order), keys)

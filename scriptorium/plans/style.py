@@ -123,21 +123,19 @@ def t12_word_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t13_profile_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = st.profile_spread(st.word_profile(_docs(spark, sf_dir), ["source", "doc_id"], "text"), ["source"])
+    out = st.bag_spread(st.word_bags(_docs(spark, sf_dir), ["source", "doc_id"], "text"), ["source"], "doc_id")
     return out.select("source", "word", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"))
 
 
 def t14_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of English and French texts of one source, against the source's documents."""
-    docs = _docs(spark, sf_dir)
-    spread = st.profile_spread(st.word_profile(docs, ["source", "doc_id"], "text"), ["source"])
-    a, b = (st.word_profile(docs.where(f"lang = '{x}'"), ["source"], "text") for x in ("en", "fr"))
-    return st.delta(a, b, spread, ["source"]).withColumn("delta", F.round("delta", 4))
+    bags = st.word_bags(spread(_docs(spark, sf_dir), "doc_id"), ["source", "doc_id", "lang"], "text")
+    a, b = (st.bag_profile(bags.where(f"lang = '{x}'"), ["source"]) for x in ("en", "fr"))
+    return st.delta(a, b, st.bag_spread(bags, ["source"], "doc_id"), ["source"]).withColumn("delta", F.round("delta", 4))
 
 
 def t15_self_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).where(F.size(tx.style_tokens(F.col("text"))) > 60)
-    return st.self_distance(docs, ["source"], "doc_id", "text").withColumn("delta", F.round("delta", 4))
+    return st.self_distance(spread(_docs(spark, sf_dir), "doc_id"), ["source"], "doc_id", "text", 60).withColumn("delta", F.round("delta", 4))
 
 
 #: Fillers that are spoken in one of so many turns, by the author and by the assistant.
@@ -179,7 +177,7 @@ def t17_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both arms side by side: copies, distance to the author's own turns, the author's distance to
     themself, and whether the former is within one and a half times the latter."""
     own = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lit("own").alias("who"), (F.col("conv_id") * 1_000 + F.col("turn")).alias("id"), "text")
-    spread = materialise(st.profile_spread(st.word_profile(own, ["who", "id"], "text"), ["who"]), "spread")
+    spread = materialise(st.bag_spread(st.word_bags(own, ["who", "id"], "text"), ["who"], "id"), "spread")
     whole = st.word_profile(own, ["who"], "text")
     made = st.word_profile(_replies(spark, sf_dir), ["arm"], "text")
     per_arm = lambda df: df.join(made.select("arm").distinct(), F.lit(True)).drop("who")  # noqa: E731 one row a word and arm

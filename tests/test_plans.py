@@ -30,3 +30,10 @@ def test_long_work_on_documents_is_dealt_over_all_tasks(spark):
     for query in (text_rules.p6_redaction, text_rules.p8_redaction_counts, corpus.k9_report_totals, style.t3_distinctive):
         plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan, query.__name__
+
+
+def test_texts_are_cut_once(spark):
+    """What t14 and t15 return is made from written counts: their plans cut no text."""
+    for query in (style.t14_delta, style.t15_self_distance):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_replace" not in plan and "split(" not in plan

@@ -66,8 +66,12 @@ LAST = 2**63 - 1
 #: A span of `windows` repeated windows from `start`, and its source: `from` in another document.
 FACTOR = np.dtype([("id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("windows", "<i4"), ("source", "<i8"), ("source_digest", "<i8"), ("from", "<i4")])
 
-#: A phrase that a block receives: `windows` windows from `start` on. Its words come beside it.
-PHRASE = np.dtype([("id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("windows", "u1")])
+#: A phrase that a block receives: `windows` windows from `start` on, and the slice of the block in which windows like
+#: these meet. Its words come beside it.
+PHRASE = np.dtype([("id", "<i8"), ("digest", "<i8"), ("start", "<i4"), ("windows", "u1"), ("slice", "u1")])
+#: Bits of a slice's number. Slices of a block are parsed one after the other: phrases overlap, so a block has several times
+#: BLOCK_BYTES, and its index several times that.
+SLICE_BITS = 2
 _PHRASES = "block int, heads binary, words binary, spans binary"
 #: Level of compression of the phrases of one row (neighbouring ones overlap in other rows only).
 SQUEEZE = 3
@@ -242,13 +246,15 @@ def _phrases(rows: list[Row], window: int, blocks: int, frequent: Frequent = NON
         b, n = _runs(new, doc[pos], anchor, sub)
         while len(n) and n.max() > 255:  # counts take one byte
             b, n = np.concatenate([b, b[n > 255] + 255]), np.concatenate([np.minimum(n, 255), n[n > 255] - 255])
-        block = (mix(anchor[b] + sub[b] * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int64)
+        value = mix(anchor[b] + sub[b] * np.uint64(0x9E3779B97F4A7C15))
+        block = (value % np.uint64(blocks)).astype(np.int64)
         order = np.lexsort((b, block))
-        w, n, block = pos[b[order]], n[order], block[order]
+        w, n, block, value = pos[b[order]], n[order], block[order], value[order]
         cut = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(b) else []
         from_, to = ref.at[w].tolist(), (ref.at[w + n + window - 1] - 1).tolist()
         heads = np.empty(len(w), PHRASE)
         heads["id"], heads["digest"], heads["start"], heads["windows"] = ids[doc[w]], digests[doc[w]], w - first[doc[w]], n
+        heads["slice"] = value >> np.uint64(64 - SLICE_BITS)
         squeeze = zstandard.ZstdCompressor(SQUEEZE).compress
         for x, y in zip(cut[:-1], cut[1:]):
             words = b"\n".join([ref.raw[i:j] for i, j in zip(from_[x:y], to[x:y])])
@@ -258,8 +264,29 @@ def _phrases(rows: list[Row], window: int, blocks: int, frequent: Frequent = NON
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[x.split()[0] for x in _PHRASES.split(", ")])
 
 
+def _slice_factors(heads: np.ndarray, pieces: list[bytes], window: int) -> np.ndarray:
+    """The factors of some phrases, parsed in (document, position) order."""
+    order = np.lexsort((heads["start"], heads["digest"], heads["id"]))
+    heads = heads[order]
+    ids, digests, starts, n = heads["id"].copy(), heads["digest"].copy(), heads["start"].astype(np.int64), heads["windows"].astype(np.int64)
+    ref = Reference.of([pieces[i] for i in order.tolist()], n + window - 1)
+    pos, piece = ref.windows(window), np.repeat(np.arange(len(n)), n)
+    base = starts - (np.cumsum(n + window - 1) - (n + window - 1))  # number in the document, less that in the reference
+    same = (ids[1:] == ids[:-1]) & (digests[1:] == digests[:-1])
+    if (same & (starts[1:] < starts[:-1] + n[:-1])).any():  # equal rows in two parts: each window once
+        document = np.concatenate([[0], np.cumsum(~same)])[piece]
+        once = np.sort(np.unique(document << 32 | pos + base[piece], return_index=True)[1])
+        pos, piece = pos[once], piece[once]
+    begin, source, words = factors(ref, window, pos, gram_hashes(word_hashes(ref.raw, ref.at), window)[pos])
+    p, q = (piece[np.searchsorted(pos, x)] for x in (begin, source))
+    found = np.empty(len(begin), FACTOR)
+    found["id"], found["digest"], found["start"], found["windows"] = ids[p], digests[p], begin + base[p], words - window + 1
+    found["source"], found["source_digest"], found["from"] = ids[q], digests[q], source + base[q]
+    return found
+
+
 def _parsed(group: pa.Table, window: int, places: int) -> pa.Table:
-    """Parse what one reference block received; its factors, packed by place.
+    """Parse what one reference block received, slice by slice; its factors, packed by place.
 
     Negative blocks hold what the tasks found on their own; it goes through as it is."""
     release()
@@ -268,25 +295,20 @@ def _parsed(group: pa.Table, window: int, places: int) -> pa.Table:
     sent = group.filter(pc.invert(known))
     if len(sent):
         whole = zstandard.ZstdDecompressor().decompress
-        heads = np.frombuffer(b"".join(whole(x.as_py()) for x in sent["heads"]), PHRASE)
-        pieces = [p for x in sent["words"] for p in whole(x.as_py()).split(b"\n")]
-        order = np.lexsort((heads["start"], heads["digest"], heads["id"]))
-        heads = heads[order]
-        ids, digests, starts, n = heads["id"].copy(), heads["digest"].copy(), heads["start"].astype(np.int64), heads["windows"].astype(np.int64)
-        ref = Reference.of([pieces[i] for i in order.tolist()], n + window - 1)
-        pos, piece = ref.windows(window), np.repeat(np.arange(len(n)), n)
-        base = starts - (np.cumsum(n + window - 1) - (n + window - 1))  # number in the document, less that in the reference
-        same = (ids[1:] == ids[:-1]) & (digests[1:] == digests[:-1])
-        if (same & (starts[1:] < starts[:-1] + n[:-1])).any():  # equal rows in two parts: each window once
-            document = np.concatenate([[0], np.cumsum(~same)])[piece]
-            once = np.sort(np.unique(document << 32 | pos + base[piece], return_index=True)[1])
-            pos, piece = pos[once], piece[once]
-        begin, source, words = factors(ref, window, pos, gram_hashes(word_hashes(ref.raw, ref.at), window)[pos])
-        p, q = (piece[np.searchsorted(pos, x)] for x in (begin, source))
-        found = np.empty(len(begin), FACTOR)
-        found["id"], found["digest"], found["start"], found["windows"] = ids[p], digests[p], begin + base[p], words - window + 1
-        found["source"], found["source_digest"], found["from"] = ids[q], digests[q], source + base[q]
-        out += _packed(found, places)
+        heads = [np.frombuffer(whole(x.as_py()), PHRASE) for x in sent["heads"]]
+        found = []
+        for k in np.unique(np.concatenate([np.unique(h["slice"]) for h in heads])).tolist():
+            own, pieces = [], []
+            for h, x in zip(heads, sent["words"]):  # unpacked again for each slice: words of one row at a time
+                at = np.flatnonzero(h["slice"] == k)
+                if len(at):
+                    words = whole(x.as_py()).split(b"\n")
+                    own.append(h[at])
+                    pieces += [words[i] for i in at.tolist()]
+            found.append(_slice_factors(np.concatenate(own), pieces, window))
+            del own, pieces
+            release()
+        out += _packed(np.concatenate(found), places)
     return pa.table({"place": pa.array([x[0] for x in out], pa.int32()), "spans": pa.array([x[1] for x in out], pa.binary())})
 
 

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 
@@ -168,3 +169,13 @@ def test_a_frequent_anchor_is_dealt_to_several_blocks(spark, monkeypatch):
     got = {r.id: r for r in sd.dedup_texts(df, "doc_id", "text", 20).collect()}
     for (i, _), (n, kept) in zip(rows, brute(rows, 20)):
         assert got[i].n_removed == n - len(kept) and WORD.findall(got[i].kept_text) == kept
+
+
+def test_a_block_is_parsed_in_slices(monkeypatch):
+    """No reference holds a large share of a block, and together they find what brute force finds."""
+    rows = [(i, i, t) for i, t in random_rows(7, 200)]
+    sent = sd._phrases([r for r in rows if r[2]], 8, 1)
+    sizes, of = [], sd.Reference.of
+    monkeypatch.setattr(sd.Reference, "of", lambda pieces, n: sizes.append(int(n.sum())) or of(pieces, n))
+    sd._parsed(pa.Table.from_batches([sent]), 8, 1)
+    assert len(sizes) == 1 << sd.SLICE_BITS and max(sizes) < 0.5 * sum(sizes)

@@ -8,8 +8,8 @@ and those of the largest group, and a product of the membership matrix of two bl
 intersection. So a large group of copies costs a comparison or two a copy, and no link between
 members of one bucket is lost.
 
-Grouping: tasks reduce their links by union-find, then alternating large-star and small-star
-steps shrink what is left, until all links form stars. No link or group passes the driver.
+Grouping: tasks reduce a bounded number of links each by union-find, and alternating large-star and
+small-star steps shrink what is left, until all links form stars. No link or group passes the driver.
 
 No task gets a hot key: the HOT largest buckets are sent to their rows, so that these need not meet by
 key; all other rows do. Blocks are cut by members and by the size of their sets.
@@ -34,6 +34,8 @@ BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 HOT = 1_000
 #: Ids that are sent to all documents.
 SENT_IDS = 500_000
+#: Links that one task reduces by union-find.
+FOREST_LINKS = 50_000
 #: Members that one salted task compares with one leader.
 SALT_ROWS = 500
 PART_BYTES = 2_000_000
@@ -65,11 +67,21 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _few(bodies: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """`bodies` (id, body) with one of the n ids, if these are SENT_IDS at most, and else all of them: what a join by id
+    has no use for need not be shuffled."""
+    return bodies.join(F.broadcast(ids), "id", "left_semi") if n <= SENT_IDS else bodies
+
+
 def paired(bodies: DataFrame, pairs: DataFrame, load: Callable[[Any], Any], agree: Callable[[Any, Any], bool], scratch: Scratch) -> DataFrame:
     """The pairs (a, b) that agree by their bodies (id, body; loaded): u, v. A pair's bodies meet in a task
     by a and a salt; the salts of an `a` grow with its pairs, and a task streams with one set of an
     `a` in memory."""
     pairs = scratch.write(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return pairs.toDF("u", "v")
+    bodies = _few(bodies, pairs.select(F.explode(F.array("a", "b")).alias("id")), 2 * n)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).alias("salts"))
     where = pairs.join(salts, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.lit(1).alias("kind"))
     where = where.unionByName(salts.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind")))
@@ -94,30 +106,41 @@ def paired(bodies: DataFrame, pairs: DataFrame, load: Callable[[Any], Any], agre
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the links of a task, in bounded portions: one link a node to its root."""
-    for batch in batches:
-        root: dict[int, int] = {}
+    """Union-find over the links of a task, in bounded portions: one link a node to its root, the smallest of its tree."""
+    root: dict[int, int] = {}
 
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        nodes = [x for x in root if find(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
 
+    for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = find(u), find(v)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        nodes = [x for x in root if find(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["u", "v"])
+        if len(root) > 2 * FOREST_LINKS:
+            yield stars()
+            root.clear()
+    yield stars()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """id, component for every id in links (u, v): the smallest id reachable.
 
-    Alternates large-star (link larger neighbours to the smallest one) and small-star (link
+    Each round reduces FOREST_LINKS links a task by union-find, which ends it if these were all, and
+    alternates large-star (link larger neighbours to the smallest one) and small-star (link
     smaller neighbours and the node itself to it) until all links form stars."""
-    edges = scratch.write(links.select("u", "v").where("u <> v").mapInArrow(_forest, "u long, v long").distinct(), "edges")
-    while not _stars(edges):
+    edges = scratch.write(links.select("u", "v").where("u <> v"), "edges")
+    while True:
+        tasks = max(1, -(-edges.count() // FOREST_LINKS))
+        edges = scratch.write(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long").distinct(), "forest")
+        if tasks == 1 or _stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -125,6 +148,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = scratch.write(small.where("u <> v").distinct(), "small")
+    edges = edges.coalesce(tasks)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
@@ -172,6 +196,7 @@ def _crossing(sets: list[np.ndarray], group: np.ndarray, percent: int) -> list[t
 def _in_blocks(bodies: DataFrame, members: DataFrame, load: Callable[[Any], Any], found: Callable[[int, list[int], list[int], list], pa.RecordBatch], names: str, scratch: Scratch) -> DataFrame:
     """What `found` makes of bucket, ids, groups and loaded bodies (id, body) of each two blocks of members (bucket, id,
     n_shingles, component) of one bucket that meet."""
+    bodies = _few(bodies, members.select("id"), members.count())
     groups = members.groupBy("bucket", "component").agg(F.struct(F.count("*").alias("n"), F.sum("n_shingles").alias("w"), "component").alias("x"))
     blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_SHINGLES)).cast("int")
     sizes = groups.groupBy("bucket").agg(F.max("x").alias("x"), F.sum("x.n").alias("all"), F.sum("x.w").alias("w"))
@@ -239,10 +264,10 @@ def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def unsettled(members: DataFrame, groups: DataFrame, scratch: Scratch) -> DataFrame:
-    """bucket, id, n_shingles, component of the members of buckets that hold several groups."""
+    """bucket, id, n_shingles, component, n (members of the bucket) of the members of buckets that hold several groups."""
     grouped = scratch.write(members.join(groups, "id", "left").select("bucket", "id", "n_shingles", F.coalesce("component", "id").alias("component")), "grouped")
     mixed = grouped.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("bucket", "n")
-    return scratch.write(by_key(grouped, scratch.write(mixed, "mixed"), "bucket", "n").drop("n"), "unsettled")
+    return scratch.write(by_key(grouped, scratch.write(mixed, "mixed"), "bucket", "n"), "unsettled")
 
 
 def joined(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -262,12 +287,12 @@ def bridges(full: DataFrame, classes: DataFrame) -> DataFrame:
 def by_leaders(met: DataFrame, known: DataFrame, confirmed: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Groups by the links `known` (u, v) and by those of bucket members (bucket, leader, id, n_shingles) with
     the leader, then with a second one where several groups are left; and the members of buckets (bucket, id,
-    n_shingles) that a second leader had to be tried on. `confirmed` finds the links among pairs a, b."""
+    n_shingles, n) that a second leader had to be tried on. `confirmed` finds the links among pairs a, b."""
     stars = met.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     groups = components(confirmed(stars).unionByName(known), scratch)
     rest = unsettled(met.select("bucket", "id", "n_shingles"), groups, scratch)
     if rest.isEmpty():
         return groups, rest.drop("component")
-    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("n")).select("bucket", "n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
-    again = by_key(rest, scratch.write(others, "others"), "bucket", "n").where("component <> of").select("a", F.col("id").alias("b")).distinct()
-    return joined(groups, confirmed(again), scratch), rest.select("bucket", "id", "n_shingles")
+    others = rest.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id")).alias("x"), F.count("*").alias("of_n")).select("bucket", "of_n", F.col("x.id").alias("a"), F.col("x.component").alias("of"))
+    again = by_key(rest, scratch.write(others, "others"), "bucket", "of_n").where("component <> of").select("a", F.col("id").alias("b")).distinct()
+    return joined(groups, confirmed(again), scratch), rest.drop("component")

@@ -236,15 +236,13 @@ def _grouped(docs: DataFrame, full: DataFrame, classes: DataFrame, met: DataFram
     groups, rest = links.by_leaders(met, links.bridges(full, classes), confirmed, scratch)
     if rest.isEmpty():
         return groups
-    sizes = scratch.write(rest.groupBy("bucket").agg(F.count("*").alias("n")), "rest-sizes")
-    rest = scratch.write(links.by_key(rest, sizes, "bucket", "n"), "rest")
     groups = whole(groups, rest.where(F.col("n") <= links.BLOCK).drop("n"))
     many = links.unsettled(rest.where(F.col("n") > links.BLOCK).drop("n"), groups, scratch).select("id").distinct()
     if many.isEmpty():
         return groups
     met = _buckets(_rare_first(links.restricted(texts, many), s, scratch), scratch)
     groups, rest = links.by_leaders(met, groups.select(F.col("component").alias("u"), F.col("id").alias("v")), confirmed, scratch)
-    return groups if rest.isEmpty() else whole(groups, rest)
+    return groups if rest.isEmpty() else whole(groups, rest.drop("n"))
 
 
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

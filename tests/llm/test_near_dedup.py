@@ -136,3 +136,14 @@ def test_two_calls_at_once(spark):
     with ThreadPoolExecutor(2) as pool:
         a, b = pool.map(ask, range(2))
     assert a == b == brute(rows, 3, 85)
+
+
+def test_few_links_end_in_one_round(spark, monkeypatch):
+    """Links that one task may reduce take no rounds of large-star and small-star; more do, with the same groups."""
+    chain = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101), (7, 200)]
+    want = {**{i: 0 for i in range(61)}, 200: 0, 100: 100, 101: 100, 103: 100}
+    for most, rounds in ((links.FOREST_LINKS, False), (3, True)):
+        monkeypatch.setattr(links, "FOREST_LINKS", most)
+        scratch = Scratch(spark)
+        got = {r.id: r.component for r in links.components(spark.createDataFrame(chain, "u long, v long").repartition(9), scratch).collect()}
+        assert got == want and any(name == "small" for name, _ in scratch.paths) == rounds

@@ -471,3 +471,12 @@ def test_queries_of_a_task_are_compared_in_slices(spark, monkeypatch):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     d = 1 - u @ u.T + np.diag(np.full(60, 9.0))
     assert got == {(i, k + 1): int(j) for i in range(60) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+
+
+def test_normal_forms_for_copies_are_made_once(spark, capsys):
+    """The verdicts read which rows are copies; they do not digest all normal forms again."""
+    rows = [(1, "a", "one two three"), (2, "a", "one  two three"), (3, "b", "one two three"), (4, "a", "four five six")]
+    got = dedup.dedup(spark.createDataFrame(rows, "id long, g string, text string"), "g", "id", "text")
+    assert {r.id: r.verdict for r in got.collect()} == {1: "kept", 2: "exact", 3: "kept", 4: "kept"}
+    got.explain()
+    assert "sha2" not in capsys.readouterr().out

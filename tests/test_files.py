@@ -32,3 +32,19 @@ def test_saved_files_lie_in_a_fixed_number_of_folders(spark, tmp_path):
     files.save_tree(rows, "path", "content", str(tmp_path / "tree"))
     assert len([p for p in (tmp_path / "tree").iterdir() if p.is_dir()]) <= files.PARTS
     assert files.read_tree(spark, str(tmp_path / "tree")).select("path").distinct().count() == 600
+
+
+def test_files_are_written_by_their_task_and_whole_parts_come_once(spark, tmp_path):
+    import pyarrow as pa
+
+    rows = [(f"{i}.txt", f"x{i}") for i in range(50)] + [("0.txt", "again"), ("a{b}=[c]^.md", "odd"), (None, "none")]
+    files.save_tree(spark.createDataFrame(rows, "path string, content string"), "path", "content", str(tmp_path / "tree"))
+    names = [p.name for p in (tmp_path / "tree").rglob("*") if p.is_file()]
+    assert len(names) == 53 and not [n for n in names if n.endswith(".crc")] and not list((tmp_path / "tree").glob("_*"))
+    got = sorted((r.path, bytes(r.content).decode()) for r in files.read_tree(spark, str(tmp_path / "tree")).collect())
+    assert got == sorted((p or "__HIVE_DEFAULT_PARTITION__", f"{c}\n") for p, c in rows)
+    (tmp_path / "twice").mkdir()
+    batch = pa.RecordBatch.from_pylist([{"part": 1, "file": "a.md", "value": b"a"}, {"part": 2, "file": "b.md", "value": b"b"}])
+    for _ in range(2):  # a task that is tried again
+        assert next(files._saved(iter([batch]), str(tmp_path / "twice")))["files"].to_pylist() == [2]
+    assert sorted(str(p.relative_to(tmp_path / "twice")) for p in (tmp_path / "twice").rglob("*") if p.is_file()) == ["part=1/file=a.md/0.txt", "part=2/file=b.md/1.txt"]

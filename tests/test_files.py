@@ -48,3 +48,14 @@ def test_files_are_written_by_their_task_and_whole_parts_come_once(spark, tmp_pa
     for _ in range(2):  # a task that is tried again
         assert next(files._saved(iter([batch]), str(tmp_path / "twice")))["files"].to_pylist() == [2]
     assert sorted(str(p.relative_to(tmp_path / "twice")) for p in (tmp_path / "twice").rglob("*") if p.is_file()) == ["part=1/file=a.md/0.txt", "part=2/file=b.md/1.txt"]
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    (tmp_path / "sub" / "_temporary").mkdir(parents=True)
+    for i in range(1500):
+        (tmp_path / "sub" / f"{i}.txt").write_text("x")
+    (tmp_path / "sub" / "_temporary" / "y.txt").write_text("no file of the tree")
+    (tmp_path / "sub" / ".hidden").write_text("nor this")
+    found = files.read_tree(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() <= 8
+    assert sorted(r.path for r in found.select("path").collect()) == sorted(f"sub/{i}.txt" for i in range(1500))

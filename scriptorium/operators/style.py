@@ -59,6 +59,21 @@ def gram_rows(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -
     return rows.select(*keys, each).where("gram is not null")
 
 
+def gram_places(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
+    """keys, _w0, _w1, ...: a row for each token with those after it, nulls at the end of a text. Of summed places
+    `grams_at` makes the counts of all shorter grams, so only places are shuffled, and not each gram of each length."""
+    return _places(df, keys, tx.style_tokens(F.col(text_col)), longest)
+
+
+def grams_at(places: DataFrame, keys: list[str], n: int, longest: int = 3) -> DataFrame:
+    """keys, n, gram, count of the grams of n tokens, of places that are one row each with their `count`."""
+    words = [f"_w{k}" for k in range(n)]
+    rows = places.where(F.col(words[-1]).isNotNull())
+    if n < longest:
+        rows = rows.groupBy(*keys, *words).agg(F.sum("count").alias("count"))
+    return rows.select(*keys, F.lit(n).alias("n"), F.concat_ws(" ", *words).alias("gram"), "count")
+
+
 def gram_counts(df: DataFrame, keys: list[str], text_col: str, longest: int = 3) -> DataFrame:
     """keys, n (1..longest), gram, count; summed before the shuffle."""
     return gram_rows(df, keys, text_col, longest).groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from scriptorium.functions import text as tx
 from scriptorium.operators import holdout
 from scriptorium.operators import style as st
 from scriptorium.operators.places import placed
-from scriptorium.session import materialise, shared_dir, spread, table
+from scriptorium.session import UNIQUE, Scratch, materialise, shared_dir, spread, table
 from scriptorium.sources.stored import Stored
 
 
@@ -34,13 +35,25 @@ def t1_sentence_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the two halves of the corpus, merged in a stored table batch by batch; the 8,000 most frequent words
-    and phrases each."""
+    and phrases each.
+
+    The table has the runs of three tokens: all rows of two first tokens are in one bucket, so the phrases of a part of the
+    buckets are whole, and the most frequent ones are among those of the parts."""
     docs = spread(_docs(spark, sf_dir), "doc_id")
-    half = lambda k: st.gram_rows(docs.where(F.col("doc_id") % 2 == k), ["source"], "text").withColumn("count", F.lit(1).cast("long"))
-    kept = Stored(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", half(0).schema, ["source", "n", "gram"])
+    half = lambda k: st.gram_places(docs.where(F.col("doc_id") % 2 == k), ["source"], "text").withColumn("count", F.lit(1).cast("long"))
+    keys = ["source", "_w0", "_w1", "_w2"]
+    kept = Stored(spark, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", half(0).schema, keys, by=keys[:3])
     for k in (0, 1, 1):  # a batch that comes again counts once
         kept.add(half(k), ["count"], f"half {k}")
-    return st.most_frequent(kept.frame().withColumn("phrase", F.col("n") > 1), ["source", "phrase"], 8000).select("source", "n", "gram", "count")
+        kept.vacuum()
+    found, scratch = [st.most_frequent(materialise(st.grams_at(kept.frame(), ["source"], 1), "words"), ["source"], 8000)], Scratch(spark)
+    for part in kept.steps():
+        places = kept.frame(only=part)
+        both = st.grams_at(places, ["source"], 3).unionByName(scratch.write(st.grams_at(places, ["source"], 2), "pairs", **UNIQUE))
+        found.append(materialise(st.most_frequent(both, ["source"], 8000), "phrases"))
+        scratch.drop()
+    phrases = st.top_per(reduce(DataFrame.unionByName, found[1:]), ["source"], [F.desc("count"), "gram"], 8000)
+    return found[0].unionByName(phrases).select("source", "n", "gram", "count")
 
 
 def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:

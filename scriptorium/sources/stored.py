@@ -23,16 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from scriptorium.session import materialise
+from scriptorium.session import UNIQUE, collect_garbage, materialise
 
 _BUCKET = "_bucket"
+#: Parts in which buckets are gone through, one after the other, so that only the rows of one are on their way at once.
+STEPS = 4
 
 
 class Stored:
-    """A stored table of rows with `schema`, keyed and bucketed by the columns `keys`. Null keys are keys."""
+    """A stored table of rows with `schema`, keyed by the columns `keys` and bucketed by them, or by those of them in `by`.
+    Null keys are keys."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int = 64) -> None:
-        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path.rstrip("/"), schema, keys, buckets
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int = 64, by: list[str] | None = None) -> None:
+        self.spark, self.path, self.schema, self.keys, self.buckets, self.by = spark, path.rstrip("/"), schema, keys, buckets, by or keys
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,7 +62,7 @@ class Stored:
         return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in folders])
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn(_BUCKET, F.pmod(F.hash(*self.keys), F.lit(self.buckets)).cast("int"))
+        return rows.withColumn(_BUCKET, F.pmod(F.hash(*self.by), F.lit(self.buckets)).cast("int"))
 
     def _publish(self, before: int, manifest: dict) -> None:
         folder = f"{self.path}/versions"
@@ -71,7 +74,7 @@ class Stored:
             raise RuntimeError(f"version {before + 1} of {self.path} was written by another change")
 
     def _numbers(self, rows: DataFrame) -> list[int]:
-        return sorted(r[0] for r in self._dealt(rows.select(*self.keys)).select(_BUCKET).distinct().collect())
+        return sorted(r[0] for r in self._dealt(rows.select(*self.by)).select(_BUCKET).distinct().collect())
 
     def change(self, touched: DataFrame, new: DataFrame, made: Callable[[DataFrame, DataFrame], DataFrame], batch: str | None = None) -> bool:
         """Replace the buckets in which `touched` has keys by what `made` gives for their rows and the rows of `new`
@@ -91,10 +94,7 @@ class Stored:
     def _written(self, version: int, manifest: dict, rows: DataFrame, numbers: list[int], batch: str | None) -> bool:
         """Write dealt rows in place of the buckets `numbers`, and the next manifest; not if there was and is nothing."""
         folder = f"data/{uuid.uuid4().hex}"
-        rows.write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
-        fs, at = self._fs(f"{self.path}/{folder}")
-        names = [f.getPath().getName() for f in fs.listStatus(at)]
-        written = {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith(f"{_BUCKET}=")}
+        written = self._put(rows, folder)
         kept = {n: f for n, f in manifest["buckets"].items() if int(n) not in numbers}
         if kept.keys() & written.keys():
             raise RuntimeError(f"the rows for {self.path} were others when they were read again")
@@ -127,22 +127,50 @@ class Stored:
         same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in self.keys))
         return self.change(new, new, lambda old, own: old.join(keys, same, "left_anti").unionByName(own), batch)
 
+    def _put(self, rows: DataFrame, folder: str, **options: str) -> dict[str, str]:
+        """Write dealt rows below `folder`, beside those of other buckets; the folder of each bucket there."""
+        rows.write.mode("append").partitionBy(_BUCKET).options(**options).parquet(f"{self.path}/{folder}")
+        fs, at = self._fs(f"{self.path}/{folder}")
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        return {n.split("=")[1]: f"{folder}/{n}" for n in names if n.startswith(f"{_BUCKET}=")}
+
+    def steps(self, numbers: list[int] | None = None) -> list[list[int]]:
+        """The buckets, or those of `numbers`, in STEPS parts; empty ones are left out."""
+        numbers = list(range(self.buckets)) if numbers is None else sorted(numbers)
+        size = -(-self.buckets // STEPS)
+        parts = [[n for n in numbers if n // size == k] for k in range(STEPS)]
+        return [p for p in parts if p]
+
     def add(self, new: DataFrame, sums: list[str], batch: str | None = None) -> bool:
         """Numbers of equal keys are added up; `new` may have many rows a key. A batch that has a name counts once.
 
-        The rows are summed before the one shuffle that brings them to those of the table, and written by the tasks that
-        sum them. Once the table has rows, `new` is made twice, first for the buckets that it touches."""
+        The rows are made once, summed by one shuffle and written by the tasks that sum them. What they touch of the
+        table is then summed with them, a part of the buckets at a time, so that never more than such a part is shuffled at
+        once."""
         version = self.version()
         manifest = self.manifest(version)
         if batch is not None and batch in manifest["batches"]:
             return False
-        numbers = self._numbers(new) if manifest["buckets"] else []
         total = [F.sum(c).cast(self.schema[c].dataType).alias(c) for c in sums]
-        every = new.select(*self.schema.names)
-        if any(int(n) in numbers for n in manifest["buckets"]):
-            every = self.frame(version, numbers).unionByName(every)
-        rows = self._dealt(every.groupBy(*self.keys).agg(*total).select(*self.schema.names))
-        return self._written(version, manifest, rows, numbers, batch)
+        near = lambda rows: rows if self.by == self.keys else rows.repartition(*self.by)
+
+        def summed(rows: DataFrame) -> DataFrame:
+            return self._dealt(near(rows.select(*self.schema.names)).groupBy(*self.keys).agg(*total).select(*self.schema.names))
+
+        came = self._put(summed(new), f"data/{uuid.uuid4().hex}", **UNIQUE)
+        collect_garbage(self.spark)
+        if not came:
+            return False
+        folder, merged = f"data/{uuid.uuid4().hex}", {}
+        for part in self.steps([int(n) for n in came if n in manifest["buckets"]]):
+            own = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{came[str(n)]}" for n in part])
+            merged = self._put(summed(self.frame(version, part).unionByName(own)), folder, **UNIQUE)
+            for n in part:
+                fs, at = self._fs(f"{self.path}/{came[str(n)]}")
+                fs.delete(at, True)
+            collect_garbage(self.spark)
+        self._publish(version, {"buckets": manifest["buckets"] | came | merged, "batches": manifest["batches"] + [batch] * (batch is not None)})
+        return True
 
     def vacuum(self) -> int:
         """Delete the folders of buckets that the latest version does not have, and the manifests before it;

@@ -480,3 +480,12 @@ def test_normal_forms_for_copies_are_made_once(spark, capsys):
     assert {r.id: r.verdict for r in got.collect()} == {1: "kept", 2: "exact", 3: "kept", 4: "kept"}
     got.explain()
     assert "sha2" not in capsys.readouterr().out
+
+
+def test_places_of_grams_make_the_counts_of_all_lengths(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), " ".join(rng.choice("xyz") for _ in range(rng.randrange(9)))) for _ in range(60)]
+    df = spark.createDataFrame(rows, "g string, text string")
+    places = style.gram_places(df, ["g"], "text").groupBy("g", "_w0", "_w1", "_w2").agg(F.count("*").alias("count"))
+    got = [tuple(r) for n in (1, 2, 3) for r in style.grams_at(places, ["g"], n).collect()]
+    assert sorted(got, key=str) == sorted(map(tuple, style.gram_counts(df, ["g"], "text").collect()), key=str)

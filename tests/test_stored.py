@@ -78,3 +78,22 @@ def test_of_two_changes_at_once_one_fails(spark, tmp_path):
     with pytest.raises(RuntimeError, match="another change"):
         kept.upsert(made(spark, [("b", 2, "y")]), ["label"])
     assert kept.version() == 2 and rows_of(kept.frame()) == [("a", 1, "x"), ("b", 2, "y")]
+
+
+def test_sums_are_merged_a_part_of_the_buckets_at_a_time(spark, tmp_path):
+    kind = "g string, w string, n long"
+    rows = [(f"g{i // 2 % 40}" if i // 2 % 40 else None, f"w{i % 7}", i) for i in range(1200)]
+    kept = Stored(spark, str(tmp_path), made(spark, [], kind).schema, ["g", "w"], 16, by=["g"])
+    shuffled, put = [], kept._put
+    kept._put = lambda df, folder, **o: shuffled.append(put(df, folder, **o)) or shuffled[-1]
+    for k in (0, 1, 1):
+        kept.add(made(spark, rows[k::2], kind), ["n"], f"half {k}")
+    want = {}
+    for g, w, n in rows:
+        want[g, w] = want.get((g, w), 0) + n
+    assert rows_of(kept.frame()) == sorted(((g, w, n) for (g, w), n in want.items()), key=str)
+    assert len(shuffled) == 2 + len(kept.steps([int(n) for n in kept.manifest()["buckets"]])) and len(kept.steps()) == 4
+    parts = [{r.g for r in kept.frame(only=part).select("g").distinct().collect()} for part in kept.steps()]
+    assert sum(map(len, parts)) == len(set().union(*parts)) == 40  # all rows of one g are in one bucket
+    kept.vacuum()
+    assert rows_of(kept.frame()) == sorted(((g, w, n) for (g, w), n in want.items()), key=str)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as tx
 from scriptorium.operators.places import placed
-from scriptorium.session import materialise
+from scriptorium.session import UNIQUE, collect_garbage, materialise
 
 # Function words in rank order, and the marker lists.
 FUNCTION_WORDS = (
@@ -27,6 +27,10 @@ INTENSIFIERS = ["really", "very", "definitely", "absolutely", "completely", "tot
 MARKERS = list(dict.fromkeys(FUNCTION_WORDS + DISCOURSE))
 LIST_LINE = "^([-*•]|\\d+[.)])\\s"
 FLOOR_PER_1K, PHRASE_PER_1K = 0.05, 0.15
+#: Times that a phrase, or a word, must occur to be distinctive.
+LEAST_PHRASE, LEAST_WORD = 4, 5
+#: Parts in which places of grams are counted, one after the other.
+STEPS = 2
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -69,7 +73,7 @@ def grams_at(places: DataFrame, keys: list[str], n: int, longest: int = 3) -> Da
     """keys, n, gram, count of the grams of n tokens, of places that are one row each with their `count`."""
     words = [f"_w{k}" for k in range(n)]
     rows = places.where(F.col(words[-1]).isNotNull())
-    if n < longest:
+    if n < longest:  # else each is a row already
         rows = rows.groupBy(*keys, *words).agg(F.sum("count").alias("count"))
     return rows.select(*keys, F.lit(n).alias("n"), F.concat_ws(" ", *words).alias("gram"), "count")
 
@@ -79,6 +83,29 @@ def gram_counts(df: DataFrame, keys: list[str], text_col: str, longest: int = 3)
     return gram_rows(df, keys, text_col, longest).groupBy(*keys, "n", "gram").agg(F.count("*").alias("count"))
 
 
+def frequent_grams(df: DataFrame, keys: list[str], text_col: str, least: int, tokens: Column | None = None, longest: int = 3) -> DataFrame:
+    """keys, n (1..longest), gram, count of all words, and of phrases that occur `least` times in a group; written once.
+
+    Most phrases occur once, so summing them before a shuffle shortens nothing. Only places are shuffled, by the two first
+    words; the tasks that get them count phrases of all lengths. That is done for a part of the places after the other,
+    so that only one part is on its way at once."""
+    tokens = tx.style_tokens(F.col(text_col)) if tokens is None else tokens
+    words = df.select(*keys, F.explode(tokens).alias("gram")).groupBy(*keys, "gram").agg(F.count("*").alias("count"))
+    found = [materialise(words.select(*keys, F.lit(1).alias("n"), "gram", "count"), "words", **UNIQUE)]
+    places = _places(df, keys, tokens, longest).where("_w1 is not null")
+    for k in range(STEPS if longest > 1 else 0):
+        part = places.where(F.pmod(F.xxhash64(*keys, "_w0", "_w1"), F.lit(STEPS)) == k).repartition(*keys, "_w0", "_w1")
+        each = []
+        for n in range(2, longest + 1):
+            own = [f"_w{i}" for i in range(n)]
+            # own and last words are counted, too: so all lengths read the same rows and columns, and thus one shuffle
+            counts = part.groupBy(*keys, *own).agg(F.count("*").alias("count"), F.count(own[-1]).alias("_own"), F.count(f"_w{longest - 1}").alias("_last"))
+            each.append(counts.where((F.col("count") >= least) & (F.col("_own") == F.col("count")) & (F.col("_last") <= F.col("count"))).select(*keys, F.lit(n).alias("n"), F.concat_ws(" ", *own).alias("gram"), "count"))
+        found.append(materialise(reduce(DataFrame.unionByName, each), "phrases", **UNIQUE))
+        collect_garbage(df.sparkSession)
+    return reduce(DataFrame.unionByName, found)
+
+
 def most_frequent(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k rows of each group with the largest `count`, ties to the first `gram`.
 
@@ -108,6 +135,13 @@ def text_analysis(df: DataFrame, keys: list[str], text_col: str, tokens: Column
     return rows.groupBy(*keys).agg(F.sum("w").alias("words"), F.sum("s").alias("sentences"), F.sum("l").alias("lines"), F.sum("ll").alias("list_lines"))
 
 
+def cut_sentences(text: Column) -> Column:
+    """The style tokens of each stretch between ends of sentences; some have none. All of them in order are those of the
+    text: the text is cleaned once, and its marks that end sentences separate tokens, too."""
+    clean = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}' .!?\\n]", " ")
+    return F.transform(F.split(clean, "[.!?\\n]"), lambda s: F.array_remove(F.split(s, " "), ""))
+
+
 def sentence_tokens(df: DataFrame, keys: list[str], text_col: str, cut: Column | None = None) -> DataFrame:
     """keys, _w: the style tokens of each sentence; `cut` has them if they are known."""
     if cut is not None:
@@ -138,7 +172,7 @@ def common_words(df: DataFrame, text_col: str, k: int = 250) -> DataFrame:
 def distinctive(counts: DataFrame, keys: list[str], base: DataFrame, k: int = 60, floor: float = 3e-6) -> DataFrame:
     """Grams that a subject uses more than the baseline: score, top k by score * ln(1 + n)."""
     totals = counts.where("n = 1").groupBy(*keys).agg(F.sum("count").alias("total"))
-    enough = counts.where("(n = 1 AND count >= 5 AND length(gram) >= 3) OR (n > 1 AND count >= 4)")
+    enough = counts.where(f"(n = 1 AND count >= {LEAST_WORD} AND length(gram) >= 3) OR (n > 1 AND count >= {LEAST_PHRASE})")
     parts = enough.select(*keys, "n", "gram", "count", F.explode(F.split("gram", " ")).alias("word"))
     logs = parts.join(base, "word", "left").groupBy(*keys, "n", "gram", "count").agg(F.sum(F.log2(F.coalesce("p", F.lit(floor)))).alias("logs"))
     raw = logs.join(totals, keys).withColumn("raw", F.log2(F.col("count") / F.col("total")) - F.col("logs") / F.col("n") - F.when(F.col("n") > 1, 2).otherwise(0))

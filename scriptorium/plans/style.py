@@ -58,7 +58,8 @@ def t2_gram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t3_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against general usage: the most frequent words of the conversations."""
-    return st.distinctive(st.gram_counts(spread(_docs(spark, sf_dir), "doc_id"), ["source"], "text"), ["source"], _general(spark, sf_dir))
+    counts = st.frequent_grams(spread(_docs(spark, sf_dir), "doc_id"), ["source"], "text", st.LEAST_PHRASE)
+    return st.distinctive(counts, ["source"], _general(spark, sf_dir))
 
 
 def t4_chat_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,18 +116,22 @@ def t11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record a subject and mode: size, sentence spread, punctuation, openers, the top markers,
     hedges, intensifiers and the subject's collocations; fillers only of what is spoken, the share of
     list lines only of what is written."""
-    docs = _docs(spark, sf_dir).withColumn("mode", F.when(F.col("doc_id") % 2 == 0, "spoken").otherwise("written"))
+    docs = spread(_docs(spark, sf_dir), "doc_id").withColumn("mode", F.when(F.col("doc_id") % 2 == 0, "spoken").otherwise("written"))
     keys = ["source", "mode"]
-    rates = materialise(st.term_rates(docs, keys, "text", TERMS), "rates")
+    # texts are cut once: the tokens of each sentence, and how many sentences are not blank
+    full = F.size(F.filter(tx.sentences(F.col("text")), lambda s: F.trim(s) != ""))
+    docs = materialise(docs.select("source", "mode", "text", st.cut_sentences(F.col("text")).alias("cut"), full.alias("full")), "cut", **UNIQUE)
+    cut, w = F.col("cut"), F.flatten("cut")
+    rates = materialise(st.term_rates(docs, keys, "text", TERMS, w), "rates")
     in_list = lambda c, name: F.array_join(F.sort_array(F.collect_list(c)), ",").alias(name)
     marked = st.markers(rates.where(F.col("term").isin(st.MARKERS)), keys).groupBy(*keys).agg(in_list("term", "markers"))
     listed = [st.listed(rates.where(F.col("mode").isin(modes)), keys, terms, most, name) for name, terms, most, modes in (("fillers", st.FILLERS, len(st.FILLERS), ["spoken"]), ("hedges", st.HEDGES, 10, ["spoken", "written"]), ("intensifiers", st.INTENSIFIERS, 10, ["spoken", "written"]))]
-    opening = st.openers(docs, keys, "text").groupBy(*keys).agg(in_list("opener", "openers"))
-    own = st.distinctive(st.gram_counts(docs, ["source"], "text"), ["source"], _general(spark, sf_dir)).where("gram like '% %'")
+    opening = st.openers(docs, keys, "text", cut=cut).groupBy(*keys).agg(in_list("opener", "openers"))
+    own = st.distinctive(st.frequent_grams(docs, ["source"], "text", st.LEAST_PHRASE, w), ["source"], _general(spark, sf_dir)).where("gram like '% %'")
     rank = [F.desc(F.col("score") * F.log(1 + F.col("count"))), "gram"]
     phrases = st.top_per(own, ["source"], rank, 15).groupBy("source").agg(in_list("gram", "collocations"))
-    out = st.text_analysis(docs, keys, "text").select(*keys, "words", F.when(F.col("mode") == "written", F.round(F.col("list_lines") / F.col("lines"), 3)).alias("list_ratio"))
-    for part in (st.sentence_spread(docs, keys, "text"), st.punctuation(docs, keys, "text"), marked, *listed, opening):
+    out = st.text_analysis(docs, keys, "text", w).select(*keys, "words", F.when(F.col("mode") == "written", F.round(F.col("list_lines") / F.col("lines"), 3)).alias("list_ratio"))
+    for part in (st.sentence_spread(docs, keys, "text", cut), st.punctuation(docs, keys, "text", F.col("full"), w), marked, *listed, opening):
         out = out.join(part, keys, "left")
     return out.join(phrases, "source", "left")
 

@@ -489,3 +489,23 @@ def test_places_of_grams_make_the_counts_of_all_lengths(spark):
     places = style.gram_places(df, ["g"], "text").groupBy("g", "_w0", "_w1", "_w2").agg(F.count("*").alias("count"))
     got = [tuple(r) for n in (1, 2, 3) for r in style.grams_at(places, ["g"], n).collect()]
     assert sorted(got, key=str) == sorted(map(tuple, style.gram_counts(df, ["g"], "text").collect()), key=str)
+
+
+def test_frequent_grams_are_those_of_all_counts(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), " ".join(rng.choice("xyzuv") for _ in range(rng.randrange(9)))) for _ in range(90)] + [("a", None)]
+    df = spark.createDataFrame(rows, "g string, text string")
+    want = style.gram_counts(df, ["g"], "text").where("n = 1 OR count >= 4")
+    got = style.frequent_grams(df, ["g"], "text", 4)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_texts_cut_once_have_the_same_sentences(spark):
+    texts = ["Well, it's one. TWO, three!?  four\nfive six seven", " \n .", "...", "", None, "a-b c.d e!f", "Ünï 3.5 -- x\ty z"]
+    df = spark.createDataFrame([("g", t) for t in texts], "g string, text string").withColumn("cut", style.cut_sentences(F.col("text")))
+    from scriptorium.functions import text as tx
+
+    for r in df.select(F.flatten("cut").alias("a"), tx.style_tokens(F.col("text")).alias("b")).collect():
+        assert r.a == r.b
+    lengths = lambda **cut: sorted(r.length for r in style.sentence_lengths(df, ["g"], "text", **cut).collect())
+    assert lengths(cut=F.col("cut")) == lengths() != []

@@ -509,3 +509,19 @@ def test_texts_cut_once_have_the_same_sentences(spark):
         assert r.a == r.b
     lengths = lambda **cut: sorted(r.length for r in style.sentence_lengths(df, ["g"], "text", **cut).collect())
     assert lengths(cut=F.col("cut")) == lengths() != []
+
+
+def test_dedup_deletes_what_its_steps_wrote(spark, monkeypatch):
+    from scriptorium.session import Scratch
+
+    monkeypatch.setattr(dedup, "DENSE", 0)  # rounds, too
+    rows = [("a", i, f"{' '.join(f'w{j}' for j in range(30))} x{i % 6} {'again' * (i // 9)}") for i in range(40)] + [("a", 90, "one two"), ("a", 91, "one two")]
+    df = spark.createDataFrame(rows, "g string, o long, text string")
+    scratch, plain = Scratch(spark), Scratch(spark)
+    given = scratch.write(df, "given")
+    got = dedup.dedup(given, "g", "o", "text", scratch=scratch)
+    assert {n.rstrip("0123456789") for n, _ in scratch.paths} <= {"marked", "classes", "fallen", "pairs", "dropped"}
+    want = dedup.dedup(plain.write(df, "other"), "g", "o", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("verdict <> 'kept'").count() > 20
+    scratch.drop()
+    assert not scratch.paths

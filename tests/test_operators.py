@@ -525,3 +525,12 @@ def test_dedup_deletes_what_its_steps_wrote(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.where("verdict <> 'kept'").count() > 20
     scratch.drop()
     assert not scratch.paths
+
+
+def test_the_build_keeps_no_copies_of_texts_but_the_kept(spark):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    corpus.corpus_build(spark, "/root/testdata/sf0.001")
+    assert {n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before} == {"kept"}
